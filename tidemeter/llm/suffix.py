@@ -19,17 +19,16 @@ its sample, not by the corpus.
 from __future__ import annotations
 
 import struct
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import width
-
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a group of documents, and in the slices that it is hashed in.
-GROUP_BYTES, SLICE_BYTES = 16 << 20, 1 << 16
+GROUP_BYTES, SLICE_BYTES = 4 << 20, 1 << 16
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 _powers = [pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64) | 1 for i in range(5)]
 _bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -41,7 +40,7 @@ def shifts() -> np.ndarray:
 
 
 def anchors(raw: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, count): runs of ``count`` string starts from ``first`` on that have the same anchor, a 40-bit hash.
+    """(hash, first, count): runs of ``count`` string starts from ``first`` on that have the same anchor.
 
     raw holds whole documents that end at ``ends``; no string crosses an end.
     """
@@ -60,7 +59,8 @@ def anchors(raw: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
     # the place below the hash: the least key is the leftmost of the least hashes
-    h = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
+    place = np.uint64((1 << 24) - 1)
+    whole, h = h, (h & ~place) | np.arange(len(h), dtype=np.uint64)
     span, left = 1, length - GRAM + 1
     while 2 * span <= left:
         h = np.minimum(h[:-span], h[span:])
@@ -71,7 +71,7 @@ def anchors(raw: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
     new[1:] = (h[1:] != h[:-1]) | ~ok[:-1]
     first = np.flatnonzero(new & ok)
     stop = np.append(np.flatnonzero(new | ~ok), n)
-    return h[first] >> np.uint64(24), first, stop[np.searchsorted(stop, first, side="right")] - first
+    return whole[(h[first] & place).astype(np.int64)], first, stop[np.searchsorted(stop, first, side="right")] - first
 
 
 class Group:
@@ -106,19 +106,18 @@ class Group:
     def _slice(self, held: list):
         raw = b"".join(p for _, p, _ in held)
         ends = np.cumsum([len(p) for _, p, _ in held])
-        return raw, ends, held, *anchors(raw, ends, self.length)
+        h, first, count = anchors(raw, ends, self.length)
+        # the bucket, then 32 bits that tell its anchors apart
+        return raw, ends, held, (h % np.uint64(self.buckets)) << np.uint64(32) | h >> np.uint64(32), first, count
 
     def keys(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each bucket its distinct anchors in this group, and whether more than one run here has them."""
-        all_ = np.concatenate([np.zeros(0, np.uint64), *[s[3] for s in self.slices]])
-        key, n = np.unique(all_, return_counts=True)
-        b = (key % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        cut = np.searchsorted(b[order], np.arange(1, self.buckets))
-        return np.split(key[order], cut), np.split(n[order] > 1, cut)
+        key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s[3] for s in self.slices]]), return_counts=True)
+        cut = np.searchsorted(key, np.arange(1, self.buckets, dtype=np.uint64) << np.uint64(32))
+        return np.split(key, cut), np.split(n > 1, cut)
 
     def regions(self, shared: dict[int, bytes]) -> tuple[list[dict], list]:
-        """For each bucket its distinct (count, region) with their least doc_id, for shared anchors; and the runs of each slice with the region's number.
+        """For each bucket its distinct regions with their number, least doc_id and anchor, for shared anchors; and the runs of each slice.
 
         shared maps a bucket to the bits of its anchors that other groups have.
         """
@@ -137,18 +136,18 @@ class Group:
                 hit = np.zeros(0, np.int64)
             own = []
             whose = np.searchsorted(ends, first[hit], side="right")
-            for a, n, b, w in zip(first[hit].tolist(), count[hit].tolist(), (key[hit] % np.uint64(self.buckets)).tolist(), whose.tolist(), strict=True):
-                region, d = raw[a : a + n + self.length - 1], docs[w][0]
-                number, least = held[b].setdefault(region, (len(held[b]), d))
+            for a, n, x, w in zip(first[hit].tolist(), count[hit].tolist(), key[hit].tolist(), whose.tolist(), strict=True):
+                region, d, b = raw[a : a + n + self.length - 1], docs[w][0], x >> 32
+                number, least, _ = held[b].setdefault(region, (len(held[b]), d, x & 0xFFFFFFFF))
                 if d < least:
-                    held[b][region] = number, d
+                    held[b][region] = number, d, x & 0xFFFFFFFF
                 own.append((b, number, a, n, d))
             runs.append((docs, ends, own))
         return held, runs
 
 
 def suffix_classes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH):
-    """Yield arrays of starts whose strings of ``length`` bytes are equal, two or more each, one block of leading bytes at a time."""
+    """Yield, a block of leading bytes at a time, starts whose strings of ``length`` bytes equal another's, and for each the number of its class in the block; classes are together."""
     if not len(starts):
         return
     ends16 = np.lib.stride_tricks.sliding_window_view(text, 16)
@@ -169,48 +168,67 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH):
         block = starts[lead == byte]
         head, tail = (np.unique(view(at), return_inverse=True)[1] for at in (block, block + length - 16))
         order = np.lexsort((block, tail, head))
-        same = (head[order][1:] == head[order][:-1]) & (tail[order][1:] == tail[order][:-1])
-        for ties in np.split(block[order], np.flatnonzero(~same) + 1):
-            while len(ties) > 1:
-                d = shift[ties[0] % PERIOD, ties % PERIOD]
-                equal = rank[ties + d] == rank[ties[0] + d]
-                if equal.sum() > 1:
-                    yield ties[equal]
-                ties = ties[~equal]
-
-
-def sort_bucket(regions: list[bytes], least: list[int], length: int = LENGTH) -> list[int]:
-    """For each distinct region of a bucket, as bits by string, whether the string starts in a smaller document than the region's least."""
+        ties = block[order]
+        new = np.append(True, (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1]))
+        while len(ties):
+            # every tie against the first of its group, at the shift that takes both into the cover
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(ties)))
+            pivot = np.repeat(ties[first], size)
+            d = shift[pivot % PERIOD, ties % PERIOD]
+            equal = (rank[ties + d] == rank[pivot + d]) | (ties == pivot)
+            group = np.repeat(np.arange(len(first)), size)
+            many = equal & (np.bincount(group, equal, len(first)) > 1)[group]
+            if many.any():
+                yield ties[many], group[many]
+            ties, group = ties[~equal], group[~equal]
+            new = np.append(True, group[1:] != group[:-1])[: len(ties)]
+
+
+def sort_bucket(regions: list[bytes], least: list[int], anchor: list[int], length: int = LENGTH) -> list[int]:
+    """For each distinct region of a bucket, as bits by string, whether the string starts in a smaller document than the region's least.
+
+    Regions that are alone with their anchor meet nothing: equal strings have the same one.
+    """
     masks = [0] * len(regions)
-    if len(regions) < 2:
+    times = Counter(anchor)
+    own = [k for k, x in enumerate(anchor) if times[x] > 1]
+    if not own:
         return masks
-    # the string that decides a region's bucket is in all strings of the region; texts of one region only meet nothing
-    text = np.frombuffer(b"".join(regions), np.uint8)
-    begin = np.cumsum([0, *map(len, regions)])
-    owner = np.repeat(np.arange(len(regions)), [len(r) - length + 1 for r in regions])
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum([0, *[len(r) - length + 1 for r in regions]])[:-1], [len(r) - length + 1 for r in regions])
-    starts = begin[owner] + nth
-    doc = np.array(least, np.int64)
+    text = np.frombuffer(b"".join([regions[k] for k in own]), np.uint8)
+    sizes = np.array([len(regions[k]) for k in own])
+    counts = sizes - length + 1
+    owner = np.repeat(np.arange(len(own)), counts)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = (np.cumsum(sizes) - sizes)[owner] + nth
+    doc = np.array([least[k] for k in own], np.int64)
     where = np.full(len(text), -1, np.int64)
     where[starts] = np.arange(len(starts))
-    for ties in suffix_classes(text, starts, length):
+    bits = np.zeros(len(own), np.uint64)
+    for ties, group in suffix_classes(text, starts, length):
         at = where[ties]
-        low = doc[owner[at]].min()
-        for k in at[doc[owner[at]] > low].tolist():
-            masks[owner[k]] |= 1 << int(nth[k])
+        d = doc[owner[at]]
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        low = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(d))))
+        more = at[d > low]
+        np.bitwise_or.at(bits, owner[more], np.uint64(1) << nth[more].astype(np.uint64))
+    for k, x in zip(own, bits.tolist(), strict=True):
+        masks[k] = x
     return masks
 
 
 def pack_regions(held: dict) -> bytes:
-    """Distinct regions in order, with their least documents."""
-    lengths, least = np.array([len(r) for r in held], "<u4"), np.array([d for _, d in held.values()], "<i8")
-    return struct.pack("<I", len(held)) + lengths.tobytes() + least.tobytes() + b"".join(held)
+    """Distinct regions in order, with their least documents and anchors."""
+    lengths, rest = np.array([len(r) for r in held], "<u4"), [*held.values()]
+    least, anchor = np.array([x[1] for x in rest], "<i8"), np.array([x[2] for x in rest], "<u4")
+    return struct.pack("<I", len(held)) + lengths.tobytes() + least.tobytes() + anchor.tobytes() + b"".join(held)
 
 
-def unpack_regions(raw: bytes) -> tuple[list[bytes], list[int]]:
+def unpack_regions(raw: bytes) -> tuple[list[bytes], list[int], list[int]]:
     (n,) = struct.unpack_from("<I", raw)
-    cut = 4 + 12 * n + np.cumsum([0, *np.frombuffer(raw, "<u4", n, 4).tolist()])
-    return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.frombuffer(raw, "<i8", n, 4 + 4 * n).tolist()
+    cut = 4 + 16 * n + np.cumsum([0, *np.frombuffer(raw, "<u4", n, 4).tolist()])
+    found = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return found, np.frombuffer(raw, "<i8", n, 4 + 4 * n).tolist(), np.frombuffer(raw, "<u4", n, 4 + 12 * n).tolist()
 
 
 def _bits(values: list[int]) -> bytes:
@@ -227,18 +245,17 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
     """
     if not 2 * GRAM <= length < GRAM + 64:
         raise ValueError("length is 32 to 79")
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text", *others)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = int(max(total // group_bytes + 1, min(width(spark), total // (256 << 10) + 1)))
-    buckets = max(256, 4 * groups)
+    groups = total // group_bytes + 1
+    buckets = 64 + groups
     keyed = own.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int"))
     grouped = keyed.groupBy("g")
 
     def hashes(docs_: pd.DataFrame) -> pd.DataFrame:
         g = int(docs_["g"].iloc[0])
         keys, _ = Group(docs_, length, buckets).keys()
-        rows = [(b, g, (k // np.uint64(buckets)).astype("<u4").tobytes()) for b, k in enumerate(keys) if len(k)]
+        rows = [(b, g, (k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()) for b, k in enumerate(keys) if len(k)]
         return pd.DataFrame(rows, columns=["b", "g", "data"])
 
     def overlap(packed: pd.DataFrame) -> pd.DataFrame:
@@ -261,22 +278,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
     def sort(packed: pd.DataFrame) -> pd.DataFrame:
         distinct: dict[bytes, list[int]] = {}
         each = [unpack_regions(x) for x in packed["data"]]
-        for found, least in each:
-            for r, d in zip(found, least, strict=True):
-                if (x := distinct.setdefault(r, [len(distinct), d]))[1] > d:
+        for found, least, anchor in each:
+            for r, d, a in zip(found, least, anchor, strict=True):
+                if (x := distinct.setdefault(r, [len(distinct), d, a]))[1] > d:
                     x[1] = d
-        masks = sort_bucket([*distinct], [d for _, d in distinct.values()], length)
+        masks = sort_bucket([*distinct], [x[1] for x in distinct.values()], [x[2] for x in distinct.values()], length)
         out = []
-        for found, least in each:
+        for found, least, _ in each:
             own_ = [(distinct[r], d, (1 << (len(r) - length + 1)) - 1) for r, d in zip(found, least, strict=True)]
-            out.append(_bits([full if low < d else masks[k] for (k, low), d, full in own_]))
+            out.append(_bits([full if low < d else masks[k] for (k, low, _), d, full in own_]))
         return pd.DataFrame({"g": packed["g"], "b": packed["b"], "data": out})
 
     def remove(docs_: pd.DataFrame, packed: pd.DataFrame, sorted_: pd.DataFrame) -> pd.DataFrame:
         group = Group(docs_, length, buckets)
         masks = {b: np.frombuffer(x, "<u8").tolist() for b, x in answers(sorted_).items()}
         held, runs = group.regions(answers(packed))
-        least = [[d for _, d in h.values()] for h in held]
+        least = [[x[1] for x in h.values()] for h in held]
         gone: dict[bytes, list[tuple[int, int]]] = {}
         seen: dict[bytes, int] = {}
         for docs_in, ends, own_ in runs:
