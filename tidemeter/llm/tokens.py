@@ -59,22 +59,27 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, pretoken: str) -> bytes:
+        got = self.parts.get(pretoken)
+        if got is None:
+            letters = pretoken.encode().decode("latin-1").translate(_bytes)
+            got = b"".join([struct.pack("<I", t.id) for t in self.tokenize(letters)])
+            if len(self.parts) < CACHE_WORDS:
+                self.parts[pretoken] = got
+        return got
+
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word with a space before it. Plain Latin words go to the library's BPE model in pretokens, all others to its whole pipeline."""
-        out, other, parts = {}, [], self.parts
+        out, other, part = {}, [], self._part
         for w in words:
             if not w or max(w) >= "\u0250" or "<|" in w:
                 other.append(w)
-                continue
-            got = b""
-            for p in _pretoken.findall(" " + w):
-                ids = parts.get(p)
-                if ids is None:
-                    ids = struct.pack(f"<{len(own := self.tokenize(p.encode().decode('latin-1').translate(_bytes)))}I", *[t.id for t in own])
-                    if len(parts) < CACHE_WORDS:
-                        parts[p] = ids
-                got += ids
-            out[w] = got
+            elif w.isalpha():
+                out[w] = part(" " + w)
+            elif w[-1] in ".,!?" and w[:-1].isalpha():
+                out[w] = part(" " + w[:-1]) + part(w[-1])
+            else:
+                out[w] = b"".join([part(p) for p in _pretoken.findall(" " + w)])
         if other:
             out |= zip(other, self._library([" " + w for w in other]), strict=True)
         return out
