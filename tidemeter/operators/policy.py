@@ -17,3 +17,105 @@ def glob(pattern: str) -> str:
 
     out = "".join({"*": ".*", "?": "."}.get(p, p if p[0] == "[" else re.escape(p)) for p in re.findall(r"\[[^\]]+\]|.", pattern))
     return f"^{out}$"
+
+
+def severity(state) -> F.Column:
+    return F.when(state == "exceeded", 3).when(state == "tight", 2).when(state == "clear", 1).otherwise(0)
+
+
+def combined(spend: F.Column, meter: F.Column) -> tuple[F.Column, F.Column]:
+    """(state, rule) of the worse of two pressures, the spend rule at a tie; clear names no rule."""
+    first = (severity(spend) >= severity(meter)) & (spend != "unknown")
+    state = F.when(first, spend).otherwise(meter)
+    return state, F.when(state.isin("clear", "unknown"), "").when(first, "spend").otherwise("meter")
+
+
+def lease_live(kind: str, now_ms: F.Column) -> F.Column:
+    """Whether a lease holds: until revoked, to its time, or to the end of the window it is bound to, or of the next one that opens."""
+    k, opened = F.col(kind), F.coalesce("open_end_ms", F.lit(0).cast("bigint"))
+    waits = (opened == 0) | F.coalesce(opened <= F.col("bound_after_ms"), F.lit(False)) | (opened > now_ms)
+    return (
+        F.when(k == "deadline", F.coalesce(F.col("at_ms") > now_ms, F.lit(True)))
+        .when((k == "window_reset") & F.col("window_end_ms").isNotNull(), F.col("window_end_ms") > now_ms).when(k == "window_reset", waits).otherwise(True)
+    )
+
+
+def hook_matches(hooks: list[dict], events):
+    """The first event of each pending hook (configuration: hook_id, kind_glob, after_event_id, expires_ms) after its cursor and before it expires. One pass over the events, no join."""
+    hits = [
+        F.when(F.col("kind").rlike(glob(h["kind_glob"])) & (F.col("event_id") > h["after_event_id"]) & (F.col("ts_unix_ms") <= h["expires_ms"]), F.lit(h["hook_id"]).cast("bigint"))
+        for h in hooks if h["status"] == "pending"
+    ]
+    return events.select("event_id", F.explode(F.array_compact(F.array(*hits))).alias("hook_id")).groupBy("hook_id").agg(F.min("event_id").alias("event_id"))
+
+
+def retained(events, hooks: list[dict], cutoff_ms: int):
+    """Events that pruning leaves: the newer ones, and all from the oldest pending hook's cursor on."""
+    floor = min((h["after_event_id"] for h in hooks if h["status"] == "pending"), default=None)
+    old = F.col("ts_unix_ms") < cutoff_ms
+    return events.where(~old if floor is None else ~old | (F.col("event_id") >= floor))
+
+
+def page(events, since_id: int, limit: int = 500):
+    """(from, to, n, more) of the page of events after a cursor."""
+    p = events.where(F.col("event_id") > since_id).orderBy("event_id").limit(limit)
+    return p.agg(F.lit(since_id).cast("bigint").alias("from_id"), F.coalesce(F.max("event_id"), F.lit(since_id).cast("bigint")).alias("to_id"), F.count("*").alias("n"), (F.count("*") >= limit).alias("more"))
+
+
+#: The states of each kind that are worth a line in a conversation.
+SAID = {"budget": ("tight", "exceeded"), "limit_projection": ("projected",), "saturation": ("saturated",), "recommendation": ("compact",), "cache": ("expiring",)}
+HORIZON_MS, BROAD = 21_600_000, 3
+
+
+def worth_saying(kind: str, state: str, eta_ms: str, now_ms: F.Column) -> F.Column:
+    """Whether an event is announced; a projection only within HORIZON_MS, or if its time is unknown."""
+    out = F.lit(False)
+    for k, states in SAID.items():
+        out = F.when(F.col(kind) == k, F.col(state).isin(*states)).otherwise(out)
+    return out & ((F.col(kind) != "limit_projection") | F.coalesce(F.col(eta_ms) - now_ms <= HORIZON_MS, F.lit(True)))
+
+
+def capped(events, top: int = BROAD):
+    """The ``top`` newest events that concern no one session, and all that do."""
+    newest = events.where("session_uuid = ''").orderBy(F.desc("event_id")).limit(top)
+    return newest.unionByName(events.where("session_uuid <> ''"))
+
+
+def admission(now_ms: F.Column, max_age_ms: int = 900_000) -> F.Column:
+    """'' where a session may be spoken to, else why not: the first of inbox, reach, busy, age of its status, cold cache."""
+    age = F.greatest(F.lit(0), now_ms - F.col("status_ms"))
+    return (
+        F.when(F.coalesce("socket", F.lit("")) == "", "no inbox").when(~F.col("reachable"), "unreachable").when(F.col("status") != "busy", "at rest")
+        .when(F.col("status_ms").isNull() | (age > max_age_ms), "stale status").when(F.coalesce("cold", F.lit(False)), "cache cold").otherwise("")
+    )
+
+
+def loops(rows, now_ms: int, stale_ms: int):
+    """Open loops by (session_uuid, loop_key): the newest text, the first and last sight, and the status in force: the user's own, else stale after ``stale_ms``, else the newest. Settled ones are left out."""
+    at = F.struct("ts_unix_ms", "event_id")
+    s = rows.groupBy("session_uuid", "loop_key").agg(F.max_by("text", at).alias("text"), F.max_by("status", at).alias("status"), F.max_by("user_status", F.when(F.col("user_status") != "", at)).alias("u"), F.min("ts_unix_ms").alias("first_ms"), F.max("ts_unix_ms").alias("last_ms"))
+    state = F.coalesce("u", F.when((F.col("status") == "open") & (F.col("last_ms") < now_ms - stale_ms), "stale").otherwise(F.col("status")))
+    return s.withColumn("status", state).where("status not in ('done', 'dismissed', 'stale')").drop("u")
+
+
+def lifecycle(log):
+    """State of each budget by an event log of set, revoke and settle: the newest set, whether it is live, and the number of changes."""
+    at = F.struct("ts_unix_ms", "event_id")
+    return log.groupBy("cwd").agg(F.max_by("action", at).alias("last_action"), F.max_by("allowance", F.when(F.col("action") == "set", at)).alias("allowance"), F.count("*").alias("changes")).withColumn("live", F.col("last_action") == "set")
+
+
+def wakeups(promises, ends, now_ms: int):
+    """Outcome of each promise to wake a session at its meter's reset: only the newest of a session and meter counts ('superseded'), then early, due, expired (a day late) or pending. ends: bucket, account_id, reset_ms detected after the promise."""
+    from pyspark.sql import Window
+
+    newer = F.lead("promise_id").over(Window.partitionBy("session_uuid", "bucket").orderBy("created_ms", "promise_id"))
+    p = promises.withColumn("_n", newer)
+    marks = ends.select("account_id", "bucket", F.col("ts_unix_ms").alias("created_ms"), F.col("ts_unix_ms").alias("e"), F.lit(1).alias("o"))
+    both = p.withColumn("o", F.lit(0)).unionByName(marks, allowMissingColumns=True)
+    nxt = F.first("e", ignorenulls=True).over(Window.partitionBy("account_id", "bucket").orderBy("created_ms", "o").rowsBetween(0, Window.unboundedFollowing))
+    p = both.withColumn("reset_seen_ms", nxt).where("o = 0")
+    outcome = (
+        F.when(F.col("_n").isNotNull(), "superseded").when(F.col("reset_seen_ms") < F.col("due_ms"), "early").when(F.col("due_ms") < now_ms - 86_400_000, "expired")
+        .when(F.col("due_ms") <= now_ms, "due").otherwise("pending")
+    )
+    return p.select("promise_id", "session_uuid", "bucket", outcome.alias("outcome"))

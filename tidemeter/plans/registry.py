@@ -11,7 +11,7 @@ from ..functions import weights
 from ..operators import attribution as att
 from ..operators import identity, meter, policy, rollups
 from ..sources import fixtures
-from . import sql
+from . import reports, reports_sql, sql
 
 DAY_MS = 86_400_000
 SERIES = ("account_id", "bucket")
@@ -181,8 +181,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.QUERIES)
+    return sql.QUERIES | reports_sql.QUERIES

@@ -72,3 +72,42 @@ def meter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col(f"{name}_pct") >= 99, F.lit(False)).alias("saturated"),
     )
     return one("session").unionByName(one("week"))
+
+
+def with_k(turns_: DataFrame) -> DataFrame:
+    """turns() with the events' k, from which the further tables are derived."""
+    return turns_.withColumn("k", F.expr("(input_tokens - 1) div 10"))
+
+
+def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line, value): a session's turns as JSON records, among prompts, compactions, refusals, partial repeats and broken lines."""
+    k, model = F.col("k"), F.col("model")
+    t = with_k(turns(spark, sf_dir)).withColumn("stamp", F.date_format(F.timestamp_millis("ts_unix_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    word = lambda **f: [F.lit(v).alias(n) if not isinstance(v, F.Column) else v.alias(n) for n, v in f.items()]
+    record = lambda **f: F.to_json(F.struct(F.col("stamp").alias("timestamp"), *word(**f)))
+    said = lambda text: F.struct(text.alias("content"))
+    usage = lambda out: F.struct(
+        "input_tokens", out.alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"),
+        F.struct(F.col("cache_create_5m").alias("ephemeral_5m_input_tokens"), F.col("cache_create_1h").alias("ephemeral_1h_input_tokens")).alias("cache_creation"),
+    )
+    answer = lambda out: record(type="assistant", requestId=F.concat(F.lit("r"), "event_id"), cwd=F.col("cwd"), message=F.struct(F.concat(F.lit("m"), "event_id").alias("id"), "model", usage(out).alias("usage")))
+    limits = F.struct(
+        F.when(k % 5 == 0, 0).otherwise(F.expr("ts_unix_ms div 1000") + 86_400).alias("resetsAt"), F.element_at(F.array(F.lit("five_hour"), F.lit("seven_day"), F.lit("")), (k % 3 + 1).cast("int")).alias("rateLimitType"),
+        (k % 4 == 0).alias("isUsingOverage"), F.when(k % 2 == 0, "treatment").otherwise("").alias("lowPriorityOffer"),
+    )
+    signal = (
+        F.when(k >= 99, None).when(k >= 90, record(type="assistant", error="rate_limit", quotaLimits=limits)).when(k == 89, record(type="user", queuePriority="later", origin=F.struct(F.lit("auto-continuation").alias("kind"))))
+        .when(k == 88, record(type="user", message=said(F.lit("<command-name>/low-priority</command-name>")))).when(k == 87, record(type="system", subtype="local_command", content="Continuing now at lower priority until 5pm"))
+        .when(k == 86, record(type="system", subtype="local_command", content="done"))
+    )
+    ask = F.concat(F.lit("ask "), k, F.when(k % 2 == 0, " <system-reminder>never shown</system-reminder>  twice").otherwise(""))
+    slots = [
+        F.when((model == "m-mid") & (k % 4 == 1), record(type="system", subtype="compact_boundary")),
+        F.when((model == "m-mid") & (k % 8 == 1), record(type="user", isCompactSummary=True, message=said(F.repeat(F.lit("word"), k.cast("int"))))),
+        F.when(model == "m-small", record(type="user", userType="external", message=said(ask))),
+        F.when(model == "m-unpriced", signal),
+        F.when(k % 3 == 0, answer(F.lit(1).cast("bigint"))),
+        answer(F.col("output_tokens")),
+        F.when(k % 50 == 0, "{broken"),
+    ]
+    return t.select(F.col("session_uuid").alias("file"), "turn_idx", F.posexplode(F.array(*slots)).alias("slot", "value")).where("value is not null").select("file", (F.col("turn_idx") * 8 + F.col("slot")).alias("line"), "value")
