@@ -80,13 +80,15 @@ def weights_report(present: DataFrame, learned: DataFrame, baseline: str) -> Dat
 
 def nearest_price(asked: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
     """asked with the price nearest in time, the earlier of equally near ones: one ordered pass each way, no range join."""
-    both = prices.select(*keys, "ts_unix_ms", F.struct("ts_unix_ms", "price").alias("p"), F.lit(0).alias("o")).unionByName(asked.withColumn("o", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("ts_unix_ms", "o")
-    back = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    own = prices.select(*keys, "ts_unix_ms", F.struct("ts_unix_ms", "price").alias("_p"), F.lit(0).alias("_o"))
+    both = own.unionByName(asked.withColumn("_o", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("ts_unix_ms", "_o")
+    back = F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     at = F.col("ts_unix_ms")
-    near = F.when(F.col("a").isNull() | (at - F.col("b.ts_unix_ms") <= F.col("a.ts_unix_ms") - at), F.col("b")).otherwise(F.col("a"))
-    return both.withColumns({"b": back, "a": ahead}).where("o = 1").withColumn("price", near.getField("price")).drop("a", "b", "o", "p")
+    first = F.col("_ahead").isNull() | (at - F.col("_back.ts_unix_ms") <= F.col("_ahead.ts_unix_ms") - at)
+    both = both.withColumns({"_back": back, "_ahead": ahead}).where("_o = 1")
+    return both.withColumn("price", F.when(first, F.col("_back.price")).otherwise(F.col("_ahead.price"))).drop("_back", "_ahead", "_o", "_p")
 
 
 def fold_tail(rows: DataFrame, keys: list[str], group: str, value: str, top: int) -> DataFrame:
