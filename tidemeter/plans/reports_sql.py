@@ -180,3 +180,46 @@ QUERIES = {
         "CASE WHEN raw_tokens < 1000 THEN CAST(raw_tokens AS VARCHAR) WHEN raw_tokens < 1000000 THEN concat((raw_tokens + 50) // 1000, '.', (raw_tokens + 50) % 1000 // 100, 'k') ELSE 'M' END AS short, CASE WHEN k >= 90 THEN 'critical' WHEN k >= 70 THEN 'high' WHEN k >= 40 THEN 'medium' ELSE 'low' END AS band FROM (SELECT *, k * k * event_id * 37 // 1000 AS s FROM tk)"
     ),
 }
+
+POINTS = """
+pt AS (SELECT *, row_number() OVER (PARTITION BY account_id, bucket ORDER BY ts_unix_ms DESC, id DESC) AS r, max(ts_unix_ms) OVER (PARTITION BY account_id, bucket) AS e
+  FROM (SELECT *, coalesce(max(ts_unix_ms) FILTER (WHERE reset_detected) OVER (PARTITION BY account_id, bucket), 0) AS s FROM flags) WHERE pct IS NOT NULL AND valid AND NOT saturated AND ts_unix_ms >= s),
+pu AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE ts_unix_ms >= e - 3600000) OVER (PARTITION BY account_id, bucket) AS c FROM pt) WHERE CASE WHEN c >= 2 THEN ts_unix_ms >= e - 3600000 ELSE r <= 2 END),
+bn AS (SELECT account_id, bucket, max(ts_unix_ms) AS ts_unix_ms, arg_min(pct, r) AS pct, round((arg_min(pct, r) - arg_max(pct, r))::DOUBLE / ((max(ts_unix_ms) - min(ts_unix_ms)) / 3600000.0::DOUBLE), 6) AS pct_per_hour FROM pu GROUP BY 1, 2 HAVING max(ts_unix_ms) > min(ts_unix_ms))"""
+
+#: The walk of the limit windows: the reset in force, the window's number and its start.
+WALK = """
+u AS (SELECT *, CASE WHEN reset_ms BETWEEN ts_unix_ms AND ts_unix_ms + CASE bucket WHEN 'week' THEN 691200000 ELSE 21600000 END THEN reset_ms END AS ok, CASE bucket WHEN 'week' THEN 172800000 ELSE 14400000 END AS gap FROM flags),
+walk AS (
+  SELECT account_id, bucket, n, ok AS due, 0::BIGINT AS win, ts_unix_ms AS start FROM u WHERE n = 1
+  UNION ALL
+  SELECT u.account_id, u.bucket, u.n, CASE WHEN due IS NULL OR ok > due + gap THEN coalesce(ok, due) ELSE due END, win + coalesce(ok > due + gap, false)::BIGINT, CASE WHEN ok > due + gap THEN least(greatest(due, start + 1), ts_unix_ms) ELSE start END
+  FROM walk w JOIN u ON u.account_id = w.account_id AND u.bucket = w.bucket AND u.n = w.n + 1),
+placed AS (SELECT u.*, win, start FROM u JOIN walk USING (account_id, bucket, n))"""
+
+SLICES = """
+pair AS (SELECT a.account_id, a.win AS week, b.win AS session, a.ts_unix_ms AS t, CASE WHEN a.pct IS NOT NULL AND a.valid AND NOT a.saturated THEN least(a.pct, 100) END AS v FROM placed a JOIN placed b ON a.id = b.id AND a.bucket = 'week' AND b.bucket = 'session'),
+sl AS (SELECT account_id, week, session, min(t) AS start_ms, max(t) AS end_ms, max(v) AS top, arg_min(v, t) FILTER (WHERE v IS NOT NULL) AS opens FROM pair GROUP BY 1, 2, 3),
+sc AS (SELECT *, greatest(0, top - coalesce(max(top) OVER (PARTITION BY account_id, week ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN week = 0 THEN opens ELSE 0 END)) AS cost FROM sl),
+slices AS (SELECT account_id, week, session, start_ms, end_ms, cost::DOUBLE AS week_pct FROM sc WHERE cost > 0)"""
+
+QUERIES |= {
+    "calibration_median": f"SELECT account_id, bucket, count(*) AS points, round(quantile_cont(cw_per_pct, 0.5), 6) AS median_cw_per_pct FROM (SELECT *, row_number() OVER (PARTITION BY account_id, bucket ORDER BY b_ms DESC, a_ms DESC) AS r FROM ({sql.QUERIES['calibration_points']})) WHERE r <= 50 GROUP BY 1, 2",
+    "burn_now": flags("SELECT * FROM bn", POINTS),
+    "limit_projection": flags(
+        "SELECT account_id, bucket, pct, pct_per_hour, round(eta, 6) AS eta_hours FROM (SELECT *, span - ttr AS passed FROM lp) WHERE pct_per_hour > 0.05 AND pct < 100 AND (reset_ms IS NULL OR (eta < ttr AND (span <= ttr OR pct * span / (span - ttr) >= 110) AND eta <= 3 * greatest(passed, 1)))",
+        POINTS
+        + ", lr AS (SELECT account_id, bucket, arg_max(reset_ms, n) AS reset_ms FROM flags WHERE reset_ms IS NOT NULL GROUP BY 1, 2), lp AS (SELECT *, CASE bucket WHEN 'week' THEN 168.0::DOUBLE ELSE 5.0 END AS span, greatest(0, (reset_ms - ts_unix_ms) / 3600000.0::DOUBLE) AS ttr, (100 - pct) / nullif(pct_per_hour, 0) AS eta FROM bn LEFT JOIN lr USING (account_id, bucket))",
+    ),
+    "limit_windows": flags(
+        f"SELECT account_id, bucket, win AS \"window\", s AS start_ms, coalesce(lead(s) OVER (PARTITION BY account_id, bucket ORDER BY win), greatest({NOW}, s + 1)) AS end_ms, readings, peak_pct, hit_cap, win = 0 AS partial, lead(s) OVER (PARTITION BY account_id, bucket ORDER BY win) IS NULL AS in_progress FROM g",
+        WALK + ", g AS (SELECT account_id, bucket, win, min(start) AS s, count(*) AS readings, max(pct) FILTER (WHERE valid AND NOT saturated) AS peak_pct, bool_or(saturated) AS hit_cap FROM placed GROUP BY 1, 2, 3)",
+        own_turns=True,
+    ),
+    "weekly_capacity": flags("SELECT * FROM slices", WALK + "," + SLICES),
+    "capacity_summary": flags(
+        "SELECT account_id, n AS sessions, CASE WHEN n >= 3 THEN round(m, 2) END AS typical_week_pct, CASE WHEN n >= 3 THEN round(a, 2) END AS p25, CASE WHEN n >= 3 THEN round(b, 2) END AS p75, CASE WHEN n >= 3 THEN round(100 / m, 2) END AS sessions_per_week, CASE WHEN n >= 3 THEN round(7 * m / 100, 2) END AS days_per_session "
+        "FROM (SELECT account_id, count(*) AS n, quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b FROM (SELECT account_id, session, sum(week_pct) AS x FROM slices GROUP BY 1, 2) s JOIN (SELECT account_id, max(win) AS z FROM placed WHERE bucket = 'session' GROUP BY 1) USING (account_id) WHERE session > 0 AND session < z AND x >= 3 GROUP BY 1)",
+        WALK + "," + SLICES,
+    ),
+}
