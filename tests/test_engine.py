@@ -150,7 +150,7 @@ def test_query_matches_its_sql(spark, sf_dir, name):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         rel = con.sql(registry.oracle_sql()[name])
         assert sorted(rel.columns) == names
-        assert got == tidy(rel.select(", ".join(names)).fetchall())
+        assert got == tidy(rel.select(", ".join(f'"{n}"' for n in names)).fetchall())
 
 
 def test_streams_equal_batch(spark, sf_dir, tmp_path):
