@@ -141,3 +141,24 @@ def test_hooks_take_the_first_event_once(spark):
 def test_text(spark):
     row = spark.range(1).select(*[text.compact_duration(F.lit(s * 1000)).alias(f"d{i}") for i, s in enumerate((5, 720, 12_000, 187_200, 86_400))], *[text.short_number(F.lit(n)).alias(f"n{i}") for i, n in enumerate((999, 1500, 2_000_000))], text.base_name(F.lit("/a/b/")).alias("b")).first()
     assert tuple(row) == ("5s", "12m", "3h20m", "2d4h", "1d", "999", "1.5k", "2.0M", "b")
+
+
+def test_deadline_phrases(spark):
+    # Wednesday 2024-01-03 10:00
+    now = 1_704_276_000_000
+    cases = {19 * HOUR: "in 19h", 24 * HOUR: "on thu 10:00", 35 * HOUR: "on fri", 40 * HOUR: "on fri", 42 * HOUR: "on fri 04:00", 53 * HOUR + 30 * MIN: "on fri 15:30", 158 * HOUR: "in 6d14h", 168 * HOUR: "in 7d", -5: "in 0s", None: None}
+    got = spark.createDataFrame([(now, None if d is None else now + d) for d in cases], "n long, a long").select(text.deadline_phrase(F.col("a"), F.col("n"))).collect()
+    assert [r[0] for r in got] == [*cases.values()]
+
+
+def test_until_leases(spark):
+    now = 1_704_276_000_000
+    cases = {
+        None: ("manual", "", None, None, None, ""), "Revoked ": ("manual", "", None, None, None, ""), "reset": ("window_reset", "week", None, None, now, ""),
+        "5h": ("window_reset", "session", None, now + HOUR, now, ""), "6h": ("deadline", "", now + 6 * HOUR, None, None, ""), "1h30m": ("deadline", "", now + 90 * MIN, None, None, ""),
+        ".5h": ("deadline", "", now + 30 * MIN, None, None, ""), "-2h": (None, "", None, None, None, "unreadable"), "0s": (None, "", None, None, None, "passed"), "10:00": ("deadline", "", now + 24 * HOUR, None, None, ""),
+        "10:00:01": ("deadline", "", now + 1000, None, None, ""), "2024-01-04": ("deadline", "", now + 14 * HOUR, None, None, ""), "2024-01-03": (None, "", None, None, None, "passed"), "2024-02-30": (None, "", None, None, None, "unreadable"),
+    }
+    asked = spark.createDataFrame([(c,) for c in cases], "c string")
+    lease = policy.until(F.col("c"), F.lit("week"), F.lit(now), {"session": F.lit(now + HOUR), "week": F.lit(now - 1)})
+    assert [tuple(r[0]) for r in asked.select(lease).collect()] == [*cases.values()]

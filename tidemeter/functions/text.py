@@ -27,6 +27,37 @@ def compact_duration(ms: Column) -> Column:
     return F.when(s < 60, F.concat(s, F.lit("s"))).when(s < 3600, F.concat(whole(60), F.lit("m"))).when(s < 86400, two(whole(3600), "h", whole(60) % 60, "m")).otherwise(two(whole(86400), "d", whole(3600) % 24, "h"))
 
 
+DAY_MS, GRACE_MS, NAMED_DAYS = 86_400_000, 10_800_000, 6
+
+
+def deadline_phrase(at_ms: Column, now_ms: Column) -> Column:
+    """in 19h, on fri, on fri 15:30, in 7d: a countdown within a day, then the weekday (UTC).
+
+    Within GRACE_MS of a midnight the weekday that it opens stands alone. Weekdays over NAMED_DAYS ahead could be mistaken, so those are countdowns too.
+    """
+    day = lambda ms: F.floor(ms / DAY_MS).cast("bigint")
+    midnight = day(at_ms + DAY_MS // 2)
+    bare = F.abs(at_ms - midnight * DAY_MS) <= GRACE_MS
+    named = F.when(bare, midnight).otherwise(day(at_ms))
+    weekday = F.element_at(F.array(*[F.lit(x) for x in ("sun", "mon", "tue", "wed", "thu", "fri", "sat")]), (F.pmod(named + 4, F.lit(7)) + 1).cast("int"))
+    clock = F.when(bare, "").otherwise(F.date_format(F.timestamp_millis(at_ms), " HH:mm"))
+    by_name = (at_ms - now_ms >= DAY_MS) & (named - day(now_ms)).between(1, NAMED_DAYS)
+    return F.when(at_ms.isNull(), None).when(by_name, F.concat(F.lit("on "), weekday, clock)).otherwise(F.concat(F.lit("in "), compact_duration(at_ms - now_ms)))
+
+
+def instant(spec: Column, now_ms: Column) -> Column:
+    """Milliseconds of a lower-case 1h30m (from now), 18:00 or 18:00:30 (today or else tomorrow), 2026-08-20 or 2026-08-20t15:04 (UTC); null if it is none of them."""
+    number = r"([0-9]+\.?[0-9]*|\.[0-9]+)(ms|h|m|s)"
+    unit = lambda p: F.when(p.endswith("ms"), 1).when(p.endswith("s"), 1000).when(p.endswith("m"), 60_000).otherwise(3_600_000)
+    lasts = F.aggregate(F.regexp_extract_all(spec, F.lit(number), F.lit(0)), F.lit(0.0), lambda n, p: n + F.regexp_extract(p, "^[0-9.]+", 0).try_cast("double") * unit(p))
+    length = F.when(spec.rlike(rf"^\+?({number})+$"), now_ms + F.floor(lasts).cast("bigint"))
+    part = F.split(F.when(spec.rlike("^([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$"), spec), ":")
+    n = lambda i: F.get(part, F.lit(i)).try_cast("bigint")
+    today = now_ms - F.pmod(now_ms, F.lit(DAY_MS)) + n(0) * 3_600_000 + n(1) * 60_000 + F.coalesce(n(2), F.lit(0)) * 1000
+    dates = [F.try_to_timestamp(F.upper(spec), F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss")]
+    return F.coalesce(length, F.when(today > now_ms, today).otherwise(today + DAY_MS), F.unix_millis(F.coalesce(*dates)))
+
+
 def short_number(n: Column) -> Column:
     """999, 1.5k, 2.0M, 3.1B."""
     unit = lambda d, u: F.concat(F.format_string("%.1f", F.floor(n * 10.0 / d + 0.5) / 10.0), F.lit(u))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def pressure(allowance: str, used: str) -> F.Column:
     """clear, tight from 75 %, exceeded from 100 %; unknown where either is missing."""
@@ -40,6 +42,34 @@ def lease_live(kind: str, now_ms: F.Column) -> F.Column:
     )
 
 
+#: The words that bind a lease to a window.
+RESETS = {"session": ("session", "5h", "session-reset", "5h-reset"), "week": ("week", "week-reset")}
+
+
+def until(spec: F.Column, bucket: F.Column, now_ms: F.Column, ends: dict[str, F.Column]) -> F.Column:
+    """(kind, bucket, at_ms, window_end_ms, bound_after_ms, problem): the lease that an ``until`` text asks for.
+
+    Nothing, null or ``revoked`` holds until revoked; ``reset`` ends with the
+    window of the row's own bucket, other words with the one they name; all else is an instant of text.instant.
+    ends has the end of each bucket's open window; without a later one the
+    lease binds to the next window. kind is null where problem says why: bucket, unreadable or passed.
+    """
+    s = F.lower(F.trim(F.coalesce(spec, F.lit(""))))
+    target, end = F.when(s == "reset", F.coalesce(bucket, F.lit(""))), F.lit(None).cast("bigint")
+    for name, words in RESETS.items():
+        target = target.when(s.isin(*words), name)
+    for name, at in ends.items():
+        end = F.when(target == name, at).otherwise(end)
+    at = text.instant(s, now_ms)
+    manual, bound, later = s.isin("", "revoked"), target.isin(*RESETS), at > now_ms
+    kind = F.when(manual, "manual").when(target.isNotNull(), F.when(bound, "window_reset")).when(later, "deadline")
+    problem = F.when(kind.isNotNull(), "").when(target.isNotNull(), "bucket").when(at.isNull(), "unreadable").otherwise("passed")
+    return F.struct(
+        kind.alias("kind"), F.when(bound, target).otherwise("").alias("bucket"), F.when(kind == "deadline", at).alias("at_ms"),
+        F.when(bound & (end > now_ms), end).alias("window_end_ms"), F.when(bound, now_ms).alias("bound_after_ms"), problem.alias("problem"),
+    )
+
+
 def hook_matches(hooks: list[dict], events):
     """The first event of each pending hook (configuration: hook_id, kind_glob, after_event_id, expires_ms) after its cursor and before it expires. One pass over the events, no join."""
     hits = [

@@ -29,6 +29,7 @@ LEASES = """(VALUES (1, 'manual', NULL, NULL, NULL, NULL), (2, 'deadline', 500,
 AS l(lease_id, kind, at_ms, window_end_ms, open_end_ms, bound_after_ms)"""
 BUDGETS = "(VALUES ('/w/0/0', 5), ('/w/1/1', 6), ('/w/none', 7), ('/w/3/0', 8)) AS b(cwd, allowance)"
 BASELINE = "m-base"
+UNTIL = ["", "revoked", "reset", "5h", " Week ", "2h", "1h30m", "90m", "1.5h", "0s", "18:00", "7:05:30", "24:00", "2024-01-20", "2023-12-31", "2024-01-20T06:30", "2024-02-30", "soon"]
 
 
 def _turns(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -248,6 +249,18 @@ def _text(t: DataFrame) -> DataFrame:
     return t.select("event_id", text.loop_key(F.col("cwd")).alias("loop_key"), text.base_name(F.col("cwd")).alias("base"), text.rfc3339(ms).alias("stamp"), text.compact_duration(F.col("k") * F.col("k") * F.col("event_id") * 37).alias("took"), text.short_number(F.col("raw_tokens")).alias("short"), text.band(F.col("k")).alias("band"))
 
 
+def _deadlines(t: DataFrame) -> DataFrame:
+    return t.select("event_id", text.deadline_phrase(F.col("ts_unix_ms") + F.col("k") * 7_000_000, F.col("ts_unix_ms")).alias("phrase"))
+
+
+def _until(t: DataFrame) -> DataFrame:
+    k, now = F.col("k"), F.col("ts_unix_ms")
+    spec = F.element_at(F.array(*[F.lit(x) for x in UNTIL]), (F.col("event_id") % len(UNTIL) + 1).cast("int"))
+    bucket = F.when(k % 7 == 0, "other").when(k % 2 == 0, "week").otherwise("session")
+    lease = policy.until(spec, bucket, now, {"session": F.when(k % 3 > 0, now + (k - 20) * 60_000), "week": now + k * 3_600_000})
+    return t.select("event_id", lease.alias("lease")).select("event_id", "lease.*")
+
+
 def _events(t: DataFrame) -> DataFrame:
     kinds = {v: k for k, v in fixtures.MODELS.items()}
     named = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
@@ -315,4 +328,6 @@ QUERIES: dict[str, Query] = {
     "trail_view": _turns(_trail),
     "admission_gate": _turns(_gate),
     "text_functions": _turns(_text),
+    "deadline_phrases": _turns(_deadlines),
+    "until_leases": _turns(_until),
 }

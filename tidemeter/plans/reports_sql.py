@@ -174,6 +174,21 @@ QUERIES = {
     "trail_open_loops": turns("SELECT * FROM lo", LOOPS),
     "trail_view": turns("SELECT t.session_uuid, last_ms, coalesce(n, 0) AS open_loops, coalesce(x, '') AS texts FROM (SELECT session_uuid, max(ts_unix_ms) AS last_ms FROM turns GROUP BY 1) t LEFT JOIN (SELECT session_uuid, count(*) AS n, string_agg(DISTINCT text, ',' ORDER BY text) AS x FROM lo GROUP BY 1) l ON l.session_uuid = t.session_uuid", LOOPS),
     "admission_gate": turns("SELECT event_id, CASE WHEN k % 11 = 0 THEN 'no inbox' WHEN k % 7 = 0 THEN 'unreachable' WHEN k % 3 = 0 THEN 'at rest' WHEN k % 13 = 0 OR k * 20000 > 900000 THEN 'stale status' WHEN k % 4 = 0 THEN 'cache cold' ELSE '' END AS skip FROM tk"),
+    "deadline_phrases": turns(
+        "SELECT event_id, CASE WHEN d >= 86400000 AND date_diff('day', epoch_ms(ts_unix_ms), named) BETWEEN 1 AND 6 THEN 'on ' || lower(strftime(named, '%a')) || CASE WHEN bare THEN '' ELSE strftime(epoch_ms(a), ' %H:%M') END "
+        "WHEN d < 60000 THEN concat('in ', d // 1000, 's') WHEN d < 3600000 THEN concat('in ', d // 60000, 'm') WHEN d < 86400000 THEN concat('in ', d // 3600000, 'h', CASE WHEN d % 3600000 >= 60000 THEN concat(d % 3600000 // 60000, 'm') ELSE '' END) "
+        "ELSE concat('in ', d // 86400000, 'd', CASE WHEN d % 86400000 >= 3600000 THEN concat(d % 86400000 // 3600000, 'h') ELSE '' END) END AS phrase "
+        "FROM (SELECT *, hour(epoch_ms(a)) < 3 OR a % 86400000 IN (10800000) OR hour(epoch_ms(a)) >= 21 AS bare, CASE WHEN hour(epoch_ms(a)) >= 21 THEN epoch_ms(a + 10800000) ELSE epoch_ms(a) END AS named FROM (SELECT *, k * 7000000 AS d, ts_unix_ms + k * 7000000 AS a FROM tk))"
+    ),
+    "until_leases": turns(
+        "SELECT event_id, CASE WHEN i < 2 THEN 'manual' WHEN w IN ('session', 'week') THEN 'window_reset' WHEN due > now THEN 'deadline' END AS kind, CASE WHEN w IN ('session', 'week') THEN w ELSE '' END AS bucket, CASE WHEN due > now THEN due END AS at_ms, "
+        "CASE WHEN w = 'session' AND k % 3 > 0 AND k > 20 THEN now + (k - 20) * 60000 WHEN w = 'week' AND k > 0 THEN now + k * 3600000 END AS window_end_ms, CASE WHEN w IN ('session', 'week') THEN now END AS bound_after_ms, "
+        "CASE WHEN w = 'other' THEN 'bucket' WHEN i IN (12, 16, 17) THEN 'unreadable' WHEN due <= now THEN 'passed' ELSE '' END AS problem FROM u",
+        "u AS (SELECT *, CASE i WHEN 2 THEN CASE WHEN k % 7 = 0 THEN 'other' WHEN k % 2 = 0 THEN 'week' ELSE 'session' END WHEN 3 THEN 'session' WHEN 4 THEN 'week' END AS w, "
+        "CASE WHEN i = 5 THEN now + 7200000 WHEN i IN (6, 7, 8) THEN now + 5400000 WHEN i = 9 THEN now WHEN i = 10 THEN day + 64800000 + CASE WHEN now - day >= 64800000 THEN 86400000 ELSE 0 END WHEN i = 11 THEN day + 25530000 + CASE WHEN now - day >= 25530000 THEN 86400000 ELSE 0 END "
+        "WHEN i = 13 THEN epoch_ms(TIMESTAMP '2024-01-20 00:00:00') WHEN i = 14 THEN epoch_ms(TIMESTAMP '2023-12-31 00:00:00') WHEN i = 15 THEN epoch_ms(TIMESTAMP '2024-01-20 06:30:00') END AS due "
+        "FROM (SELECT event_id, k, event_id % 18 AS i, ts_unix_ms AS now, ts_unix_ms - ts_unix_ms % 86400000 AS day FROM tk))",
+    ),
     "text_functions": turns(
         "SELECT event_id, concat('auto-', substring(sha256(cwd), 1, 8)) AS loop_key, split_part(cwd, '/', 4) AS base, strftime(make_timestamp(ts_unix_ms * 1000), '%Y-%m-%dT%H:%M:%SZ') AS stamp, "
         "CASE WHEN s < 60 THEN concat(s, 's') WHEN s < 3600 THEN concat(s // 60, 'm') WHEN s < 86400 THEN concat(s // 3600, 'h', CASE WHEN s // 60 % 60 > 0 THEN concat(s // 60 % 60, 'm') ELSE '' END) ELSE concat(s // 86400, 'd', CASE WHEN s // 3600 % 24 > 0 THEN concat(s // 3600 % 24, 'h') ELSE '' END) END AS took, "
