@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemeter.llm import quality, queries, secrets, simhash, suffix, tokens
+from tidemeter.llm import near, quality, queries, secrets, suffix, tokens
 from tidemeter.llm.common import table
 
 
@@ -21,11 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; documents without an id stay."""
-    kept = simhash.near_duplicates(docs).where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_n", first).where("_n = 1").select(*docs.columns)
-    return own.unionByName(docs.where("doc_id is null"))
+    """Of each component of near copies (0.8 or more of their five-word shingles in common) one row stays: the smallest id, of equal ids the first text; documents without an id stay."""
+    return near.first_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
