@@ -11,6 +11,8 @@ sensitive and it looks like a value rather than a placeholder.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from math import log2
 
 import pyarrow as pa
@@ -26,16 +28,21 @@ _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _hex = re.compile(r"[0-9a-f]+")
 _stems = ("password", "passwd", "secret", "token", "api_key", "apikey")
-_target = ("passphrase", "pwd", "credential", "api-key", "api.key", "access_key", "accesskey", "access-key", "private_key", "privatekey", "private-key", "auth", "pass", *_stems)
 
 #: Sensitivity of a word in a target's name, and words that mean it is about a secret rather than one.
 WEIGHTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "secret": 1.0, "pwd": 0.9, "apikey": 0.9, "credential": 0.9, "credentials": 0.9, "token": 0.9, "pass": 0.8, "auth": 0.6, "authorization": 0.8}
 QUALIFIERS = {"api", "access", "private", "signing", "encryption", "master", "account", "session"}
 ABOUT = {"path", "file", "url", "uri", "name", "length", "count", "type", "hint", "policy", "enabled", "expiry", "expires", "ttl", "field", "label", "limit", "min", "max", "prompt", "help", "regex", "header", "endpoint", "id"}
 PLACEHOLDERS = re.compile(r"^(x+|\*+|\.+|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\}|null|none|true|false|todo|undefined)$|change.?me|example|placeholder|your[_-]|dummy|redacted", re.I)
+#: The part of PLACEHOLDERS that holds anywhere in a value.
+_inner = re.compile(r"change.?me|example|placeholder|your[_-]|dummy|redacted", re.I)
+#: In the letters alone of a text (lower case) one of these stands if a name in it is sensitive.
+_roots = tuple(w.encode() for w in ("key", *WEIGHTS))
+_others = bytes(i for i in range(256) if not 97 <= i <= 122)
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_pair = re.compile(r"""(["']?)([A-Za-z_$][\w.$-]*)\1[ \t]*(?:\[[^\]\n]*\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.<>\[\]]*[ \t]*(?==))?(?::=|=>|[=:])(?!=)[ \t]*""")
-_element = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]{1,4096})</\1>")
+#: Or a name that no value follows: taken whole, as nothing that begins within it is a pair either, and a long run of letters is read once.
+_pair = re.compile(r"""(["']?)([A-Za-z_$][\w.$-]*+)\1[ \t]*(?:\[[^\]\n]*\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.<>\[\]]*[ \t]*(?==))?(?::=|=>|[=:])(?!=)[ \t]*|[A-Za-z_$][\w.$-]*+""")
+_element = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]++)</\1>")
 _bare = re.compile(r"""[^\s,;"'(){}\[\]<>]+""")
 _name = re.compile(r"[A-Za-z_$][\w.$-]*$")
 _inside = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)")
@@ -72,19 +79,79 @@ def sensitivity(name: str) -> float:
     return weight * (0.3 if words and words[-1] in ABOUT else 1.0)
 
 
-def strength(value: str) -> float:
+def strength(value: str | Value) -> float:
     """0 to 1: long values of mixed signs score high, words, placeholders and sentences low."""
-    if len(value) < 8 or PLACEHOLDERS.search(value) or any(c.isspace() for c in value):
+    value = value if isinstance(value, Value) else Value(value)
+    if value.n < 8 or value.spaced or value.placeholder():
         return 0.0
-    counts = [value.count(c) / len(value) for c in set(value)]
-    entropy = -sum(p * log2(p) for p in counts)
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    counts = [k / value.n for k in value.counts().values()]
+    entropy = -sum(p * log2(p) for p in counts if p)
+    kinds = sum(any(re.match(p, c) for c in value.counts()) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return min(1.0, entropy / 4) * (0.5 if kinds == 1 else 0.8 if kinds == 2 else 1.0)
 
 
-def _expression(text: str, at: int, known: dict) -> tuple[str, list[tuple[int, int]]] | None:
-    """Value and literal spans of the sum of literals and names at ``at``."""
-    value, spans, first = "", [], True
+#: Longer values are kept as what strength() asks of them, as sums of names may double with each line.
+WHOLE, EDGE = 4096, 64
+
+
+class Value:
+    """A value and the literals that it is made of, as its own spans and references to the values in it."""
+
+    def __init__(self, text: str, spans: tuple = ()):
+        self.n, self.text, self.spans, self.parts = len(text), text, spans, ()
+        self.spaced = any(c.isspace() for c in text)
+        self.head, self.tail, self.found, self.letters = text[:EDGE], text[-EDGE:], False, None
+        if self.n > WHOLE:
+            self.letters, self.found, self.text = Counter(text), bool(PLACEHOLDERS.search(text)), None
+
+    @classmethod
+    def of(cls, parts: list[Value], spans: tuple = ()) -> Value:
+        """The parts one after the other."""
+        if len(parts) == 1 and not spans:
+            return parts[0]
+        out, n = cls("", spans), sum(p.n for p in parts)
+        if n <= WHOLE:
+            out = cls("".join(p.text for p in parts), spans)
+        else:
+            out.n, out.text, out.letters = n, None, Counter()
+            out.spaced = any(p.spaced for p in parts)
+            for p in parts:
+                out.letters.update(p.counts())
+                # what a part alone is need not be what the sum is, but words within it stay
+                out.found = out.found or p.inside() or bool(_inner.search(out.tail + p.head))
+                out.head = (out.head + p.head)[:EDGE]
+                out.tail = (out.tail + p.tail)[-EDGE:]
+        out.parts = tuple(parts)
+        return out
+
+    def counts(self) -> Counter:
+        return Counter(self.text) if self.text is not None else self.letters
+
+    def inside(self) -> bool:
+        return bool(_inner.search(self.text)) if self.text is not None else self.found
+
+    def placeholder(self) -> bool:
+        if self.text is not None:
+            return bool(PLACEHOLDERS.search(self.text))
+        # a value without white space: the forms that hold for a whole value show at its ends and in its signs
+        signs = set(self.letters)
+        ends = any(self.head.startswith(a) and self.tail.endswith(b) for a, b in (("<", ">"), ("${", "}"), ("%(", ")s"), ("{{", "}}")))
+        return self.found or ends or signs <= {"x", "X"} or signs == {"*"} or signs == {"."}
+
+    def literals(self, seen: set[int]) -> Iterator[tuple[int, int]]:
+        """Spans of this value and of those in it that are not in seen."""
+        todo = [self]
+        while todo:
+            v = todo.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                yield from v.spans
+                todo += v.parts
+
+
+def _expression(text: str, at: int, known: dict[str, Value]) -> Value | None:
+    """Value of the sum of literals and names at ``at``."""
+    parts: list[Value] = []
     while True:
         quote = text[at : at + 1]
         if quote in ("'", '"', "`") and quote:
@@ -92,47 +159,53 @@ def _expression(text: str, at: int, known: dict) -> tuple[str, list[tuple[int, i
             while stop < len(text) and text[stop] not in (quote, "\n"):
                 stop += 2 if text[stop] == "\\" else 1
             if text[stop : stop + 1] != quote:
-                return None if first else (value, spans)
-            part, inner = text[at + 1 : stop], [(at + 1, stop)]
-            for m in _inside.finditer(part):
+                break
+            begin, inner = at + 1, []
+            for m in _inside.finditer(text, at + 1, stop):
                 if got := known.get(m[1] or m[2]):
-                    part, inner = part.replace(m[0], got[0]), inner + got[1]
+                    inner += [Value(text[begin : m.start()]), got]
+                    begin = m.end()
+            parts.append(Value.of([*inner, Value(text[begin:stop])], ((at + 1, stop),)))
             at = stop + 1
         elif m := _bare.match(text, at):
-            if m[0] in known:
-                part, inner = known[m[0]]
-            elif m[0][:1] == "$" and m[0].strip("${}") in known:
-                part, inner = known[m[0].strip("${}")]
-            elif first:
-                part, inner = m[0], [m.span()]
+            if got := known.get(m[0]) or (known.get(m[0].strip("${}")) if m[0][:1] == "$" else None):
+                parts.append(got)
+            elif not parts:
+                parts.append(Value(m[0], (m.span(),)))
             else:
-                return value, spans
+                break
             at = m.end()
         else:
-            return None if first else (value, spans)
-        value, spans, first = value + part, spans + inner, False
+            break
         while text[at : at + 1] in (" ", "\t") and at < len(text):
             at += 1
         if text[at : at + 1] != "+":
-            return value, spans
+            break
         at += 1
         while text[at : at + 1] in (" ", "\t") and at < len(text):
             at += 1
+    return Value.of(parts) if parts else None
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, literal spans) of every assignment, constants propagated in text order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """(name, value) of every assignment, constants propagated in text order."""
+    known: dict[str, Value] = {}
     out = []
     for m in _pair.finditer(text):
-        if got := _expression(text, m.end(), known):
-            out.append((m[2], *got))
-            if _name.match(m[2]) and len(got[1]) <= 64 and len(got[0]) <= 65536:
+        if m[2] and (got := _expression(text, m.end(), known)):
+            out.append((m[2], got))
+            if _name.match(m[2]):
                 known[m[2]] = got
-    out += [(m[1], m[2].strip(), [m.span(2)]) for m in _element.finditer(text)]
+    out += [(m[1], Value(m[2].strip(), (m.span(2),))) for m in _element.finditer(text)]
     return out
 
 
+def may_name(text: str) -> bool:
+    """Whether a name in text may be sensitive: its words are letters that follow one another but for other signs."""
+    letters = text.encode("utf-8", "surrogatepass").lower().translate(None, _others)
+    return any(r in letters for r in _roots)
+
+
 def scan(text: str | None) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, end exclusive, by start and then kind; null counts as empty.
 
@@ -140,13 +213,12 @@ def scan(text: str | None) -> list[tuple[int, str, int]]:
     """
     text = text or ""
     out = base_spans(text)
-    low = text.lower()
-    if any(s in low for s in _target):
+    if may_name(text):
         base = [(a, b) for a, _, b in out]
-        more = set()
-        for name, value, spans in pairs(text):
-            if sensitivity(name) * strength(value) >= 0.5:
-                more |= {(a, b) for a, b in spans if b > a and not any(x <= a and b <= y for x, y in base)}
+        more, seen = set(), set()
+        for name, value in pairs(text):
+            if (weight := sensitivity(name)) and weight * strength(value) >= 0.5:
+                more |= {(a, b) for a, b in value.literals(seen) if b > a and not any(x <= a and b <= y for x, y in base)}
         out += [(a, "literal", b) for a, b in more]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
