@@ -108,7 +108,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     keyed = docs.select("_set", "text").mapInArrow(run, "_set long, keys array<long>")
     # equal sets may have unequal fingerprints, as those count a shingle as often as it stands
-    members = keyed.select("_set", F.posexplode("keys").alias("t", "key")).distinct()
+    members = cut(keyed.select("_set", F.posexplode("keys").alias("t", "key")).distinct())
     pivots = members.groupBy("t", "key").agg(F.min("_set").alias("p"), F.max("_set").alias("_q")).where("p <> _q").drop("_q")
     members = cut(members.join(pivots, ["t", "key"]))
     texts = docs.select("_set", "text")
