@@ -60,10 +60,27 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert kept(spark, rows) == slow_kept(rows) == sorted([(3, a + " more"), (5, b), (8, None), (8, c)], key=repr)
 
 
-def test_pairs_apart_from_a_bucket_s_first_text_are_compared(spark, monkeypatch):
-    """All texts in one bucket: links that do not touch its first text count too."""
-    monkeypatch.setattr(near, "bucket_keys", lambda text, own: [1] if len(own) else [])
+def test_pairs_apart_from_a_bucket_s_pivot_are_compared(spark, monkeypatch):
+    """All texts in one bucket of either step: links that do not touch its pivot count too."""
+    monkeypatch.setattr(near, "bucket_keys", lambda hashes, own: [1] if len(own) else [])
+    monkeypatch.setattr(near, "narrow_keys", lambda own: [1] if len(own) else [])
     rng = np.random.default_rng(4)
     base = [[f"{x}{i}" for i in range(100)] for x in "abcd"]
     rows = [(10 * k + i, " ".join(replaced(rng, w, i % 2))) for k, w in enumerate(base) for i in range(4)]
     assert kept(spark, rows) == slow_kept(rows)
+
+
+def test_edits_of_one_original_below_the_similarity_to_each_other(spark):
+    """A large group whose texts mostly link through the original alone, some not at all."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1000, " ".join(base))] + [(k, " ".join(replaced(rng, base, 2 + k % 6))) for k in range(150)]
+    assert kept(spark, rows) == slow_kept(rows)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, a, 1, 2), (1, a, 1, 2), (1, a.upper(), 0, 3), (2, b, 5, 6), (2, None, 5, 6)]
+    got = near.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, root int, t int"))
+    # the id's two texts are one set of shingles: the first row stays; a null text has no words, and so is a set of its own
+    assert sorted(got.collect(), key=repr) == sorted([(1, a.upper(), 0, 3), (2, b, 5, 6), (2, None, 5, 6)], key=repr)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import rows_of
+from .common import in_batches, rows_of
 
 #: Distinct words (and chunks) a worker remembers; later ones are encoded each time.
 CACHE_WORDS = 400_000
@@ -185,4 +185,4 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
                     ["doc_id", "ids", "decoded"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids binary, decoded string")

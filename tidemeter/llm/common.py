@@ -13,16 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a checkpoint in the folder the session names, or in a
-    temporary one where none is named (single-machine tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from ``spark.checkpoint.dir``; a temporary one only where everything runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+#: Bytes of an Arrow batch, about; a longer row is a batch of its own. What a Python worker holds follows from it.
+BATCH_BYTES = 2 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends Python batches of bounded bytes: a count of rows alone does not bound texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle makes here."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,19 +51,17 @@ def rows_of(batches, *names: str) -> Iterator[tuple[list, ...]]:
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
 
 
-def texts_in_slices(docs: list, texts: list, limit: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Rows in slices of about ``limit`` bytes (a longer text is a slice of its own)."""
-    ids, held, size = [], [], 0
-    for d, t in zip(docs, texts, strict=True):
-        raw = (t or "").encode()
-        if held and size + len(raw) > limit:
-            yield ids, held
-            ids, held, size = [], [], 0
-        ids.append(d)
-        held.append(raw)
-        size += len(raw)
-    if held:
-        yield ids, held
+class Known(dict):
+    """A memory of words that holds about ``room`` bytes; what comes later is not remembered."""
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room = room
+
+    def keep(self, key: str, value: bytes) -> None:
+        self.room -= 160 + len(key) + len(value)
+        if self.room > 0:
+            self[key] = value
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -1,12 +1,17 @@
 """Near copies by an exact Jaccard similarity of word shingles.
 
-Candidates come from buckets: the seven covering masks of the SimHash
-fingerprint, and BANDS fingerprints of ROWS minima each over the shingles'
-hashes, as a fingerprint of 64 bits alone does not reach a similarity of 0.8
-(it differs there in about ten bits). Texts of a bucket are compared with its
-first one; a text that is not in that one's component is then compared with
-every text of the bucket that is not in its own, so that no pair of a bucket
-is left out that could join two components. A link needs the similarity.
+Candidates come from buckets in two steps. First every set of shingles has the
+seven covering masks of its SimHash fingerprint, and BANDS fingerprints of ROWS
+minima each, as a fingerprint of 64 bits alone does not reach a similarity of
+0.8 (it differs there in about ten bits). In each bucket all sets are compared
+with one pivot, the set that shares the most buckets with others: of texts that were edited
+from one original, the original. Where a bucket still holds several components,
+its sets get MORE_BANDS narrower fingerprints of MORE_ROWS minima, in whose
+buckets texts below the similarity seldom meet; there a set that is not in the
+pivot's component is compared with every set that is not in its own, so that
+no pair of a bucket is left out that could join two components. A link needs
+the similarity. A pair at just 0.8 misses all buckets of the first step with a
+chance of 0.0004 and those of the second with 0.003, by calculation.
 """
 
 from __future__ import annotations
@@ -14,126 +19,180 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import connected_components, cut, rows_of
-from .simhash import SEED, fingerprint, masks, signed
+from .common import connected_components, cut, in_batches, rows_of
+from .simhash import SEED, majority, masks, shingle_hashes, signed
 
 BANDS, ROWS = 20, 5
+MORE_BANDS, MORE_ROWS, MINIMA = 128, 14, 256
 SHINGLE, SIMILAR = 5, 0.8
 _rng = np.random.default_rng(SEED)
-_times = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_plus = _rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+_times = _rng.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_plus = _rng.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64)
+_picked = np.array([_rng.choice(MINIMA, MORE_ROWS, replace=False) for _ in range(MORE_BANDS)])
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles, by the fingerprint's words; fewer words than a shingle make one shingle."""
-    words = (text or "").encode().lower().split()
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64)
-    line, at, stops = b" ".join(words), 0, []
-    for w in words:
-        at += len(w) + 1
-        stops.append(at)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip([0, *stops], stops[size - 1 :], strict=False)], np.uint64))
+def minima(own: np.ndarray, n: int) -> np.ndarray:
+    """The least value of each of n hash functions over a set."""
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 1024):
+        least = np.minimum(least, (own[None, k : k + 1024] * _times[:n] + _plus[:n]).min(axis=1))
+    return least
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def key_of(raw: bytes) -> int:
+    return signed(xxhash.xxh64_intdigest(raw, SEED))
 
 
 def set_id(own: np.ndarray) -> int:
     """Equal sets of shingles have equal ids."""
-    return signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+    return key_of(own.tobytes())
 
 
-def bucket_keys(text: str | None, own: np.ndarray) -> list[int]:
-    """A key a table; texts without words have none."""
+def bucket_keys(hashes: np.ndarray, own: np.ndarray) -> list[int]:
+    """A key a table; texts without words have none. hashes: of all shingles, own: the distinct ones."""
     if not len(own):
         return []
-    fp = fingerprint(text, SHINGLE)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 4096):
-        least = np.minimum(least, (own[None, k : k + 4096] * _times + _plus).min(axis=1))
-    raw, n = least.tobytes(), 8 * ROWS
-    return [signed(fp & m) for m in masks()] + [signed(xxhash.xxh64_intdigest(raw[k : k + n], SEED)) for k in range(0, len(raw), n)]
+    fp, raw, n = majority(hashes), minima(own, BANDS * ROWS).tobytes(), 8 * ROWS
+    return [signed(fp & m) for m in masks()] + [key_of(raw[k : k + n]) for k in range(0, len(raw), n)]
 
 
-def with_set(docs: DataFrame) -> DataFrame:
-    """docs with ``_set``, the id of the text's set of shingles."""
-    names = [f.name for f in docs.schema.fields]
+def narrow_keys(own: np.ndarray) -> list[int]:
+    """A key a table of the second step, from the 32-bit set."""
+    if not len(own):
+        return []
+    return [key_of(x.tobytes()) for x in minima(own.astype(np.uint64), MINIMA)[_picked]]
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_id(shingles(t)) for t in texts], pa.int64())], [*names, "_set"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
 
+def sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, blank, _set, grams, keys) of each row: the set's id, its shingles as sorted 32-bit hashes, and its buckets.
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of sets whose similarity is SIMILAR or more; texts: (_set, text)."""
+    Shingles of two texts are alike by chance once in 2^32 pairs, which moves no similarity that matters.
+    """
+
+    def run(batches):
+        for ids, texts in rows_of(batches, "doc_id", "text"):
+            out = []
+            for t in texts:
+                hashes = shingle_hashes(t, SHINGLE)
+                own = np.unique(hashes)
+                out.append((set_id(own), np.unique(own.astype("<u4")).tobytes(), bucket_keys(hashes, own)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([t is None for t in texts]), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.int64()))],
+                ["doc_id", "blank", "_set", "grams", "keys"],
+            )
+
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, blank boolean, _set long, grams binary, keys array<long>")
+
+
+def buckets(keyed: DataFrame) -> DataFrame:
+    """(_set, t, key, p) of sets that are not alone in a bucket, with its pivot; keyed: (_set, keys)."""
+    # equal sets may have unequal fingerprints, as those count a shingle as often as it stands
+    each = keyed.select("_set", F.posexplode("keys").alias("t", "key")).distinct()
+    shared = each.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(each.join(shared, ["t", "key"]))
+    weight = members.groupBy("_set").agg(F.sum("n").alias("w"))
+    pivots = members.join(weight, "_set").groupBy("t", "key").agg(F.max_by("_set", F.struct("w", "_set")).alias("p"))
+    return cut(members.drop("n").join(pivots, ["t", "key"]))
+
+
+def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of sets whose similarity is SIMILAR or more; held: (_set, grams)."""
     pairs = cut(pairs)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
-    held = cut(texts.join(nodes, "_set", "left_semi").groupBy("_set").agg(F.min("text").alias("text")))
-    both = pairs.join(held.select(F.col("_set").alias("a"), F.col("text").alias("ta")), "a").join(held.select(F.col("_set").alias("b"), F.col("text").alias("tb")), "b")
+    held = cut(held.join(nodes, "_set", "left_semi").groupBy("_set").agg(F.min("grams").alias("grams")))
+    both = pairs.join(held.select(F.col("_set").alias("a"), F.col("grams").alias("ga")), "a").join(held.select(F.col("_set").alias("b"), F.col("grams").alias("gb")), "b")
 
     def run(batches):
-        last, own = None, None
-        for a, b, ta, tb in rows_of(batches, "a", "b", "ta", "tb"):
-            keep = []
-            for k in range(len(a)):
-                if a[k] != last:
-                    last, own = a[k], shingles(ta[k])
-                keep.append(jaccard(own, shingles(tb[k])) >= SIMILAR)
-            rows = [(x, y) for x, y, k in zip(a, b, keep, strict=True) if k]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
+        for a, b, ga, gb in rows_of(batches, "a", "b", "ga", "gb"):
+            near = [k for k in range(len(a)) if jaccard(np.frombuffer(ga[k], "<u4"), np.frombuffer(gb[k], "<u4")) >= SIMILAR]
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in near], pa.int64()), pa.array([b[k] for k in near], pa.int64())], ["a", "b"])
 
-    return cut(both.mapInArrow(run, "a long, b long"))
+    return cut(in_batches(both).mapInArrow(run, "a long, b long"))
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """(_set, root): sets of shingles that have near copies, and their components; docs has _set and text."""
+def with_pivots(members: DataFrame) -> DataFrame:
+    """Pairs of a bucket's pivot and its other sets."""
+    return members.where("_set <> p").select(F.least("p", "_set").alias("a"), F.greatest("p", "_set").alias("b")).distinct()
 
-    def run(batches):
-        for sets, texts in rows_of(batches, "_set", "text"):
-            keys = [bucket_keys(t, shingles(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["_set", "keys"])
 
-    keyed = docs.select("_set", "text").mapInArrow(run, "_set long, keys array<long>")
-    # equal sets may have unequal fingerprints, as those count a shingle as often as it stands
-    members = cut(keyed.select("_set", F.posexplode("keys").alias("t", "key")).distinct())
-    pivots = members.groupBy("t", "key").agg(F.min("_set").alias("p"), F.max("_set").alias("_q")).where("p <> _q").drop("_q")
-    members = cut(members.join(pivots, ["t", "key"]))
-    texts = docs.select("_set", "text")
-    links = similar(members.where("_set <> p").select(F.col("p").alias("a"), F.col("_set").alias("b")).distinct(), texts)
+def rooted(edges: DataFrame) -> DataFrame:
+    """(_set, root) over links (a, b)."""
+    return connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("_set"), "root")
+
 
-    def rooted(edges: DataFrame) -> DataFrame:
-        return connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+def named(members: DataFrame, roots: DataFrame, col: str = "_set", root: str = "root") -> DataFrame:
+    return members.join(roots.select(F.col("_set").alias(col), F.col("root").alias(root)), col, "left").withColumn(root, F.coalesce(root, col))
 
+
+def components(own: DataFrame) -> DataFrame:
+    """(_set, root): sets of shingles that have near copies, and their components; own: sets()."""
+    held = own.select("_set", "grams")
+    members = buckets(own.select("_set", "keys"))
+    links = similar(with_pivots(members), held)
+    roots = rooted(links)
+    # two sets of a bucket have been compared: one of them is its pivot
+    mixed = named(members, roots).groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 2 and a <> b")
+    unsure = cut(members.join(mixed, ["t", "key"], "left_semi").select("_set").distinct())
+    if unsure.isEmpty():
+        return roots
+
+    def narrow(batches):
+        for ids, grams in rows_of(batches, "_set", "grams"):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([narrow_keys(np.frombuffer(g, "<u4")) for g in grams], pa.list_(pa.int64()))], ["_set", "keys"])
+
+    wanted = held.join(unsure, "_set", "left_semi").groupBy("_set").agg(F.min("grams").alias("grams"))
+    members = buckets(in_batches(wanted).mapInArrow(narrow, "_set long, keys array<long>"))
+    links = links.unionByName(similar(with_pivots(members), held))
     roots = rooted(links)
-    named = lambda df, c, r: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
-    apart = cut(named(named(members, "_set", "r"), "p", "pr").where("r <> pr and _set <> p").select("t", "key", F.col("_set").alias("x"), F.col("r").alias("xr")))
-    every = named(members.where("_set <> p"), "_set", "r").select("t", "key", F.col("_set").alias("y"), F.col("r").alias("yr"))
+    apart = cut(named(named(members.where("_set <> p"), roots), roots, "p", "pr").where("root <> pr").select("t", "key", F.col("_set").alias("x"), F.col("root").alias("xr")))
+    every = named(members.where("_set <> p"), roots).select("t", "key", F.col("_set").alias("y"), F.col("root").alias("yr"))
     more = apart.join(every, ["t", "key"]).where("xr <> yr").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = similar(more, texts)
-    return roots.select(F.col("node").alias("_set"), "root") if found.isEmpty() else rooted(links.unionByName(found)).select(F.col("node").alias("_set"), "root")
+    found = similar(more, held)
+    return roots if found.isEmpty() else rooted(links.unionByName(found))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component of near copies one row of docs: the smallest doc_id, of equal ids the first text (null last). Rows without an id stay."""
-    named = docs.where("doc_id is not null")
-    own = with_set(named)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.struct("doc_id", F.col("text").isNull().alias("_e"), "text", *rest)
-    least = own.groupBy("_set").agg(F.min(order).alias("_r"))
+    """Of each component of near copies one row of docs: the smallest doc_id, of equal ids one whose text is not null, then the least id of a set of shingles, then the first row. Rows without an id stay."""
+    own = cut(sets(docs.where("doc_id is not null")))
     roots = components(own)
-    of_set = least.join(roots, "_set", "left").withColumn("root", F.coalesce("root", "_set"))
-    kept = of_set.groupBy("root").agg(F.min("_r").alias("_r")).select("_r.*").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    order = F.struct("doc_id", "blank", "_set")
+    of_set = named(own.groupBy("_set").agg(F.min(order).alias("_r")), roots)
+    kept = of_set.groupBy("root").agg(F.min("_r").alias("_r")).select("_r.*")
+    return rows_with(docs.where("doc_id is not null"), kept, own).unionByName(docs.where("doc_id is null"))
+
+
+def rows_with(docs: DataFrame, kept: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of docs that kept (doc_id, blank, _set) names, one each.
+
+    Where an id is one row, the id finds it; sets are hashed again only for
+    rows of ids that stand in several.
+    """
+    names = [f.name for f in docs.schema.fields]
+    count = own.groupBy("doc_id", "blank").agg(F.count("*").alias("_n"))
+    kept = cut(kept.join(count, ["doc_id", "blank"]).select("doc_id", F.col("blank").alias("_blank"), F.col("_set").alias("_s"), "_n"))
+    rows = docs.withColumn("_blank", F.col("text").isNull())
+    once = rows.join(kept.where("_n = 1"), ["doc_id", "_blank"], "left_semi").select(*names)
+    many = kept.where("_n > 1")
+    if many.isEmpty():
+        return once
+    found = rows.join(many, ["doc_id", "_blank"])
+    at = [f.name for f in found.schema.fields]
+
+    def same(batches):
+        for batch in batches:
+            texts, wanted = (batch.column(at.index(c)).to_pylist() for c in ("text", "_s"))
+            yield batch.filter(pa.array([set_id(np.unique(shingle_hashes(t, SHINGLE))) == s for t, s in zip(texts, wanted, strict=True)], pa.bool_()))
+
+    found = in_batches(found).mapInArrow(same, found.schema)
+    first = F.row_number().over(Window.partitionBy("doc_id", "_blank", "_s").orderBy(*[c for c in names if c != "doc_id"]))
+    return once.unionByName(found.withColumn("_r", first).where("_r = 1").select(*names))

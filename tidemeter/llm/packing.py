@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, rows_of
+from .common import cut, in_batches, rows_of
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 class _Left:

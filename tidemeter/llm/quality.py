@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of
+from .common import in_batches, rows_of
 
 #: Hash buckets of words, bins of a statistic, rank of the pair weights.
 BUCKETS, BINS, RANK = 4096, 12, 8
@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> d
             )
 
     # the chosen ids are at most train_rows longs, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, at binary, value binary, y int").collect()
+    own = in_batches(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))
+    rows = own.mapInArrow(run, "doc_id long, at binary, value binary, y int").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.value)))
     return fit([(np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.value, np.float32).astype(float), r.y) for r in rows])
 
@@ -147,4 +148,4 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
             got = pa.array([score(model, *features(t)) for t in texts], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, got], [*fields, "fm_score"])
 
-    return docs.mapInArrow(run, out)
+    return in_batches(docs).mapInArrow(run, out)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-
+from .common import in_batches
 
 #: In this order at equal starts.
 KINDS = ("assign", "access", "hex", "literal")
@@ -236,7 +236,7 @@ def scanned(docs: DataFrame) -> DataFrame:
             got = [[{"kind": k, "start": a, "end": b} for a, k, b in scan(t)] for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, arrow)], [*fields, "secret_spans"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("secret_spans", kind)]))
+    return in_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("secret_spans", kind)]))
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -262,6 +262,6 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, fields)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, rows_of
+from .common import connected_components, cut, in_batches, rows_of
 
 SEED = 42
 
@@ -39,28 +39,37 @@ def masks(bits: int = 64) -> list[int]:
     return [sum(1 << i for i in range(bits) if (vector[i] & v).bit_count() & 1) for v in range(1, 8)]
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned fingerprint: a bit is 1 if set in over half the shingles' XXH64.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each word shingle in order, repeats included.
 
     Letters A-Z count as a-z; words are runs without space, tab or line ends.
-    Fewer words than a shingle make one shingle; none (or null) makes 0.
+    Fewer words than a shingle make one shingle, none (or null) make none.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
-    line = b" ".join(words)
-    stops = [*accumulate(len(w) + 1 for w in words)]
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_digest
+        return np.zeros(0, np.uint64)
+    line, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= shingle:
         raw = digest(line, SEED)
     else:
+        stops = [*accumulate(len(w) + 1 for w in words)]
         raw = b"".join([digest(line[a : b - 1], SEED) for a, b in zip([0, *stops], stops[shingle - 1 :], strict=False)])
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(n, 8), axis=1)
+    return np.frombuffer(raw, ">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint: a bit is 1 if set in over half the hashes; 0 for none."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, 255):
+    for k in range(0, len(bits), 255):
         ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -71,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [signed(fingerprint(t, shingle)) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import cut, rows_of, width
+from .common import Known, in_batches, rows_of, shared_folder, width
 
 MAGIC = b"EFTK1\0"
 SAMPLE = 256
 #: Ids in a segment at most, but for a single longer document.
 SEGMENT_IDS = 1 << 20
-#: Distinct words a worker remembers; later ones are encoded each time.
-CACHE_WORDS = 400_000
+#: Bytes of words, and of parts of words, that a worker remembers; later ones are encoded each time.
+CACHE_BYTES = 48 << 20
 #: A space after white space: such texts are cut at other spaces only.
 _loose = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
@@ -52,8 +52,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known, self.parts = Known(CACHE_BYTES), Known(CACHE_BYTES)
         self.tokenize = self.tokenizer.model.tokenize
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -64,8 +63,7 @@ class Encoder:
         if got is None:
             letters = pretoken.encode().decode("latin-1").translate(_bytes)
             got = b"".join([struct.pack("<I", t.id) for t in self.tokenize(letters)])
-            if len(self.parts) < CACHE_WORDS:
-                self.parts[pretoken] = got
+            self.parts.keep(pretoken, got)
         return got
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
@@ -91,8 +89,8 @@ class Encoder:
         found = [[*map(known.get, w[1:])] for w in words]
         new = [*dict.fromkeys(w for ws, got in zip(words, found, strict=True) if None in got for w, g in zip(ws[1:], got, strict=True) if g is None)]
         fresh = self._words(new) if new else {}
-        if len(known) < CACHE_WORDS:
-            known.update(fresh)
+        for w, got in fresh.items():
+            known.keep(w, got)
         out = []
         for ws, got, first in zip(words, found, self._library([w[0] for w in words]), strict=True):
             if None in got:
@@ -223,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, se
             yield flush()
 
     ranged = docs.select("doc_id", "text").repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, "part int, seq int, n_ids long, segment binary").write.parquet(path)
+    in_batches(ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")).mapInArrow(run, "part int, seq int, n_ids long, segment binary").write.parquet(path)
 
 
 #: Segments whose starts may be broadcast, at 16 bytes each; more are joined by a shuffle.
@@ -261,7 +259,4 @@ def read_tokens(segments: DataFrame) -> DataFrame:
 
 def scratch(spark, name: str) -> str:
     """A new folder that driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut(spark.range(0))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
