@@ -1,7 +1,9 @@
 """Each training-data operator against a brute-force version, on small and on odd tables."""
 
 import hashlib
+import os
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -320,7 +322,7 @@ def test_threshold_search_stops_early():
     block[:50] *= 9
     order = np.argsort(block, axis=0).astype(np.int32)
     for q in rng.normal(size=(20, 8)):
-        rows, scores = vectors.threshold_search(q, block, order, 5)
+        rows, scores, met = vectors.threshold_search(q, block, order, 5)
         assert rows.tolist() == np.argsort(-(block @ q))[:5].tolist() and np.allclose(scores, (block @ q)[rows])
 
 
@@ -437,3 +439,54 @@ def test_longest_common_subsequence():
                 best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
         got, rest = html.common(a, b), iter(b)
         assert len(got) == best[-1, -1] and all(x in rest for x in (a[i] for i in got))
+
+
+def test_common_lines_of_long_pages_by_halves(monkeypatch):
+    rng = np.random.default_rng(6)
+    whole = [(rng.integers(0, 9, int(rng.integers(0, 40))).tolist(), rng.integers(0, 9, int(rng.integers(0, 40))).tolist()) for _ in range(100)]
+    want = [len(html.common(a, b)) for a, b in whole]
+    monkeypatch.setattr(html, "CELLS", 20)
+    for (a, b), n in zip(whole, want):
+        got, rest = html.common(a, b), iter(b)
+        assert len(got) == n and all(x in rest for x in (a[i] for i in got))
+    a = list(range(5000))
+    assert html._counts(a, a)[-1] == 5000 and html._counts(a[:10], a)[20] == 10
+
+
+def slow_main(rows):
+    """Unmarked pages of distinct lines in one order: every class of equal pages loses what the nearest other class shares."""
+    own = {i: [t for t, z in html.lines(h)] for i, u, h in rows}
+    path = {}
+    for i, u, _ in rows:
+        path.setdefault(tuple(own[i]), set()).add(u.split("?")[0].removeprefix("http://h.org"))
+    order = sorted((min(p), html.class_of([html.line_hash(t) for t in c]), c) for c, p in path.items())
+    out = Counter()
+    for i, _, _ in rows:
+        k = next(k for k, x in enumerate(order) if x[2] == tuple(own[i]))
+        near = [(len(os.path.commonprefix([order[k][0], order[j][0]])), -j, j) for j in (k - 1, k + 1) if 0 <= j < len(order)]
+        shared = set(order[max(near)[2]][2]) if near else set()
+        out[i, "\n\n".join([t for t in own[i] if t not in shared] or own[i])] += 1
+    return out
+
+
+def test_html_differencing(spark):
+    rng = np.random.default_rng(9)
+    top, foot = [f"top {i}" for i in range(4)], [f"foot {i}" for i in range(3)]
+    rows = []
+    for i in range(40):
+        body = [f"text {i} {j}" for j in range(int(rng.integers(1, 6)))]
+        kept = [t for t in [*top, *body, *foot] if t in body or rng.random() < 0.8]
+        rows.append((i, f"http://h.org/{'ab'[i % 2]}/{int(rng.integers(9))}/{i}?s={i}", "".join(f"<p>{t}</p>" for t in kept)))
+    # copies of a page: as another page, as a row, and by a query string alone
+    rows += [(100, "http://h.org/a/copy", rows[3][2]), rows[5], (101, rows[7][1] + "&page=2", rows[7][2])]
+    got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert Counter((r.page_id, r.text) for r in got.collect()) == slow_main(rows)
+
+
+def test_html_reads_broken_pages_once():
+    for part in ("<a ", "<script ", "<!--", "<a '", '<a "', "<![CDATA[", "</", "<p x='\">", "&amp", "<script>"):
+        begun = time.time()
+        html.lines(part * (1_000_000 // len(part)))
+        assert time.time() - begun < 8, part
+    assert html.lines("<p>one <b>two</b><script>x</script> three<p>four <a href='x'") == [("one two three", 1), ("four", 1)]
+    assert html.lines("a <script>if (1 > 0) x") == [("a", 1)] and html.lines("1 < 2 and 3 > 2") == [("1 < 2 and 3 > 2", 1)]

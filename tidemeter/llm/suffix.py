@@ -6,7 +6,9 @@ smallest 16-byte hash in their first ``length`` bytes (the leftmost of equal one
 which is a function of those bytes alone: equal strings meet in one bucket, and the
 text of neighbouring suffixes is sent once, as a region. First, buckets exchange only hashes, packed
 by bucket and group of documents, and tell each group which of its anchors
-others have too; only the regions of those are sent.
+others have too; only the regions of those are sent. An anchor of very many groups
+is hot: its strings are dealt by a hash of the whole string instead, so that a passage
+with ever new surroundings fills no bucket.
 
 A bucket is sorted by itself, a block of leading bytes at a time: by the first and
 last 16 bytes, and where both tie, by ranks of a difference cover. The cover
@@ -23,12 +25,15 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM, SEED = 50, 16, 42
 #: Bytes of text in a group of documents, and in the slices that it is hashed in.
 GROUP_BYTES, SLICE_BYTES = 4 << 20, 1 << 16
+#: Groups that an anchor stands in beyond which its strings are dealt one by one.
+HOT_GROUPS = 64
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 _powers = [pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64) | 1 for i in range(5)]
 _bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -110,24 +115,24 @@ class Group:
         # the bucket, then 32 bits that tell its anchors apart
         return raw, ends, held, (h % np.uint64(self.buckets)) << np.uint64(32) | h >> np.uint64(32), first, count
 
-    def keys(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each bucket its distinct anchors in this group, and whether more than one run here has them."""
+    def keys(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, its distinct anchors in this group, whether more than one run here has them), for buckets that have any."""
         key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s[3] for s in self.slices]]), return_counts=True)
-        cut = np.searchsorted(key, np.arange(1, self.buckets, dtype=np.uint64) << np.uint64(32))
-        return np.split(key, cut), np.split(n > 1, cut)
+        bucket, first = np.unique(key >> np.uint64(32), return_index=True)
+        return [*zip(bucket.tolist(), np.split(key, first[1:]), np.split(n > 1, first[1:]), strict=True)] if len(key) else []
 
-    def regions(self, shared: dict[int, bytes]) -> tuple[list[dict], list]:
+    def regions(self, shared: dict[int, bytes]) -> tuple[dict[int, dict], list]:
         """For each bucket its distinct regions with their number, least doc_id and anchor, for shared anchors; and the runs of each slice.
 
-        shared maps a bucket to the bits of its anchors that other groups have.
+        shared maps a bucket to two bits for each of its anchors: whether other groups have it, and whether it is hot.
         """
-        wanted = []
-        for b, (key, many) in enumerate(zip(*self.keys(), strict=True)):
-            if len(key):
-                bits = np.unpackbits(np.frombuffer(shared.get(b, b""), np.uint8), count=len(key)).astype(bool) if b in shared else np.zeros(len(key), bool)
-                wanted.append(key[bits | many])
-        want = np.sort(np.concatenate([np.zeros(0, np.uint64), *wanted]))
-        held: list[dict] = [{} for _ in range(self.buckets)]
+        wanted, heat = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for b, key, many in self.keys():
+            both = np.unpackbits(np.frombuffer(shared.get(b) or bytes(len(key) // 4 + 1), np.uint8), count=2 * len(key)).astype(bool)
+            wanted.append(key[both[: len(key)] | many])
+            heat.append(key[both[len(key) :]])
+        want, hot = np.sort(np.concatenate(wanted)), {*np.concatenate(heat).tolist()}
+        held: dict[int, dict] = {}
         runs = []
         for raw, ends, docs, key, first, count in self.slices:
             if len(want):
@@ -136,15 +141,26 @@ class Group:
                 hit = np.zeros(0, np.int64)
             own = []
             whose = np.searchsorted(ends, first[hit], side="right")
-            for a, n, x, w in zip(first[hit].tolist(), count[hit].tolist(), key[hit].tolist(), whose.tolist(), strict=True):
+            for a, n, x, w in self._pieces(raw, first[hit].tolist(), count[hit].tolist(), key[hit].tolist(), whose.tolist(), hot):
                 region, d, b = raw[a : a + n + self.length - 1], docs[w][0], x >> 32
-                number, least, _ = held[b].setdefault(region, (len(held[b]), d, x & 0xFFFFFFFF))
+                there = held.setdefault(b, {})
+                number, least, _ = there.setdefault(region, (len(there), d, x & 0xFFFFFFFF))
                 if d < least:
-                    held[b][region] = number, d, x & 0xFFFFFFFF
+                    there[region] = number, d, x & 0xFFFFFFFF
                 own.append((b, number, a, n, d))
             runs.append((docs, ends, own))
         return held, runs
 
+    def _pieces(self, raw: bytes, first: list[int], count: list[int], key: list[int], whose: list[int], hot: set[int]):
+        """(place, strings, key, document) of each run; a hot anchor's strings one by one, with a key of their own."""
+        for a, n, x, w in zip(first, count, key, whose, strict=True):
+            if x not in hot:
+                yield a, n, x, w
+            else:
+                for i in range(a, a + n):
+                    h = xxhash.xxh64_intdigest(raw[i : i + self.length], SEED)
+                    yield i, 1, h % self.buckets << 32 | h >> 32, w
+
 
 def suffix_classes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH):
     """Yield, a block of leading bytes at a time, starts whose strings of ``length`` bytes equal another's, and for each the number of its class in the block; classes are together."""
@@ -254,15 +270,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
 
     def hashes(docs_: pd.DataFrame) -> pd.DataFrame:
         g = int(docs_["g"].iloc[0])
-        keys, _ = Group(docs_, length, buckets).keys()
-        rows = [(b, g, (k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()) for b, k in enumerate(keys) if len(k)]
+        rows = [(b, g, (k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()) for b, k, _ in Group(docs_, length, buckets).keys()]
         return pd.DataFrame(rows, columns=["b", "g", "data"])
 
     def overlap(packed: pd.DataFrame) -> pd.DataFrame:
         each = [np.frombuffer(x, "<u4") for x in packed["data"]]
         key, n = np.unique(np.concatenate(each), return_counts=True)
-        key = key[n > 1]
-        bits = [np.packbits(np.isin(x, key, assume_unique=True)).tobytes() if len(key) else b"" for x in each]
+        hot, key = key[n > HOT_GROUPS], key[n > 1]
+        bits = [np.packbits(np.concatenate([np.isin(x, k, assume_unique=True) for k in (key, hot)])).tobytes() if len(key) else b"" for x in each]
         return pd.DataFrame({"g": packed["g"], "b": packed["b"], "data": bits})
 
     def answers(packed: pd.DataFrame) -> dict[int, bytes]:
@@ -272,7 +287,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
         rows = []
         if len(docs_):
             held, _ = Group(docs_, length, buckets).regions(answers(packed))
-            rows = [(b, int(docs_["g"].iloc[0]), pack_regions(h)) for b, h in enumerate(held) if h]
+            rows = [(b, int(docs_["g"].iloc[0]), pack_regions(h)) for b, h in held.items()]
         return pd.DataFrame(rows, columns=["b", "g", "data"])
 
     def sort(packed: pd.DataFrame) -> pd.DataFrame:
@@ -293,7 +308,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
         group = Group(docs_, length, buckets)
         masks = {b: np.frombuffer(x, "<u8").tolist() for b, x in answers(sorted_).items()}
         held, runs = group.regions(answers(packed))
-        least = [[x[1] for x in h.values()] for h in held]
+        least = {b: [x[1] for x in h.values()] for b, h in held.items()}
         gone: dict[bytes, list[tuple[int, int]]] = {}
         seen: dict[bytes, int] = {}
         for docs_in, ends, own_ in runs:

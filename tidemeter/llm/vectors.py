@@ -3,18 +3,22 @@ nearest neighbours by cross-polytope hashing.
 
 Both first fold equal vectors into one class that holds its smallest ids, as
 many as any query can return; a vector that fills a third of the table is then
-one row. Queries meet candidates in blocks: a bounded block of each in one task,
-of which only the best few leave it.
+one row, and as a query it is searched for once. Queries meet candidates in
+blocks: a bounded block of each in one task, of which only the best few leave it.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, width
+from .common import cut, in_batches, width
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -46,23 +50,24 @@ def expand(query: int, scores, ids: list, k: int) -> list[tuple]:
     return [(query, i, -s) for s, i in got]
 
 
-def threshold_search(q: np.ndarray, block: np.ndarray, order: np.ndarray, k: int, first: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``block`` with the k highest inner products with q (ties to the earlier row), and those products.
+def threshold_search(q: np.ndarray, block: np.ndarray, order: np.ndarray, k: int, first: int = 16, floor: float | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows of ``block`` with the k highest inner products with q (ties to the earlier row), those products, and how many rows were scored.
 
     Fagin's threshold algorithm: ``order`` holds each dimension's rows by
     rising value. Sorted access goes down every list from the end that q's sign
     prefers; each row met is scored at once; the products at the present depth sum
     to the most that an unmet row can reach, and the search stops once that is
-    below the kth score. Lists are read a doubling stretch at a time.
+    below the kth score, or below ``floor``, a score that k rows elsewhere reach:
+    rows below it may be missing. Lists are read a doubling stretch at a time.
     """
     n = len(block)
     up = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
     seen = np.zeros(n, bool)
-    rows, scores = np.zeros(0, np.int64), np.zeros(0, block.dtype)
+    rows, scores, met = np.zeros(0, np.int64), np.zeros(0, block.dtype), 0
     a, b = 0, min(n, first)
     if not len(up[0]) + len(up[1]):
         rows = np.arange(min(k, n))
-        return rows, np.zeros(len(rows), block.dtype)
+        return rows, np.zeros(len(rows), block.dtype), len(rows)
     while a < n:
         high, low = order[n - b : n - a][:, up[0]], order[a:b][:, up[1]]
         hit = np.zeros(n, bool)
@@ -70,27 +75,32 @@ def threshold_search(q: np.ndarray, block: np.ndarray, order: np.ndarray, k: int
         hit[low.ravel()] = True
         fresh = np.flatnonzero(hit & ~seen)
         seen |= hit
-        rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, block[fresh] @ q])
+        met += len(fresh)
+        own = block[fresh] @ q
+        if floor is not None:
+            fresh, own = fresh[own >= floor], own[own >= floor]
+        rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, own])
         if len(rows) > k:
             keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
             rows, scores = rows[keep], scores[keep]
             keep = np.lexsort((rows, -scores))[:k]
             rows, scores = rows[keep], scores[keep]
         bound = (block[high[0], up[0]] * q[up[0]]).sum() + (block[low[-1], up[1]] * q[up[1]]).sum()
-        if len(rows) == k and bound < scores.min():
+        if floor is not None and bound < floor or len(rows) == k and bound < scores.min():
             break
         a, b = b, min(n, 2 * b)
     keep = np.lexsort((rows, -scores))
-    return rows[keep], scores[keep]
+    return rows[keep], scores[keep], met
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, block: int = 8192, query_block: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products of floor(scale * x), exactly.
 
-    vectors and queries have vec_id and embedding. A query is not its own
-    candidate. Vectors null or with null or non-finite components take no part;
-    those of another length are no candidates of a query; a row repeated whole counts once.
-    Products beyond 64 bits wrap.
+    vectors and queries have vec_id and embedding. A query first searches one
+    block of candidates; the score that k others reach there is the floor of its search in
+    all other blocks. A query is not its own candidate. Vectors null or with null or
+    non-finite components take no part; those of another length are no candidates of a
+    query; a row repeated whole counts once. Products beyond 64 bits wrap.
     """
     whole = lambda c: F.transform(c, lambda x: F.floor(x * F.lit(float(scale))))
     own = usable(vectors).select("vec_id", whole("vector").alias("vector"))
@@ -99,9 +109,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     n, m = folded.count(), asked.count()
     parts = max(-(-n // block), min(width(vectors.sparkSession), -(-n // 512)), 1)
     turns = max(-(-m // query_block), 1)
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(turns))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = folded.withColumn("cb", F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(turns - 1).cast("bigint"))))
-    left, right = (x.withColumn("d", F.size("vector")) for x in (left, right))
+    asked = cut(asked.select("*", F.size("vector").alias("d"), F.pmod(F.xxhash64("query_id"), F.lit(turns)).alias("qb"), F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int").alias("home")))
+    right = folded.select("*", F.size("vector").alias("d"), F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(turns - 1).cast("bigint"))).alias("qb"))
 
     def search(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -112,14 +121,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
             if data.shape[1] * float(np.abs(data.astype(float)).max(initial=0)) * float(np.abs(ask.astype(float)).max(initial=0)) < 2**53:
                 data, ask = data.astype(float), ask.astype(float)  # exact, and faster
             order = np.argsort(data, axis=0, kind="stable").astype(np.int32)
-            for query, q in zip(asks["query_id"], ask, strict=True):
-                at, scores = threshold_search(q, data, order, k + 1)
+            for query, q, floor in zip(asks["query_id"], ask, asks["floor"], strict=True):
+                at, scores, _ = threshold_search(q, data, order, k + 1, floor=None if pd.isna(floor) else int(floor))
                 out += expand(int(query), [int(s) for s in scores], [ids[i] for i in at], k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    keys = ["d", "qb", "cb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    return best(found, k)
+    def meet(left: DataFrame) -> DataFrame:
+        keys = ["d", "qb", "cb"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+
+    first = cut(meet(asked.select("*", F.col("home").alias("cb"), F.lit(None).cast("bigint").alias("floor"))))
+    if parts == 1:
+        return best(first, k)
+    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k).drop("n")
+    others = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(parts - 1)), F.col("home"))).alias("cb")
+    # an id that stands with several vectors is as many queries: no floor of one holds for the other
+    single = asked.groupBy("query_id").agg(F.count("*").alias("n")).where("n = 1").select("query_id")
+    rest = meet(asked.select("*", others).join(floors.join(single, "query_id"), "query_id", "left"))
+    return best(first.unionByName(rest), k)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -133,83 +152,236 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """For each row the ``probes`` nearest signed axes after the table's pseudo-rotation (three rounds of random signs and Hadamard), nearest first."""
+def rotated(x: np.ndarray, table: int, level: int) -> np.ndarray:
+    """Products of each row with the signed axes of a table's pseudo-rotation: three rounds of random signs and Hadamard."""
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
-    signs = np.random.default_rng([table, d]).choice([-1.0, 1.0], (3, d))
     y = np.zeros((len(x), d))
     y[:, : x.shape[1]] = x
-    for s in signs:
-        y = hadamard(y * s)
-    both = np.concatenate([y, -y], axis=1)
-    top = np.argpartition(-both, min(probes, 2 * d) - 1, axis=1)[:, :probes] if probes < 2 * d else np.tile(np.arange(2 * d), (len(x), 1))
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), axis=1, kind="stable"), 1)
-
-
-#: Hash tables, signed axes that a query probes in each, rows of a bucket that meet in one task.
-TABLES, PROBES, CHUNK = 8, 16, 4096
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+    for s in np.random.default_rng([table, level, d]).choice([-1.0, 1.0], (3, d)):
+        y = hadamard(y * s) / d**0.5
+    return np.concatenate([y, -y], axis=1)
+
+
+def codes(x: np.ndarray, table: int, levels: int) -> np.ndarray:
+    """The bucket of each row: its nearest signed axis in each of ``levels`` rotations, as the digits of one number."""
+    out = np.zeros(len(x), np.int64)
+    for level in range(levels):
+        own = rotated(x, table, level)
+        out = out * own.shape[1] + own.argmax(axis=1)
+    return out
+
+
+def probed(x: np.ndarray, table: int, levels: int, probes: int) -> np.ndarray:
+    """The ``probes`` buckets of each row whose axes have the highest products with it in sum, best first; fewer if there are fewer."""
+    best_codes, total = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for level in range(levels):
+        own = rotated(x, table, level)
+        order = np.argsort(-own, axis=1, kind="stable")
+        value = np.take_along_axis(own, order, 1)
+        # of two falling lists, the sum of entries i and j has (i + 1)(j + 1) - 1 sums above it
+        i, j = np.meshgrid(np.arange(total.shape[1]), np.arange(own.shape[1]), indexing="ij")
+        i, j = (z[(i + 1) * (j + 1) <= probes] for z in (i, j))
+        both = total[:, i] + value[:, j]
+        top = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+        best_codes = np.take_along_axis(best_codes[:, i] * own.shape[1] + order[:, j], top, 1)
+        total = np.take_along_axis(both, top, 1)
+    return best_codes
+
+
+#: Hash tables; the most buckets a query looks into in each; rows of a bucket's block, and queries, that meet in one task.
+TABLES, MOST_PROBES, CHUNK, QUERY_CHUNK = 16, 2048, 4096, 1024
+#: The number of probes is fitted on so many queries at most for this share of their true neighbours.
+FIT_QUERIES, FIT_RECALL = 64, 0.95
+
+
+def levels_for(n: int, d: int) -> int:
+    """Rotations whose axes together make a bucket: two at least, more as rows grow, so that a bucket holds a few rows at any size."""
+    axes = 2 << max(1, (d - 1).bit_length())
+    return max(2, min(ceil(log(max(n, 8) / 8, axes)), int(60 // log(axes, 2))))
+
+
+def listed(batch, name: str, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of a list column without nulls."""
+    column = batch.column(name)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind), np.diff(column.offsets.to_numpy())
+
+
+def matrix(batch, name: str = "vector") -> np.ndarray:
+    flat, sizes = listed(batch, name)
+    return flat.reshape(len(sizes), -1)
+
+
+def fitted_probes(folded: DataFrame, asked: DataFrame, k: int, tables: int, counts: dict[int, int]) -> dict[int, int]:
+    """For each vector length the probes a table with which FIT_RECALL of the true neighbours of at most FIT_QUERIES queries are found."""
+    some = asked.withColumn("_r", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("vector"), "q"))).where(F.col("_r") <= FIT_QUERIES)
+    held = {d: np.array([r.vector for r in rows]) for d, rows in _by_length(some.select("d", "vector").collect()).items()}
+
+    def near(batches):
+        for batch in batches:
+            for d in pa.compute.unique(batch.column("d")).to_pylist():
+                own = batch.filter(pa.compute.equal(batch.column("d"), d))
+                if d in held:
+                    x = matrix(own)
+                    scores = held[d] @ x.T
+                    top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                    at = top.ravel()
+                    who = np.repeat(np.arange(len(top)), top.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(who, pa.int32()), pa.array(scores[who, at]), pa.array(list(x[at]), pa.list_(pa.float64()))], ["d", "who", "score", "vector"])
+
+    found = in_batches(folded.select("d", "vector")).mapInArrow(near, "d int, who int, score double, vector array<double>")
+    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("d", "who").orderBy(F.desc("score")))).where(F.col("_r") <= k + 1)
+    out = {}
+    for d, rows in _by_length(ranked.select("d", "who", "vector").collect()).items():
+        who, x = np.array([r.who for r in rows]), np.array([r.vector for r in rows])
+        first = np.full(len(rows), MOST_PROBES)
+        for t in range(tables):
+            levels = levels_for(counts[d], d)
+            hit = probed(held[d], t, levels, MOST_PROBES)[who] == codes(x, t, levels)[:, None]
+            first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
+        out[d] = min(MOST_PROBES, int(np.sort(first)[ceil(FIT_RECALL * len(first)) - 1]) + 1)
+    return out
+
+
+def _by_length(rows: list) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r.d, []).append(r)
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, chunk: int = CHUNK, query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query by inner product, in double precision.
 
-    Every vector is in one bucket of each table: the signed axis nearest to it
-    after the table's pseudo-rotation. A query looks into the ``probes`` buckets
-    nearest to it and scores what is there exactly. Large buckets are split in
-    chunks that each query visits, so nothing is capped. Queries that found fewer than k look into every
-    bucket of one table, which together hold all rows.
+    Every vector is in one bucket of each table: its nearest signed axes after
+    two or more pseudo-rotations, the more the larger the table. A query looks
+    into the buckets whose axes are nearest to it and scores what is there
+    exactly: first into an eighth of them, which gives a score to beat, then
+    into the others, from which only better rows return. How many buckets,
+    fitted_probes() finds on a bounded sample of queries. Buckets that differ in the last
+    axis only are one block; large blocks are split on both sides, so
+    nothing is capped. Queries that found too few look into every bucket of one table.
+    Hashing sees directions only: recall is for vectors of about equal length.
     Vectors null, zero or with null or non-finite components take no part, those of
     another length are no candidates, a row repeated whole counts once.
     """
     some = F.exists("vector", lambda x: x != 0)
     size = lambda x: x.withColumn("d", F.size("vector"))
-    folded = cut(size(classes(usable(vectors).where(some), k + 1)))
-    asked = cut(size(usable(queries).where(some).select(F.col("vec_id").alias("query_id"), "vector").distinct()))
+    named = lambda x, name: x.select(F.monotonically_increasing_id().alias(name), "*")
+    folded = cut(named(size(classes(usable(vectors).where(some), k + 1)), "c"))
+    ids = cut(usable(queries).where(some).select(F.col("vec_id").alias("query_id"), "vector").distinct())
+    asked = cut(named(size(ids.select("vector").distinct()), "q"))
+    counts = {r.d: r.n for r in folded.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    probes = fitted_probes(folded, asked, k, tables, counts)
+    levels = {d: levels_for(n, d) for d, n in counts.items()}
+
+    def axes(d: int) -> int:
+        return 2 << max(1, (d - 1).bit_length())
+
+    def lengths(batch):
+        for d in pa.compute.unique(batch.column("d")).to_pylist():
+            if d in probes or d in levels:
+                own = batch.filter(pa.compute.equal(batch.column("d"), d))
+                yield d, own, matrix(own)
+
+    def placed(batches):
+        for batch in batches:
+            for d, own, x in lengths(batch):
+                for t in range(tables):
+                    code = codes(x, t, levels[d])
+                    yield pa.RecordBatch.from_arrays(
+                        [own.column("d"), pa.array(np.full(len(x), t), pa.int32()), pa.array(code // axes(d)), pa.array(code % axes(d), pa.int32()), own.column("c"), own.column("low"), own.column("vector").cast(pa.list_(pa.float64()))],
+                        ["d", "t", "cell", "sub", "c", "low", "vector"],
+                    )
+
+    row = "d int, t int, cell long, sub int, c long, low long, vector array<double>"
+    right = in_batches(folded.select("d", "c", F.element_at("ids", 1).alias("low"), "vector")).mapInArrow(placed, row)
+    right = cut(right)
+    keys = ["d", "t", "cell"]
+    blocks = cut(right.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")))
+
+    def looks(share: slice | None):
+        """Blocks of each query and the last axes it looks at in them; all blocks of table 0 without a share."""
 
-    def hashed(count: int, reach: int):
         def run(batches):
-            for pdf in batches:
-                for d, own in pdf.groupby("d"):
-                    x = np.stack(own["vector"].to_list())
-                    for t in range(count):
-                        got = axes(x, t, min(reach, 4 << max(0, int(d - 1).bit_length())))
-                        for p in range(got.shape[1]):
-                            yield own.assign(t=np.int32(t), bucket=got[:, p].astype(np.int32))
+            for batch in batches:
+                for d, own, x in lengths(batch):
+                    for t in range(tables if share else 1):
+                        for at in range(0, len(x), 64):
+                            few = slice(at, at + 64)
+                            n = probes[d] if d in probes else 1
+                            code = probed(x[few], t, levels[d], n)[:, slice(*(None if s is None else max(1, n // 8) for s in (share.start, share.stop)))]
+                            who = np.repeat(np.arange(len(x[few])), code.shape[1])
+                            cell, sub = code.ravel() // axes(d), code.ravel() % axes(d)
+                            order = np.lexsort((sub, cell, who))
+                            who, cell, sub = who[order], cell[order], sub[order]
+                            begin = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (cell[1:] != cell[:-1]))[: len(who)])
+                            mine = own.take(pa.array(who[begin] + at))
+                            yield pa.RecordBatch.from_arrays(
+                                [mine.column("d"), pa.array(np.full(len(begin), t), pa.int32()), pa.array(cell[begin]), mine.column("q"), mine.column("least"), mine.column("vector").cast(pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.append(begin, len(sub)), pa.int32()), pa.array(sub, pa.int32()))],
+                                ["d", "t", "cell", "q", "least", "vector", "subs"],
+                            )
 
         return run
 
-    def schema(x: DataFrame) -> str:
-        return ", ".join(f"`{n}` {t}" for n, t in x.dtypes) + ", t int, bucket int"
-
-    keyed = folded.mapInPandas(hashed(tables, 1), schema(folded))
-    sizes = keyed.groupBy("d", "t", "bucket").agg(F.count("*").alias("n"))
-    # at most one row for each bucket: 2 x dimension x tables, whatever the table's size
-    chunks = F.broadcast(sizes.select("d", "t", "bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
-    right = keyed.join(chunks, ["d", "t", "bucket"]).withColumn("c", F.pmod(F.xxhash64("ids"), F.col("chunks")).cast("int")).drop("chunks")
-
-    def search(asks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+    def search(asks: pa.Table, rows: pa.Table) -> pa.Table:
+        held: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+        score: list[np.ndarray] = [np.zeros(0)]
         if len(asks) and len(rows):
-            data, ask = np.stack(rows["vector"].to_list()), np.stack(asks["vector"].to_list())
-            ids = [list(map(int, i)) for i in rows["ids"]]
-            for at in range(0, len(ask), 256):
-                rough = ask[at : at + 256] @ data.T
-                for query, q, r in zip(asks["query_id"].iloc[at : at + 256], ask[at : at + 256], rough, strict=True):
-                    # what a matrix product rounds differently cannot move a row by more than this
-                    near = np.flatnonzero(r >= np.partition(r, len(r) - k - 1)[len(r) - k - 1] - 1e-9 * (1 + np.abs(r).max())) if len(r) > k + 1 else np.arange(len(r))
-                    out += expand(int(query), (data[near] * q).sum(axis=1).tolist(), [ids[i] for i in near], k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    def visit(asks: DataFrame, count: int, reach: int) -> DataFrame:
-        probed = asks.mapInPandas(hashed(count, reach), schema(asks)).join(chunks, ["d", "t", "bucket"])
-        left = probed.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-        keys = ["d", "t", "bucket", "c"]
-        got = left.groupBy(*keys).cogroup(right.where(F.col("t") < count).groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-        return got.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-
-    found = cut(best(visit(asked, tables, probes), k))
-    short = asked.join(found.where(F.col("rank") == k).select("query_id").distinct(), "query_id", "left_anti")
-    if short.isEmpty():
-        return found
-    rest = best(visit(short, 1, 1 << 30), k)
-    return found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
+            data, ask = matrix(rows), matrix(asks)
+            sub = rows.column("sub").to_numpy()
+            c, low = rows.column("c").to_numpy(), rows.column("low").to_numpy()
+            order = np.argsort(sub, kind="stable")
+            q, least = asks.column("q").to_numpy(), asks.column("least").to_numpy()
+            flat, sizes = listed(asks, "subs", np.int64)
+            begin, end = (np.searchsorted(sub[order], flat, side) for side in ("left", "right"))
+            who, n = np.repeat(np.arange(len(q)), sizes), end - begin
+            stop = np.append(np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), 1 << 16), "left"), len(n))
+            for a, b in zip(stop[:-1], stop[1:], strict=True):
+                if b <= a:
+                    continue
+                m = n[a:b]
+                w = np.repeat(who[a:b], m)
+                at = order[np.arange(len(w)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[a:b], m)]
+                s = np.einsum("ij,ij->i", ask[w], data[at])
+                keep = ~(s < least[w])
+                w, at, s = w[keep], at[keep], s[keep]
+                by = np.lexsort((low[at], -s, w))
+                w, at, s = w[by], at[by], s[by]
+                first = np.flatnonzero(np.append(True, w[1:] != w[:-1])[: len(w)])
+                keep = np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w)))) <= k
+                held.append(np.stack([q[w[keep]], c[at[keep]], low[at[keep]]], axis=1))
+                score.append(s[keep])
+        found = np.concatenate(held)
+        return pa.table({"q": found[:, 0], "c": found[:, 1], "low": found[:, 2], "score": np.concatenate(score)})
+
+    def visit(asks: DataFrame, run, more: DataFrame | None = None) -> DataFrame:
+        """The k + 1 best classes of each query."""
+        left = in_batches(asks).mapInArrow(run, "d int, t int, cell long, q long, least double, vector array<double>, subs array<int>") if run else asks
+        turns = left.groupBy(*keys).agg(F.ceil(F.count("*") / query_chunk).cast("int").alias("turns")).join(blocks, keys)
+        left, turns = cut(left), cut(turns)
+        a = left.join(turns, keys).select(*left.columns, F.pmod(F.xxhash64("q"), F.col("turns")).cast("int").alias("qc"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("cc"))
+        b = right.join(turns, keys).select(*right.columns, F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("cc"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("qc"))
+        by = [*keys, "qc", "cc"]
+        a, b = (x.toDF(*x.columns) for x in (a, b))  # columns of their own: both come from one table
+        found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(search, "q long, c long, low long, score double")
+        found = found.unionByName(more) if more is not None else found
+        each = found.repartition("q").groupBy("q", "c").agg(F.max("low").alias("low"), F.max("score").alias("score"))
+        order = Window.partitionBy("q").orderBy(F.desc("score"), "low")
+        return cut(each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r"))
+
+    none = F.lit(None).cast("double").alias("least")
+    first = visit(asked.select("d", "q", "vector", none), looks(slice(None, 1)))
+    enough = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") > k).drop("n")
+    found = visit(asked.join(enough, "q", "left").select("d", "q", "vector", "least"), looks(slice(1, None)), first)
+    short = cut(asked.join(found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k), "q", "left_anti"))
+    if not short.isEmpty():
+        every = cut(right.where("t = 0").select(*keys).distinct())
+        subs = F.sequence(F.lit(0), (2 * F.pow(2, F.ceil(F.log2(F.greatest("d", F.lit(2)))))).cast("int") - 1).alias("subs")
+        all_of = short.join(every, "d").select("d", "t", "cell", "q", none, "vector", subs)
+        found = found.join(short, "q", "left_anti").unionByName(visit(all_of, None))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    each = found.join(folded.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
+    top = each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select("q", "score", "vec_id")
+    whose = ids.join(asked.select("q", "vector"), "vector").select("q", "query_id")
+    return best(top.join(whose, "q").where("vec_id <> query_id").select("query_id", "vec_id", "score"), k)
