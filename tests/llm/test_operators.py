@@ -159,6 +159,17 @@ def test_suffix(spark, docs, odd, none):
     assert found_suffix(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=5000) == slow_suffix(rows)
 
 
+def test_suffix_with_hot_anchors(spark, monkeypatch):
+    """A passage in most documents, each with surroundings of its own, over more groups than an anchor may have."""
+    monkeypatch.setattr(suffix, "HOT_GROUPS", 2)
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    hot = word(180)
+    rows = [(d, word(int(rng.integers(0, 60))) + hot[int(rng.integers(0, 90)) :] + word(int(rng.integers(0, 60)))) for d in range(120)] + [(200 + d, word(100)) for d in range(20)]
+    rows += [(300, rows[125][1]), (301, hot), (302, hot), (None, hot)]
+    assert found_suffix(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=2000) == slow_suffix(rows)
+
+
 def test_suffix_classes_by_cover():
     s = suffix.shifts()
     assert all((i + s[i, j]) % 16 in suffix.COVER and (j + s[i, j]) % 16 in suffix.COVER for i in range(16) for j in range(16))
@@ -192,15 +203,17 @@ def test_elias_fano_select():
         v = np.sort(rng.integers(0, top + 1, n)).astype(np.uint64)
         raw = b"x" + tokens.elias_fano(v)
         e = tokens.EliasFano(raw, 1)
-        assert e.end == len(raw) and e.all().tolist() == v.tolist()
+        assert e.end == len(raw) and e.between(0, n).tolist() == v.tolist()
+        assert all(e.between(a, b).tolist() == v[a:b].tolist() for a, b in np.sort(rng.integers(0, n + 1, (40, 2)), axis=1))
         assert [e.select(i) for i in range(n)] == v.tolist()
     assert len(tokens.elias_fano(np.arange(0, 10**7, 1000, dtype=np.uint64))) < 10**4 * 2
 
 
 def test_segment_is_checked():
     raw = tokens.write_segment([None, 3, 9], [b"\1\0\0\0", b"", b"\2\0\0\0\3\0\1\0"])
-    d, bounds, ids = tokens.read_segment(raw)
-    assert (d, bounds.tolist(), ids.tolist()) == ([None, 3, 9], [0, 1, 1, 3], [1, 2, 65539])
+    s = tokens.read_segment(raw)
+    assert (s.documents(0, 3), s.bounds(0, 3).tolist(), s.ids.tolist()) == ([None, 3, 9], [0, 1, 1, 3], [1, 2, 65539])
+    assert (s.documents(1, 3), s.bounds(1, 3).tolist(), [s.tokens(i).tolist() for i in range(3)]) == ([3, 9], [1, 1, 3], [[1], [], [2, 65539]])
     with pytest.raises(ValueError):
         tokens.read_segment(raw[:-1] + b"?")
 
@@ -226,6 +239,15 @@ def test_bpe(docs, odd, none):
         assert ints(model.encode(text)) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_suffix_automaton_lists_every_token():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        words = {"".join(rng.choice(list("abc"), int(rng.integers(1, 6)))): k for k in range(int(rng.integers(1, 40)))}
+        text = "".join(rng.choice(list("abcd"), 60))
+        want = [(i, n, words[text[i + 1 - n : i + 1]]) for i in range(60) for n in range(6, 0, -1) if i + 1 >= n and text[i + 1 - n : i + 1] in words]
+        assert [*bpe.SuffixAutomaton(words).matches(text)] == want
+
+
 def check_packing(placed, rows, capacity):
     assert Counter((r.doc_id, r.piece, r.length) for r in placed) == Counter(rows)
     by = defaultdict(list)
@@ -257,6 +279,25 @@ def test_packing(spark, docs, odd, none):
     assert check_packing(packing.pack(same, 10).collect(), [(i, 0, 3 + i % 2 * 4) for i in range(1000)], 10) == 500
 
 
+def slow_best_fit(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fits = [r for r in rooms if r >= s]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - s)
+    return sorted(rooms)
+
+
+def test_best_fit_is_that_of_single_pieces():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        sizes = rng.integers(1, 30, int(rng.integers(0, 60))).tolist()
+        made = packing.best_fit(packing._Left(dict(Counter(sizes))), 30)
+        assert sorted(30 - sum(p) for p, n in made for _ in range(n)) == slow_best_fit(sizes, 30)
+        assert Counter(s for p, n in made for s in p * n) == Counter(sizes)
+
+
 def fewest(sizes, capacity):
     sizes = tuple(sorted(sizes, reverse=True))
     best = len(sizes)

@@ -1,7 +1,7 @@
 """Exact BPE encoding by dynamic programming over prefixes, and decoding.
 
-For every prefix of a word, merging leaves exactly one last token. An automaton
-over the vocabulary lists the tokens that end at each place; a token is the last
+For every prefix of a word, merging leaves exactly one last token. A suffix automaton
+of the vocabulary lists the tokens that end at each place; a token is the last
 one of a prefix if the prefix before it ends in a token that is compatible with
 it: undoing the merges of both at their common border meets no merge that BPE
 would have made across it earlier. The winners are kept as back-pointers, and
@@ -17,16 +17,17 @@ import json
 import re
 import unicodedata
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import in_batches, rows_of
+from .common import Known, in_batches, rows_of
 
-#: Distinct words (and chunks) a worker remembers; later ones are encoded each time.
-CACHE_WORDS = 400_000
+#: Bytes of words, and of chunks, that a worker remembers; later ones are encoded each time.
+CACHE_BYTES = 48 << 20
+#: Token pairs whose compatibility a worker remembers.
+PAIRS = 400_000
 _space = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Stands for the end-of-word suffix, outside the byte-level alphabet.
 _END = "\ue000"
@@ -39,6 +40,84 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(256 + next(rest)) for b in range(256)]
 
 
+class SuffixAutomaton:
+    """The substrings of all vocabulary tokens, one state for those that end at the same places.
+
+    Built over the tokens' trie, level by level. A token is the longest string of
+    its state, as nothing stands before it where it was put in; so the tokens
+    that end at a place of a text are the state reached there, if it is matched
+    whole, and the states its suffix links lead to.
+    """
+
+    def __init__(self, tokens: dict[str, int]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.long = [-1], [0]
+        token: dict[int, int] = {}
+        level = [("", 0, [*tokens])]
+        while level:
+            deeper = []
+            for prefix, state, own in level:
+                by: dict[str, list[str]] = {}
+                for t in own:
+                    if len(t) == len(prefix):
+                        token[state] = tokens[t]
+                    else:
+                        by.setdefault(t[len(prefix)], []).append(t)
+                deeper += [(prefix + c, self._extend(state, c), ts) for c, ts in by.items()]
+            level = deeper
+        # of each state the token that is its whole, and the next state up the links with a token
+        self.token = [token.get(s, -1) for s in range(len(self.long))]
+        self.up = [0] * len(self.long)
+        for s in sorted(range(1, len(self.long)), key=self.long.__getitem__):
+            p = self.link[s]
+            self.up[s] = p if self.token[p] >= 0 else self.up[p]
+
+    def _state(self, long: int, following: dict[str, int], link: int) -> int:
+        self.next.append(following)
+        self.long.append(long)
+        self.link.append(link)
+        return len(self.long) - 1
+
+    def _extend(self, last: int, c: str) -> int:
+        """The state of the string that c makes of last's longest."""
+        follow, link, long = self.next, self.link, self.long
+        if (q := follow[last].get(c)) is not None:
+            return q if long[q] == long[last] + 1 else self._split(last, c, q)
+        new, p = self._state(long[last] + 1, {}, 0), last
+        while p >= 0 and c not in follow[p]:
+            follow[p][c] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][c]
+            link[new] = q if long[q] == long[p] + 1 else self._split(p, c, q)
+        return new
+
+    def _split(self, p: int, c: str, q: int) -> int:
+        """A state of its own for the strings of q up to one longer than p's longest."""
+        new = self._state(self.long[p] + 1, dict(self.next[q]), self.link[q])
+        self.link[q] = new
+        while p >= 0 and self.next[p].get(c) == q:
+            self.next[p][c] = new
+            p = self.link[p]
+        return new
+
+    def matches(self, text: str):
+        """(place of the last letter, length, token) of every token in text, by place and then longest first."""
+        follow, link, long, token, up = self.next, self.link, self.long, self.token, self.up
+        s = n = 0
+        for i, c in enumerate(text):
+            while s and c not in follow[s]:
+                s = link[s]
+                n = long[s]
+            if c not in follow[s]:
+                continue
+            s, n = follow[s][c], n + 1
+            at = s if n == long[s] and token[s] >= 0 else up[s]
+            while at:
+                yield i, long[at], token[at]
+                at = up[at]
+
+
 class PrefixBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -63,15 +142,10 @@ class PrefixBpe:
             if t not in self.halves:
                 self.halves[t], self.made[t] = (a, b), k
         self.whole: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for name, i in vocab.items():
-            word = name.removesuffix(suffix) + _END if name.endswith(suffix) else name
-            self.automaton.add_word(word, (len(word), i))
-        self.automaton.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        self.automaton = SuffixAutomaton({name.removesuffix(suffix) + _END if name.endswith(suffix) else name: i for name, i in vocab.items()})
         self.symbols = byte_symbols()
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
+        self.known, self.words = Known(CACHE_BYTES), Known(CACHE_BYTES)
 
     def _across(self, left: int, right: int, limit: float) -> bool:
         """Whether no merge earlier than ``limit`` joins the two across their border."""
@@ -90,9 +164,9 @@ class PrefixBpe:
                 limit, right = min(limit, b + 1), halves[right][0]
 
     def compatible(self, left: int, right: int) -> bool:
-        pair = left, right
+        pair = left << 32 | right
         if pair not in self.pairs:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[pair] = self._across(left, right, float("inf"))
         return self.pairs[pair]
@@ -110,7 +184,7 @@ class PrefixBpe:
         n = len(symbols)
         last: list[int] = [-1] * (n + 1)
         size = [0] * (n + 1)
-        for stop, (length, token) in self.automaton.iter(text):
+        for stop, length, token in self.automaton.matches(text):
             # the suffix and the symbol before it are one place
             end = stop if text[stop] == _END else stop + 1
             begin = stop + 1 - length
@@ -128,15 +202,14 @@ class PrefixBpe:
 
     def chunk(self, text: str) -> bytes:
         """Ids of a normalized text without white space, as little-endian unsigned 32-bit integers."""
-        symbols, ids = self.symbols, []
+        symbols, ids = self.symbols, b""
         for w in self.split.findall(text):
             own = self.words.get(w)
             if own is None:
-                own = self.word("".join([symbols[b] for b in w.encode()]))
-                if len(self.words) < CACHE_WORDS:
-                    self.words[w] = own
+                own = np.array(self.word("".join([symbols[b] for b in w.encode()])), "<u4").tobytes()
+                self.words.keep(w, own)
             ids += own
-        return np.array(ids, "<u4").tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text; the special tokens' strings give their ids, as in the library."""
@@ -152,8 +225,7 @@ class PrefixBpe:
                 for k, g in enumerate(got):
                     if g is None:
                         got[k] = self.chunk(chunks[k])
-                        if len(known) < CACHE_WORDS:
-                            known[chunks[k]] = got[k]
+                        known.keep(chunks[k], got[k])
             out += got
         return b"".join(out)
 

@@ -11,7 +11,7 @@ their rank among the pieces of their length, counted in salted parts.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from .common import cut, in_batches, rows_of
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Parts in which the pieces of one length are ranked.
-SALTS = 64
+#: Pieces of one length that are ranked together, about: a length has as many parts as that takes.
+PART_PIECES = 1 << 16
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -137,26 +137,39 @@ def _longest_pair(left: _Left, j: int, room: int) -> int:
 
 
 def best_fit(left: _Left, capacity: int) -> list[tuple[list[int], int]]:
-    """Fill sequences one pattern at a time: the longest piece left, then always the longest that still fits; two pieces that fill the room exactly come before one that does not."""
-    made = []
-    while left.sizes:
-        pattern = [left.sizes[-1]]
-        room = capacity - pattern[0]
-        while room and (s := left.upto(room, pattern)) is not None:
-            if s < room:
-                for a in left.sizes:
-                    b = room - a
-                    if a > b:
-                        break
-                    if left.count.get(b, 0) > [*pattern, a].count(b) and left.count[a] > pattern.count(a):
-                        s = b
-                        break
-            pattern.append(s)
-            room -= s
-        n = left.times(pattern)
-        made.append((pattern, n))
-        left.take(pattern, n)
-    return made
+    """Best-fit decreasing: each piece, longest first, goes into the fullest open sequence that takes it, or opens one.
+
+    A sequence that takes a piece is fuller than before, so the next piece of that
+    length goes there too while it fits: equal sequences fill together.
+    """
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room left
+    rooms: list[int] = []
+
+    def add(room: int, pattern: tuple[int, ...], n: int) -> None:
+        if n:
+            if room not in open_:
+                insort(rooms, room)
+            open_.setdefault(room, []).append((pattern, n))
+
+    for size in reversed(left.sizes):
+        n = left.count[size]
+        while n:
+            k = bisect_left(rooms, size)
+            if k == len(rooms):
+                each = capacity // size
+                add(capacity - each * size, (size,) * each, n // each)
+                add(capacity - n % each * size, (size,) * (n % each), 1 if n % each else 0)
+                break
+            room = rooms[k]
+            pattern, there = open_[room].pop()
+            if not open_[room]:
+                del open_[room], rooms[k]
+            each = min(room // size, n)
+            some = min(there, n // each)
+            add(room, pattern, there - some)
+            add(room - each * size, pattern + (size,) * each, some)
+            n -= each * some
+    return [([*p], n) for own in open_.values() for p, n in own]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -187,14 +200,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``ids_crc32`` that tells rows with the same numbers apart; other columns are
     kept. Only the histogram, at most ``capacity`` rows, reaches the driver.
     """
-    for name in ("sequence_id", "offset", "_salt", "_rank", "_before"):
+    for name in ("sequence_id", "offset", "_salt", "_salts", "_rank", "_before"):
         pieces = pieces.drop(name)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    parts = cut(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")))
-    counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    each = cut(pieces.groupBy("length").agg(F.count("*").alias("n")))
+    counts = {r.length: r.n for r in each.collect()}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("a piece is empty or longer than a sequence")
     table = places(plan(counts, capacity))
+    salts = F.broadcast(each.select("length", F.ceil(F.col("n") / PART_PIECES).alias("_salts")))  # at most ``capacity`` rows
+    salted = pieces.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_salts"))).select(*pieces.columns, "_salt")
+    parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     before = parts.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
     own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1

@@ -134,11 +134,20 @@ class EliasFano:
         self.highs = np.frombuffer(raw, np.uint8, c, at + a + b)
         self.end = at + a + b + c
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.int64) << self.low
-        bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
-        return high + (bits.astype(np.int64) << np.arange(self.low)).sum(axis=1, dtype=np.int64)
+    def between(self, a: int, b: int) -> np.ndarray:
+        """Values a to b - 1: select from the sample before a to the one behind b, reading no more of the bit maps than lies there."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError(a, b)
+        if a == b:
+            return np.zeros(0, np.int64)
+        k, m = a // SAMPLE, -(-b // SAMPLE)
+        start, stop = int(self.samples[k]), int(self.samples[m]) if m < len(self.samples) else 8 * len(self.highs)
+        ones = np.flatnonzero(np.unpackbits(self.highs[start // 8 : -(-stop // 8)], bitorder="little")) + start // 8 * 8
+        ones = ones[np.searchsorted(ones, start) :][a - k * SAMPLE : b - k * SAMPLE]
+        high = (ones - np.arange(a, b)).astype(np.int64) << self.low
+        first = a * self.low // 8
+        bits = np.unpackbits(self.lows[first : -(-b * self.low // 8)], bitorder="little")[a * self.low - 8 * first :][: (b - a) * self.low]
+        return high + (bits.reshape(b - a, self.low).astype(np.int64) << np.arange(self.low)).sum(axis=1, dtype=np.int64)
 
     def select(self, i: int) -> int:
         """Value i: from the nearest sample, count ones by byte, then by bit."""
@@ -177,15 +186,38 @@ def write_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     return data + struct.pack("<I", zlib.crc32(data))
 
 
-def read_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, boundaries (one more than documents) and the ids of a segment."""
+class Segment:
+    """A segment's documents; ids and offsets of some come by select, no table of all is made."""
+
+    def __init__(self, none: int, base: int, keys: EliasFano, ends: EliasFano, ids: np.ndarray):
+        self.none, self.base, self.keys, self.ends, self.ids = none, base, keys, ends, ids
+
+    def __len__(self) -> int:
+        return self.ends.n
+
+    def documents(self, a: int, b: int) -> list[int | None]:
+        """Document ids a to b - 1."""
+        named = self.keys.between(max(0, a - self.none), max(0, b - self.none)) + self.base
+        return [None] * (min(b, self.none) - min(a, self.none)) + named.tolist()
+
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Where documents a to b - 1 begin, and where the last of them ends."""
+        ends = self.ends.between(max(0, a - 1), b)
+        return ends if a else np.append(0, ends)
+
+    def tokens(self, i: int) -> np.ndarray:
+        """The ids of document i alone."""
+        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+
+
+def read_segment(raw: bytes) -> Segment:
     if raw[: len(MAGIC)] != MAGIC or zlib.crc32(raw[:-4]) != struct.unpack("<I", raw[-4:])[0]:
         raise ValueError("not a whole segment file")
     size, none, base, n = struct.unpack_from("<BIqQ", raw, len(MAGIC))
     keys = EliasFano(raw, len(MAGIC) + struct.calcsize("<BIqQ"))
     ends = EliasFano(raw, keys.end)
     ids = np.frombuffer(raw, f"<u{size}", n, ends.end)
-    return [None] * none + (keys.all() + base).tolist(), np.concatenate([[0], ends.all()]), ids
+    return Segment(none, base, keys, ends, ids)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS) -> None:
@@ -242,13 +274,13 @@ def read_tokens(segments: DataFrame) -> DataFrame:
     def run(batches):
         for ats, blobs in rows_of(batches, "at", "segment"):
             for at, raw in zip(ats, blobs, strict=True):
-                docs, bounds, ids = read_segment(raw)
-                n = np.diff(bounds)
-                for k in range(0, len(docs), 256):
-                    own = [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[k : k + 256], bounds[k + 1 : k + 257], strict=False)]
-                    m = slice(k, k + len(own))
+                segment = read_segment(raw)
+                for k in range(0, len(segment), SAMPLE):
+                    stop = min(len(segment), k + SAMPLE)
+                    bounds = segment.bounds(k, stop)
+                    own = [segment.ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[m], pa.int64()), pa.array(bounds[:-1][m] + at, pa.int64()), pa.array(n[m], pa.int64()), pa.array(own, pa.binary())],
+                        [pa.array(segment.documents(k, stop), pa.int64()), pa.array(bounds[:-1] + at, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(own, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
