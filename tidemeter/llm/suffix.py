@@ -251,10 +251,11 @@ def _bits(values: list[int]) -> bytes:
     return np.array(values, "<u8").tobytes()
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES, others: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GROUP_BYTES, others: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row of docs: its text's UTF-8 bytes without those that repeat a smaller document's.
 
-    spans are the maximal removed runs, (start, end) in bytes, end exclusive; kept is what remains, as binary.
+    spans are the maximal removed runs, (start, end) in bytes, end exclusive; kept is what remains, as binary,
+    or with ``as_text`` as a string, from which a character that is cut in two goes whole.
     Columns named in ``others`` are carried along.
     Null texts count as empty. Rows without a doc_id keep everything and remove nothing.
     Rows that share a doc_id remove nothing from each other. length is 32 to 79.
@@ -340,7 +341,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
                     else:
                         spans.append((a, b))
             kept = b"".join(text[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(text)], strict=True))
-            rows.append((d, len(text), [{"start": a, "end": b} for a, b in spans], kept))
+            rows.append((d, len(text), [{"start": a, "end": b} for a, b in spans], kept.decode("utf-8", "ignore") if as_text else kept))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
         return out.assign(doc_id=out["doc_id"].astype("Int64"), **{c: group.frame[c].to_numpy() for c in others})
 
@@ -356,5 +357,5 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
         return remove(docs_, packed[packed["kind"] == 0], packed[packed["kind"] == 1])
 
     kinds = dict(own.dtypes)
-    schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary" + "".join(f", `{c}` {kinds[c]}" for c in others)
+    schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept " + ("string" if as_text else "binary") + "".join(f", `{c}` {kinds[c]}" for c in others)
     return grouped.cogroup(back.groupBy("g")).applyInPandas(last, schema)

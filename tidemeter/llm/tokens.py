@@ -29,7 +29,7 @@ SAMPLE = 256
 #: Ids in a segment at most, but for a single longer document.
 SEGMENT_IDS = 1 << 20
 #: Bytes of words, and of parts of words, that a worker remembers; later ones are encoded each time.
-CACHE_BYTES = 48 << 20
+WORD_BYTES, PART_BYTES = 64 << 20, 16 << 20
 #: A space after white space: such texts are cut at other spaces only.
 _loose = re.compile(r"\s ")
 _cut = re.compile(r"(?<=\S) ")
@@ -52,28 +52,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known, self.parts = Known(CACHE_BYTES), Known(CACHE_BYTES)
+        self.known, self.parts = Known(WORD_BYTES), Known(PART_BYTES)
         self.tokenize = self.tokenizer.model.tokenize
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _model(self, pretoken: str) -> bytes:
+        letters = pretoken.encode().decode("latin-1").translate(_bytes)
+        return b"".join([struct.pack("<I", t.id) for t in self.tokenize(letters)])
+
     def _part(self, pretoken: str) -> bytes:
-        got = self.parts.get(pretoken)
+        """Ids of a pretoken; of a plain word after a space, those that the word is known by."""
+        held, key = (self.known, pretoken[1:]) if pretoken[0] == " " and pretoken[1:].isalpha() else (self.parts, pretoken)
+        got = held.get(key)
         if got is None:
-            letters = pretoken.encode().decode("latin-1").translate(_bytes)
-            got = b"".join([struct.pack("<I", t.id) for t in self.tokenize(letters)])
-            self.parts.keep(pretoken, got)
+            got = self._model(pretoken)
+            held.keep(key, got)
         return got
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each word with a space before it. Plain Latin words go to the library's BPE model in pretokens, all others to its whole pipeline."""
-        out, other, part = {}, [], self._part
+        out, other, part, model = {}, [], self._part, self._model
         for w in words:
             if not w or max(w) >= "\u0250" or "<|" in w:
                 other.append(w)
             elif w.isalpha():
-                out[w] = part(" " + w)
+                out[w] = model(" " + w)
             elif w[-1] in ".,!?" and w[:-1].isalpha():
                 out[w] = part(" " + w[:-1]) + part(w[-1])
             else:
