@@ -28,13 +28,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that repeat a smaller document's go; a character cut in two goes whole. Documents stay, if empty too."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    left = suffix.without_repeats(docs, others=others)
-
-    @F.pandas_udf("string")
-    def text(raw):
-        return raw.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    return _counted(left.withColumn("text", text("kept"))).select(*docs.columns)
+    left = suffix.without_repeats(docs, others=others, as_text=True)
+    return _counted(left.withColumn("text", F.col("kept"))).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
