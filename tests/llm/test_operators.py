@@ -373,6 +373,8 @@ def test_ann(spark, sf_dir):
     want = slow_top(VECTORS, 20, 20, lambda a, b: float(np.dot(a, b)), zero=False)
     assert Counter(r.query_id for r in got) == Counter(q for q, *_ in want.elements())
     assert vectors.nearest(df.limit(0), df.limit(0)).count() == 0
+    again = vectors.nearest(df, df.where("vec_id % 20 = 0"), k=20, chunk=10, query_chunk=2).collect()  # blocks in parts
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, 0) for r in own.collect()]
     want = {(q, i) for q, _, i, _ in slow_top(rows, 20, 20, lambda a, b: float(np.dot(a, b)), zero=False)}

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import cut, in_batches, width
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector): rows with an id and a vector of finite components, as doubles; repeated rows once."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+def usable(vectors: DataFrame, kind: str = "array<double>") -> DataFrame:
+    """(vec_id, vector): rows with an id and a vector of finite components, as ``kind``; repeated rows once."""
+    v = vectors.select("vec_id", F.col("embedding").cast(kind).alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.where("vec_id is not null and vector is not null").where(F.coalesce(fine, F.lit(False)))
 
@@ -188,8 +188,10 @@ def probed(x: np.ndarray, table: int, levels: int, probes: int) -> np.ndarray:
     return best_codes
 
 
-#: Hash tables; the most buckets a query looks into in each; rows of a bucket's block, and queries, that meet in one task.
-TABLES, MOST_PROBES, CHUNK, QUERY_CHUNK = 16, 2048, 4096, 1024
+#: Hash tables; the most buckets a query looks into in each; rows of a block, and queries, that meet in one task.
+TABLES, MOST_PROBES, CHUNK, QUERY_CHUNK = 16, 2048, 4096, 4096
+#: Tables that the first look goes to. Large blocks whose keys may be broadcast, at 40 bytes each; more are joined by a shuffle.
+FIRST_TABLES, BROADCAST_BLOCKS = 2, 100_000
 #: The number of probes is fitted on so many queries at most for this share of their true neighbours.
 FIT_QUERIES, FIT_RECALL = 64, 0.95
 
@@ -256,8 +258,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     Every vector is in one bucket of each table: its nearest signed axes after
     two or more pseudo-rotations, the more the larger the table. A query looks
     into the buckets whose axes are nearest to it and scores what is there
-    exactly: first into an eighth of them, which gives a score to beat, then
-    into the others, from which only better rows return. How many buckets,
+    exactly: first in two tables, which gives a score to beat, then in
+    the others, from which only better rows return. How many buckets,
     fitted_probes() finds on a bounded sample of queries. Buckets that differ in the last
     axis only are one block; large blocks are split on both sides, so
     nothing is capped. Queries that found too few look into every bucket of one table.
@@ -266,10 +268,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     another length are no candidates, a row repeated whole counts once.
     """
     some = F.exists("vector", lambda x: x != 0)
+    # floats stay floats while they travel; every product is one of doubles
+    single = dict(vectors.dtypes)["embedding"] == dict(queries.dtypes)["embedding"] == "array<float>"
+    kind, arrow = ("array<float>", pa.list_(pa.float32())) if single else ("array<double>", pa.list_(pa.float64()))
     size = lambda x: x.withColumn("d", F.size("vector"))
     named = lambda x, name: x.select(F.monotonically_increasing_id().alias(name), "*")
-    folded = cut(named(size(classes(usable(vectors).where(some), k + 1)), "c"))
-    ids = cut(usable(queries).where(some).select(F.col("vec_id").alias("query_id"), "vector").distinct())
+    folded = cut(named(size(classes(usable(vectors, kind).where(some), k + 1)), "c"))
+    ids = cut(usable(queries, kind).where(some).select(F.col("vec_id").alias("query_id"), "vector").distinct())
     asked = cut(named(size(ids.select("vector").distinct()), "q"))
     counts = {r.d: r.n for r in folded.groupBy("d").agg(F.count("*").alias("n")).collect()}
     probes = fitted_probes(folded, asked, k, tables, counts)
@@ -290,27 +295,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                 for t in range(tables):
                     code = codes(x, t, levels[d])
                     yield pa.RecordBatch.from_arrays(
-                        [own.column("d"), pa.array(np.full(len(x), t), pa.int32()), pa.array(code // axes(d)), pa.array(code % axes(d), pa.int32()), own.column("c"), own.column("low"), own.column("vector").cast(pa.list_(pa.float64()))],
+                        [own.column("d"), pa.array(np.full(len(x), t), pa.int32()), pa.array(code // axes(d)), pa.array(code % axes(d), pa.int32()), own.column("c"), own.column("low"), own.column("vector").cast(arrow)],
                         ["d", "t", "cell", "sub", "c", "low", "vector"],
                     )
 
-    row = "d int, t int, cell long, sub int, c long, low long, vector array<double>"
+    row = f"d int, t int, cell long, sub int, c long, low long, vector {kind}"
     right = in_batches(folded.select("d", "c", F.element_at("ids", 1).alias("low"), "vector")).mapInArrow(placed, row)
     right = cut(right)
     keys = ["d", "t", "cell"]
-    blocks = cut(right.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")))
+    large = cut(right.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))
 
-    def looks(share: slice | None):
-        """Blocks of each query and the last axes it looks at in them; all blocks of table 0 without a share."""
+    def looks(at_tables: range):
+        """Blocks of each query in these tables and the last axes it looks at in them."""
 
         def run(batches):
             for batch in batches:
                 for d, own, x in lengths(batch):
-                    for t in range(tables if share else 1):
+                    for t in at_tables:
                         for at in range(0, len(x), 64):
                             few = slice(at, at + 64)
-                            n = probes[d] if d in probes else 1
-                            code = probed(x[few], t, levels[d], n)[:, slice(*(None if s is None else max(1, n // 8) for s in (share.start, share.stop)))]
+                            code = probed(x[few], t, levels[d], probes.get(d, 1))
                             who = np.repeat(np.arange(len(x[few])), code.shape[1])
                             cell, sub = code.ravel() // axes(d), code.ravel() % axes(d)
                             order = np.lexsort((sub, cell, who))
@@ -318,7 +322,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                             begin = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (cell[1:] != cell[:-1]))[: len(who)])
                             mine = own.take(pa.array(who[begin] + at))
                             yield pa.RecordBatch.from_arrays(
-                                [mine.column("d"), pa.array(np.full(len(begin), t), pa.int32()), pa.array(cell[begin]), mine.column("q"), mine.column("least"), mine.column("vector").cast(pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(np.append(begin, len(sub)), pa.int32()), pa.array(sub, pa.int32()))],
+                                [mine.column("d"), pa.array(np.full(len(begin), t), pa.int32()), pa.array(cell[begin]), mine.column("q"), mine.column("least"), mine.column("vector").cast(arrow), pa.ListArray.from_arrays(pa.array(np.append(begin, len(sub)), pa.int32()), pa.array(sub, pa.int32()))],
                                 ["d", "t", "cell", "q", "least", "vector", "subs"],
                             )
 
@@ -355,31 +359,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         found = np.concatenate(held)
         return pa.table({"q": found[:, 0], "c": found[:, 1], "low": found[:, 2], "score": np.concatenate(score)})
 
-    def visit(asks: DataFrame, run, more: DataFrame | None = None) -> DataFrame:
-        """The k + 1 best classes of each query."""
-        left = in_batches(asks).mapInArrow(run, "d int, t int, cell long, q long, least double, vector array<double>, subs array<int>") if run else asks
-        turns = left.groupBy(*keys).agg(F.ceil(F.count("*") / query_chunk).cast("int").alias("turns")).join(blocks, keys)
-        left, turns = cut(left), cut(turns)
-        a = left.join(turns, keys).select(*left.columns, F.pmod(F.xxhash64("q"), F.col("turns")).cast("int").alias("qc"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("cc"))
-        b = right.join(turns, keys).select(*right.columns, F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("cc"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("qc"))
+    def parted(df: DataFrame, sizes: DataFrame, own: str, n: str, part: str, other: str, m: str) -> DataFrame:
+        """df with its part of a large block, once for each part of the other side: both are 0 elsewhere."""
+        known = df.join(sizes, keys, "left")
+        here, there = (F.coalesce(c, F.lit(1)) for c in (n, m))
+        out = known.withColumn(part, F.pmod(F.xxhash64(own), here).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), there - 1)))
+        return out.select(*df.columns, part, other).toDF(*df.columns, part, other)  # columns of their own: both sides may come from one table
+
+    def visit(left: DataFrame, rows: DataFrame, asks: int, more: DataFrame | None = None) -> DataFrame:
+        """The k + 1 best classes of each query; asks: how many queries there are."""
+        sizes = large.withColumn("turns", F.lit(1))
+        if asks > query_chunk:
+            left = cut(left)
+            many = left.groupBy(*keys).agg(F.ceil(F.count("*") / query_chunk).cast("int").alias("turns")).where("turns > 1")
+            sizes = cut(large.join(many, keys, "full"))
+        n = sizes.count()
+        sizes = F.broadcast(sizes) if n <= BROADCAST_BLOCKS else sizes
+        if n:
+            a, b = parted(left, sizes, "q", "turns", "qc", "cc", "chunks"), parted(rows, sizes, "c", "chunks", "cc", "qc", "turns")
+        else:
+            a, b = (x.select("*", F.lit(0), F.lit(0)).toDF(*x.columns, "qc", "cc") for x in (left, rows))
         by = [*keys, "qc", "cc"]
-        a, b = (x.toDF(*x.columns) for x in (a, b))  # columns of their own: both come from one table
         found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(search, "q long, c long, low long, score double")
         found = found.unionByName(more) if more is not None else found
         each = found.repartition("q").groupBy("q", "c").agg(F.max("low").alias("low"), F.max("score").alias("score"))
         order = Window.partitionBy("q").orderBy(F.desc("score"), "low")
         return cut(each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r"))
 
-    none = F.lit(None).cast("double").alias("least")
-    first = visit(asked.select("d", "q", "vector", none), looks(slice(None, 1)))
+    def asking(own: DataFrame, at_tables: range) -> DataFrame:
+        return in_batches(own.select("d", "q", "vector", "least")).mapInArrow(looks(at_tables), f"d int, t int, cell long, q long, least double, vector {kind}, subs array<int>")
+
+    none, m = F.lit(None).cast("double").alias("least"), asked.count()
+    start = min(FIRST_TABLES, tables)
+    first = visit(asking(asked.select("*", none), range(start)), right.where(F.col("t") < start), m)
     enough = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") > k).drop("n")
-    found = visit(asked.join(enough, "q", "left").select("d", "q", "vector", "least"), looks(slice(1, None)), first)
+    found = visit(asking(asked.join(enough, "q", "left"), range(start, tables)), right.where(F.col("t") >= start), m, first)
     short = cut(asked.join(found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k), "q", "left_anti"))
     if not short.isEmpty():
-        every = cut(right.where("t = 0").select(*keys).distinct())
+        every = right.where("t = 0").select(*keys).distinct()
         subs = F.sequence(F.lit(0), (2 * F.pow(2, F.ceil(F.log2(F.greatest("d", F.lit(2)))))).cast("int") - 1).alias("subs")
         all_of = short.join(every, "d").select("d", "t", "cell", "q", none, "vector", subs)
-        found = found.join(short, "q", "left_anti").unionByName(visit(all_of, None))
+        found = found.join(short, "q", "left_anti").unionByName(visit(all_of, right.where("t = 0"), m))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     each = found.join(folded.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     top = each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select("q", "score", "vec_id")
