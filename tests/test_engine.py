@@ -40,11 +40,17 @@ def test_flags_at_an_advertised_reset():
     assert [g[0] for g in got] == [False, True, False]
 
 
-def windows(bucket, obs, turns, fallback=0.0):
-    """obs: (ms, pct, reset after ms, flag '' / 'inv' / 'sat' / 'satonly')."""
-    o = pd.DataFrame([(i, t, p, t + r if r is not None else None, f != "inv", f == "sat") for i, (t, p, r, f) in enumerate(obs)], columns=["id", "ts_unix_ms", "pct", "reset_ms", "valid", "saturated"])
-    t = pd.DataFrame([(ms, s, "p", float(c), int(c)) for s, c, ms in turns], columns=["ts_unix_ms", "session_uuid", "project", "cw_tokens", "raw_tokens"]).sort_values("ts_unix_ms").reset_index(drop=True)
-    return {(w, s): (m, e) for w, s, _, m, e, *_ in att.attribute(bucket, o, t, fallback)}
+def windows(spark, bucket, cases):
+    """Movement by window and session of each case: obs (ms, pct, reset after ms, flag '' / 'inv' / 'sat'), turns (session, cost, ms), median price. Cases are accounts."""
+    o = [(i, n, bucket, t, p, t + r if r is not None else None, f == "sat", f != "inv") for n, (obs, *_) in enumerate(cases) for i, (t, p, r, f) in enumerate(obs)]
+    t = [(i, n, ms, s, "p", c, c * 100) for n, (_, turns, *_) in enumerate(cases) for i, (s, c, ms) in enumerate(turns)]
+    flags = spark.createDataFrame(o, "id long, account_id long, bucket string, ts_unix_ms long, pct long, reset_ms long, saturated boolean, valid boolean")
+    turns = spark.createDataFrame(t, "event_id long, account_id long, ts_unix_ms long, session_uuid string, project string, raw_tokens long, cw100 long")
+    medians = spark.createDataFrame([(n, bucket, float(c[2])) for n, c in enumerate(cases)], "account_id long, bucket string, median_cw_per_pct double")
+    out = [{} for _ in cases]
+    for r in att.attribution(flags, turns, medians).where(F.col("bucket") == bucket).collect():
+        out[r.account_id][r.window_start_ms, r.session_uuid] = r.measured_pct, r.estimated_pct
+    return out
 
 
 def by_session(rows):
@@ -58,35 +64,42 @@ def by_session(rows):
 W = 7 * DAY
 
 
-@pytest.mark.parametrize(
-    "obs, turns, rate, expected",
-    [
-        ([(0, 10, W, ""), (HOUR, 20, W, "")], [("a", 300, 10 * MIN), ("b", 100, 20 * MIN)], 0, {"a": (7.5, 0), "b": (2.5, 0)}),
-        ([(0, 50, HOUR, ""), (2 * HOUR, 3, W, ""), (3 * HOUR, 12, W, "")], [("c", 500, 65 * MIN)], 0, {"c": (12, 0)}),
-        ([(0, 10, W, ""), (HOUR, 18, W, "")], [], 0, {"": (8, 0)}),
-        ([(0, 10, W, ""), (HOUR, 12, W, "")], [("a", 400, 30 * MIN), ("b", 1000, 2 * HOUR)], 500, {"a": (2, 0), "b": (0, 2)}),
-        ([(0, 90, W, ""), (HOUR, 99, W, "sat"), (2 * HOUR, 99, W, "sat")], [("a", 100, 30 * MIN), ("b", 1000, 90 * MIN)], 500, {"a": (0, 0.2), "b": (0, 2)}),
-        ([(0, 10, W, ""), (HOUR, 4, W, "inv"), (2 * HOUR, 30, W, "")], [("a", 100, 90 * MIN)], 0, {"a": (20, 0)}),
-        ([], [("a", 500, 0), ("b", 1500, 8 * DAY)], 500, {"a": (0, 1), "b": (0, 3)}),
-        ([(0, 10, W, ""), (2 * HOUR, 30, W, "")], [("a", 20000, HOUR), ("b", 5000, 3 * HOUR)], 250, {"a": (20, 0), "b": (0, 5)}),
-        ([(0, 10, W, ""), (HOUR, 18, W, ""), (90 * MIN, 99, W, "sat"), (2 * HOUR, 18, W, ""), (3 * HOUR, 22, W, "")], [("a", 8000, 30 * MIN), ("b", 4000, 150 * MIN)], 0, {"a": (8, 0), "b": (4, 0)}),
-        ([(0, 10, W, ""), (HOUR, 11, W, "")], [("a", 1, 30 * MIN)], 0, {"a": (1, 0)}),
-    ],
-)
-def test_attribution(obs, turns, rate, expected):
-    assert by_session(windows("week", obs, turns, rate)) == expected
-
-
-def test_attribution_shares_sum_to_the_movement():
-    obs = [(i * HOUR, p, W, "") for i, p in enumerate((5, 11, 26, 31))]
-    got = windows("week", obs, [("a", 137, 10 * MIN), ("b", 921, 70 * MIN), ("a", 44, 80 * MIN), ("c", 611, 160 * MIN)])
-    assert abs(sum(m for m, _ in got.values()) - 26) < 0.01
-
-
-def test_attribution_caps_what_a_few_turns_explain():
-    obs = [(0, 10, W, ""), (HOUR, 18, W, ""), (90 * MIN, 99, W, "sat"), (2 * HOUR, 18, W, ""), (3 * HOUR, 20, W, "")]
-    got = by_session(windows("week", obs, [("a", 8000, 30 * MIN), ("b", 20, 150 * MIN)]))
-    assert abs(got["b"][0] - 40 / 802) < 1e-4 and got["a"][0] == 8 and abs(sum(m for m, _ in got.values()) - 10) < 0.01
+ATTRIBUTED = [
+    ([(0, 10, W, ""), (HOUR, 20, W, "")], [("a", 300, 10 * MIN), ("b", 100, 20 * MIN)], 0, {"a": (7.5, 0), "b": (2.5, 0)}),
+    ([(0, 50, HOUR, ""), (2 * HOUR, 3, W, ""), (3 * HOUR, 12, W, "")], [("c", 500, 65 * MIN)], 0, {"c": (12, 0)}),
+    ([(0, 10, W, ""), (HOUR, 18, W, "")], [], 0, {"": (8, 0)}),
+    ([(0, 10, W, ""), (HOUR, 12, W, "")], [("a", 400, 30 * MIN), ("b", 1000, 2 * HOUR)], 500, {"a": (2, 0), "b": (0, 2)}),
+    ([(0, 90, W, ""), (HOUR, 99, W, "sat"), (2 * HOUR, 99, W, "sat")], [("a", 100, 30 * MIN), ("b", 1000, 90 * MIN)], 500, {"a": (0, 0.2), "b": (0, 2)}),
+    ([(0, 10, W, ""), (HOUR, 4, W, "inv"), (2 * HOUR, 30, W, "")], [("a", 100, 90 * MIN)], 0, {"a": (20, 0)}),
+    ([], [("a", 500, 0), ("b", 1500, 8 * DAY)], 500, {"a": (0, 1), "b": (0, 3)}),
+    ([(0, 10, W, ""), (2 * HOUR, 30, W, "")], [("a", 20000, HOUR), ("b", 5000, 3 * HOUR)], 250, {"a": (20, 0), "b": (0, 5)}),
+    ([(0, 10, W, ""), (HOUR, 18, W, ""), (90 * MIN, 99, W, "sat"), (2 * HOUR, 18, W, ""), (3 * HOUR, 22, W, "")], [("a", 8000, 30 * MIN), ("b", 4000, 150 * MIN)], 0, {"a": (8, 0), "b": (4, 0)}),
+    ([(0, 10, W, ""), (HOUR, 11, W, "")], [("a", 1, 30 * MIN)], 0, {"a": (1, 0)}),
+    ([(0, 10, W, ""), (HOUR, 12, W, "")], [("old", 1000, -3 * DAY)], 500, {"": (2, 0), "old": (0, 2)}),
+    ([(HOUR, 5, HOUR // 2, ""), (2 * HOUR, 7, None, ""), (3 * HOUR, 9, W, ""), (4 * HOUR, 12, W, "")], [("a", 100, 110 * MIN), ("b", 300, 200 * MIN)], 0, {"a": (6.9, 0), "b": (7.1, 0)}),
+]
+
+
+def test_attribution(spark):
+    got = windows(spark, "week", ATTRIBUTED)
+    for rows, (*_, expected) in zip(got[:-1], ATTRIBUTED[:-1], strict=True):
+        assert by_session(rows) == expected
+    # the last one's second window begins at its advertised start, before the first one's last reading: a turn counts in both
+    assert set(got[-1]) == {(HOUR, "a"), (HOUR + HOUR // 2, "a"), (HOUR + HOUR // 2, "b")}
+
+
+def test_attribution_in_two_windows_of_a_session(spark):
+    (got,) = windows(spark, "session", [([(0, 60, 30 * MIN, ""), (HOUR, 8, 5 * HOUR, ""), (2 * HOUR, 25, 4 * HOUR, "")], [("a", 100, 90 * MIN)], 0)])
+    assert by_session(got) == {"a": (25, 0)}
+
+
+def test_attribution_shares_and_caps(spark):
+    rises = [(i * HOUR, p, W, "") for i, p in enumerate((5, 11, 26, 31))]
+    capped = [(0, 10, W, ""), (HOUR, 18, W, ""), (90 * MIN, 99, W, "sat"), (2 * HOUR, 18, W, ""), (3 * HOUR, 20, W, "")]
+    a, b = windows(spark, "week", [(rises, [("a", 137, 10 * MIN), ("b", 921, 70 * MIN), ("a", 44, 80 * MIN), ("c", 611, 160 * MIN)], 0), (capped, [("a", 8000, 30 * MIN), ("b", 20, 150 * MIN)], 0)])
+    assert abs(sum(m for m, _ in a.values()) - 26) < 0.01
+    few = by_session(b)
+    assert abs(few["b"][0] - 40 / 802) < 1e-4 and few["a"][0] == 8 and abs(sum(m for m, _ in b.values()) - 10) < 0.01
 
 
 def flags(spark, rows):

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
@@ -13,47 +11,55 @@ PERIOD = {"session": 5 * HOUR_MS, "week": 168 * HOUR_MS}
 MIN_GAP = {"session": 4 * HOUR_MS, "week": 48 * HOUR_MS}
 AHEAD = {"session": 6 * HOUR_MS, "week": 192 * HOUR_MS}
 MIN_DELTA, MAX_RATIO = 3, 2.0
+#: Slots of time in which turns meet what happened to a meter.
+SLOT = {"session": HOUR_MS, "week": 24 * HOUR_MS}
+SERIES = ("account_id", "bucket")
 
 
-def half_up(x: float, digits: int) -> float:
-    scale = 10**digits
-    return float(np.sign(x) * np.floor(abs(x) * scale + 0.5) / scale)
+def half_up(x: Column, digits: int) -> Column:
+    scale = float(10**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
 
 
-def segment(ts: list, reset: list, bucket: str) -> tuple[list[int], list[tuple[int, int]]]:
-    """Number of each reading's window, and (advertised start, start by reading) of each window.
+def of_bucket(values: dict[str, int]) -> Column:
+    return F.when(F.col("bucket") == "week", F.lit(values["week"])).otherwise(F.lit(values["session"])).cast("bigint")
 
-    A credible reset further than the least step beyond the one in force begins a
-    window; smaller moves are jitter and change nothing.
-    """
-    number, starts, due = [], [(ts[0], ts[0])] if ts else [], None
-    for t, r in zip(ts, reset, strict=True):
-        if r is not None and t <= r <= t + AHEAD[bucket]:
-            if due is None:
-                due = r
-            elif r > due + MIN_GAP[bucket]:
-                starts.append((min(max(due, starts[-1][0] + 1), t), t))
-                due = r
-        number.append(len(starts) - 1)
-    return number, starts
 
+def slot_of(ms: Column) -> Column:
+    return F.floor(ms / of_bucket(SLOT)).cast("bigint")
 
-def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["ts_unix_ms", "id"], kind="stable").reset_index(drop=True)
 
+def _series() -> Window:
+    return Window.partitionBy(*SERIES).orderBy("ts_unix_ms", "id")
 
-def segments(flags: DataFrame) -> DataFrame:
-    """usage_flags() rows with their window's number, its advertised start and the reading that began it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _lists(pdf)
-        reset = [None if pd.isna(x) else int(x) for x in pdf["reset_ms"]]
-        number, starts = segment(pdf["ts_unix_ms"].tolist(), reset, pdf["bucket"].iloc[0])
-        out = pdf.assign(window=number, start_ms=[starts[n][0] for n in number], seen_ms=[starts[n][1] for n in number])
-        return out.assign(pct=out["pct"].astype("Int64"), reset_ms=out["reset_ms"].astype("Int64"))
+def window_starts(flags: DataFrame) -> DataFrame:
+    """(account_id, bucket, window, start_ms, seen_ms, id): the advertised start of each window and the reading that began it.
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in flags.dtypes) + ", window long, start_ms long, seen_ms long"
-    return flags.groupBy("account_id", "bucket").applyInPandas(run, schema)
+    A credible reset further than the least step beyond the one in force begins a
+    window; smaller moves are jitter and change nothing. Only a reset beyond all
+    before it can do so, which leaves about a row a window to be walked through.
+    """
+    credible = F.when(F.col("reset_ms").between(F.col("ts_unix_ms"), F.col("ts_unix_ms") + of_bucket(AHEAD)), F.col("reset_ms"))
+    f = flags.select(*SERIES, "ts_unix_ms", "id", credible.alias("r"))
+    f = f.withColumns({"n": F.row_number().over(_series()), "high": F.max("r").over(_series().rowsBetween(Window.unboundedPreceding, -1))})
+    few = f.where("n = 1 or r > coalesce(high, r - 1)")
+    walked = few.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("ts_unix_ms", "id", "r"))).alias("x"), F.first(of_bucket(MIN_GAP)).alias("gap"))
+    one = "named_struct('start_ms', {}, 'seen_ms', {}, 'id', {})".format
+    starts = F.expr(f"""aggregate(x, named_struct('due', cast(null as bigint), 's', array({one("x[0].ts_unix_ms", "x[0].ts_unix_ms", "x[0].id")})), (a, y) -> CASE
+        WHEN y.r IS NULL THEN a
+        WHEN a.due IS NULL THEN named_struct('due', y.r, 's', a.s)
+        WHEN y.r > a.due + gap THEN named_struct('due', y.r, 's', concat(a.s, array({one("least(greatest(a.due, element_at(a.s, -1).start_ms + 1), y.ts_unix_ms)", "y.ts_unix_ms", "y.id")})))
+        ELSE a END, a -> a.s)""")
+    each = walked.select(*SERIES, F.posexplode(starts).alias("window", "w"))
+    return each.select(*SERIES, F.col("window").cast("bigint").alias("window"), "w.start_ms", "w.seen_ms", "w.id")
+
+
+def segments(flags: DataFrame) -> DataFrame:
+    """usage_flags() rows with their window's number, its advertised start and the reading that began it."""
+    begun = window_starts(flags).select(*SERIES, "id", F.struct("window", "start_ms", "seen_ms").alias("_w"))
+    placed = F.last("_w", ignorenulls=True).over(_series().rowsBetween(Window.unboundedPreceding, 0))
+    return flags.join(begun, [*SERIES, "id"], "left").withColumn("_w", placed).select(*flags.columns, "_w.window", "_w.start_ms", "_w.seen_ms")
 
 
 def limit_windows(flags: DataFrame, now_ms: int) -> DataFrame:
@@ -65,94 +71,99 @@ def limit_windows(flags: DataFrame, now_ms: int) -> DataFrame:
     return w.select("account_id", "bucket", "window", "start_ms", F.coalesce(nxt, F.greatest(F.lit(now_ms), F.col("start_ms") + 1)).alias("end_ms"), "readings", "peak_pct", "hit_cap", (F.col("window") == 0).alias("partial"), nxt.isNull().alias("in_progress"))
 
 
-def spans_of(ts: list, pct: list, good: list, saturated: list, start: int, partial: bool) -> list[tuple[int, int, int]]:
-    """(after, until, rise) of each run of a window: turns in (after, until] paid for the rise.
+def spans(seg: DataFrame) -> DataFrame:
+    """(account_id, bucket, window, start_ms, run, after_ms, until_ms, rise): turns in (after, until] paid for a run's rise.
 
     Runs end at saturated readings. A run counts from the peak before it; the
     first of a whole window counts from zero at the window's start.
     """
-    runs: list[list[int]] = [[]]
-    for i, full in enumerate(saturated):
-        if full:
-            runs.append([])
-        elif good[i]:
-            runs[-1].append(i)
-    out, peak = [], None
-    for run in filter(None, runs):
-        low, after = pct[run[0]], ts[run[0]]
-        if peak is None and not partial:
-            low, after = 0, start - 1
-        elif peak is not None:
-            low = max(low, peak)
-        top = max(pct[i] for i in run)
-        out.append((after, ts[run[-1]], max(top - low, 0)))
-        peak = max(top, peak or 0)
-    return out
-
-
-def attribute(bucket: str, obs: pd.DataFrame, turns: pd.DataFrame, fallback: float) -> list[tuple]:
-    """(window start, session, project, measured, estimated, cw, raw, turns) of one account and meter; session '' holds movement that no turn explains."""
-    t, who, cw = turns["ts_unix_ms"].to_numpy(), turns["session_uuid"].to_numpy(), turns["cw_tokens"].to_numpy()
-    ts = obs["ts_unix_ms"].tolist()
-    reset = [None if pd.isna(x) else int(x) for x in obs["reset_ms"]]
-    number, starts = segment(ts, reset, bucket)
-    begin = np.array([s for s, _ in starts], np.int64)
-    pct = [None if pd.isna(x) else int(x) for x in obs["pct"]]
-    good = [p is not None and bool(v) for p, v in zip(pct, obs["valid"], strict=True)]
-    shares: list[tuple[int, int | None, float, float]] = []
-    covered = np.zeros(len(t), bool)
-    prices: list[tuple[int, float]] = []
-    for n, (start, _) in enumerate(starts):
-        own = [i for i, k in enumerate(number) if k == n]
-        pick = lambda x, own=own: [x[i] for i in own]
-        spans = spans_of(pick(ts), pick(pct), pick(good), pick(obs["saturated"].tolist()), start, n == 0)
-        held = [(np.searchsorted(t, a, "right"), np.searchsorted(t, b, "right"), b, rise) for a, b, rise in spans]
-        spent, rose = sum(float(cw[a:b].sum()) for a, b, *_ in held), sum(x[3] for x in held)
-        rate = half_up(spent / rose, 2) if rose >= MIN_DELTA and spent > 0 else 0.0
-        if rate > 0:
-            prices.append((start, rate))
-        for a, b, until, rise in held:
-            total = float(cw[a:b].sum())
-            local = 0.0 if total <= 0 else min(rise, MAX_RATIO * total / rate) if rate > 0 else float(rise)
-            shares += [(start, i, local * cw[i] / total if total > 0 else 0.0, 0.0) for i in range(a, b)]
-            covered[a:b] = True
-            if rise > local:
-                shares.append((start, None, rise - local, 0.0))
-    at = np.array([p for p, _ in prices], np.int64)
-    anchor, period = (int(begin[0]) if len(begin) else int(t[0]) if len(t) else 0), PERIOD[bucket]
-    for i in np.flatnonzero(~covered):
-        k = int(np.searchsorted(begin, t[i], "right")) - 1
-        window = int(begin[k]) if k >= 0 else anchor + (int(t[i]) - anchor) // period * period
-        rate = fallback
-        if len(at):
-            j = int(np.searchsorted(at, t[i]))
-            near = [x for x in (j - 1, j) if 0 <= x < len(at)]
-            rate = prices[min(near, key=lambda x: (abs(int(at[x]) - int(t[i])), x))][1]
-        shares.append((window, int(i), 0.0, float(cw[i]) / rate if rate > 0 else 0.0))
-    rows: dict[tuple[int, str], list] = {}
-    raw, project = turns["raw_tokens"].to_numpy(), turns["project"].to_numpy()
-    for window, i, measured, estimated in shares:
-        r = rows.setdefault((window, "" if i is None else who[i]), ["" if i is None else project[i], 0.0, 0.0, 0.0, 0, 0])
-        r[1], r[2] = r[1] + measured, r[2] + estimated
-        if i is not None:
-            r[3], r[4], r[5] = r[3] + float(cw[i]), r[4] + int(raw[i]), r[5] + 1
-    return [(w, s, p, half_up(m, 4), half_up(e, 4), half_up(c, 2), x, n) for (w, s), (p, m, e, c, x, n) in sorted(rows.items())]
+    number = F.sum(F.col("saturated").cast("int")).over(Window.partitionBy(*SERIES, "window").orderBy("ts_unix_ms", "id").rowsBetween(Window.unboundedPreceding, 0))
+    good = seg.withColumn("run", number).where("pct is not null and valid and not saturated")
+    runs = good.groupBy(*SERIES, "window", "start_ms", "run").agg(
+        F.min("ts_unix_ms").alias("a"), F.max("ts_unix_ms").alias("until_ms"), F.min_by("pct", F.struct("ts_unix_ms", "id")).alias("low"), F.max("pct").alias("top")
+    )
+    peak = F.max("top").over(Window.partitionBy(*SERIES, "window").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("peak", peak)
+    whole = F.col("peak").isNull() & (F.col("window") > 0)
+    low = F.when(whole, 0).otherwise(F.greatest("low", "peak"))
+    return runs.select(*SERIES, "window", "start_ms", "run", F.when(whole, F.col("start_ms") - 1).otherwise(F.col("a")).alias("after_ms"), "until_ms", F.greatest(F.col("top") - low, F.lit(0).cast("bigint")).alias("rise"))
+
+
+def with_rates(own: DataFrame, paid: DataFrame) -> DataFrame:
+    """spans() with what was spent in each, its window's cost-weighted tokens a point (0: unknown), and how much of the rise its turns explain."""
+    key = [*SERIES, "window", "run"]
+    own = own.join(paid.groupBy(*key).agg(F.sum("c").alias("total")), key, "left").fillna(0, ["total"])
+    w = Window.partitionBy(*SERIES, "window")
+    own = own.withColumns({"spent": F.sum("total").over(w) / 100.0, "rose": F.sum("rise").over(w)})
+    own = own.withColumn("rate", F.when((F.col("rose") >= MIN_DELTA) & (F.col("spent") > 0), half_up(F.col("spent") / F.col("rose"), 2)).otherwise(0.0))
+    rise = F.col("rise").cast("double")
+    local = F.when(F.col("total") <= 0, 0.0).when(F.col("rate") > 0, F.least(rise, F.lit(MAX_RATIO) * (F.col("total") / 100.0) / F.col("rate"))).otherwise(rise)
+    return own.withColumn("local", local)
+
+
+def around(slots: DataFrame, windows: DataFrame) -> DataFrame:
+    """For each slot (account_id, bucket, slot): the start in force as it begins, windows that start within it, the last price before and the first behind it.
+
+    windows has start_ms and rate (0: none). What is ordered is a row a slot and window, never a turn.
+    """
+    price = F.when(F.col("rate") > 0, F.struct("start_ms", "rate"))
+    begun = windows.select(*SERIES, F.col("start_ms").alias("at"), F.lit(1).alias("o"), "start_ms", price.alias("price"))
+    edge = lambda k, name: slots.select(*SERIES, ((F.col("slot") + k) * of_bucket(SLOT)).alias("at"), F.lit(0).alias("o"), F.col("slot").alias(name))
+    both = begun.unionByName(edge(0, "opens"), allowMissingColumns=True).unionByName(edge(1, "closes"), allowMissingColumns=True)
+    w = Window.partitionBy(*SERIES).orderBy("at", "o")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    both = both.withColumns({"carry": F.last("start_ms", ignorenulls=True).over(back), "before": F.last("price", ignorenulls=True).over(back), "behind": F.first("price", ignorenulls=True).over(ahead)})
+    opens = both.where("opens is not null").select(*SERIES, F.col("opens").alias("slot"), "carry", "before")
+    closes = both.where("closes is not null").select(*SERIES, F.col("closes").alias("slot"), "behind")
+    inside = windows.groupBy(*SERIES, slot_of(F.col("start_ms")).alias("slot")).agg(F.collect_list(F.struct("start_ms", "rate")).alias("inside"))
+    return opens.join(closes, [*SERIES, "slot"]).join(inside, [*SERIES, "slot"], "left")
+
+
+def estimated(free: DataFrame, windows: DataFrame, first_turns: DataFrame, medians: DataFrame) -> DataFrame:
+    """Turns outside all spans, with the window they fall in and the nearest window's price, or the median where there is none."""
+    near = around(free.select(*SERIES, "slot").distinct(), windows)
+    anchor = windows.groupBy(*SERIES).agg(F.min("start_ms").alias("first_start"))
+    t = free.join(near, [*SERIES, "slot"]).join(anchor, [*SERIES], "left").join(first_turns, "account_id").join(medians.select(*SERIES, "median_cw_per_pct"), [*SERIES], "left")
+    within = F.expr("array_max(transform(filter(inside, x -> x.start_ms <= ts_unix_ms), x -> x.start_ms))")
+    base, period = F.coalesce("first_start", "first_ms"), of_bucket(PERIOD)
+    inferred = base + F.floor((F.col("ts_unix_ms") - base) / period).cast("bigint") * period
+    price = F.expr("array_min(transform(filter(concat(array(before, behind), coalesce(inside, array())), x -> x is not null and x.rate > 0), x -> struct(abs(x.start_ms - ts_unix_ms) as d, x.start_ms as s, x.rate as rate))).rate")
+    return t.withColumns({"window_start_ms": F.coalesce(within, "carry", inferred), "rate": F.coalesce(price, "median_cw_per_pct", F.lit(0.0))})
 
 
 def attribution(flags: DataFrame, turns: DataFrame, medians: DataFrame) -> DataFrame:
-    """One row a window and session. An account's readings and turns of one meter meet in one group: the shares of a window need all of it."""
-    names = ["window_start_ms", "session_uuid", "project", "measured_pct", "estimated_pct", "cw_tokens", "raw_tokens", "turns"]
-    each = turns.select("account_id", F.explode(F.array(F.lit("session"), F.lit("week"))).alias("bucket"), "ts_unix_ms", "event_id", "session_uuid", "project", (F.col("cw100") / 100.0).alias("cw_tokens"), "raw_tokens")
-    each = each.join(medians.select("account_id", "bucket", "median_cw_per_pct"), ["account_id", "bucket"], "left")
-
-    def run(key, obs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ts_unix_ms", "event_id"]).reset_index(drop=True)
-        fallback = own["median_cw_per_pct"].iloc[0] if len(own) else 0.0
-        rows = attribute(key[1], _lists(obs), own, 0.0 if pd.isna(fallback) else float(fallback))
-        return pd.DataFrame([(key[0], key[1], *r) for r in rows], columns=["account_id", "bucket", *names])
-
-    schema = "account_id long, bucket string, window_start_ms long, session_uuid string, project string, measured_pct double, estimated_pct double, cw_tokens double, raw_tokens long, turns long"
-    return flags.groupBy("account_id", "bucket").cogroup(each.groupBy("account_id", "bucket")).applyInPandas(run, schema)
+    """(account_id, bucket, window_start_ms, session_uuid, project, measured_pct, estimated_pct, cw_tokens, raw_tokens, turns), one row a window and session.
+
+    First pass: the rise of each run is shared among the turns in its span by what they cost, up to twice what
+    they are worth at the window's price; the rest is session '', which no turn explains. Second pass: turns outside
+    all spans count by the nearest window's price. Turns meet spans and windows in slots of time,
+    so an account of any size is spread over as many tasks as it has slots.
+    """
+    each = turns.select("account_id", F.explode(F.array(F.lit("session"), F.lit("week"))).alias("bucket"), "ts_unix_ms", "event_id", "session_uuid", "project", "cw100", "raw_tokens")
+    each = each.withColumn("slot", slot_of(F.col("ts_unix_ms")))
+    seg = segments(flags)
+    own = spans(seg)
+    touched = own.select(*SERIES, "window", "run", "start_ms", "after_ms", "until_ms", F.explode(F.sequence(slot_of(F.col("after_ms")), slot_of(F.col("until_ms")))).alias("slot"))
+    met = each.alias("t").join(touched.alias("s"), [F.col(f"t.{c}") == F.col(f"s.{c}") for c in (*SERIES, "slot")] + [F.col("t.ts_unix_ms") > F.col("s.after_ms"), F.col("t.ts_unix_ms") <= F.col("s.until_ms")], "left")
+    met = met.select("t.*", "s.window", "s.run", "s.start_ms")
+    first = F.min(F.struct("ts_unix_ms", "event_id", "project")).alias("first")
+    sums = F.sum("cw100").alias("c"), F.sum("raw_tokens").alias("raw"), F.count("*").alias("n"), first
+    paid = met.where("window is not null").groupBy(*SERIES, "window", "run", "session_uuid").agg(*sums)
+    rated = with_rates(own, paid)
+    windows = seg.groupBy(*SERIES, "window").agg(F.min("start_ms").alias("start_ms")).join(rated.groupBy(*SERIES, "window").agg(F.max("rate").alias("rate")), [*SERIES, "window"], "left").fillna(0.0, ["rate"])
+    zero = F.lit(0.0)
+    measured = paid.join(rated.where("total > 0").select(*SERIES, "window", "run", "start_ms", "local", "total"), [*SERIES, "window", "run"])
+    measured = measured.select(*SERIES, F.col("start_ms").alias("window_start_ms"), "session_uuid", (F.col("local") * F.col("c") / F.col("total")).alias("m"), zero.alias("e"), "c", "raw", "n", "first")
+    nobody = rated.where("rise > local").select(*SERIES, F.col("start_ms").alias("window_start_ms"), F.lit("").alias("session_uuid"), (F.col("rise") - F.col("local")).alias("m"), zero.alias("e"), *[F.lit(0).cast("bigint").alias(x) for x in ("c", "raw", "n")])
+    free = estimated(met.where("window is null").drop("window", "run", "start_ms"), windows, turns.groupBy("account_id").agg(F.min("ts_unix_ms").alias("first_ms")), medians)
+    free = free.groupBy(*SERIES, "window_start_ms", "session_uuid", "rate").agg(*sums)
+    free = free.select(*SERIES, "window_start_ms", "session_uuid", zero.alias("m"), F.when(F.col("rate") > 0, F.col("c") / 100.0 / F.col("rate")).otherwise(0.0).alias("e"), "c", "raw", "n", "first")
+    rows = measured.unionByName(nobody, allowMissingColumns=True).unionByName(free)
+    total = rows.groupBy(*SERIES, "window_start_ms", "session_uuid").agg(F.min("first").alias("first"), *[F.sum(x).alias(x) for x in ("m", "e", "c", "raw", "n")])
+    return total.select(
+        *SERIES, "window_start_ms", "session_uuid", F.coalesce("first.project", F.lit("")).alias("project"), half_up(F.col("m"), 4).alias("measured_pct"),
+        half_up(F.col("e"), 4).alias("estimated_pct"), (F.col("c") / 100.0).alias("cw_tokens"), F.col("raw").alias("raw_tokens"), F.col("n").alias("turns"),
+    )
 
 
 def pct_totals(rows: DataFrame, owners: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""SQL for DuckDB that gives the rows of the report queries, written from the rules. The attribution reports have none: attribution itself is beyond plain SQL."""
+"""SQL for DuckDB that gives the rows of the report queries, written from the rules."""
 
 from . import sql
 
@@ -238,3 +238,70 @@ QUERIES |= {
         WALK + "," + SLICES,
     ),
 }
+
+# attribution: every turn against every span of its account, straight from the rule
+_F = "floor(abs({0}) * {1} + 0.5) / {1}.0::DOUBLE"
+ATTRIBUTION = WALK + f""",
+a_run AS (SELECT *, sum(saturated::INT) OVER (PARTITION BY account_id, bucket, win ORDER BY n) AS run FROM placed),
+a_low AS (SELECT account_id, bucket, win, run, min(start) AS start, min(ts_unix_ms) AS a, max(ts_unix_ms) AS u, arg_min(pct, n) AS low, max(pct) AS top FROM a_run WHERE pct IS NOT NULL AND valid AND NOT saturated GROUP BY 1, 2, 3, 4),
+a_peak AS (SELECT *, max(top) OVER (PARTITION BY account_id, bucket, win ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS peak FROM a_low),
+a_span AS (SELECT account_id, bucket, win, run, start, CASE WHEN peak IS NULL AND win > 0 THEN start - 1 ELSE a END AS a, u, greatest(top - CASE WHEN peak IS NOT NULL THEN greatest(low, peak) WHEN win > 0 THEN 0 ELSE low END, 0) AS rise FROM a_peak),
+a_turn AS (SELECT t.*, bucket FROM turns t, (VALUES ('session'), ('week')) v(bucket)),
+a_met AS (SELECT t.*, s.win, s.run, s.start FROM a_turn t JOIN a_span s ON s.account_id = t.account_id AND s.bucket = t.bucket AND t.ts_unix_ms > s.a AND t.ts_unix_ms <= s.u),
+a_paid AS (SELECT account_id, bucket, win, run, start, session_uuid, CAST(sum(cw100) AS BIGINT) AS c, CAST(sum(raw_tokens) AS BIGINT) AS raw, count(*) AS n FROM a_met GROUP BY 1, 2, 3, 4, 5, 6),
+a_sum AS (SELECT s.*, CAST(coalesce((SELECT sum(c) FROM a_paid p WHERE p.account_id = s.account_id AND p.bucket = s.bucket AND p.win = s.win AND p.run = s.run), 0) AS BIGINT) AS total FROM a_span s),
+a_win AS (SELECT account_id, bucket, win, CAST(sum(total) AS BIGINT) / 100.0::DOUBLE AS spent, CAST(sum(rise) AS BIGINT) AS rose FROM a_sum GROUP BY 1, 2, 3),
+a_rate AS (SELECT *, CASE WHEN rose >= 3 AND spent > 0 THEN {_F.format("(spent / rose)", 100)} ELSE 0.0::DOUBLE END AS rate FROM a_win),
+a_loc AS (SELECT *, CASE WHEN total <= 0 THEN 0.0::DOUBLE WHEN rate > 0 THEN least(rise::DOUBLE, 2.0::DOUBLE * (total / 100.0::DOUBLE) / rate) ELSE rise::DOUBLE END AS local FROM a_sum JOIN a_rate USING (account_id, bucket, win)),
+a_begin AS (SELECT account_id, bucket, win, min(start) AS start FROM placed GROUP BY 1, 2, 3),
+a_price AS (SELECT account_id, bucket, start, rate FROM a_begin JOIN a_rate USING (account_id, bucket, win) WHERE rate > 0),
+a_free AS (SELECT t.*, CASE bucket WHEN 'week' THEN 604800000 ELSE 18000000 END AS period, coalesce((SELECT min(start) FROM a_begin b WHERE b.account_id = t.account_id AND b.bucket = t.bucket), (SELECT min(ts_unix_ms) FROM turns x WHERE x.account_id = t.account_id)) AS anchor FROM a_turn t ANTI JOIN a_met m ON m.event_id = t.event_id AND m.bucket = t.bucket),
+a_near AS (
+  SELECT *, coalesce((SELECT max(start) FROM a_begin b WHERE b.account_id = f.account_id AND b.bucket = f.bucket AND b.start <= f.ts_unix_ms), anchor + CAST(floor((ts_unix_ms - anchor) / period::DOUBLE) AS BIGINT) * period) AS start,
+    coalesce((SELECT arg_min(p.rate, struct_pack(d := abs(p.start - f.ts_unix_ms), s := p.start)) FROM a_price p WHERE p.account_id = f.account_id AND p.bucket = f.bucket), (SELECT max(median_cw_per_pct) FROM a_median d WHERE d.account_id = f.account_id AND d.bucket = f.bucket), 0.0::DOUBLE) AS rate
+  FROM a_free f),
+a_est AS (SELECT account_id, bucket, start, session_uuid, rate, CAST(sum(cw100) AS BIGINT) AS c, CAST(sum(raw_tokens) AS BIGINT) AS raw, count(*) AS n FROM a_near GROUP BY 1, 2, 3, 4, 5),
+a_rows AS (
+  SELECT account_id, bucket, start, session_uuid, l.local * p.c / l.total AS m, 0.0::DOUBLE AS e, p.c, p.raw, p.n FROM a_paid p JOIN (SELECT account_id, bucket, win, run, local, total FROM a_loc WHERE total > 0) l USING (account_id, bucket, win, run)
+  UNION ALL SELECT account_id, bucket, start, '', rise - local, 0, 0, 0, 0 FROM a_loc WHERE rise > local
+  UNION ALL SELECT account_id, bucket, start, session_uuid, 0, CASE WHEN rate > 0 THEN c / 100.0::DOUBLE / rate ELSE 0 END, c, raw, n FROM a_est),
+a_home AS (SELECT session_uuid, arg_min(project, struct_pack(a := ts_unix_ms, b := event_id)) AS project, any_value(coalesce(nullif(parent_session_uuid, ''), session_uuid)) AS owner FROM turns GROUP BY 1),
+att AS (
+  SELECT account_id, bucket, start AS window_start_ms, session_uuid, coalesce(any_value(project), '') AS project, {_F.format("sum(m)", 10000)} AS measured_pct, {_F.format("sum(e)", 10000)} AS estimated_pct,
+    CAST(sum(c) AS BIGINT) / 100.0::DOUBLE AS cw_tokens, CAST(sum(raw) AS BIGINT) AS raw_tokens, CAST(sum(n) AS BIGINT) AS turns, coalesce(any_value(owner), session_uuid) AS owner
+  FROM a_rows LEFT JOIN a_home USING (session_uuid) GROUP BY 1, 2, 3, 4),
+a_slice AS (SELECT *, CASE WHEN t > 0 THEN round(pct / t, 6) END AS share FROM (SELECT *, sum(pct) OVER (PARTITION BY account_id, bucket, window_start_ms) AS t FROM (SELECT account_id, bucket, window_start_ms, owner, round(sum(measured_pct + estimated_pct), 4) AS pct FROM att GROUP BY 1, 2, 3, 4)))"""
+
+
+def attributed(body: str, more: str = "") -> str:
+    median = f"a_median AS ({QUERIES['calibration_median']}),"
+    return flags(body, median + ATTRIBUTION.lstrip() + ("," + more if more else ""), own_turns=True)
+
+
+def _groups(key: str, rows: str = "att") -> str:
+    return f"""SELECT account_id, bucket, {key}, round(sum(p), 4) AS total_pct, round(max(p), 4) AS peak_pct, round(sum(cw), 2) AS cw_tokens, count(*) AS windows, CASE WHEN {key} = '' THEN 0 ELSE any_value(s) END AS sessions
+FROM (SELECT account_id, bucket, {key}, window_start_ms, sum(measured_pct + estimated_pct) AS p, sum(cw_tokens) AS cw FROM {rows} GROUP BY 1, 2, 3, 4)
+JOIN (SELECT account_id, bucket, {key}, count(DISTINCT session_uuid) AS s FROM {rows} GROUP BY 1, 2, 3) USING (account_id, bucket, {key}) GROUP BY 1, 2, 3"""
+
+
+QUERIES |= {
+    "attribution": attributed("SELECT * EXCLUDE (owner) FROM att"),
+    "session_pct_totals": attributed("SELECT owner, account_id, bucket, round(sum(p), 4) AS total_pct, round(max(p), 4) AS peak_pct, count(*) AS windows FROM (SELECT owner, account_id, bucket, window_start_ms, sum(measured_pct + estimated_pct) AS p FROM att WHERE session_uuid <> '' GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"),
+    "attr_groups_project": attributed(_groups("project")),
+    "attr_groups_session": attributed(_groups("session_uuid")),
+    "attr_groups_cwd": attributed(
+        _groups("cwd", "wd"),
+        "wd_n AS (SELECT session_uuid, cwd, count(*) AS n, min(turn_idx) AS f FROM turns WHERE cwd <> '' GROUP BY 1, 2), wd_m AS (SELECT session_uuid AS owner, cwd FROM wd_n QUALIFY row_number() OVER (PARTITION BY session_uuid ORDER BY n DESC, f) = 1), wd AS (SELECT att.*, CASE WHEN session_uuid = '' THEN '' ELSE coalesce(nullif(wd_m.cwd, ''), '__unknown_cwd__') END AS cwd FROM att LEFT JOIN wd_m USING (owner))",
+    ),
+    "attr_totals": attributed("SELECT account_id, bucket, round(sum(measured_pct + estimated_pct), 4) AS total_pct, round(coalesce(sum(measured_pct + estimated_pct) FILTER (WHERE session_uuid = ''), 0), 4) AS unattributed_pct FROM att GROUP BY 1, 2"),
+    "window_slices": attributed("SELECT account_id, bucket, window_start_ms, owner, pct, share FROM a_slice"),
+    "attr_current_window": attributed("SELECT account_id, bucket, window_start_ms, owner, pct, share FROM a_slice QUALIFY window_start_ms = max(window_start_ms) OVER (PARTITION BY account_id, bucket)"),
+    "attr_window_slices": attributed(
+        "SELECT account_id, bucket, window_start_ms, CASE WHEN owner = '' OR r <= 8 THEN owner ELSE '__other__' END AS owner, round(sum(pct), 4) AS pct FROM (SELECT *, row_number() OVER (PARTITION BY account_id, bucket, window_start_ms, owner = '' ORDER BY pct DESC, owner) AS r FROM a_slice) GROUP BY 1, 2, 3, 4"
+    ),
+    "attr_group_windows": attributed("SELECT account_id, bucket, project, window_start_ms, round(sum(measured_pct + estimated_pct), 4) AS pct FROM att GROUP BY 1, 2, 3, 4"),
+    "session_windows": attributed(
+        "SELECT account_id, bucket, window_start_ms, end_ms, session_uuid, measured_pct, estimated_pct, peak_pct FROM att JOIN lw USING (account_id, bucket, window_start_ms) WHERE session_uuid <> ''",
+        f"lw AS (SELECT account_id, bucket, s AS window_start_ms, peak_pct, coalesce(lead(s) OVER (PARTITION BY account_id, bucket ORDER BY win), greatest({NOW}, s + 1)) AS end_ms FROM (SELECT account_id, bucket, win, min(start) AS s, max(pct) FILTER (WHERE valid AND NOT saturated) AS peak_pct FROM placed GROUP BY 1, 2, 3))",
+    ),
+}
