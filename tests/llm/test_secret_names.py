@@ -1,5 +1,7 @@
 """Secrets whose names or sizes once kept them from being found."""
 
+import time
+
 import pytest
 
 from tidemeter.llm import secrets
@@ -38,3 +40,26 @@ def test_constants_of_many_spans_and_long_values():
 def test_sums_that_double():
     lines = ['x0 = "aB3$xYz9"'] + [f"x{i + 1} = x{i} + x{i}" for i in range(3000)] + ["pwd = x3000"]
     assert literals("\n".join(lines)) == ["aB3$xYz9"]
+
+
+@pytest.mark.parametrize("part", ["a", "a=", "token=", "a[", "token:", "a ", " ", "='", "<pwd>", "'a' + ", "a: ", "<", "key="])
+def test_long_chains_are_read_once(part):
+    spent = []
+    for n in (4000, 16000):
+        text = 'password "' + part * (n // len(part))
+        spent.append(min(timed(text) for _ in range(2)))
+    assert spent[1] < 10 * spent[0] + 0.5
+
+
+def timed(text):
+    begun = time.process_time()
+    secrets.scan(text)
+    return time.process_time() - begun
+
+
+def test_bare_literal_of_many_signs():
+    print_ = ":".join(["A7", "0f", "9C", "e1"] * 8)
+    text = f"key_id: x\nprivate_key: {print_}\n"
+    assert [text[a:b] for a, k, b in secrets.scan(text) if k == "literal"] == [print_]
+    chain = "&".join(f"k{i}=v{i}" for i in range(100)) + "&token=Zx9Qw3Er7Ty1Uo5P"
+    assert [chain[a:b] for a, k, b in secrets.scan(chain)] == ["token=Zx9Qw3Er7Ty1Uo5P"]

@@ -41,9 +41,10 @@ _roots = tuple(w.encode() for w in ("key", *WEIGHTS))
 _others = bytes(i for i in range(256) if not 97 <= i <= 122)
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Or a name that no value follows: taken whole, as nothing that begins within it is a pair either, and a long run of letters is read once.
-_pair = re.compile(r"""(["']?)([A-Za-z_$][\w.$-]*+)\1[ \t]*(?:\[[^\]\n]*\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.<>\[\]]*[ \t]*(?==))?(?::=|=>|[=:])(?!=)[ \t]*|[A-Za-z_$][\w.$-]*+""")
+_pair = re.compile(r"""(["']?)([A-Za-z_$][\w.$-]*+)\1[ \t]*+(?:\[[^\[\]\n]*+\])?[ \t]*+(?::[ \t]*+[A-Za-z_][\w.<>\[\]]*[ \t]*(?==))?(?::=|=>|[=:])(?!=)[ \t]*+|[A-Za-z_$][\w.$-]*+""")
 _element = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]++)</\1>")
-_bare = re.compile(r"""[^\s,;"'(){}\[\]<>]+""")
+#: A literal without quotes; the 33rd run of = or : in it ends it, and what follows is read as a pair of its own: a long chain of pairs is read once.
+_bare = re.compile(r"""(?:[^\s,;"'(){}\[\]<>=:]++[=:]*+|[=:]++){1,33}""")
 _name = re.compile(r"[A-Za-z_$][\w.$-]*$")
 _inside = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$([A-Za-z_]\w*)")
 
