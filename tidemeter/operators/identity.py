@@ -27,6 +27,12 @@ def as_of(rows: DataFrame, intervals: DataFrame) -> DataFrame:
     return both.withColumn("resolved", F.coalesce(held, first, F.lit(1).cast("bigint"))).where("_o = 1").drop("_a", "_o")
 
 
+def merged_accounts(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """rows with each placeholder's account_id replaced by the account it turned out to be (merges: from_id, to_id). Derived tables are computed again, not moved."""
+    known = rows.join(merges.select(F.col("from_id").alias("account_id"), "to_id"), "account_id", "left")
+    return known.withColumn("account_id", F.coalesce("to_id", "account_id")).select(*rows.columns)
+
+
 def level_edges(readings: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Changes of a keyed state: the first counts if it is not 'unknown', later ones if they differ."""
     before = F.lag("state").over(Window.partitionBy(*keys).orderBy(*order))

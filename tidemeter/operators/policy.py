@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -32,6 +33,23 @@ def combined(spend: F.Column, meter: F.Column) -> tuple[F.Column, F.Column]:
     return state, F.when(state.isin("clear", "unknown"), "").when(first, "spend").otherwise("meter")
 
 
+def open_window_use(budgets: DataFrame, owned: DataFrame, windows: DataFrame, accounts: DataFrame, latest: DataFrame) -> DataFrame:
+    """budgets (cwd, bucket, spend_pct, meter_pct) with what their directory caused in the open window of its account's meter, and the pressure.
+
+    owned: with_owners() rows; windows: limit_windows(); accounts: cwd, account_id of
+    the directory's newest turn; latest: newest readings. A directory
+    without movement in a measured window has used 0; without an open window nothing is known.
+    """
+    open_ = windows.where("in_progress").select("account_id", "bucket", F.col("start_ms").alias("window_start_ms"))
+    used = owned.groupBy("account_id", "bucket", "window_start_ms", "cwd").agg(F.sum(F.col("measured_pct") + F.col("estimated_pct")).alias("used"))
+    b = budgets.join(accounts, "cwd", "left").join(open_, ["account_id", "bucket"], "left").join(used, ["account_id", "bucket", "window_start_ms", "cwd"], "left")
+    b = b.join(latest.select("account_id", "bucket", "pct"), ["account_id", "bucket"], "left")
+    b = b.withColumn("spent_pct", F.when(F.col("window_start_ms").isNotNull(), F.round(F.coalesce("used", F.lit(0.0)), 2)))
+    state, rule = combined(pressure("spend_pct", "spent_pct"), pressure("meter_pct", "pct"))
+    left = F.round(F.greatest(F.lit(0.0), F.col("spend_pct") - F.col("spent_pct")), 2)
+    return b.select("cwd", "bucket", "account_id", "spent_pct", left.alias("remaining_pct"), state.alias("state"), rule.alias("rule"))
+
+
 def lease_live(kind: str, now_ms: F.Column) -> F.Column:
     """Whether a lease holds: until revoked, to its time, or to the end of the window it is bound to, or of the next one that opens."""
     k, opened = F.col(kind), F.coalesce("open_end_ms", F.lit(0).cast("bigint"))

@@ -91,6 +91,15 @@ def nearest_price(asked: DataFrame, prices: DataFrame, keys: list[str]) -> DataF
     return both.withColumn("price", F.when(first, F.col("_back.price")).otherwise(F.col("_ahead.price"))).drop("_back", "_ahead", "_o", "_p")
 
 
+def with_owners(attribution: DataFrame, sessions: DataFrame) -> DataFrame:
+    """attribution with the effective session and its directory; sessions: session_uuid, parent_session_uuid, cwd. A subagent has its parent's directory, never its own."""
+    own = sessions.select("session_uuid", F.nullif("parent_session_uuid", F.lit("")).alias("_p"), F.col("cwd").alias("_c"))
+    parent = sessions.select(F.col("session_uuid").alias("_p"), F.col("cwd").alias("_pc"))
+    rows = attribution.join(own, "session_uuid", "left").join(parent, "_p", "left")
+    cwd = F.when(F.col("_p").isNotNull(), F.col("_pc")).otherwise(F.col("_c"))
+    return rows.select(*attribution.columns, F.coalesce("_p", "session_uuid").alias("effective_uuid"), F.coalesce(cwd, F.lit("")).alias("cwd"))
+
+
 def fold_tail(rows: DataFrame, keys: list[str], group: str, value: str, top: int) -> DataFrame:
     """Per keys the ``top`` groups by value; the others are one group OTHER, blank ones stay."""
     r = F.row_number().over(Window.partitionBy(*keys, F.col(group) == "").orderBy(F.desc(value), group))

@@ -38,7 +38,7 @@ def _logins(t: DataFrame) -> DataFrame:
 
 
 def _asof(t: DataFrame) -> DataFrame:
-    asked = t.where("event_id % 10 = 3").select("event_id", "ts_unix_ms", F.concat(F.lit("/c/"), F.col("event_id") % 5).alias("config_dir"))
+    asked = t.select("event_id", "ts_unix_ms", F.concat(F.lit("/c/"), F.col("event_id") % 5).alias("config_dir"))
     return identity.as_of(asked, identity.login_intervals(_logins(t))).select("event_id", "resolved")
 
 
@@ -109,6 +109,7 @@ def _windows(flags: DataFrame, turns: DataFrame) -> DataFrame:
 
 
 def _projection(flags: DataFrame) -> DataFrame:
+    flags = flags.where(F.col("ts_unix_ms") <= fixtures.MIDWAY_MS)
     last = flags.where("reset_ms is not null").groupBy(*SERIES).agg(F.max_by("reset_ms", F.struct("ts_unix_ms", "id")).alias("reset_ms"))
     return meter.limit_projection(meter.burn_now(flags).join(last, [*SERIES], "left"))
 

@@ -17,7 +17,7 @@ DAY_MS, WEEK_MS = 86_400_000, 604_800_000
 SERIES = ("account_id", "bucket")
 Query = Callable[[SparkSession, str], DataFrame]
 #: The fixtures' clock and small literal tables.
-EPOCH_MS = 1_704_067_200_000
+EPOCH_MS = fixtures.EPOCH_MS
 HOOKS = [
     {"hook_id": 1, "kind_glob": "c*", "after_event_id": 10, "expires_ms": EPOCH_MS + DAY_MS, "status": "pending"},
     {"hook_id": 2, "kind_glob": "*i?w", "after_event_id": 300, "expires_ms": EPOCH_MS + 20 * DAY_MS, "status": "pending"},
@@ -28,6 +28,7 @@ LEASES = """(VALUES (1, 'manual', NULL, NULL, NULL, NULL), (2, 'deadline', 500,
 (5, 'window_reset', NULL, NULL, NULL, 100), (6, 'window_reset', NULL, NULL, 800, 100), (7, 'window_reset', NULL, NULL, 800, 850), (8, 'window_reset', NULL, NULL, 1200, 100), (9, 'deadline', NULL, NULL, NULL, NULL))
 AS l(lease_id, kind, at_ms, window_end_ms, open_end_ms, bound_after_ms)"""
 BUDGETS = "(VALUES ('/w/0/0', 5), ('/w/1/1', 6), ('/w/none', 7), ('/w/3/0', 8)) AS b(cwd, allowance)"
+OPEN_BUDGETS = "(VALUES ('/w/0/0', 'session', 5, 90), ('/w/1/1', 'week', 6, NULL), ('/w/2/1', 'week', 40, 30), ('/w/3/2', 'session', NULL, 50), ('/w/4/1', 'week', 2, 99), ('/w/none', 'week', 5, 50)) AS b(cwd, bucket, spend_pct, meter_pct)"
 BASELINE = "m-base"
 UNTIL = ["", "revoked", "reset", "5h", " Week ", "2h", "1h30m", "90m", "1.5h", "0s", "18:00", "7:05:30", "24:00", "2024-01-20", "2023-12-31", "2024-01-20T06:30", "2024-02-30", "soon"]
 
@@ -96,7 +97,7 @@ def _signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     t = fixtures.turns(spark, sf_dir)
     who = t.groupBy("session_uuid").agg(F.max("account_id").alias("account_id"))
     s = tr.quota_signals(tr.parsed(fixtures.transcript(spark, sf_dir))).withColumnRenamed("file", "session_uuid").join(who, "session_uuid")
-    return s, _now(t)
+    return s, fixtures.QUOTA_MS
 
 
 def _quota(f: Callable[[DataFrame, int], DataFrame]) -> Query:
@@ -138,8 +139,52 @@ def _points(f: DataFrame, t: DataFrame) -> DataFrame:
     return meter.calibration_points(f, t).where("bucket = 'session'")
 
 
+def _solo(t: DataFrame) -> DataFrame:
+    """Turns of one model a work session, as weights are learned from rises that one model caused."""
+    names = F.array(*[F.lit(m) for m in fixtures.MODELS.values()])
+    return t.withColumn("model", F.element_at(names, (F.expr(f"ts_unix_ms div {fixtures.SESSION_MS}") % 5 + 1).cast("int")))
+
+
 def _report(f: DataFrame, t: DataFrame) -> DataFrame:
-    return views.weights_report(t.select("model").distinct(), views.learn_weights(_points(f, t), t, BASELINE), BASELINE)
+    return views.weights_report(t.select("model").distinct(), views.learn_weights(_points(f, t), _solo(t), BASELINE), BASELINE)
+
+
+def _homes(t: DataFrame) -> DataFrame:
+    s = t.select("session_uuid", "parent_session_uuid").distinct()
+    return s.join(rollups.cwd_mode(t).select("session_uuid", "cwd"), "session_uuid", "left")
+
+
+def _open_budgets(f: DataFrame, t: DataFrame) -> DataFrame:
+    b = t.sparkSession.sql(f"SELECT cwd, bucket, CAST(spend_pct AS DOUBLE) AS spend_pct, CAST(meter_pct AS DOUBLE) AS meter_pct FROM {OPEN_BUDGETS}")
+    accounts = t.where("cwd <> ''").groupBy("cwd").agg(F.max_by("account_id", F.struct("ts_unix_ms", "event_id")).alias("account_id"))
+    return policy.open_window_use(b, views.with_owners(_attribution(f, t), _homes(t)), att.limit_windows(f, _now(t)), accounts, _latest(f))
+
+
+def _parents(t: DataFrame) -> DataFrame:
+    """Subagents' files, half of them under a folder that is no session's id."""
+    h = F.md5("parent_session_uuid")
+    named = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    folder = F.when(F.col("k") % 2 == 0, named).otherwise(F.col("parent_session_uuid"))
+    files = t.where("parent_session_uuid <> ''").select(F.concat_ws("/", "project", folder, F.lit("subagents"), F.concat("session_uuid", F.lit(".jsonl"))).alias("path")).distinct()
+    return tr.parent_links(files)
+
+
+def _merged(t: DataFrame) -> DataFrame:
+    merges = t.sparkSession.createDataFrame([(3, 1)], "from_id long, to_id long")
+    return identity.merged_accounts(t, merges).groupBy("account_id").agg(F.count("*").alias("turns"), F.sum("raw_tokens").alias("raw_tokens"))
+
+
+def _session_compactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fixtures.turns(spark, sf_dir)
+    c = tr.compactions(tr.parsed(fixtures.transcript(spark, sf_dir))).where("confirmed").groupBy(F.col("file").alias("session_uuid")).agg(F.count("*").alias("n"), F.count_if(F.col("cache_state") == "cold").alias("cold"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    s = rollups.sessions(t).join(c, "session_uuid", "left")
+    return s.select("session_uuid", "turns", "raw_tokens", zero("n").alias("compaction_count"), zero("cold").alias("cold_compaction_count"))
+
+
+def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = tr.read_lines(spark, [fixtures.transcript_files(spark, sf_dir)])
+    return tr.turns(tr.parsed(lines.withColumn("file", F.regexp_extract("file", "/file=([^/]+)/", 1)))).drop("line")
 
 
 def _maxed(f: DataFrame, t: DataFrame) -> DataFrame:
@@ -269,7 +314,7 @@ def _events(t: DataFrame) -> DataFrame:
 
 def _nearest(t: DataFrame) -> DataFrame:
     prices = t.where("k % 17 = 0").groupBy("account_id", "ts_unix_ms").agg(F.min("k").alias("price"))
-    return views.nearest_price(t.where("k % 10 = 3").select("event_id", "account_id", "ts_unix_ms"), prices, ["account_id"]).select("event_id", "price")
+    return views.nearest_price(t.select("event_id", "account_id", "ts_unix_ms"), prices, ["account_id"]).select("event_id", "price")
 
 
 QUERIES: dict[str, Query] = {
@@ -280,6 +325,12 @@ QUERIES: dict[str, Query] = {
     "panel_extract": _panel,
     "api_reading": _api,
     "transcript_turns": _records(lambda r: tr.turns(r).drop("line")),
+    "transcript_files": _from_files,
+    "parent_links": _turns(_parents),
+    "account_merge": _turns(_merged),
+    "session_compactions": _session_compactions,
+    "attr_rows": _both(lambda f, t: views.with_owners(_attribution(f, t), _homes(t)).select(*SERIES, "window_start_ms", "session_uuid", "effective_uuid", "cwd", "measured_pct", "estimated_pct")),
+    "budget_open_window": _both(_open_budgets),
     "dedupe_responses": _records(lambda r: tr.responses(r).select("file", F.col("message.id").alias("message_id"), F.col("message.usage.output_tokens").alias("output_tokens"))),
     "human_prompts": _records(tr.human_prompts),
     "compaction_confirm": _records(tr.compactions),
@@ -299,7 +350,7 @@ QUERIES: dict[str, Query] = {
     "sensor_session": _turns(lambda t: views.session_sensors(views.session_insight(t, _now(t)))),
     "session_detail": _detail,
     "turns_since_compact": _since_compact,
-    "learn_weights": _both(lambda f, t: views.learn_weights(_points(f, t), t, BASELINE)),
+    "learn_weights": _both(lambda f, t: views.learn_weights(_points(f, t), _solo(t), BASELINE)),
     "weights_report": _both(_report),
     "maxed_per_week": _both(_maxed),
     "nearest_price": _turns(_nearest),

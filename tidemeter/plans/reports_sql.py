@@ -46,16 +46,16 @@ sig AS (
   SELECT session_uuid AS file, account_id, ts_unix_ms, kind, CASE WHEN r AND k % 3 = 0 THEN 'session' WHEN r AND k % 3 = 1 THEN 'week' ELSE '' END AS bucket,
     CASE WHEN r AND k % 5 > 0 THEN (ts_unix_ms // 1000 + 86400) * 1000 ELSE 0 END AS reset_ms, r AND k % 4 = 0 AS using_overage, CASE WHEN r AND k % 2 = 0 THEN 'treatment' ELSE '' END AS offer
   FROM q1 WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_uuid, ts_unix_ms, kind ORDER BY turn_idx DESC) = 1),
-sw AS (SELECT account_id, file AS session_uuid, arg_max(kind, struct_pack(a := ts_unix_ms, b := kind)) AS kind, max(ts_unix_ms) AS since_ms FROM sig WHERE kind <> 'rate_limited' GROUP BY 1, 2),
+sw AS (SELECT account_id, file AS session_uuid, arg_max(kind, struct_pack(a := ts_unix_ms, b := kind)) AS kind, max(ts_unix_ms) AS since_ms FROM sig WHERE kind <> 'rate_limited' AND ts_unix_ms <= NOW GROUP BY 1, 2),
 low AS (
   SELECT * FROM (
     SELECT account_id, session_uuid, since_ms, coalesce((SELECT arg_max(s.reset_ms, struct_pack(a := s.ts_unix_ms, b := s.reset_ms)) FROM sig s WHERE s.kind = 'rate_limited' AND s.account_id = sw.account_id AND s.reset_ms > 0 AND s.ts_unix_ms <= since_ms AND s.ts_unix_ms > since_ms - 18000000), since_ms + 18000000) AS until_ms
     FROM sw WHERE kind = 'low_priority_on') WHERE until_ms > NOW),
 ver AS (
   SELECT coalesce(a.account_id, b.account_id) AS account_id, a.account_id IS NOT NULL AS refused, a.ts_unix_ms AS refused_ms, a.bucket, a.reset_ms, coalesce(a.using_overage, false) AS using_overage, coalesce(b.n, 0) AS low_priority_sessions, b.u AS low_until_ms
-  FROM (SELECT * FROM sig WHERE kind = 'rate_limited' AND CASE WHEN reset_ms > 0 THEN reset_ms > NOW ELSE ts_unix_ms > NOW - 18000000 END
+  FROM (SELECT * FROM sig WHERE kind = 'rate_limited' AND ts_unix_ms <= NOW AND CASE WHEN reset_ms > 0 THEN reset_ms > NOW ELSE ts_unix_ms > NOW - 18000000 END
         QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY ts_unix_ms DESC, reset_ms DESC, bucket DESC, using_overage DESC, offer DESC) = 1) a
-  FULL JOIN (SELECT account_id, count(*) AS n, max(until_ms) AS u FROM low GROUP BY 1) b ON a.account_id = b.account_id)""".replace("NOW", NOW)
+  FULL JOIN (SELECT account_id, count(*) AS n, max(until_ms) AS u FROM low GROUP BY 1) b ON a.account_id = b.account_id)""".replace("NOW", "1705017600000")
 
 INSIGHT = f"""
 i0 AS (SELECT *, row_number() OVER (PARTITION BY session_uuid ORDER BY turn_idx DESC) AS r, CASE model WHEN 'm-large' THEN 10 WHEN 'm-mid' THEN 3 WHEN 'm-small' THEN 1 ELSE 5 END AS mult FROM turns),
@@ -74,7 +74,8 @@ insight AS (
 
 LEARN = f"""
 cp AS (SELECT row_number() OVER () AS p, * FROM ({sql.QUERIES["calibration_points"]}) WHERE bucket = 'session' AND delta >= 5),
-each AS (SELECT p, delta, model, sum(tw20) AS c FROM cp JOIN turns t ON t.ts_unix_ms > a_ms AND t.ts_unix_ms <= b_ms GROUP BY 1, 2, 3),
+solo AS (SELECT ts_unix_ms, tw20, ['m-large', 'm-base', 'm-mid', 'm-small', 'm-unpriced'][CAST(ts_unix_ms // 18000000 % 5 + 1 AS INT)] AS model FROM turns),
+each AS (SELECT p, delta, model, sum(tw20) AS c FROM cp JOIN solo t ON t.ts_unix_ms > a_ms AND t.ts_unix_ms <= b_ms GROUP BY 1, 2, 3),
 pure AS (SELECT * FROM (SELECT *, sum(c) OVER (PARTITION BY p) AS a FROM each) WHERE a > 0 AND c >= 0.9 * a),
 s AS (SELECT model, count(*) AS samples, quantile_cont(CAST(a AS BIGINT) / 20.0::DOUBLE / delta, 0.5) AS x FROM pure GROUP BY 1),
 learned AS (SELECT model, samples, round(x, 2) AS tokens_per_pct, CASE WHEN samples >= 8 AND x > 0 THEN round((SELECT x FROM s WHERE model = 'm-base' AND samples >= 8) / x, 2) END AS weight FROM s)"""
@@ -143,7 +144,10 @@ QUERIES = {
     "learn_weights": turns("SELECT * FROM learned", LEARN),
     "weights_report": turns("SELECT model, coalesce(samples, 0) AS samples, tokens_per_pct, weight, w AS list_weight, model = 'm-base' AS is_baseline, coalesce(abs(weight - w) / w > 0.25, false) AS diverges FROM (SELECT DISTINCT model, m5 / 5.0::DOUBLE AS w FROM turns) LEFT JOIN learned USING (model)", LEARN),
     "maxed_per_week": f"WITH cp AS ({sql.QUERIES['calibration_points']}), m AS (SELECT account_id, bucket, round(quantile_cont(cw_per_pct, 0.5), 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY account_id, bucket ORDER BY b_ms DESC, a_ms DESC) AS r FROM cp) WHERE r <= 50 GROUP BY 1, 2) SELECT a.account_id, round(a.x / b.x, 4) AS sessions_per_week FROM m a JOIN m b ON a.account_id = b.account_id AND a.bucket = 'week' AND b.bucket = 'session'",
-    "nearest_price": turns("SELECT event_id, (SELECT arg_min(price, struct_pack(a := abs(p.ts_unix_ms - t.ts_unix_ms), b := p.ts_unix_ms)) FROM p WHERE p.account_id = t.account_id) AS price FROM tk t WHERE k % 10 = 3", "p AS (SELECT account_id, ts_unix_ms, min(k) AS price FROM tk WHERE k % 17 = 0 GROUP BY 1, 2)"),
+    "nearest_price": turns(
+        "SELECT event_id, CASE WHEN a.ts_unix_ms IS NOT NULL AND (b.ts_unix_ms IS NULL OR t.ts_unix_ms - a.ts_unix_ms <= b.ts_unix_ms - t.ts_unix_ms) THEN a.price ELSE b.price END AS price FROM tk t ASOF LEFT JOIN p a ON a.account_id = t.account_id AND t.ts_unix_ms >= a.ts_unix_ms ASOF LEFT JOIN p b ON b.account_id = t.account_id AND t.ts_unix_ms <= b.ts_unix_ms",
+        "p AS (SELECT account_id, ts_unix_ms, min(k) AS price FROM tk WHERE k % 17 = 0 GROUP BY 1, 2)",
+    ),
     "accounts_view": turns(
         "SELECT account_id, count(*) AS turns, coalesce(bool_or(event_id % 8 = 0), false) AS metered, coalesce((SELECT string_agg(DISTINCT config_dir, ',' ORDER BY config_dir) FROM (SELECT *, lag(account_id) OVER (PARTITION BY config_dir ORDER BY ts_unix_ms, event_id) AS b FROM l) x WHERE x.account_id = t.account_id AND (b IS NULL OR b <> x.account_id)), '') AS dirs FROM turns t GROUP BY 1",
         LOGINS,
@@ -223,8 +227,8 @@ QUERIES |= {
     "burn_now": flags("SELECT * FROM bn", POINTS),
     "limit_projection": flags(
         "SELECT account_id, bucket, pct, pct_per_hour, round(eta, 6) AS eta_hours FROM (SELECT *, span - ttr AS passed FROM lp) WHERE pct_per_hour > 0.05 AND pct < 100 AND (reset_ms IS NULL OR (eta < ttr AND (span <= ttr OR pct * span / (span - ttr) >= 110) AND eta <= 3 * greatest(passed, 1)))",
-        POINTS
-        + ", lr AS (SELECT account_id, bucket, arg_max(reset_ms, n) AS reset_ms FROM flags WHERE reset_ms IS NOT NULL GROUP BY 1, 2), lp AS (SELECT *, CASE bucket WHEN 'week' THEN 168.0::DOUBLE ELSE 5.0 END AS span, greatest(0, (reset_ms - ts_unix_ms) / 3600000.0::DOUBLE) AS ttr, (100 - pct) / nullif(pct_per_hour, 0) AS eta FROM bn LEFT JOIN lr USING (account_id, bucket))",
+        POINTS.replace("FROM flags)", "FROM flags WHERE ts_unix_ms <= 1704451320000)")
+        + ", lr AS (SELECT account_id, bucket, arg_max(reset_ms, n) AS reset_ms FROM flags WHERE ts_unix_ms <= 1704451320000 AND reset_ms IS NOT NULL GROUP BY 1, 2), lp AS (SELECT *, CASE bucket WHEN 'week' THEN 168.0::DOUBLE ELSE 5.0 END AS span, greatest(0, (reset_ms - ts_unix_ms) / 3600000.0::DOUBLE) AS ttr, (100 - pct) / nullif(pct_per_hour, 0) AS eta FROM bn LEFT JOIN lr USING (account_id, bucket))",
     ),
     "limit_windows": flags(
         f"SELECT account_id, bucket, win AS \"window\", s AS start_ms, coalesce(lead(s) OVER (PARTITION BY account_id, bucket ORDER BY win), greatest({NOW}, s + 1)) AS end_ms, readings, peak_pct, hit_cap, win = 0 AS partial, lead(s) OVER (PARTITION BY account_id, bucket ORDER BY win) IS NULL AS in_progress FROM g",
@@ -273,6 +277,10 @@ att AS (
 a_slice AS (SELECT *, CASE WHEN t > 0 THEN round(pct / t, 6) END AS share FROM (SELECT *, sum(pct) OVER (PARTITION BY account_id, bucket, window_start_ms) AS t FROM (SELECT account_id, bucket, window_start_ms, owner, round(sum(measured_pct + estimated_pct), 4) AS pct FROM att GROUP BY 1, 2, 3, 4)))"""
 
 
+#: Attribution with the directory of each row's owner.
+HOMES = "ho_n AS (SELECT session_uuid, cwd, count(*) AS n, min(turn_idx) AS f FROM turns WHERE cwd <> '' GROUP BY 1, 2), ho_m AS (SELECT session_uuid AS owner, cwd FROM ho_n QUALIFY row_number() OVER (PARTITION BY session_uuid ORDER BY n DESC, f) = 1), ho AS (SELECT att.*, coalesce(ho_m.cwd, '') AS cwd FROM att LEFT JOIN ho_m USING (owner))"
+
+
 def attributed(body: str, more: str = "") -> str:
     median = f"a_median AS ({QUERIES['calibration_median']}),"
     return flags(body, median + ATTRIBUTION.lstrip() + ("," + more if more else ""), own_turns=True)
@@ -305,3 +313,27 @@ QUERIES |= {
         f"lw AS (SELECT account_id, bucket, s AS window_start_ms, peak_pct, coalesce(lead(s) OVER (PARTITION BY account_id, bucket ORDER BY win), greatest({NOW}, s + 1)) AS end_ms FROM (SELECT account_id, bucket, win, min(start) AS s, max(pct) FILTER (WHERE valid AND NOT saturated) AS peak_pct FROM placed GROUP BY 1, 2, 3))",
     ),
 }
+
+QUERIES |= {
+    "transcript_files": QUERIES["transcript_turns"],
+    "parent_links": turns(
+        "SELECT DISTINCT concat(project, '/', parent, '/subagents/', session_uuid, '.jsonl') AS path, parent, valid FROM f",
+        "f AS (SELECT project, session_uuid, k % 2 = 0 AS valid, CASE WHEN k % 2 = 0 THEN concat(h[1:8], '-', h[9:12], '-', h[13:16], '-', h[17:20], '-', h[21:32]) ELSE parent_session_uuid END AS parent FROM (SELECT *, md5(parent_session_uuid) AS h FROM tk WHERE parent_session_uuid <> ''))",
+    ),
+    "account_merge": turns("SELECT CASE account_id WHEN 3 THEN 1 ELSE account_id END AS account_id, count(*) AS turns, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM turns GROUP BY 1"),
+    "session_compactions": turns(
+        "SELECT session_uuid, count(*) AS turns, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens, (SELECT count(*) FROM comp WHERE file = session_uuid AND confirmed) AS compaction_count, (SELECT count(*) FROM comp WHERE file = session_uuid AND confirmed AND cache_state = 'cold') AS cold_compaction_count FROM turns GROUP BY 1",
+        COMPACT,
+    ),
+    "attr_rows": attributed("SELECT account_id, bucket, window_start_ms, session_uuid, owner AS effective_uuid, cwd, measured_pct, estimated_pct FROM ho", HOMES),
+    "budget_open_window": attributed(
+        """SELECT cwd, bucket, account_id, spent_pct, round(greatest(0.0::DOUBLE, spend_pct - spent_pct), 2) AS remaining_pct, CASE WHEN s >= m AND s > 0 THEN ['clear', 'tight', 'exceeded'][s] WHEN m > 0 THEN ['clear', 'tight', 'exceeded'][m] ELSE 'unknown' END AS state, CASE WHEN greatest(s, m) <= 1 THEN '' WHEN s >= m THEN 'spend' ELSE 'meter' END AS rule
+        FROM (SELECT *, CASE WHEN spent_pct IS NULL OR spend_pct IS NULL THEN 0 WHEN spent_pct >= spend_pct THEN 3 WHEN spent_pct >= 0.75 * spend_pct THEN 2 ELSE 1 END AS s, CASE WHEN pct IS NULL OR meter_pct IS NULL THEN 0 WHEN pct >= meter_pct THEN 3 WHEN pct >= 0.75 * meter_pct THEN 2 ELSE 1 END AS m FROM (
+          SELECT b.*, a.account_id, lat.pct, CASE WHEN o.start IS NOT NULL THEN round(coalesce((SELECT sum(measured_pct + estimated_pct) FROM ho WHERE ho.account_id = a.account_id AND ho.bucket = b.bucket AND ho.cwd = b.cwd AND ho.window_start_ms = o.start), 0), 2) END AS spent_pct
+          FROM (VALUES ('/w/0/0', 'session', 5::DOUBLE, 90::DOUBLE), ('/w/1/1', 'week', 6, NULL), ('/w/2/1', 'week', 40, 30), ('/w/3/2', 'session', NULL, 50), ('/w/4/1', 'week', 2, 99), ('/w/none', 'week', 5, 50)) b(cwd, bucket, spend_pct, meter_pct)
+          LEFT JOIN (SELECT cwd, arg_max(account_id, struct_pack(a := ts_unix_ms, b := event_id)) AS account_id FROM turns GROUP BY 1) a ON a.cwd = b.cwd
+          LEFT JOIN (SELECT account_id, bucket, max(start) AS start FROM placed GROUP BY 1, 2) o ON o.account_id = a.account_id AND o.bucket = b.bucket
+          LEFT JOIN lat ON lat.account_id = a.account_id AND lat.bucket = b.bucket))""",
+        HOMES + ", " + LATEST,
+    ),
+}

@@ -27,7 +27,7 @@ turns AS (
 
 METER = """
 pv AS (SELECT *, 1 + o % 3 AS account_id,
-    least(100, (ms % 18000000) * (60 + 10 * ((ms // 18000000) % 6)) // 18000000) AS sb,
+    least(100, (ms % 18000000) * (60 + 14 * ((ms // 18000000) % 6)) // 18000000) AS sb,
     least(100, (ms % 604800000) * (50 + 15 * ((ms // 604800000) % 5)) // 604800000) AS wb FROM eo WHERE event_id % 8 = 0),
 meter AS (
   SELECT event_id AS id, account_id, 'session' AS bucket, ms AS ts, CASE WHEN k = 99 THEN NULL WHEN k = 7 THEN 107 WHEN k = 13 THEN sb // 3 ELSE sb END AS pct,
@@ -117,7 +117,7 @@ QUERIES = {
         "l AS (SELECT concat('/c/', event_id % 4) AS config_dir, account_id, ts_unix_ms, row_number() OVER w AS n, lag(account_id) OVER w AS b FROM turns WHERE event_id % 40 < 4 WINDOW w AS (PARTITION BY event_id % 4 ORDER BY ts_unix_ms, event_id))",
     ),
     "asof_account": turns(
-        "SELECT event_id, coalesce((SELECT arg_max(account_id, from_ms) FROM i WHERE i.config_dir = t.config_dir AND from_ms <= t.ts_unix_ms), (SELECT arg_min(account_id, from_ms) FROM i WHERE i.config_dir = t.config_dir), 1) AS resolved FROM (SELECT event_id, ts_unix_ms, concat('/c/', event_id % 5) AS config_dir FROM turns WHERE event_id % 10 = 3) t",
+        "SELECT event_id, coalesce(i.account_id, f.first_id, 1) AS resolved FROM (SELECT event_id, ts_unix_ms, concat('/c/', event_id % 5) AS config_dir FROM turns) t ASOF LEFT JOIN i ON i.config_dir = t.config_dir AND t.ts_unix_ms >= i.from_ms LEFT JOIN (SELECT config_dir, arg_min(account_id, from_ms) AS first_id FROM i GROUP BY 1) f ON f.config_dir = t.config_dir",
         "l AS (SELECT concat('/c/', event_id % 4) AS config_dir, account_id, ts_unix_ms, row_number() OVER w AS n, lag(account_id) OVER w AS b FROM turns WHERE event_id % 40 < 4 WINDOW w AS (PARTITION BY event_id % 4 ORDER BY ts_unix_ms, event_id)), i AS (SELECT config_dir, account_id, CASE WHEN n = 1 THEN 0 ELSE ts_unix_ms END AS from_ms FROM l WHERE n = 1 OR account_id <> b)",
     ),
     "usage_flags": meter("SELECT id, account_id, bucket, ts_unix_ms, pct, reset_ms, saturated, reset_detected, valid FROM flags"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from ..functions import weights
 
 HOUR_MS = 3_600_000
 SESSION_MS, WEEK_MS = 5 * HOUR_MS, 168 * HOUR_MS
+EPOCH_MS = 1_704_067_200_000
+#: Clocks: in a work session that runs out early, and on a day with sessions of low priority.
+MIDWAY_MS, QUOTA_MS = EPOCH_MS + 384_120_000, EPOCH_MS + 264 * HOUR_MS
 MODELS = {"click": "m-large", "view": "m-base", "purchase": "m-mid", "signup": "m-small", "error": "m-unpriced"}
 
 
@@ -53,7 +59,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms, k = F.col("ms"), F.col("k")
     e = _events(spark, sf_dir).where(F.col("event_id") % 8 == 0)
     fill = lambda span, low, step, n: F.expr(f"least(100, (ms % {span}) * ({low} + {step} * ((ms div {span}) % {n})) div {span})")
-    e = e.withColumns({"sb": fill(SESSION_MS, 60, 10, 6), "wb": fill(WEEK_MS, 50, 15, 5)})
+    e = e.withColumns({"sb": fill(SESSION_MS, 60, 14, 6), "wb": fill(WEEK_MS, 50, 15, 5)})
     session = F.when(k == 99, None).when(k == 7, 107).when(k == 13, F.expr("sb div 3")).otherwise(F.col("sb"))
     week = F.when(k == 99, None).when(k == 17, F.expr("wb div 2")).otherwise(F.col("wb"))
     reset = lambda span: F.when(k % 25 == 0, None).otherwise(F.expr(f"(ms div {span} + 1) * {span}"))
@@ -111,3 +117,12 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 50 == 0, "{broken"),
     ]
     return t.select(F.col("session_uuid").alias("file"), "turn_idx", F.posexplode(F.array(*slots)).alias("slot", "value")).where("value is not null").select("file", (F.col("turn_idx") * 8 + F.col("slot")).alias("line"), "value")
+
+
+def transcript_files(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder of transcript() as JSON line files, one a session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="transcripts-")
+    path = f"{folder}/transcripts-{uuid.uuid4().hex}"
+    lines = transcript(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return path

@@ -19,9 +19,10 @@ TAGS = ("system-reminder", "local-command-stdout", "local-command-stderr", "comm
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, line, value) of text files. A file is one session, so it is read whole; that keeps its line numbers."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).where("trim(value) <> ''").withColumn("line", F.col("line").cast("bigint"))
+    """(file, line, value) of text files, blank lines left out. Large files are read in splits; a line's number follows from its split's place in the file and its own in the split."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
+    number = F.row_number().over(Window.partitionBy("file").orderBy("_at", "_n")) - 1
+    return lines.withColumn("line", number.cast("bigint")).where("trim(value) <> ''").select("file", "line", "value")
 
 
 def path_shape(path: Column) -> Column:
@@ -41,6 +42,12 @@ def owner_key(path: Column) -> Column:
     return F.when(F.size(p) == 2, F.regexp_replace(F.get(p, F.lit(1)), r"\.jsonl$", "")).when(F.size(p) > 2, F.get(p, F.lit(1)))
 
 
+def parent_links(files: DataFrame) -> DataFrame:
+    """Subagents' files with the session that their folder names, and whether that is a session's id: rows of a garbled folder must not be read, as their turns would count for nobody."""
+    parent = owner_key(F.col("path"))
+    return files.where(path_shape(F.col("path")).isin("subagent", "workflow_agent")).select("path", parent.alias("parent"), parent.rlike(UUID).alias("valid"))
+
+
 def changed(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files whose (path, mtime_ms) the ledger does not hold, and which are large enough or not at the top."""
     big = (F.col("bytes") >= MIN_BYTES) | (path_shape(F.col("path")) != "top_level")
