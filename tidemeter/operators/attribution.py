@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 HOUR_MS = 3_600_000
 #: Period, least step of a new reset, furthest credible reset, per meter.
 PERIOD = {"session": 5 * HOUR_MS, "week": 168 * HOUR_MS}
@@ -141,15 +143,16 @@ def attribution(flags: DataFrame, turns: DataFrame, medians: DataFrame) -> DataF
     """
     each = turns.select("account_id", F.explode(F.array(F.lit("session"), F.lit("week"))).alias("bucket"), "ts_unix_ms", "event_id", "session_uuid", "project", "cw100", "raw_tokens")
     each = each.withColumn("slot", slot_of(F.col("ts_unix_ms")))
-    seg = segments(flags)
-    own = spans(seg)
+    seg = settled(segments(flags))
+    own = settled(spans(seg))
     touched = own.select(*SERIES, "window", "run", "start_ms", "after_ms", "until_ms", F.explode(F.sequence(slot_of(F.col("after_ms")), slot_of(F.col("until_ms")))).alias("slot"))
     met = each.alias("t").join(touched.alias("s"), [F.col(f"t.{c}") == F.col(f"s.{c}") for c in (*SERIES, "slot")] + [F.col("t.ts_unix_ms") > F.col("s.after_ms"), F.col("t.ts_unix_ms") <= F.col("s.until_ms")], "left")
-    met = met.select("t.*", "s.window", "s.run", "s.start_ms")
+    met = settled(met.select("t.*", "s.window", "s.run", "s.start_ms"))
     first = F.min(F.struct("ts_unix_ms", "event_id", "project")).alias("first")
     sums = F.sum("cw100").alias("c"), F.sum("raw_tokens").alias("raw"), F.count("*").alias("n"), first
     paid = met.where("window is not null").groupBy(*SERIES, "window", "run", "session_uuid").agg(*sums)
-    rated = with_rates(own, paid)
+    paid = settled(paid)
+    rated = settled(with_rates(own, paid))
     windows = seg.groupBy(*SERIES, "window").agg(F.min("start_ms").alias("start_ms")).join(rated.groupBy(*SERIES, "window").agg(F.max("rate").alias("rate")), [*SERIES, "window"], "left").fillna(0.0, ["rate"])
     zero = F.lit(0.0)
     measured = paid.join(rated.where("total > 0").select(*SERIES, "window", "run", "start_ms", "local", "total"), [*SERIES, "window", "run"])

@@ -11,6 +11,7 @@ from ..functions import weights
 from ..operators import attribution as att
 from ..operators import identity, meter, policy, rollups
 from ..sources import fixtures
+from ..sources.shared import settled
 from . import reports, reports_sql, sql
 
 DAY_MS = 86_400_000
@@ -96,6 +97,7 @@ def _budgets(t: DataFrame) -> DataFrame:
 
 
 def _attribution(flags: DataFrame, turns: DataFrame) -> DataFrame:
+    flags, turns = settled(flags), settled(turns)
     return att.attribution(flags, turns, meter.calibration_median(meter.calibration_points(flags, turns)))
 
 

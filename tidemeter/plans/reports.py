@@ -12,6 +12,7 @@ from ..operators import attribution as att
 from ..operators import identity, meter, policy, quota, rollups, views
 from ..sources import fixtures
 from ..sources import transcripts as tr
+from ..sources.shared import settled
 
 DAY_MS, WEEK_MS = 86_400_000, 604_800_000
 SERIES = ("account_id", "bucket")
@@ -114,6 +115,7 @@ def _owners(t: DataFrame) -> DataFrame:
 
 
 def _attribution(f: DataFrame, t: DataFrame) -> DataFrame:
+    f, t = settled(f), settled(t)
     return att.attribution(f, t, meter.calibration_median(meter.calibration_points(f, t)))
 
 
