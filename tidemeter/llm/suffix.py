@@ -262,6 +262,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
     """
     if not 2 * GRAM <= length < GRAM + 64:
         raise ValueError("length is 32 to 79")
+    if {*others} & {"doc_id", "text", "g", "n_bytes", "spans", "kept"}:
+        raise ValueError("a column to carry has a name of the result's")
     own = docs.select("doc_id", "text", *others)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = total // group_bytes + 1
