@@ -27,9 +27,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that repeat a smaller document's go; a character cut in two goes whole. Documents stay, if empty too."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    left = suffix.without_repeats(docs, others=others, as_text=True)
-    return _counted(left.withColumn("text", F.col("kept"))).select(*docs.columns)
+    # numbered meanwhile, as a column may be called like one of the operator's
+    others = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in others.items()])
+    left = suffix.without_repeats(held, others=tuple(others.values()), as_text=True)
+    back = left.select("doc_id", F.col("kept").alias("text"), *[F.col(n).alias(c) for c, n in others.items()])
+    return (_counted(back) if "n_chars" in others else back).select(*[f"`{c}`" for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
