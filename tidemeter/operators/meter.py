@@ -147,24 +147,28 @@ def limit_projection(now: DataFrame) -> DataFrame:
 
 
 def fixed_buckets(turns: DataFrame, span_ms: int) -> DataFrame:
-    """Greedy buckets of ``span_ms`` from each account's first turn: the next begins at the first turn that the last does not hold."""
+    """Greedy buckets of ``span_ms`` from each account's first turn: the next begins at the first turn that the last does not hold.
 
-    def run(key, batches):
-        start, n, raw, cw = None, 0, 0, 0
+    Times stream through in order, by account; a task holds the open bucket and one batch.
+    """
+
+    def run(batches):
+        held = None  # account, start, sums so far
         for pdf in batches:
-            for t, r, c in zip(pdf["ts_unix_ms"].tolist(), pdf["raw_tokens"].tolist(), pdf["cw100"].tolist(), strict=True):
-                if start is None or t >= start + span_ms:
-                    if start is not None:
-                        yield pd.DataFrame([(key[0], start, n, raw, cw)])
-                    start, n, raw, cw = t, 0, 0, 0
-                n, raw, cw = n + 1, raw + r, cw + c
-        if start is not None:
-            yield pd.DataFrame([(key[0], start, n, raw, cw)])
-
-    def whole(key, pdf):
-        return pd.concat([*run(key, [pdf.sort_values("ts_unix_ms")])]).set_axis(["account_id", "start_ms", "turns", "raw_tokens", "c"], axis=1)
+            out = []
+            for who, t, raw, c in zip(pdf["account_id"].tolist(), pdf["ts_unix_ms"].tolist(), pdf["raw_tokens"].tolist(), pdf["cw100"].tolist(), strict=True):
+                if held and held[0] == who and t < held[1] + span_ms:
+                    held[2] += raw
+                    held[3] += c
+                else:
+                    if held:
+                        out.append(held)
+                    held = [who, t, raw, c]
+            yield pd.DataFrame(out, columns=["account_id", "start_ms", "raw_tokens", "c"])
+        if held:
+            yield pd.DataFrame([held], columns=["account_id", "start_ms", "raw_tokens", "c"])
 
     # equal times fall in one bucket, so a row a time is enough: what reaches Python is summed first
     each = turns.groupBy("account_id", "ts_unix_ms").agg(F.sum("raw_tokens").alias("raw_tokens"), F.sum("cw100").alias("cw100"))
-    got = each.groupBy("account_id").applyInPandas(whole, "account_id long, start_ms long, turns long, raw_tokens long, c long")
+    got = each.repartition("account_id").sortWithinPartitions("account_id", "ts_unix_ms").mapInPandas(run, "account_id long, start_ms long, raw_tokens long, c long")
     return got.select("account_id", "start_ms", (F.col("start_ms") + span_ms).alias("end_ms"), "raw_tokens", (F.col("c") / 100.0).alias("cw_tokens"))
