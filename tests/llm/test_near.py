@@ -68,6 +68,8 @@ def test_pairs_apart_from_a_bucket_s_pivot_are_compared(spark, monkeypatch):
     base = [[f"{x}{i}" for i in range(100)] for x in "abcd"]
     rows = [(10 * k + i, " ".join(replaced(rng, w, i % 2))) for k, w in enumerate(base) for i in range(4)]
     assert kept(spark, rows) == slow_kept(rows)
+    monkeypatch.setattr(near, "BLOCK", 5)
+    assert kept(spark, rows) == slow_kept(rows)
 
 
 def test_edits_of_one_original_below_the_similarity_to_each_other(spark):

@@ -7,10 +7,10 @@ minima each, as a fingerprint of 64 bits alone does not reach a similarity of
 with one pivot, the set that shares the most buckets with others: of texts that were edited
 from one original, the original. Where a bucket still holds several components,
 its sets get MORE_BANDS narrower fingerprints of MORE_ROWS minima, in whose
-buckets texts below the similarity seldom meet; there a set that is not in the
-pivot's component is compared with every set that is not in its own, so that
-no pair of a bucket is left out that could join two components. A link needs
-the similarity. A pair at just 0.8 misses all buckets of the first step with a
+buckets texts below the similarity seldom meet; there each set is compared with
+every set of another component, so that no pair of a bucket is left out that
+could join two. That is done within blocks of a bucket, which send
+links alone, no pairs. A link needs the similarity. A pair at just 0.8 misses all buckets of the first step with a
 chance of 0.0004 and those of the second with 0.003, by calculation.
 """
 
@@ -28,6 +28,8 @@ from .simhash import SEED, majority, masks, shingle_hashes, signed
 BANDS, ROWS = 20, 5
 MORE_BANDS, MORE_ROWS, MINIMA = 128, 14, 256
 SHINGLE, SIMILAR = 5, 0.8
+#: Sets of a bucket that are compared in one task, with as many others; a larger bucket is several blocks.
+BLOCK = 512
 _rng = np.random.default_rng(SEED)
 _times = _rng.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _plus = _rng.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64)
@@ -108,7 +110,7 @@ def buckets(keyed: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Those pairs (a, b) of sets whose similarity is SIMILAR or more; held: (_set, grams)."""
     pairs = cut(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
+    nodes = pairs.select(F.col("a").alias("_set")).union(pairs.select("b")).distinct()
     held = cut(held.join(nodes, "_set", "left_semi").groupBy("_set").agg(F.min("grams").alias("grams")))
     both = pairs.join(held.select(F.col("_set").alias("a"), F.col("grams").alias("ga")), "a").join(held.select(F.col("_set").alias("b"), F.col("grams").alias("gb")), "b")
 
@@ -134,6 +136,38 @@ def named(members: DataFrame, roots: DataFrame, col: str = "_set", root: str = "
     return members.join(roots.select(F.col("_set").alias(col), F.col("root").alias(root)), col, "left").withColumn(root, F.coalesce(root, col))
 
 
+def joined(rows: pa.Table) -> pa.Table:
+    """Links between components in a block, or across two: what has been joined is not compared again."""
+    ids, roots, blocks = (rows.column(c).to_pylist() for c in ("_set", "root", "b"))
+    grams = [np.frombuffer(g, "<u4") for g in rows.column("grams").to_pylist()]
+    one = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+    up = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    out = []
+    for x in range(len(ids)):
+        for y in range(x):
+            if (one or blocks[x] != blocks[y]) and (a := top(roots[x])) != (b := top(roots[y])):
+                n, m = len(grams[x]), len(grams[y])
+                if min(n, m) >= SIMILAR * max(n, m) and jaccard(grams[x], grams[y]) >= SIMILAR:
+                    out.append((ids[x], ids[y]))
+                    up[a] = b
+    return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+
+def compared(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (a, b) between components in the buckets of members (_set, t, key, root); held: (_set, grams)."""
+    mixed = members.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 2 and lo <> hi")
+    own = members.join(mixed.select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), ["t", "key"])
+    own = own.withColumn("b", F.pmod(F.xxhash64("_set"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("_set", "root", "t", "key", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    return cut(own.join(held, "_set").groupBy("t", "key", "i", "j").applyInArrow(joined, "a long, b long"))
+
+
 def components(own: DataFrame) -> DataFrame:
     """(_set, root): sets of shingles that have near copies, and their components; own: sets()."""
     held = own.select("_set", "grams")
@@ -154,10 +188,7 @@ def components(own: DataFrame) -> DataFrame:
     members = buckets(in_batches(wanted).mapInArrow(narrow, "_set long, keys array<long>"))
     links = links.unionByName(similar(with_pivots(members), held))
     roots = rooted(links)
-    apart = cut(named(named(members.where("_set <> p"), roots), roots, "p", "pr").where("root <> pr").select("t", "key", F.col("_set").alias("x"), F.col("root").alias("xr")))
-    every = named(members.where("_set <> p"), roots).select("t", "key", F.col("_set").alias("y"), F.col("root").alias("yr"))
-    more = apart.join(every, ["t", "key"]).where("xr <> yr").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = similar(more, held)
+    found = compared(named(members, roots), wanted)
     return roots if found.isEmpty() else rooted(links.unionByName(found))
 
 
