@@ -46,7 +46,8 @@ def open_window_use(budgets: DataFrame, owned: DataFrame, windows: DataFrame, ac
     b = b.join(latest.select("account_id", "bucket", "pct"), ["account_id", "bucket"], "left")
     b = b.withColumn("spent_pct", F.when(F.col("window_start_ms").isNotNull(), F.round(F.coalesce("used", F.lit(0.0)), 2)))
     state, rule = combined(pressure("spend_pct", "spent_pct"), pressure("meter_pct", "pct"))
-    left = F.round(F.greatest(F.lit(0.0), F.col("spend_pct") - F.col("spent_pct")), 2)
+    rest = F.col("spend_pct") - F.col("spent_pct")
+    left = F.when(rest.isNotNull(), F.round(F.greatest(F.lit(0.0), rest), 2))
     return b.select("cwd", "bucket", "account_id", "spent_pct", left.alias("remaining_pct"), state.alias("state"), rule.alias("rule"))
 
 

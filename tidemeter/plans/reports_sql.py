@@ -327,7 +327,7 @@ QUERIES |= {
     ),
     "attr_rows": attributed("SELECT account_id, bucket, window_start_ms, session_uuid, owner AS effective_uuid, cwd, measured_pct, estimated_pct FROM ho", HOMES),
     "budget_open_window": attributed(
-        """SELECT cwd, bucket, account_id, spent_pct, round(greatest(0.0::DOUBLE, spend_pct - spent_pct), 2) AS remaining_pct, CASE WHEN s >= m AND s > 0 THEN ['clear', 'tight', 'exceeded'][s] WHEN m > 0 THEN ['clear', 'tight', 'exceeded'][m] ELSE 'unknown' END AS state, CASE WHEN greatest(s, m) <= 1 THEN '' WHEN s >= m THEN 'spend' ELSE 'meter' END AS rule
+        """SELECT cwd, bucket, account_id, spent_pct, CASE WHEN spend_pct - spent_pct IS NOT NULL THEN round(greatest(0.0::DOUBLE, spend_pct - spent_pct), 2) END AS remaining_pct, CASE WHEN s >= m AND s > 0 THEN ['clear', 'tight', 'exceeded'][s] WHEN m > 0 THEN ['clear', 'tight', 'exceeded'][m] ELSE 'unknown' END AS state, CASE WHEN greatest(s, m) <= 1 THEN '' WHEN s >= m THEN 'spend' ELSE 'meter' END AS rule
         FROM (SELECT *, CASE WHEN spent_pct IS NULL OR spend_pct IS NULL THEN 0 WHEN spent_pct >= spend_pct THEN 3 WHEN spent_pct >= 0.75 * spend_pct THEN 2 ELSE 1 END AS s, CASE WHEN pct IS NULL OR meter_pct IS NULL THEN 0 WHEN pct >= meter_pct THEN 3 WHEN pct >= 0.75 * meter_pct THEN 2 ELSE 1 END AS m FROM (
           SELECT b.*, a.account_id, lat.pct, CASE WHEN o.start IS NOT NULL THEN round(coalesce((SELECT sum(measured_pct + estimated_pct) FROM ho WHERE ho.account_id = a.account_id AND ho.bucket = b.bucket AND ho.cwd = b.cwd AND ho.window_start_ms = o.start), 0), 2) END AS spent_pct
           FROM (VALUES ('/w/0/0', 'session', 5::DOUBLE, 90::DOUBLE), ('/w/1/1', 'week', 6, NULL), ('/w/2/1', 'week', 40, 30), ('/w/3/2', 'session', NULL, 50), ('/w/4/1', 'week', 2, 99), ('/w/none', 'week', 5, 50)) b(cwd, bucket, spend_pct, meter_pct)
