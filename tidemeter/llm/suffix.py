@@ -33,7 +33,7 @@ LENGTH, GRAM, SEED = 50, 16, 42
 #: Bytes of text in a group of documents, and in the slices that it is hashed in.
 GROUP_BYTES, SLICE_BYTES = 4 << 20, 1 << 16
 #: Groups that an anchor stands in beyond which its strings are dealt one by one.
-HOT_GROUPS = 64
+HOT_GROUPS = 1024
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 _powers = [pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64) | 1 for i in range(5)]
 _bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
