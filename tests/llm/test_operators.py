@@ -533,3 +533,53 @@ def test_html_reads_broken_pages_once():
         assert time.time() - begun < 8, part
     assert html.lines("<p>one <b>two</b><script>x</script> three<p>four <a href='x'") == [("one two three", 1), ("four", 1)]
     assert html.lines("a <script>if (1 > 0) x") == [("a", 1)] and html.lines("1 < 2 and 3 > 2") == [("1 < 2 and 3 > 2", 1)]
+
+
+def slow_lines(page):
+    """(text, zone) as html.lines of pages of whole tags, by looking through the open elements each time."""
+    out, stack, held = [], [], []
+
+    def flush(zone):
+        if text := " ".join("".join(held).split()):
+            out.append((text, zone))
+        held.clear()
+
+    zone = html.NEUTRAL
+    for end, tag, text in re.findall(r"<(/?)(\w+)>|([^<]+)", page):
+        if text:
+            held.append(text)
+            continue
+        if tag in html.BLOCKS:
+            flush(zone)
+        if end:
+            if tag in stack:
+                while stack.pop() != tag:
+                    pass
+        else:
+            if tag in ("p", "li"):
+                near = [t for t in stack if t in html.HOLDERS or t == tag][-1:]
+                if near == [tag]:
+                    while stack.pop() != tag:
+                        pass
+            stack.append(tag)
+        if tag in html.BLOCKS:
+            zone = html.DROPPED if {*stack} & html.OUTSIDE else html.MAIN if {*stack} & {"article", "main"} else html.NEUTRAL
+    flush(zone)
+    return out
+
+
+def test_html_lines_by_looking_through_the_stack():
+    rng = np.random.default_rng(2)
+    tags = ["p", "li", "ul", "b", "i", "div", "nav", "footer", "section", "td", "span"]
+    for _ in range(400):
+        page = "".join(f"<{rng.choice(['', '', '/'])}{rng.choice(tags)}>" if rng.random() < 0.6 else f"w{k} " for k in range(40))
+        if rng.random() < 0.5:
+            page = "<article>" + page
+        assert html.lines(page) == slow_lines(page), page
+
+
+def test_html_of_a_megabyte_of_nested_and_unmatched_tags():
+    for page in ("<div>" * 200_000, "<b>" * 150_000 + "</i>" * 150_000, "<b>" * 100_000 + "<p></p>" * 100_000, "<b><p>" * 170_000, "<ul><li>" * 120_000, "<div><span>" * 60_000 + "</div>" * 60_000):
+        began = time.time()
+        assert html.lines(page + "end")[-1][0] == "end"
+        assert time.time() - began < 8
