@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, packing, quality, secrets, simhash, suffix, tokens, vectors
+from . import audit, bpe, html, packing, quality, repair, secrets, simhash, suffix, tokens, toxicity, vectors
 from .common import cut, table
 
 
@@ -84,8 +84,26 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(own, own.where("vec_id % 20 = 0"), k=20)
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scores.select(
+        "doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(own), own)
+
+
 def queries() -> dict:
-    own = (op1_topk, op2_secrets, op3_simhash, op4_quality, op5_tokens, op6_bpe, op7_packing, op8_suffix, op9_html, op10_ann)
+    own = (op1_topk, op2_secrets, op3_simhash, op4_quality, op5_tokens, op6_bpe, op7_packing, op8_suffix, op9_html, op10_ann, op11_audit, op12_toxicity, op13_repair)
     return {f.__name__: f for f in own}
 
 
@@ -105,5 +123,39 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p
 )
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
-"""
+""",
+        "op11_audit": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS again FROM d
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN again THEN 16 ELSE 0 END AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2
+), f AS (
+  SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(letter, bit)
+), o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), s AS (
+  SELECT filter_order, CAST(k AS INTEGER) AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INTEGER AS before FROM o, range(1, 6) r(k)
+), a AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (WHERE fails & (before + bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE fails & before = 0 AND fails & bit > 0), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE fails & before > 0 AND fails & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails & before = 0 AND fails & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails & before = 0 AND fails & bit > 0), 0) AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM a
+""",
     }
