@@ -112,9 +112,9 @@ def around(slots: DataFrame, windows: DataFrame) -> DataFrame:
     begun = windows.select(*SERIES, F.col("start_ms").alias("at"), F.lit(1).alias("o"), "start_ms", price.alias("price"))
     edge = lambda k, name: slots.select(*SERIES, ((F.col("slot") + k) * of_bucket(SLOT)).alias("at"), F.lit(0).alias("o"), F.col("slot").alias(name))
     both = begun.unionByName(edge(0, "opens"), allowMissingColumns=True).unionByName(edge(1, "closes"), allowMissingColumns=True)
-    w = Window.partitionBy(*SERIES).orderBy("at", "o")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    both = both.withColumns({"carry": F.last("start_ms", ignorenulls=True).over(back), "before": F.last("price", ignorenulls=True).over(back), "behind": F.first("price", ignorenulls=True).over(ahead)})
+    by, before = Window.partitionBy(*SERIES), (Window.unboundedPreceding, -1)
+    back, ahead = by.orderBy("at", "o").rowsBetween(*before), by.orderBy(F.desc("at"), F.desc("o")).rowsBetween(*before)
+    both = both.withColumns({"carry": F.last("start_ms", ignorenulls=True).over(back), "before": F.last("price", ignorenulls=True).over(back), "behind": F.last("price", ignorenulls=True).over(ahead)})
     opens = both.where("opens is not null").select(*SERIES, F.col("opens").alias("slot"), "carry", "before")
     closes = both.where("closes is not null").select(*SERIES, F.col("closes").alias("slot"), "behind")
     inside = windows.groupBy(*SERIES, slot_of(F.col("start_ms")).alias("slot")).agg(F.collect_list(F.struct("start_ms", "rate")).alias("inside"))
@@ -143,15 +143,14 @@ def attribution(flags: DataFrame, turns: DataFrame, medians: DataFrame) -> DataF
     """
     each = turns.select("account_id", F.explode(F.array(F.lit("session"), F.lit("week"))).alias("bucket"), "ts_unix_ms", "event_id", "session_uuid", "project", "cw100", "raw_tokens")
     each = each.withColumn("slot", slot_of(F.col("ts_unix_ms")))
-    seg = settled(segments(flags))
-    own = settled(spans(seg))
+    seg = segments(flags)
+    own = spans(seg)
     touched = own.select(*SERIES, "window", "run", "start_ms", "after_ms", "until_ms", F.explode(F.sequence(slot_of(F.col("after_ms")), slot_of(F.col("until_ms")))).alias("slot"))
     met = each.alias("t").join(touched.alias("s"), [F.col(f"t.{c}") == F.col(f"s.{c}") for c in (*SERIES, "slot")] + [F.col("t.ts_unix_ms") > F.col("s.after_ms"), F.col("t.ts_unix_ms") <= F.col("s.until_ms")], "left")
     met = settled(met.select("t.*", "s.window", "s.run", "s.start_ms"))
     first = F.min(F.struct("ts_unix_ms", "event_id", "project")).alias("first")
     sums = F.sum("cw100").alias("c"), F.sum("raw_tokens").alias("raw"), F.count("*").alias("n"), first
     paid = met.where("window is not null").groupBy(*SERIES, "window", "run", "session_uuid").agg(*sums)
-    paid = settled(paid)
     rated = settled(with_rates(own, paid))
     windows = seg.groupBy(*SERIES, "window").agg(F.min("start_ms").alias("start_ms")).join(rated.groupBy(*SERIES, "window").agg(F.max("rate").alias("rate")), [*SERIES, "window"], "left").fillna(0.0, ["rate"])
     zero = F.lit(0.0)

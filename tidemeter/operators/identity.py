@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import around
+
 
 def login_intervals(logins: DataFrame) -> DataFrame:
     """(config_dir, account_id, from_ms): a row whenever a directory's account changes; the first holds from 0."""
@@ -17,14 +19,11 @@ def login_intervals(logins: DataFrame) -> DataFrame:
 def as_of(rows: DataFrame, intervals: DataFrame) -> DataFrame:
     """rows (config_dir, ts_unix_ms, ...) with the account whose interval holds: the last that began by then, or else the first; 1 where there is none.
 
-    One ordered pass over both, no join on a range.
+    The first interval of a directory begins at 0, so the first behind a row matters only for times before that.
     """
-    marks = intervals.select("config_dir", F.col("from_ms").alias("ts_unix_ms"), F.col("account_id").alias("_a"), F.lit(0).alias("_o"))
-    both = marks.unionByName(rows.withColumn("_o", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("config_dir").orderBy("ts_unix_ms", "_o")
-    held = F.last("_a", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_a", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn("resolved", F.coalesce(held, first, F.lit(1).cast("bigint"))).where("_o = 1").drop("_a", "_o")
+    marks = intervals.select("config_dir", F.col("from_ms").alias("ts_unix_ms"), F.col("account_id").alias("mark"))
+    found = around(rows, marks, ["config_dir"])
+    return found.withColumn("resolved", F.coalesce("_back.mark", "_ahead.mark", F.lit(1).cast("bigint"))).drop("_back", "_ahead")
 
 
 def merged_accounts(rows: DataFrame, merges: DataFrame) -> DataFrame:

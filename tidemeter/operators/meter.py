@@ -73,8 +73,8 @@ def _series() -> Window:
 def calibration_points(flags: DataFrame, turns: DataFrame) -> DataFrame:
     """Runs between resets and saturated readings in which the meter rose, with the tokens spent meanwhile.
 
-    Runs and peaks are running counts and maxima; turns find their run as of
-    their time, since runs of an account do not overlap.
+    Runs and peaks are running counts and maxima. Turns meet runs in slots of
+    time (an hour for the work-session meter, a day for the week's), so no account's turns are ordered or held together.
     """
     w = _series()
     before = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -89,12 +89,13 @@ def calibration_points(flags: DataFrame, turns: DataFrame) -> DataFrame:
     )
     earlier = Window.partitionBy("account_id", "bucket", "window").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("from_pct", F.greatest("entry", F.max("high").over(earlier))).withColumn("to_pct", F.greatest("high", "from_pct"))
-    # in order of time a turn comes before a run that begins then: runs are open at their start
-    buckets = turns.select("account_id", F.explode(F.array(F.lit("session"), F.lit("week"))).alias("bucket"), "ts_unix_ms", "raw_tokens", "cw100")
-    starts = runs.select("account_id", "bucket", F.col("a_ms").alias("ts_unix_ms"), F.struct("run", "b_ms").alias("r"), F.lit(1).alias("o"))
-    both = starts.unionByName(buckets.withColumn("o", F.lit(0)), allowMissingColumns=True)
-    when = Window.partitionBy("account_id", "bucket").orderBy("ts_unix_ms", "o", "r.run").rowsBetween(Window.unboundedPreceding, 0)
-    spent = both.withColumn("r", F.last("r", ignorenulls=True).over(when)).where("o = 0 and ts_unix_ms <= r.b_ms").groupBy("account_id", "bucket", F.col("r.run").alias("run")).agg(F.sum("raw_tokens").alias("raw_tokens"), F.sum("cw100").alias("c"))
+    span = F.when(F.col("bucket") == "week", 24 * HOUR_MS).otherwise(HOUR_MS)
+    slot = lambda ms: F.floor(F.col(ms) / span).cast("bigint")
+    spent_at = turns.groupBy("account_id", "ts_unix_ms").agg(F.sum("raw_tokens").alias("raw_tokens"), F.sum("cw100").alias("cw100"))
+    spent_at = spent_at.withColumn("bucket", F.explode(F.array(F.lit("session"), F.lit("week")))).withColumn("slot", slot("ts_unix_ms"))
+    touched = runs.where("to_pct > from_pct").select("account_id", "bucket", "run", "a_ms", "b_ms", F.explode(F.sequence(slot("a_ms"), slot("b_ms"))).alias("slot"))
+    met = spent_at.join(touched, ["account_id", "bucket", "slot"]).where("ts_unix_ms > a_ms and ts_unix_ms <= b_ms")
+    spent = met.groupBy("account_id", "bucket", "run").agg(F.sum("raw_tokens").alias("raw_tokens"), F.sum("cw100").alias("c"))
     out = runs.where("to_pct > from_pct").join(spent, ["account_id", "bucket", "run"]).where("raw_tokens > 0")
     delta = F.col("to_pct") - F.col("from_pct")
     return out.select("account_id", "bucket", "a_ms", "b_ms", "from_pct", "to_pct", delta.alias("delta"), "raw_tokens", (F.col("c") / 100.0).alias("cw_tokens"), F.round(F.col("c") / 100.0 / delta, 6).alias("cw_per_pct"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .asof import around
 
 
 def pressure(allowance: str, used: str) -> F.Column:
@@ -159,10 +160,8 @@ def wakeups(promises, ends, now_ms: int):
 
     newer = F.lead("promise_id").over(Window.partitionBy("session_uuid", "bucket").orderBy("created_ms", "promise_id"))
     p = promises.withColumn("_n", newer)
-    marks = ends.select("account_id", "bucket", F.col("ts_unix_ms").alias("created_ms"), F.col("ts_unix_ms").alias("e"), F.lit(1).alias("o"))
-    both = p.withColumn("o", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    nxt = F.first("e", ignorenulls=True).over(Window.partitionBy("account_id", "bucket").orderBy("created_ms", "o").rowsBetween(0, Window.unboundedFollowing))
-    p = both.withColumn("reset_seen_ms", nxt).where("o = 0")
+    marks = ends.select("account_id", "bucket", "ts_unix_ms", F.col("ts_unix_ms").alias("mark"))
+    p = around(p.withColumn("ts_unix_ms", F.col("created_ms")), marks, ["account_id", "bucket"]).withColumn("reset_seen_ms", F.col("_ahead.mark"))
     outcome = (
         F.when(F.col("_n").isNotNull(), "superseded").when(F.col("reset_seen_ms") < F.col("due_ms"), "early").when(F.col("due_ms") < now_ms - 86_400_000, "expired")
         .when(F.col("due_ms") <= now_ms, "due").otherwise("pending")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights
+from .asof import around
 
 HOUR_MS = 3_600_000
 OTHER, NO_CWD = "__other__", "__unknown_cwd__"
@@ -79,16 +80,11 @@ def weights_report(present: DataFrame, learned: DataFrame, baseline: str) -> Dat
 
 
 def nearest_price(asked: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
-    """asked with the price nearest in time, the earlier of equally near ones: one ordered pass each way, no range join."""
-    own = prices.select(*keys, "ts_unix_ms", F.struct("ts_unix_ms", "price").alias("_p"), F.lit(0).alias("_o"))
-    both = own.unionByName(asked.withColumn("_o", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("ts_unix_ms", "_o")
-    back = F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("_p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    """asked with the price nearest in time, the earlier of equally near ones, by slots of time (asof.around)."""
+    both = around(asked, prices.select(*keys, "ts_unix_ms", F.col("price").alias("mark")), keys)
     at = F.col("ts_unix_ms")
     first = F.col("_ahead").isNull() | (at - F.col("_back.ts_unix_ms") <= F.col("_ahead.ts_unix_ms") - at)
-    both = both.withColumns({"_back": back, "_ahead": ahead}).where("_o = 1")
-    return both.withColumn("price", F.when(first, F.col("_back.price")).otherwise(F.col("_ahead.price"))).drop("_back", "_ahead", "_o", "_p")
+    return both.withColumn("price", F.when(first, F.col("_back.mark")).otherwise(F.col("_ahead.mark"))).drop("_back", "_ahead")
 
 
 def with_owners(attribution: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights
+from .shared import new_folder
 
 HOUR_MS = 3_600_000
 SESSION_MS, WEEK_MS = 5 * HOUR_MS, 168 * HOUR_MS
@@ -121,8 +119,7 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transcript_files(spark: SparkSession, sf_dir: str) -> str:
     """A new folder of transcript() as JSON line files, one a session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="transcripts-")
-    path = f"{folder}/transcripts-{uuid.uuid4().hex}"
+    path = new_folder(spark, "transcripts")
     lines = transcript(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line")
     lines.select("file", "value").write.partitionBy("file").text(path)
     return path
