@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from math import log
 from operator import eq
 from zlib import crc32
 
@@ -38,9 +40,12 @@ EULER = 0.5772156649015329
 _word = re.compile(r"[^\W\d_]+")
 
 
-def pieces(word: str) -> list[int]:
+def pieces(word: str) -> Iterator[int]:
     """Buckets of a word's prefixes, shortest first, and of the whole word."""
-    return [crc32(word[:n].encode("utf-8", "surrogatepass")) % BUCKETS for n in PREFIXES if n < len(word)] + [crc32(f"{word} ".encode("utf-8", "surrogatepass")) % BUCKETS]
+    for n in PREFIXES:
+        if n < len(word):
+            yield crc32(word[:n].encode("utf-8", "surrogatepass")) % BUCKETS
+    yield crc32(f"{word} ".encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 class Scores(dict):
@@ -48,16 +53,22 @@ class Scores(dict):
 
     def __init__(self, model: dict, own: int | None = None):
         super().__init__()
-        self.toxic, self.other, self.base = model["toxic"], model["other"], model["base"]
-        self.less = (own == 1, own == 0)
+        # lists, as single values of an array are slow to read
+        self.toxic, self.other, self.base = model["toxic"].tolist(), model["other"].tolist(), model["base"]
+        self.less = (int(own == 1), int(own == 0))
+        self.odds = log(self.base / (1 - self.base)) + DRIFT
         self.room = WORDS
 
     def __missing__(self, word: str) -> float:
-        share = self.base
+        share, (less_t, less_c) = self.base, self.less
         for b in pieces(word.lower()):
-            t, c = max(0, self.toxic[b] - self.less[0]), max(0, self.other[b] - self.less[1])
+            t, c = self.toxic[b] - less_t, self.other[b] - less_c
+            if t + c <= 0:
+                # what no document begins with, none goes on with
+                break
+            t, c = max(0, t), max(0, c)
             share = (t + WEIGHT * share) / (t + c + WEIGHT)
-        got = float(np.log(share / (1 - share)) - np.log(self.base / (1 - self.base)) - DRIFT)
+        got = log(share / (1 - share)) - self.odds
         self.room -= 160 + 2 * len(word)
         if self.room > 0:
             self[word] = got
