@@ -67,3 +67,38 @@ def short_number(n: Column) -> Column:
 def band(pct: Column) -> Column:
     """Colour band of a percentage: 40, 70 and 90 begin the higher ones."""
     return F.when(pct >= 90, "critical").when(pct >= 70, "high").when(pct >= 40, "medium").otherwise("low")
+
+
+#: Names of months as panels write them.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_clock = r"(?:(0?[0-9]|1[0-2])(?::([0-5][0-9]))?(am|pm)|([01]?[0-9]|2[0-3]):([0-5][0-9]))"
+
+
+def reset_ms(hint: F.Column, zone: F.Column, now_ms: F.Column) -> F.Column:
+    """The instant that a panel's ``Resets`` hint means, in milliseconds; null where it is none.
+
+    A hint is a clock time (``1am``, ``10:50am``, ``15:04``), perhaps behind a month and day, with or
+    without white space (``May1,1am``). It is wall time in the named zone, or in UTC where that is missing or
+    unknown. What lies before the observation means the next day, or with a date the next year; a day that a month lacks runs on into the next one.
+    """
+    s = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(hint, "([A-Za-z])([0-9])", "$1 $2"), ",", ", "), r"\s+", " "))
+    dated = s.rlike(rf"^(?i:{'|'.join(MONTHS)}) ")
+    # letters before digits are set apart in dates alone, so that a clock time stays whole
+    pattern = rf"^(?:((?i:{'|'.join(MONTHS)})) ([1-9]|[12][0-9]|3[01]), )?{_clock}$"
+    part = lambda k: F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
+    whole = s.rlike(pattern)
+    zone = F.trim(F.coalesce(zone, F.lit("")))
+    # a name that no clock knows would be an error later on
+    known = F.when((zone != "") & F.try_to_timestamp(F.concat(F.lit("2000-01-01 00:00:00 "), zone)).isNotNull(), zone).otherwise("UTC")
+    now = F.convert_timezone(F.lit("UTC"), known, F.timestamp_millis(now_ms).cast("timestamp_ntz"))
+    month, day = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(1))), part(2).cast("int")
+    noon = F.when(part(5) == "pm", 12).otherwise(0)
+    hour = F.when(part(5).isNotNull(), part(3).cast("int") % 12 + noon).otherwise(part(6).cast("int"))
+    minute = F.coalesce(part(4), part(7), F.lit("0")).cast("int")
+    fits = ~dated | (day <= F.when(month == 2, 29).when(month.isin(4, 6, 9, 11), 30).otherwise(31))
+    first = F.when(dated, F.make_date(F.year(now), month.cast("int"), F.lit(1))).otherwise(F.to_date(now))
+    date = F.date_add(first, F.when(dated, day - 1).otherwise(0))
+    # a year on is the same month and day of the next year
+    later = F.when(dated, F.date_add(F.make_date(F.year(date) + 1, F.month(date), F.lit(1)), F.dayofmonth(date) - 1)).otherwise(F.date_add(date, 1))
+    at = lambda d: F.unix_millis(F.convert_timezone(known, F.lit("UTC"), F.to_timestamp_ntz(F.concat(d.cast("string"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":00")))).cast("timestamp"))
+    return F.when(whole & fits, F.when(at(date) < now_ms, at(later)).otherwise(at(date)))

@@ -12,7 +12,7 @@ from ..operators import attribution as att
 from ..operators import identity, meter, policy, rollups
 from ..sources import fixtures
 from ..sources.shared import settled
-from . import reports, reports_sql, sql
+from . import reports, reports_sql, sql, upkeep, upkeep_sql
 
 DAY_MS = 86_400_000
 SERIES = ("account_id", "bucket")
@@ -184,8 +184,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES | reports.QUERIES
+    return QUERIES | reports.QUERIES | upkeep.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.QUERIES | reports_sql.QUERIES
+    return sql.QUERIES | reports_sql.QUERIES | upkeep_sql.QUERIES

@@ -72,11 +72,17 @@ def _excluded(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("s1",), ("s17",), ("s3",)], "session_uuid string")
 
 
+#: Reset hints and zones of generated panels, the last of each unreadable.
+HINTS = ["2am", "10:50am", "May1,1am", "Feb 29, 12pm", "15:04", "Jan5,23:59", "Mar31,2:30am", "12am", "Oct 27, 3:15am", "soon"]
+ZONES = ["UTC", "Europe/Copenhagen", "America/Los_Angeles", "Asia/Kolkata", "Nowhere/Land"]
+
+
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fixtures.observations(spark, sf_dir)
-    page = F.format_string("Settings Current session bar %d%% used Resets 2am (UTC) Current week (all models) %d%% used Resets May1,1am (UTC) Current week (small) 0%% used", "session_pct", "week_pct")
-    o = o.select(F.col("id"), F.when(F.col("session_pct").isNull(), "loading").otherwise(page).alias("text"))
-    return tr.extract(o, tr.PANEL).drop("text")
+    pick = lambda own, n: F.element_at(F.array(*[F.lit(x) for x in own]), (F.expr(n) % len(own) + 1).cast("int"))
+    page = F.format_string("Settings Current session bar %d%% used Resets %s (%s) Current week (all models) %d%% used Resets %s (%s) Current week (small) 0%% used", "session_pct", pick(HINTS, "id div 8"), pick(ZONES, "id div 80"), "week_pct", pick(HINTS, "id div 16"), pick(ZONES, "id div 8"))
+    o = o.select("id", "ts_unix_ms", F.when(F.col("session_pct").isNull(), "loading").otherwise(page).alias("text"))
+    return tr.panel_readings(o).drop("text", "ts_unix_ms")
 
 
 def _api(spark: SparkSession, sf_dir: str) -> DataFrame:

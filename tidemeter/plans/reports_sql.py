@@ -97,6 +97,31 @@ lo AS (
     FROM (SELECT session_uuid, loop_key, arg_max(text, struct_pack(a := t, b := e)) AS text, arg_max(status, struct_pack(a := t, b := e)) AS s, arg_max(us, struct_pack(a := t, b := e)) FILTER (WHERE us IS NOT NULL) AS u, min(t) AS first_ms, max(t) AS last_ms FROM lr GROUP BY 1, 2))
   WHERE status NOT IN ('done', 'dismissed', 'stale'))"""
 
+_ZONED = "timezone(CASE WHEN {0}_zone = 'Nowhere/Land' THEN 'UTC' ELSE {0}_zone END, {1})"
+_LOCAL = "timezone(CASE WHEN {0}_zone = 'Nowhere/Land' THEN 'UTC' ELSE {0}_zone END, make_timestamp(ts * 1000) AT TIME ZONE 'UTC')"
+
+
+def _reset(b: str) -> str:
+    """Milliseconds of a generated hint: its month, day, hour and minute stand in the list hints."""
+    day = f"CASE WHEN {b}_mon IS NULL THEN CAST({_LOCAL.format(b)} AS DATE) ELSE make_date(CAST(year({_LOCAL.format(b)}) AS BIGINT), {b}_mon, 1) + CAST({b}_day - 1 AS INTEGER) END"
+    clock = f"to_minutes({b}_min)"
+    later = f"CASE WHEN {b}_mon IS NULL THEN ({day}) + 1 ELSE make_date(year({day}) + 1, month({day}), 1) + CAST(day({day}) - 1 AS INTEGER) END"
+    ms = lambda d: f"epoch_ms({_ZONED.format(b, f'CAST({d} AS TIMESTAMP) + {clock}')})"
+    return f"CASE WHEN {b}_min IS NOT NULL THEN CASE WHEN {ms(day)} < ts THEN {ms(later)} ELSE {ms(day)} END END"
+
+
+PANELS = """
+hints AS (SELECT * FROM (VALUES (0, '2am', NULL, NULL, 120), (1, '10:50am', NULL, NULL, 650), (2, 'May1,1am', 5, 1, 60), (3, 'Feb 29, 12pm', 2, 29, 720), (4, '15:04', NULL, NULL, 904), (5, 'Jan5,23:59', 1, 5, 1439),
+  (6, 'Mar31,2:30am', 3, 31, 150), (7, '12am', NULL, NULL, 0), (8, 'Oct 27, 3:15am', 10, 27, 195), (9, 'soon', NULL, NULL, NULL)) h(n, hint, mon, dy, mins)),
+zones AS (SELECT * FROM (VALUES (0, 'UTC'), (1, 'Europe/Copenhagen'), (2, 'America/Los_Angeles'), (3, 'Asia/Kolkata'), (4, 'Nowhere/Land')) z(n, zone)),
+seen AS (SELECT id, max(ts) AS ts, max(pct) FILTER (WHERE bucket = 'session') AS session_pct, max(pct) FILTER (WHERE bucket = 'week') AS week_pct FROM meter GROUP BY 1),
+panels AS (
+  SELECT seen.*, a.hint AS session_reset, a.mon AS session_mon, a.dy AS session_day, a.mins AS session_min, b.zone AS session_zone, c.hint AS week_reset, c.mon AS week_mon, c.dy AS week_day, c.mins AS week_min, d.zone AS week_zone
+  FROM seen LEFT JOIN hints a ON session_pct IS NOT NULL AND a.n = id // 8 % 10 LEFT JOIN zones b ON session_pct IS NOT NULL AND b.n = id // 80 % 5
+    LEFT JOIN hints c ON session_pct IS NOT NULL AND c.n = id // 16 % 10 LEFT JOIN zones d ON session_pct IS NOT NULL AND d.n = id // 8 % 5)"""
+PANEL_BODY = f"""SELECT id, session_pct, session_reset, session_zone, {_reset('session')} AS session_reset_ms, week_pct, week_reset, week_zone, {_reset('week')} AS week_reset_ms,
+  CASE WHEN session_pct IS NULL THEN 'session_pct,week_pct' ELSE '' END AS missing FROM panels"""
+
 QUERIES = {
     "path_shapes": turns("SELECT shape, count(*) AS files FROM files GROUP BY 1", FILES),
     "mtime_gate": turns("SELECT path, mtime_ms FROM files WHERE (bytes >= 5000 OR shape <> 'top_level') AND mtime_ms % 2 = 1", FILES),
@@ -106,7 +131,7 @@ QUERIES = {
         "LEFT JOIN (SELECT *, CASE WHEN mtime_ms % 2 = 0 THEN 'i' WHEN key IN ('s1', 's17', 's3') OR (shape = 'top_level' AND bytes < 5000) THEN 's' ELSE 'm' END AS st FROM files) f ON f.shape = s.shape GROUP BY 1",
         FILES,
     ),
-    "panel_extract": sql.meter("SELECT id, session_pct, CASE WHEN session_pct IS NOT NULL THEN '2am' END AS session_reset, week_pct, CASE WHEN session_pct IS NOT NULL THEN 'May1,1am' END AS week_reset, CASE WHEN session_pct IS NULL THEN 'session_pct,week_pct' ELSE '' END AS missing FROM (SELECT id, max(pct) FILTER (WHERE bucket = 'session') AS session_pct, max(pct) FILTER (WHERE bucket = 'week') AS week_pct FROM meter GROUP BY 1)"),
+    "panel_extract": sql.meter(PANEL_BODY, PANELS),
     "api_reading": sql.meter("SELECT id, s + 1 AS session_pct, w + 1 AS week_pct, (a + 60000) // 60000 * 60000 AS session_reset_ms, (b + 60000) // 60000 * 60000 AS week_reset_ms FROM (SELECT id, max(pct) FILTER (WHERE bucket = 'session') AS s, max(pct) FILTER (WHERE bucket = 'week') AS w, max(rst) FILTER (WHERE bucket = 'session') AS a, max(rst) FILTER (WHERE bucket = 'week') AS b FROM meter GROUP BY 1)"),
     "transcript_turns": turns("SELECT session_uuid AS file, ts_unix_ms, concat('m', event_id) AS message_id, model, cwd, input_tokens, output_tokens, cache_read, cache_create_5m, cache_create_1h, turn_idx, gap_s FROM turns"),
     "dedupe_responses": turns("SELECT session_uuid AS file, concat('m', event_id) AS message_id, output_tokens FROM turns"),

@@ -123,3 +123,40 @@ def transcript_files(spark: SparkSession, sf_dir: str) -> str:
     lines = transcript(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line")
     lines.select("file", "value").write.partitionBy("file").text(path)
     return path
+
+
+def session_paths(turns_: DataFrame) -> DataFrame:
+    """(file, path) of each session's transcript in the layouts: at the top of its project, as a subagent's under its parent's id (one under a garbled id), or as a workflow's agent."""
+    h = F.md5("parent_session_uuid")
+    parent = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    n = F.substring("session_uuid", 2, 9).cast("int")
+    name = F.concat(F.lit("agent-"), F.col("session_uuid"), F.lit(".jsonl"))
+    path = (
+        F.when(F.col("parent_session_uuid") == "", F.concat("project", F.lit("/"), "session_uuid", F.lit(".jsonl")))
+        .when(n % 4 == 3, F.concat("project", F.lit("/"), parent, F.lit("/subagents/workflows/w1/"), name))
+        .when(n % 4 == 2, F.concat("project", F.lit("/"), "parent_session_uuid", F.lit("/subagents/"), name)).otherwise(F.concat("project", F.lit("/"), parent, F.lit("/subagents/"), name))
+    )
+    return turns_.select("session_uuid", "parent_session_uuid", "project").distinct().select(F.col("session_uuid").alias("file"), path.alias("path"))
+
+
+def transcript_tree(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with transcript() as files of the layouts, a session that ended at once (``p0/tiny.jsonl``), a workflow's journal and a file that is no transcript."""
+    root, raw = new_folder(spark, "tree"), new_folder(spark, "raw")
+    lines = transcript(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line")
+    lines.select("file", "value").write.partitionBy("file").text(raw)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(source: str, target: str) -> None:
+        parts = [s.getPath() for s in fs.listStatus(path(source)) if s.getPath().getName().startswith("part-")]
+        to = path(f"{root}/{target}")
+        fs.mkdirs(to.getParent())
+        assert len(parts) == 1 and fs.rename(parts[0], to)
+
+    for r in session_paths(turns(spark, sf_dir)).collect():
+        put(f"{raw}/file={r.file}", r.path)
+    for k, name in enumerate(("p0/tiny.jsonl", "p1/0/subagents/workflows/w1/journal.jsonl", "p1/notes.txt")):
+        spark.createDataFrame([('{"type":"user"}',)], "value string").coalesce(1).write.text(f"{raw}-{k}")
+        put(f"{raw}-{k}", name)
+    return root

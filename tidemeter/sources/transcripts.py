@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import reset_ms
+
 #: Fields of a record that the tables need; content stays text, since it is a string or an array.
 RECORD = """type string, subtype string, timestamp string, requestId string, cwd string, userType string, error string, queuePriority string, content string,
 isMeta boolean, isCompactSummary boolean, isSidechain boolean, toolUseResult string, sourceToolAssistantUUID string, origin struct<kind: string>,
@@ -188,12 +190,20 @@ def extract(texts: DataFrame, rules: list[tuple[str, str, str, int, bool]], text
 #: Readings of a usage panel whose lines are joined by spaces.
 PANEL = [
     ("session_pct", "int", r"Current session\s.*?(\d+)% used", 1, True),
-    ("session_reset", "string", r"Current session\s.*?Resets (\S+)", 1, False),
+    ("session_reset", "string", r"Current session\s.*?Resets ([^()%]+?) ?(?:\(|Current|$)", 1, False),
+    ("session_zone", "string", r"Current session\s.*?Resets [^()%]*?\(([^()]+)\)", 1, False),
     ("week_pct", "int", r"Current week \(all models\)\s.*?(\d+)% used", 1, True),
-    ("week_reset", "string", r"Current week \(all models\)\s.*?Resets (\S+)", 1, False),
+    ("week_reset", "string", r"Current week \(all models\)\s.*?Resets ([^()%]+?) ?(?:\(|Current|$)", 1, False),
+    ("week_zone", "string", r"Current week \(all models\)\s.*?Resets [^()%]*?\(([^()]+)\)", 1, False),
 ]
 
 
+def panel_readings(panels: DataFrame, text: str = "text", now_ms: str = "ts_unix_ms") -> DataFrame:
+    """panels with PANEL's fields, and the instants that the reset hints mean at ``now_ms``."""
+    got = extract(panels, PANEL, text)
+    return got.withColumns({f"{b}_reset_ms": reset_ms(F.col(f"{b}_reset"), F.col(f"{b}_zone"), F.col(now_ms)) for b in ("session", "week")})
+
+
 def api_readings(answers: DataFrame, body: str = "body") -> DataFrame:
     """Percentages, halves rounded up, and resets at whole minutes, from a usage endpoint's JSON."""
     a = answers.withColumn("_a", F.from_json(body, "five_hour struct<utilization: double, resets_at: string>, seven_day struct<utilization: double, resets_at: string>"))
