@@ -1,12 +1,17 @@
 """Files, versions and streams that are kept up: gates, crashes, restarts and retries."""
 
 import os
+import random
+import time
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemeter.functions import text
-from tidemeter.sources import discovery, versions
+from tidemeter.operators import meter
+from tidemeter.sources import discovery, eventlog, fixtures, versions
+from tidemeter.streaming import announce, buckets, corrections, levels, watermarks
 
 FOLDER = "01234567-89ab-cdef-0123-456789abcdef"
 
@@ -129,3 +134,156 @@ def test_replace_of_all_rows_and_of_none(spark, tmp_path):
     assert rows_of(spark, root, "a") == []
     versions.replace(spark, root, {"a": a}, a.limit(0), ["session"], parts=2)
     assert rows_of(spark, root, "a") == []
+
+
+READING = "id long, account_id long, bucket string, ts_unix_ms long, pct long, reset_ms long, saturated boolean"
+
+
+def test_corrections_equal_a_full_rebuild_in_any_order(spark, tmp_path):
+    rng = random.Random(4)
+    for case in range(2):
+        rows, pct = [], 0
+        for i in range(240):
+            pct = rng.choice([pct, pct + 1, pct + 2, pct + 2, pct + 9, pct // 3 if rng.random() < 0.3 else pct])
+            rows.append((i, 1, "session", 3_600_000 * i, None if rng.random() < 0.05 else min(pct, 107), 3_600_000 * (i + rng.randint(1, 30)) if rng.random() < 0.1 else None, False))
+        order = rows[:]
+        if case:
+            rng.shuffle(order)
+        root, counts = str(tmp_path / str(case)), []
+        write = corrections.writer(root, counts, parts=4)
+        cuts = [0, 80, 160, 200, 239, 240]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            write(spark.createDataFrame(order[a:b], READING), k)
+        want = {tuple(r) for r in meter.usage_flags(spark.createDataFrame(rows, READING)).collect()}
+        assert {tuple(r) for r in corrections.flags(spark, root).collect()} == want
+        # a batch that is tried again changes nothing
+        write(spark.createDataFrame(order[200:239], READING), 3)
+        assert {tuple(r) for r in corrections.flags(spark, root).collect()} == want
+        if not case:
+            # in order, only what follows the last decided reset is computed again
+            assert counts[0] == 80 and counts[4] < 60
+    # a reading that is replaced, late
+    fixed = [(*rows[10][:4], 55, None, False)]
+    write(spark.createDataFrame(fixed, READING), 9)
+    rows[10] = fixed[0]
+    assert {tuple(r) for r in corrections.flags(spark, root).collect()} == {tuple(r) for r in meter.usage_flags(spark.createDataFrame(rows, READING)).collect()}
+
+
+def run_stream(df, folder, **how):
+    out = df.writeStream.option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True)
+    q = (out.foreachBatch(how["each"]) if "each" in how else out.format("parquet").option("path", f"{folder}/out")).start()
+    assert q.awaitTermination(180)
+
+
+def test_event_log_resumes_behind_its_cursor(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def put(ids):
+        spark.createDataFrame([(i, i * 10, "budget" if i % 3 else "cache.warm", f"s{i % 2}", "/w", i % 4) for i in ids], eventlog.SCHEMA).coalesce(1).write.mode("append").parquet(log)
+
+    def run():
+        run_stream(eventlog.events(spark, log, since=5, page=7, kinds="b*,none", session_uuid="s1"), str(tmp_path))
+        return sorted(r.event_id for r in spark.read.schema(eventlog.SCHEMA).parquet(str(tmp_path / "out")).collect())
+
+    want = lambda n: [i for i in range(6, n) if i % 3 and i % 2]
+    put(range(1, 40))
+    assert run() == want(40)
+    assert run() == want(40)
+    put(range(40, 75))
+    assert run() == want(75)
+
+
+def test_a_batch_tried_three_times_announces_once(spark, tmp_path):
+    said = []
+    batch = spark.createDataFrame([(k, "", "budget", "tight", None) for k in range(5)] + [(9, "s1", "cache", "expiring", None), (10, "s1", "cache", "warm", None)], "event_id long, session_uuid string, kind string, state string, eta_ms long")
+    write = announce.once(str(tmp_path / "claims"), lambda df: said.append(sorted(r.event_id for r in df.collect())), now_ms=0)
+    for number in (0, 0, 0, 1):
+        write(batch, number)
+    assert said == [[2, 3, 4, 9]] * 2
+    # a run that dies while it speaks loses the batch rather than say it again
+    def dies(df):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        announce.once(str(tmp_path / "claims"), dies, now_ms=0)(batch, 2)
+    write(batch, 2)
+    assert len(said) == 2
+
+
+def test_hooks_fire_once_and_late(spark, tmp_path):
+    events = spark.createDataFrame([(1, 100, "cache.warm", "s1"), (2, 200, "budget", "s1"), (3, 300, "budget", "s2")], "event_id long, ts_unix_ms long, kind string, session_uuid string")
+    hook = lambda k, kind, after, expires, status="pending", **more: {"hook_id": k, "kind_glob": kind, "after_event_id": after, "expires_ms": expires, "status": status} | more
+    hooks = [hook(1, "budget", 0, 250), hook(2, "bud?et", 2, 250), hook(3, "b*", 0, 999, session_uuid="s2"), hook(4, "none", 0, 2000), hook(5, "*", 0, 999, "fired")]
+    got = announce.hook_outcomes(hooks, events, now_ms=1000)
+    # the first is owed its event though its time has passed meanwhile
+    assert {r.hook_id: (r.status, r.event_id) for r in got.collect()} == {1: ("fired", 2), 2: ("expired", None), 3: ("fired", 3), 4: ("pending", None), 5: ("fired", None)}
+    ran = []
+    root = str(tmp_path / "hooks")
+    assert sorted(announce.fire(spark, root, got, lambda h, e: ran.append((h, e)))) == [1, 3]
+    assert announce.fire(spark, root, got, lambda h, e: ran.append((h, e))) == []
+    assert sorted(ran) == [(1, 2), (3, 3)]
+
+
+def test_marks_move_once_the_delta_is_stored(spark, tmp_path):
+    root, seen = str(tmp_path), []
+    records = lambda *rows: spark.createDataFrame([(f, k, t, c) for k, (f, t, c) in enumerate(rows)], "file string, line long, ts_unix_ms long, cwd string")
+    first = records(("a", 10, "/x"), ("a", 20, ""), ("b", 5, None))
+
+    def fails(df):
+        seen.append({(r.file, r.records) for r in df.collect()})
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        watermarks.advance(spark, root, first, fails)
+    keep = lambda df: seen.append({(r.file, r.records) for r in df.collect()})
+    watermarks.advance(spark, root, first, keep)
+    assert seen == [{("a", 2), ("b", 1)}] * 2
+    # late lines are not in the delta and move nothing back
+    watermarks.advance(spark, root, records(("a", 15, "/late"), ("b", 6, "/y")), keep)
+    assert seen[-1] == {("b", 1)}
+    assert {tuple(r) for r in watermarks.marks(spark, root).collect()} == {("a", 20), ("b", 6)}
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.set(key, old)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_stream_buckets_equal_the_batch(rocks, tmp_path):
+    spark, rng, hour = rocks, random.Random(8), 3_600_000
+    rows = [(a, 1_700_000_000_000 + rng.randrange(60 * hour), 10 + i, 100 * i) for a in (1, 2) for i in range(60)]
+    schema, source = "account_id long, ts_unix_ms long, raw_tokens long, cw100 long", str(tmp_path / "in")
+    rows.sort(key=lambda r: r[1] + rng.randrange(hour // 2))
+    stream = lambda: buckets.fixed_buckets(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), 5 * hour)
+    for k in range(0, 120, 40):
+        spark.createDataFrame(rows[k : k + 40], schema).coalesce(1).write.mode("append").parquet(source)
+        # a new query each time: it goes on from its checkpoint
+        run_stream(stream(), str(tmp_path))
+    # a row long after all others closes what is open; one far too late is dropped
+    for t in (1_700_000_000_000 + 900 * hour, 1_700_000_000_000 - 50 * hour, 1_700_000_000_000 + 901 * hour):
+        spark.createDataFrame([(a, t, 1, 1) for a in (1, 2)], schema).coalesce(1).write.mode("append").parquet(source)
+        run_stream(stream(), str(tmp_path))
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("account_id", "start_ms", "end_ms", "raw_tokens", "cw_tokens").collect()}
+    assert got == {tuple(r) for r in meter.fixed_buckets(spark.createDataFrame(rows, schema), 5 * hour).collect()}
+
+
+def test_a_silent_key_is_forgotten(rocks, tmp_path):
+    spark, source = rocks, str(tmp_path / "in")
+    # time passes for this query, which would have batches without data for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    schema = "key string, n long, state string"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        run_stream(levels.level_edges_for(spark.readStream.schema(schema).parquet(source), "key", "n", timedelta(seconds=12)), str(tmp_path))
+        return {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("key", "n", "state", "previous").collect()}
+
+    first = run([("a", 1, "warm"), ("a", 2, "cold"), ("b", 1, "warm")])
+    assert first == {("a", 1, "warm", "unknown"), ("a", 2, "cold", "warm"), ("b", 1, "warm", "unknown")}
+    time.sleep(13)
+    assert run([("a", 3, "cold"), ("a", 4, "warm")]) - first == {("a", 3, "cold", "unknown"), ("a", 4, "warm", "cold")}

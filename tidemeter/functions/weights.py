@@ -21,6 +21,28 @@ def price_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "model string, multiplier double, input_price double, output_price double")
 
 
+#: Output tokens cost so many times an input token's price, give or take.
+RATIO, RATIO_TOLERANCE = 5.0, 0.01
+
+
+def overridden(prices: DataFrame, own: DataFrame) -> DataFrame:
+    """prices (model, multiplier, input_price, output_price) with a user's (model, input_price, output_price, status) in place of theirs; a status of 'unverified' marks a price that was found and awaits a look.
+
+    Multipliers are input prices relative to the dearness of the multiplier 1.
+    """
+    new = own.select("model", (F.col("input_price") / DEFAULT).alias("multiplier"), "input_price", "output_price", F.coalesce("status", F.lit("")).alias("status"))
+    return prices.join(own, "model", "left_anti").withColumn("status", F.lit("")).unionByName(new)
+
+
+def model_prices(models: DataFrame, prices: DataFrame) -> DataFrame:
+    """models (model) with their price; unpriced ones count with the multiplier 1. breaks_ratio: output is not RATIO times input, so one multiplier only comes near; unverified: by overridden()."""
+    if "status" not in prices.columns:
+        prices = prices.withColumn("status", F.lit(""))
+    m = models.join(prices, "model", "left")
+    off = (F.col("input_price") > 0) & (F.col("output_price") > 0) & (F.abs(F.col("output_price") / F.col("input_price") - RATIO) > RATIO_TOLERANCE)
+    return m.select("model", F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"), "input_price", "output_price", F.col("multiplier").isNotNull().alias("priced"), F.coalesce(off, F.lit(False)).alias("breaks_ratio"), F.coalesce(F.col("status") == "unverified", F.lit(False)).alias("unverified"))
+
+
 def multiplier5() -> F.Column:
     out = F.lit(DEFAULT)
     for m, v in MULTIPLIERS.items():

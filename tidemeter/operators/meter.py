@@ -10,12 +10,13 @@ HOUR_MS = 3_600_000
 FLAGS = "id long, account_id long, bucket string, ts_unix_ms long, pct long, reset_ms long, saturated boolean, reset_detected boolean, valid boolean"
 
 
-def flags_of(ts: list, pct: list, reset: list) -> list[tuple[bool, bool]]:
-    """(reset_detected, valid) of an account's readings of one meter, in order.
+def flags_of(ts: list, pct: list, reset: list, resumed: bool = False) -> list[tuple[bool, bool, int | None]]:
+    """(reset_detected, valid, decided_ms) of an account's readings of one meter, in order.
 
     A reading far below the peak is a misreading if a later one comes back to the
     peak, and a reset otherwise. Whether it comes back is decided by the first later reading
-    that differs from it by more than one point.
+    that differs from it by more than one point: decided_ms is that reading's time, null while there is none, and the reading's own
+    time where nothing later matters. resumed: the first reading is a reset that is decided, at which an earlier run left off.
     """
     # for each reading the next one that differs by more than one, found from the end
     out, peak, due = [], None, None
@@ -30,23 +31,24 @@ def flags_of(ts: list, pct: list, reset: list) -> list[tuple[bool, bool]]:
             j = jump[j] if values[j][1] == values[k][1] else j + 1
         jump[k] = j
     for i in range(n):
-        p, boundary, here = pct[i], due is not None and ts[i] >= due, False
+        p, boundary, here, decided = pct[i], due is not None and ts[i] >= due, resumed and i == 0, ts[i]
         valid = True
         if p is None:
             pass
         elif p > 100:
             valid = False
         elif peak is None or boundary:
-            here, peak = boundary, p
+            here, peak = here or boundary, p
         elif peak - p <= 1:
             peak = max(peak, p)
         else:
             j = jump[place[i]]
+            decided = ts[values[j][0]] if j < len(values) else None
             if j < len(values) and values[j][1] >= peak - 1:
                 valid = False
             else:
                 here, peak = True, p
-        out.append((here, valid))
+        out.append((here, valid, decided))
         if reset[i] is not None:
             due = reset[i]
         elif here:
@@ -54,16 +56,25 @@ def flags_of(ts: list, pct: list, reset: list) -> list[tuple[bool, bool]]:
     return out
 
 
+def _flagged(pdf: pd.DataFrame, resumed: bool = False) -> pd.DataFrame:
+    pdf = pdf.sort_values(["ts_unix_ms", "id"])
+    lists = [[None if pd.isna(x) else int(x) for x in pdf[c]] for c in ("ts_unix_ms", "pct", "reset_ms")]
+    got = flags_of(*lists, resumed)
+    return pdf.assign(pct=pd.array(lists[1], "Int64"), reset_ms=pd.array(lists[2], "Int64"), reset_detected=[a for a, *_ in got], valid=[b for _, b, _ in got], decided_ms=pd.array([c for *_, c in got], "Int64"))
+
+
 def usage_flags(meter: DataFrame) -> DataFrame:
     """meter() rows with reset_detected and valid. One account's readings of one meter, a few hundred a day, are one group."""
+    return meter.groupBy("account_id", "bucket").applyInPandas(lambda pdf: _flagged(pdf).drop(columns="decided_ms"), FLAGS)
+
+
+def resumed_flags(readings: DataFrame) -> DataFrame:
+    """Flags with decided_ms of readings with a column ``resumed``: true in a series whose first row is a decided reset that an earlier run left off at."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_unix_ms", "id"])
-        lists = [[None if pd.isna(x) else int(x) for x in pdf[c]] for c in ("ts_unix_ms", "pct", "reset_ms")]
-        got = flags_of(*lists)
-        return pdf.assign(pct=pd.array(lists[1], "Int64"), reset_ms=pd.array(lists[2], "Int64"), reset_detected=[a for a, _ in got], valid=[b for _, b in got])
+        return _flagged(pdf.drop(columns="resumed"), bool(pdf["resumed"].iloc[0]))
 
-    return meter.groupBy("account_id", "bucket").applyInPandas(run, FLAGS)
+    return readings.groupBy("account_id", "bucket").applyInPandas(run, f"{FLAGS}, decided_ms long")
 
 
 def _series() -> Window:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,10 +93,15 @@ def until(spec: F.Column, bucket: F.Column, now_ms: F.Column, ends: dict[str, F.
     )
 
 
+#: What a hook may be limited to besides the kind of event.
+ABOUT = ("bucket", "session_uuid", "cwd", "account_id")
+
+
 def hook_matches(hooks: list[dict], events):
-    """The first event of each pending hook (configuration: hook_id, kind_glob, after_event_id, expires_ms) after its cursor and before it expires. One pass over the events, no join."""
+    """The first event of each pending hook (configuration: hook_id, kind_glob, after_event_id, expires_ms, and perhaps one of ABOUT) after its cursor and before it expires. One pass over the events, no join."""
+    about = lambda h: [F.col(c) == h[c] for c in ABOUT if h.get(c)]
     hits = [
-        F.when(F.col("kind").rlike(glob(h["kind_glob"])) & (F.col("event_id") > h["after_event_id"]) & (F.col("ts_unix_ms") <= h["expires_ms"]), F.lit(h["hook_id"]).cast("bigint"))
+        F.when(reduce(and_, about(h), F.col("kind").rlike(glob(h["kind_glob"])) & (F.col("event_id") > h["after_event_id"]) & (F.col("ts_unix_ms") <= h["expires_ms"])), F.lit(h["hook_id"]).cast("bigint"))
         for h in hooks if h["status"] == "pending"
     ]
     return events.select("event_id", F.explode(F.array_compact(F.array(*hits))).alias("hook_id")).groupBy("hook_id").agg(F.min("event_id").alias("event_id"))

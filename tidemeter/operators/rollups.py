@@ -54,10 +54,13 @@ def model_totals(turns: DataFrame) -> DataFrame:
     return t.join(F.broadcast(total)).select("model", "turns", "raw_tokens", (F.col("c") / 100.0).alias("cw_tokens"), "priced", share.alias("share"))
 
 
-def top_offenders(turns: DataFrame, k: int = 25) -> DataFrame:
+def top_offenders(turns: DataFrame, compactions: DataFrame, k: int = 25) -> DataFrame:
+    """The ``k`` sessions with most avoidable tokens, less those that have neither such tokens nor a confirmed cold compaction (transcripts.compactions)."""
     leak = F.sum(F.when(F.col("classification").isin(*AVOIDABLE), F.col("raw_tokens")).otherwise(0)).alias("leak_tokens")
+    cold = compactions.where("confirmed and cache_state = 'cold'").groupBy(F.col("file").alias("session_uuid")).agg(_long(F.count("*")).alias("cold"))
     t = turns.groupBy("session_uuid").agg(leak, F.sum("raw_tokens").alias("raw_tokens"))
-    return t.orderBy(F.desc("leak_tokens"), "session_uuid").limit(k).where("leak_tokens > 0")
+    top = t.orderBy(F.desc("leak_tokens"), "session_uuid").limit(k)
+    return top.join(cold, "session_uuid", "left").withColumn("cold_compactions", F.coalesce("cold", F.lit(0).cast("bigint"))).drop("cold").where("leak_tokens > 0 or cold_compactions > 0")
 
 
 def session_list(turns: DataFrame) -> DataFrame:

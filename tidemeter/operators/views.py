@@ -79,6 +79,24 @@ def weights_report(present: DataFrame, learned: DataFrame, baseline: str) -> Dat
     return r.select("model", F.coalesce("samples", F.lit(0).cast("bigint")).alias("samples"), "tokens_per_pct", "weight", "list_weight", (F.col("model") == baseline).alias("is_baseline"), off.alias("diverges"))
 
 
+def control_pair(learned: DataFrame) -> DataFrame:
+    """(model_a, model_b, ratio): the first two models, by name, that list at one price and have learned weights; these should be equal, so their ratio is the estimator's error. No row where there is no such pair.
+
+    A row a model is compared here, by list price.
+    """
+    own = learned.where("weight is not null and weight <> 0").select("model", "weight", multiplier_of("model").alias("p"))
+    near = Window.partitionBy("p").orderBy("model")
+    pairs = own.withColumns({"model_b": F.lead("model").over(near), "w": F.lead("weight").over(near)}).where("model_b is not null")
+    return pairs.select(F.col("model").alias("model_a"), "model_b", F.round(F.col("weight") / F.col("w"), 2).alias("ratio")).orderBy("model_a").limit(1)
+
+
+def multiplier_of(model: str) -> F.Column:
+    out = F.lit(weights.DEFAULT)
+    for m, v in weights.MULTIPLIERS.items():
+        out = F.when(F.col(model) == m, v).otherwise(out)
+    return out
+
+
 def nearest_price(asked: DataFrame, prices: DataFrame, keys: list[str]) -> DataFrame:
     """asked with the price nearest in time, the earlier of equally near ones, by slots of time (asof.around)."""
     both = around(asked, prices.select(*keys, "ts_unix_ms", F.col("price").alias("mark")), keys)

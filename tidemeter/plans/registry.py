@@ -11,6 +11,7 @@ from ..functions import weights
 from ..operators import attribution as att
 from ..operators import identity, meter, policy, rollups
 from ..sources import fixtures
+from ..sources import transcripts as tr
 from ..sources.shared import settled
 from . import reports, reports_sql, sql, upkeep, upkeep_sql
 
@@ -130,7 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cache_state": _turns(lambda t: t.select("event_id", weights.cache_state().alias("cache_state"))),
     "effective_owner": _turns(lambda t: t.groupBy(weights.owner().alias("owner")).agg(_count("turns"), F.sum("raw_tokens").alias("raw_tokens"))),
     "turn_gaps": _turns(lambda t: t.select("event_id", "session_uuid", "turn_idx", "gap_s")),
-    "price_table": lambda spark, _: weights.price_table(spark),
+    "price_table": _turns(lambda t: weights.model_prices(t.select("model").distinct(), weights.price_table(t.sparkSession))),
     "model_totals": _turns(rollups.model_totals),
     "model_days": _turns(lambda t: t.where(F.col("model").isin(*weights.MULTIPLIERS)).groupBy(F.to_date(F.timestamp_millis("ts_unix_ms")).alias("day"), "model").agg((F.sum("cw100") / 100.0).alias("cw_tokens"))),
     "models_with_spend": _turns(lambda t: t.groupBy("model").agg(F.max("ts_unix_ms").alias("last_ms"), F.sum("cw100").alias("c")).where("c > 0").drop("c")),
@@ -142,7 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_cwd_mode": _turns(rollups.cwd_mode),
     "peak_5h": _turns(lambda t: rollups.peak_sum(t, fixtures.SESSION_MS)),
     "session_list": _turns(rollups.session_list),
-    "leaks_top": _turns(rollups.top_offenders),
+    "leaks_top": lambda spark, sf_dir: rollups.top_offenders(fixtures.turns(spark, sf_dir), tr.compactions(tr.parsed(fixtures.transcript(spark, sf_dir)))),
     "recent_sessions": _turns(_recent),
     "last_turns": _turns(lambda t: t.withColumn("r", F.row_number().over(Window.partitionBy("session_uuid").orderBy(F.desc("turn_idx")))).where("r <= 3").select("session_uuid", "turn_idx", "raw_tokens")),
     "collapse_runs": _turns(rollups.collapse_runs),

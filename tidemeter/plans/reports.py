@@ -25,9 +25,6 @@ HOOKS = [
     {"hook_id": 3, "kind_glob": "*", "after_event_id": 0, "expires_ms": EPOCH_MS + DAY_MS, "status": "fired"},
     {"hook_id": 4, "kind_glob": "none.*", "after_event_id": 0, "expires_ms": EPOCH_MS + 40 * DAY_MS, "status": "pending"},
 ]
-LEASES = """(VALUES (1, 'manual', NULL, NULL, NULL, NULL), (2, 'deadline', 500, NULL, NULL, NULL), (3, 'deadline', 1500, NULL, NULL, NULL), (4, 'window_reset', NULL, 900, NULL, NULL),
-(5, 'window_reset', NULL, NULL, NULL, 100), (6, 'window_reset', NULL, NULL, 800, 100), (7, 'window_reset', NULL, NULL, 800, 850), (8, 'window_reset', NULL, NULL, 1200, 100), (9, 'deadline', NULL, NULL, NULL, NULL))
-AS l(lease_id, kind, at_ms, window_end_ms, open_end_ms, bound_after_ms)"""
 BUDGETS = "(VALUES ('/w/0/0', 5), ('/w/1/1', 6), ('/w/none', 7), ('/w/3/0', 8)) AS b(cwd, allowance)"
 OPEN_BUDGETS = "(VALUES ('/w/0/0', 'session', 5, 90), ('/w/1/1', 'week', 6, NULL), ('/w/2/1', 'week', 40, 30), ('/w/3/2', 'session', NULL, 50), ('/w/4/1', 'week', 2, 99), ('/w/none', 'week', 5, 50)) AS b(cwd, bucket, spend_pct, meter_pct)"
 BASELINE = "m-base"
@@ -220,9 +217,54 @@ def _status(f: DataFrame) -> DataFrame:
     return _latest(f).select(*SERIES, "pct", text.band(F.col("pct")).alias("band"), left.alias("resets_in"))
 
 
-def _sensors(f: DataFrame) -> DataFrame:
-    now = _latest(f)
-    return now.select(*SERIES, F.lit("threshold").alias("kind"), F.expr("cast(pct div 10 * 10 as string)").alias("state")).unionByName(now.select(*SERIES, F.lit("saturation").alias("kind"), F.when(F.col("saturated"), "saturated").otherwise("clear").alias("state")))
+#: A poll older than this is stale.
+STALE_MS = 2 * 3_600_000
+
+
+def _midway(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(polls, flags, newest readings) as they were within a work session that runs out early."""
+    f = settled(meter.usage_flags(fixtures.meter(spark, sf_dir)).where(F.col("ts_unix_ms") <= fixtures.MIDWAY_MS))
+    return fixtures.observations(spark, sf_dir), f, _latest(f)
+
+
+def _sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polls, f, now = _midway(spark, sf_dir)
+    resets = f.where("reset_ms is not null").groupBy(*SERIES).agg(F.max_by("reset_ms", F.struct("ts_unix_ms", "id")).alias("reset_ms"))
+    projected = meter.limit_projection(meter.burn_now(f).join(resets, [*SERIES], "left"))
+    return quota.meter_sensors(now, projected, quota.collection(polls, fixtures.MIDWAY_MS, STALE_MS))
+
+
+def _status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    polls, f, now = _midway(spark, sf_dir)
+    return quota.status_lines(polls, now, meter.burn_now(f), fixtures.MIDWAY_MS, STALE_MS)
+
+
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    health = quota.collection(fixtures.observations(spark, sf_dir).where("account_id = 1"), fixtures.QUOTA_MS, STALE_MS)
+    own = policy.page(events(fixtures.turns(spark, sf_dir)), 100, 500)
+    # one row each
+    return own.join(health.select(F.col("age_s").alias("poll_age_s")), F.lit(True), "left").withColumn("stale", F.coalesce(F.col("poll_age_s") * 1000 > STALE_MS, F.lit(False)))
+
+
+def _control(f: DataFrame, t: DataFrame) -> DataFrame:
+    return views.control_pair(views.learn_weights(meter.calibration_points(f, t).where("bucket = 'session'"), _solo(t), BASELINE))
+
+
+#: A user's own prices.
+OWN_PRICES = [("m-mid", 3.0, 12.0, ""), ("m-unpriced", 2.0, 10.0, "unverified"), ("m-other", 1.0, 9.0, "")]
+
+
+def _models(t: DataFrame) -> DataFrame:
+    own = t.sparkSession.createDataFrame(OWN_PRICES, "model string, input_price double, output_price double, status string")
+    return weights.model_prices(t.select("model").distinct(), weights.overridden(weights.price_table(t.sparkSession), own))
+
+
+def _leases(t: DataFrame) -> DataFrame:
+    """A lease of each kind and state of its window by turn, and whether it holds ten hours on."""
+    k, ms, hour = F.col("k"), F.col("ts_unix_ms"), 3_600_000
+    kind = F.element_at(F.array(F.lit("manual"), F.lit("deadline"), F.lit("window_reset"), F.lit("window_reset")), (F.col("event_id") % 4 + 1).cast("int"))
+    own = t.select("event_id", "ts_unix_ms", kind.alias("kind"), F.when(k % 10 > 0, ms + (k - 40) * hour).alias("at_ms"), F.when(k % 2 == 0, ms + (k - 30) * hour).alias("window_end_ms"), F.when(k % 5 > 0, ms + (k - 60) * hour).alias("open_end_ms"), F.when(k % 7 > 0, ms - (k % 50) * hour).alias("bound_after_ms"))
+    return own.select("event_id", "kind", policy.lease_live("kind", F.col("ts_unix_ms") + 10 * hour).alias("live"))
 
 
 def _since_reset(f: DataFrame) -> DataFrame:
@@ -231,10 +273,21 @@ def _since_reset(f: DataFrame) -> DataFrame:
 
 
 def _detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fixtures.turns(spark, sf_dir)
-    c = tr.compactions(tr.parsed(fixtures.transcript(spark, sf_dir))).groupBy(F.col("file").alias("session_uuid")).agg(F.count("*").alias("compactions"), F.count_if("confirmed").alias("confirmed"))
+    """Header of each session, its subagents, compactions and share of the meters' windows."""
+    f, t = settled(meter.usage_flags(fixtures.meter(spark, sf_dir))), settled(fixtures.turns(spark, sf_dir))
+    c = tr.compactions(tr.parsed(fixtures.transcript(spark, sf_dir))).groupBy(F.col("file").alias("session_uuid")).agg(
+        F.count("*").alias("compactions"), F.count_if("confirmed").alias("confirmed"), F.count_if(F.col("confirmed") & (F.col("cache_state") == "cold")).alias("cold_compactions")
+    )
+    share = att.pct_totals(_attribution(f, t), _owners(t)).groupBy(F.col("owner").alias("session_uuid")).agg(
+        *[F.max(F.when(F.col("bucket") == b, F.col(x))).alias(f"{b}_{x}") for b in ("session", "week") for x in ("total_pct", "peak_pct", "windows")]
+    )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    return rollups.session_list(t).join(c, "session_uuid", "left").select("session_uuid", "turns", "raw_tokens", "subagents", "subagent_turns", zero("compactions"), zero("confirmed"))
+    head = rollups.sessions(t).select("session_uuid", "project", "first_ms", "last_ms", "output_tokens", "idle_miss_count", "rotation_count", "restructure_count", "cache_ttl", "models")
+    all_ = rollups.session_list(t).join(head, "session_uuid").join(rollups.peak_sum(t, fixtures.SESSION_MS), "session_uuid").join(c, "session_uuid", "left").join(share, "session_uuid", "left")
+    return all_.select(
+        "session_uuid", "project", "first_ms", "last_ms", "turns", "raw_tokens", "output_tokens", F.col("peak_raw_tokens").alias("peak_5h_raw_tokens"), "idle_miss_count", "rotation_count", "restructure_count", "cache_ttl", "models",
+        "subagents", "subagent_turns", zero("compactions"), zero("confirmed"), zero("cold_compactions"), *[f"{b}_{x}" for b in ("session", "week") for x in ("total_pct", "peak_pct", "windows")],
+    )
 
 
 def _since_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,10 +367,10 @@ def _until(t: DataFrame) -> DataFrame:
     return t.select("event_id", lease.alias("lease")).select("event_id", "lease.*")
 
 
-def _events(t: DataFrame) -> DataFrame:
+def events(t: DataFrame) -> DataFrame:
     kinds = {v: k for k, v in fixtures.MODELS.items()}
     named = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
-    return t.select("event_id", "ts_unix_ms", named[F.col("model")].alias("kind"))
+    return t.select("event_id", "ts_unix_ms", named[F.col("model")].alias("kind"), "session_uuid", "cwd", "account_id")
 
 
 def _nearest(t: DataFrame) -> DataFrame:
@@ -352,7 +405,10 @@ QUERIES: dict[str, Query] = {
     "now_state": lambda spark, sf_dir: quota.now_state(fixtures.observations(spark, sf_dir)),
     "now_history": _flags(lambda f: f.withColumn("_m", F.max("ts_unix_ms").over(Window.partitionBy("account_id"))).where(F.col("ts_unix_ms").between(F.col("_m") - DAY_MS, F.col("_m"))).select("id", *SERIES, "ts_unix_ms", "pct")),
     "pct_since_reset": _flags(_since_reset),
-    "sensor_readings": _flags(_sensors),
+    "sensor_readings": _sensors,
+    "status_text": _status_text,
+    "weights_control": _both(_control),
+    "model_status": _turns(_models),
     "status_line": _flags(_status),
     "session_insight": _turns(lambda t: views.session_insight(t, _now(t))),
     "sensor_session": _turns(lambda t: views.session_sensors(views.session_insight(t, _now(t)))),
@@ -376,10 +432,10 @@ QUERIES: dict[str, Query] = {
     "budgets_with_level": _turns(lambda t: _budgets(t).join(_levels(t), "cwd", "left")),
     "orphan_levels": _turns(lambda t: _levels(t).join(_budgets(t), "cwd", "left_anti")),
     "prune_by_cwd": _turns(lambda t: t.join(_budgets(t), "cwd", "left_semi").select("event_id", "cwd")),
-    "lease_status": lambda spark, _: spark.sql(f"SELECT CAST(lease_id AS BIGINT) AS lease_id, kind, at_ms, window_end_ms, open_end_ms, bound_after_ms FROM {LEASES}").select("lease_id", policy.lease_live("kind", F.lit(1000)).alias("live")),
-    "events_page": _turns(lambda t: policy.page(_events(t), 100, 500)),
-    "hook_matches": _turns(lambda t: policy.hook_matches(HOOKS, _events(t))),
-    "event_retention": _turns(lambda t: policy.retained(_events(t), HOOKS[1:2], EPOCH_MS + 14 * DAY_MS).select("event_id")),
+    "lease_status": _turns(_leases),
+    "events_page": _page,
+    "hook_matches": _turns(lambda t: policy.hook_matches(HOOKS, events(t))),
+    "event_retention": _turns(lambda t: policy.retained(events(t), HOOKS[1:2], EPOCH_MS + 14 * DAY_MS).select("event_id")),
     "announce_filter": _turns(lambda t: _announced(t).select("event_id", "kind", "state")),
     "announce_cap": _turns(lambda t: policy.capped(_announced(t)).select("event_id", "session_uuid")),
     "wakeup_outcomes": _both(_wakeups),

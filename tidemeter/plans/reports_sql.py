@@ -153,7 +153,6 @@ QUERIES = {
     ),
     "now_history": flags("SELECT id, account_id, bucket, ts_unix_ms, pct FROM (SELECT *, max(ts_unix_ms) OVER (PARTITION BY account_id) AS m FROM flags) WHERE ts_unix_ms BETWEEN m - 86400000 AND m"),
     "pct_since_reset": flags("SELECT account_id, bucket, s AS since_ms, max(pct) AS max_pct FROM (SELECT *, coalesce(max(ts_unix_ms) FILTER (WHERE reset_detected) OVER (PARTITION BY account_id, bucket), 0) AS s FROM flags) WHERE valid AND ts_unix_ms >= s GROUP BY 1, 2, 3"),
-    "sensor_readings": flags("SELECT account_id, bucket, 'threshold' AS kind, CAST(pct // 10 * 10 AS VARCHAR) AS state FROM lat UNION ALL SELECT account_id, bucket, 'saturation', CASE WHEN saturated THEN 'saturated' ELSE 'clear' END FROM lat", LATEST),
     "status_line": flags(
         "SELECT account_id, bucket, pct, CASE WHEN pct >= 90 THEN 'critical' WHEN pct >= 70 THEN 'high' WHEN pct >= 40 THEN 'medium' ELSE 'low' END AS band, CASE WHEN d IS NULL OR d <= 0 THEN '' WHEN d < 60000 THEN concat(d // 1000, 's') WHEN d < 3600000 THEN concat(d // 60000, 'm') "
         "WHEN d < 86400000 THEN concat(d // 3600000, 'h', CASE WHEN d // 60000 % 60 > 0 THEN concat(d // 60000 % 60, 'm') ELSE '' END) ELSE concat(d // 86400000, 'd', CASE WHEN d // 3600000 % 24 > 0 THEN concat(d // 3600000 % 24, 'h') ELSE '' END) END AS resets_in FROM (SELECT *, reset_ms - ts_unix_ms AS d FROM lat)",
@@ -161,10 +160,6 @@ QUERIES = {
     ),
     "session_insight": turns("SELECT * FROM insight", INSIGHT),
     "sensor_session": turns("SELECT 'cache' AS kind, session_uuid, CASE WHEN cold_resume_cw > 0 THEN 'expired' WHEN expires_in_s > 0 THEN 'expiring' ELSE 'warm' END AS state FROM insight WHERE ttl_s > 0 UNION ALL SELECT 'recommendation', session_uuid, recommendation FROM insight WHERE recommendation <> ''", INSIGHT),
-    "session_detail": turns(
-        "SELECT a.session_uuid, a.turns, a.raw_tokens, (SELECT count(*) FROM s b WHERE b.parent_session_uuid = a.session_uuid) AS subagents, CAST(coalesce((SELECT sum(turns) FROM s b WHERE b.parent_session_uuid = a.session_uuid), 0) AS BIGINT) AS subagent_turns, (SELECT count(*) FROM comp WHERE file = a.session_uuid) AS compactions, (SELECT count(*) FROM comp WHERE file = a.session_uuid AND confirmed) AS confirmed FROM s a",
-        COMPACT + ", s AS (SELECT session_uuid, parent_session_uuid, count(*) AS turns, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM turns GROUP BY 1, 2)",
-    ),
     "turns_since_compact": turns("SELECT session_uuid, count(*) FILTER (WHERE turn_idx > coalesce(m, -1)) AS turns_since FROM turns LEFT JOIN (SELECT file, max(turn_idx) AS m FROM comp GROUP BY 1) ON file = session_uuid GROUP BY 1", COMPACT),
     "learn_weights": turns("SELECT * FROM learned", LEARN),
     "weights_report": turns("SELECT model, coalesce(samples, 0) AS samples, tokens_per_pct, weight, w AS list_weight, model = 'm-base' AS is_baseline, coalesce(abs(weight - w) / w > 0.25, false) AS diverges FROM (SELECT DISTINCT model, m5 / 5.0::DOUBLE AS w FROM turns) LEFT JOIN learned USING (model)", LEARN),
@@ -189,8 +184,6 @@ QUERIES = {
     "budgets_with_level": turns("SELECT b.cwd, allowance, state FROM b LEFT JOIN lv ON b.cwd = lv.cwd", f"{BUDGETS}, {LEVELS}"),
     "orphan_levels": turns("SELECT cwd, state FROM lv WHERE cwd NOT IN (SELECT cwd FROM b)", f"{BUDGETS}, {LEVELS}"),
     "prune_by_cwd": turns("SELECT event_id, cwd FROM turns WHERE cwd IN (SELECT cwd FROM b)", BUDGETS),
-    "lease_status": "SELECT * FROM (VALUES (1::BIGINT, true), (2, false), (3, true), (4, false), (5, true), (6, false), (7, true), (8, true), (9, true)) l(lease_id, live)",
-    "events_page": turns("SELECT 100::BIGINT AS from_id, max(event_id) AS to_id, count(*) AS n, count(*) >= 500 AS more FROM (SELECT event_id FROM turns WHERE event_id > 100 ORDER BY event_id LIMIT 500)"),
     "hook_matches": turns(f"SELECT 1::BIGINT AS hook_id, min(event_id) AS event_id FROM turns WHERE {KIND} LIKE 'c%' AND event_id > 10 AND ts_unix_ms <= 1704067200000 + 86400000 HAVING count(*) > 0 UNION ALL SELECT 2, min(event_id) FROM turns WHERE {KIND} LIKE '%i_w' AND event_id > 300 AND ts_unix_ms <= 1704067200000 + 20 * 86400000 HAVING count(*) > 0"),
     "event_retention": turns("SELECT event_id FROM turns WHERE ts_unix_ms >= 1704067200000 + 14 * 86400000 OR event_id >= 300"),
     "announce_filter": turns("SELECT event_id, kind, state FROM said", SAID),
@@ -362,3 +355,64 @@ QUERIES |= {
         HOMES + ", " + LATEST,
     ),
 }
+
+_MID = "1704451320000"
+_MIDWAY = LATEST.replace("WHERE pct IS NOT NULL", f"WHERE ts_unix_ms <= {_MID} AND pct IS NOT NULL")
+#: Each account's polls, whole or not, and the newest of each.
+POLLS = "po AS (SELECT a.account_id, a.ts, a.n, a.pct AS s, b.pct AS w, a.pct IS NOT NULL AND b.pct IS NOT NULL AS ok FROM mn a JOIN mn b ON a.id = b.id AND a.bucket = 'session' AND b.bucket = 'week')"
+_HEALTH = "SELECT account_id, CASE WHEN NOT arg_max(ok, n) THEN 'extraction_failed' WHEN {0} - max(ts) > 7200000 THEN 'stale' ELSE 'ok' END AS state, ({0} - max(ts)) // 1000 AS age_s FROM po WHERE ts <= {0} GROUP BY 1"
+
+
+def _dur(ms: str) -> str:
+    s = f"(greatest({ms}, 0) // 1000)"
+    return f"""CASE WHEN {s} < 60 THEN concat({s}, 's') WHEN {s} < 3600 THEN concat({s} // 60, 'm') WHEN {s} < 86400 THEN concat({s} // 3600, 'h', CASE WHEN {s} // 60 % 60 > 0 THEN concat({s} // 60 % 60, 'm') ELSE '' END)
+      ELSE concat({s} // 86400, 'd', CASE WHEN {s} // 3600 % 24 > 0 THEN concat({s} // 3600 % 24, 'h') ELSE '' END) END"""
+
+
+def _gauge(b: str, label: str) -> str:
+    return f"concat({b}_pct, '%/{label}', CASE WHEN {b}_eta IS NOT NULL THEN concat(' ⚠100% in ', {_dur(f'{b}_eta')}) ELSE '' END, CASE WHEN {b}_ttr IS NOT NULL THEN concat(' (', {_dur(f'{b}_ttr')}, ')') ELSE '' END)"
+
+
+_fresh = f"{_MID} - polled_ms < 7200000 AND read_ms IS NOT NULL"
+_class = "CASE WHEN {1} THEN CASE WHEN {0}_pct >= 90 THEN 'danger' WHEN {0}_pct >= 70 THEN 'warn' ELSE 'ok' END END AS {0}_class, CASE WHEN {1} THEN CASE WHEN {0}_eta IS NULL THEN 'neutral' WHEN {0}_eta <= 1800000 THEN 'danger' ELSE 'warn' END END AS {0}_burn"
+_each = ", ".join(f"max({x}) FILTER (WHERE bucket = '{b}') AS {b}_{x}" for b in ("session", "week") for x in ("ttr", "eta"))
+_share = ", ".join(f"max({x}) FILTER (WHERE bucket = '{b}') AS {b}_{x}" for b in ("session", "week") for x in ("total_pct", "peak_pct", "windows"))
+_shares = ", ".join(f"{b}_{x}" for b in ("session", "week") for x in ("total_pct", "peak_pct", "windows"))
+QUERIES |= {
+    "leaks_top": turns(
+        "SELECT session_uuid, leak_tokens, raw_tokens, coalesce(cold, 0) AS cold_compactions FROM (SELECT session_uuid, CAST(coalesce(sum(raw_tokens) FILTER (WHERE classification <> 'normal'), 0) AS BIGINT) AS leak_tokens, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM turns GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25) LEFT JOIN (SELECT file AS session_uuid, count(*) AS cold FROM comp WHERE confirmed AND cache_state = 'cold' GROUP BY 1) USING (session_uuid) WHERE leak_tokens > 0 OR cold > 0",
+        COMPACT,
+    ),
+    "sensor_readings": flags(
+        f"""SELECT account_id, bucket, 'threshold' AS kind, CAST(pct // 10 * 10 AS VARCHAR) AS state FROM lat UNION ALL SELECT account_id, bucket, 'saturation', CASE WHEN saturated THEN 'saturated' ELSE 'clear' END FROM lat
+        UNION ALL SELECT l.account_id, l.bucket, 'limit_projection', CASE WHEN p.account_id IS NULL THEN 'clear' ELSE 'projected' END FROM lat l LEFT JOIN ({QUERIES['limit_projection']}) p ON p.account_id = l.account_id AND p.bucket = l.bucket
+        UNION ALL SELECT account_id, '', 'collection', state FROM ({_HEALTH.format(_MID)})""",
+        _MIDWAY + ", " + POLLS,
+    ),
+    "status_text": flags(
+        f"""SELECT account_id, CASE WHEN {_MID} - polled_ms >= 7200000 THEN concat('STALE ', {_dur(f'{_MID} - polled_ms')}) WHEN read_ms IS NULL THEN 'extraction failed'
+          ELSE concat(CASE WHEN ok THEN '' ELSE concat('◷', {_dur(f'{_MID} - read_ms')}, ' ') END, {_gauge('session', '5h')}, ' · ', {_gauge('week', 'wk')}) END AS line, {_class.format('session', _fresh)}, {_class.format('week', _fresh)}
+        FROM st LEFT JOIN g USING (account_id)""",
+        POINTS.replace("FROM flags)", f"FROM flags WHERE ts_unix_ms <= {_MID})").strip() + ", " + _MIDWAY + ", " + POLLS + f""",
+        st AS (SELECT account_id, arg_max(ok, n) AS ok, max(ts) AS polled_ms, max(ts) FILTER (WHERE ok) AS read_ms, arg_max(s, n) FILTER (WHERE ok) AS session_pct, arg_max(w, n) FILTER (WHERE ok) AS week_pct FROM po WHERE ts <= {_MID} GROUP BY 1),
+        g0 AS (SELECT l.account_id, l.bucket, CASE WHEN reset_ms > {_MID} THEN reset_ms - {_MID} END AS ttr, CASE WHEN pct_per_hour > 0 AND l.pct < 100 THEN CAST(floor((100 - l.pct) / pct_per_hour * 3600000) AS BIGINT) END AS e FROM lat l LEFT JOIN bn b ON b.account_id = l.account_id AND b.bucket = l.bucket),
+        g1 AS (SELECT *, CASE WHEN ttr IS NULL OR e < ttr THEN e END AS eta FROM g0), g AS (SELECT account_id, {_each} FROM g1 GROUP BY 1)""",
+    ),
+    "weights_control": turns("SELECT model AS model_a, b AS model_b, round(weight / w2, 2) AS ratio FROM (SELECT l.model, weight, lead(l.model) OVER v AS b, lead(weight) OVER v AS w2 FROM learned l JOIN (SELECT DISTINCT model, m5 FROM turns) p ON p.model = l.model WHERE weight <> 0 WINDOW v AS (PARTITION BY m5 ORDER BY l.model)) WHERE b IS NOT NULL ORDER BY 1 LIMIT 1", LEARN),
+    "model_status": turns(
+        "SELECT model, coalesce(m, 1.0) AS multiplier, i AS input_price, o AS output_price, i IS NOT NULL AS priced, coalesce(abs(o / i - 5) > 0.01, false) AS breaks_ratio, coalesce(u, false) AS unverified FROM (SELECT DISTINCT model FROM turns) LEFT JOIN (VALUES ('m-large', 2.0::DOUBLE, 10.0::DOUBLE, 50.0::DOUBLE, false), ('m-base', 1.0, 5.0, 25.0, false), ('m-small', 0.2, 1.0, 5.0, false), ('m-mid', 0.6, 3.0, 12.0, false), ('m-unpriced', 0.4, 2.0, 10.0, true)) p(model, m, i, o, u) USING (model)"
+    ),
+    "events_page": sql.meter(
+        f"SELECT from_id, to_id, n, more, age_s AS poll_age_s, coalesce(age_s * 1000 > 7200000, false) AS stale FROM (SELECT 100::BIGINT AS from_id, max(event_id) AS to_id, count(*) AS n, count(*) >= 500 AS more FROM (SELECT event_id FROM turns WHERE event_id > 100 ORDER BY event_id LIMIT 500)) LEFT JOIN ({_HEALTH.format('1705017600000')}) h ON h.account_id = 1",
+        POLLS, own_turns=True,
+    ),
+    "lease_status": turns(
+        "SELECT event_id, kind, CASE kind WHEN 'manual' THEN true WHEN 'deadline' THEN coalesce(at_ms > now, true) ELSE CASE WHEN we IS NOT NULL THEN we > now WHEN oe IS NULL OR oe = 0 THEN true WHEN ba IS NOT NULL AND oe <= ba THEN true ELSE oe > now END END AS live FROM le",
+        "le AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'deadline' ELSE 'window_reset' END AS kind, ts_unix_ms + 36000000 AS now, CASE WHEN k % 10 > 0 THEN ts_unix_ms + (k - 40) * 3600000 END AS at_ms, CASE WHEN k % 2 = 0 THEN ts_unix_ms + (k - 30) * 3600000 END AS we, CASE WHEN k % 5 > 0 THEN ts_unix_ms + (k - 60) * 3600000 END AS oe, CASE WHEN k % 7 > 0 THEN ts_unix_ms - (k % 50) * 3600000 END AS ba FROM tk)",
+    ),
+    "session_detail": f"""SELECT session_uuid, project, first_ms, last_ms, s.turns, s.raw_tokens, output_tokens, peak_raw_tokens AS peak_5h_raw_tokens, idle_miss_count, rotation_count, restructure_count, cache_ttl, models, subagents, subagent_turns,
+      coalesce(compactions, 0) AS compactions, coalesce(confirmed, 0) AS confirmed, coalesce(cold_compactions, 0) AS cold_compactions, {_shares}
+      FROM ({sql.QUERIES['sessions']}) s JOIN ({sql.QUERIES['session_list']}) l USING (session_uuid) JOIN ({sql.QUERIES['peak_5h']}) p USING (session_uuid)
+      LEFT JOIN ({turns("SELECT file AS session_uuid, count(*) AS compactions, count(*) FILTER (WHERE confirmed) AS confirmed, count(*) FILTER (WHERE confirmed AND cache_state = 'cold') AS cold_compactions FROM comp GROUP BY 1", COMPACT)}) c USING (session_uuid)
+      LEFT JOIN (SELECT owner AS session_uuid, {_share} FROM ({QUERIES['session_pct_totals']}) GROUP BY 1) a USING (session_uuid)""",
+}

@@ -74,7 +74,7 @@ QUERIES = {
     "cache_state": turns("SELECT event_id, CASE WHEN gap_s > 3600 THEN 'cold' WHEN gap_s > 300 THEN 'warm_1h' ELSE 'warm_5m' END AS cache_state FROM turns"),
     "effective_owner": turns("SELECT coalesce(nullif(parent_session_uuid, ''), session_uuid) AS owner, count(*) AS turns, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM turns GROUP BY 1"),
     "turn_gaps": turns("SELECT event_id, session_uuid, turn_idx, gap_s FROM turns"),
-    "price_table": "SELECT * FROM (VALUES ('m-large', 2.0::DOUBLE, 10.0::DOUBLE, 50.0::DOUBLE), ('m-base', 1.0, 5.0, 25.0), ('m-mid', 0.6, 3.0, 15.0), ('m-small', 0.2, 1.0, 5.0)) p(model, multiplier, input_price, output_price)",
+    "price_table": turns("SELECT model, m5 / 5.0::DOUBLE AS multiplier, CASE WHEN model <> 'm-unpriced' THEN m5 * 1.0::DOUBLE END AS input_price, CASE WHEN model <> 'm-unpriced' THEN m5 * 5.0::DOUBLE END AS output_price, model <> 'm-unpriced' AS priced, false AS breaks_ratio, false AS unverified FROM (SELECT DISTINCT model, m5 FROM turns)"),
     "model_totals": turns(
         "SELECT model, turns, raw_tokens, c / 100.0::DOUBLE AS cw_tokens, model <> 'm-unpriced' AS priced, CASE WHEN model <> 'm-unpriced' THEN round(c / (sum(c) FILTER (WHERE model <> 'm-unpriced') OVER ())::DOUBLE, 6) END AS share FROM m WHERE c > 0",
         "m AS (SELECT model, count(*) AS turns, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens, CAST(sum(cw100) AS BIGINT) AS c FROM turns GROUP BY 1)",
@@ -96,7 +96,6 @@ QUERIES = {
         "SELECT a.session_uuid, a.turns, a.raw_tokens, CAST(count(b.session_uuid) AS BIGINT) AS subagents, CAST(coalesce(sum(b.turns), 0) AS BIGINT) AS subagent_turns FROM s a LEFT JOIN s b ON b.parent_session_uuid = a.session_uuid GROUP BY ALL",
         "s AS (SELECT session_uuid, parent_session_uuid, count(*) AS turns, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM turns GROUP BY 1, 2)",
     ),
-    "leaks_top": turns("SELECT * FROM (SELECT session_uuid, CAST(coalesce(sum(raw_tokens) FILTER (WHERE classification <> 'normal'), 0) AS BIGINT) AS leak_tokens, CAST(sum(raw_tokens) AS BIGINT) AS raw_tokens FROM turns GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25) WHERE leak_tokens > 0"),
     "recent_sessions": turns("SELECT session_uuid, max(ts_unix_ms) AS last_ms FROM turns GROUP BY 1 HAVING max(ts_unix_ms) >= (SELECT max(ts_unix_ms) + 60000 - 86400000 FROM turns) ORDER BY 2 DESC, 1 LIMIT 10"),
     "last_turns": turns("SELECT session_uuid, turn_idx, raw_tokens FROM turns QUALIFY row_number() OVER (PARTITION BY session_uuid ORDER BY turn_idx DESC) <= 3"),
     "collapse_runs": turns(

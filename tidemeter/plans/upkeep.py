@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..sources import discovery, fixtures, versions
 from ..sources import transcripts as tr
 from ..sources.shared import new_folder, settled
+from ..streaming import announce, corrections, watermarks
+from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Sessions that are read again, and how many of their turns they have then.
@@ -47,7 +49,42 @@ def _replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "session_uuid", "rows", "last_ms")
 
 
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """usage_flags from readings that come in three batches, each with readings older than what was there."""
+    root, readings = new_folder(spark, "flags"), settled(fixtures.meter(spark, sf_dir))
+    late = F.when(F.col("id") % 80 == 8, 2).when(F.col("ts_unix_ms") > fixtures.MIDWAY_MS, 1).otherwise(0)
+    for k in range(3):
+        corrections.apply(spark, root, readings.where(late == k), parts=8)
+    return corrections.flags(spark, root)
+
+
+def _hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = reports.events(fixtures.turns(spark, sf_dir))
+    return announce.hook_outcomes(HOOKS, events, reports.EPOCH_MS + 30 * reports.DAY_MS)
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session's delta when transcripts are read a second time: first all lines of an even account's sessions and half of the others', then all."""
+    root, records = new_folder(spark, "marks"), settled(tr.parsed(fixtures.transcript(spark, sf_dir)))
+    found: list[DataFrame] = []
+    even = F.substring("file", 2, 9).cast("int") % 2 == 0
+    for some in (records.where(even | (F.col("ts_unix_ms") <= fixtures.MIDWAY_MS)), records):
+        watermarks.advance(spark, root, some, found.append, parts=8)
+    return found[-1]
+
+
+#: Hooks of all outcomes: fired late, fired, expired without a match, still waiting, settled before.
+HOOKS = [
+    *reports.HOOKS,
+    {"hook_id": 5, "kind_glob": "c*", "after_event_id": 0, "expires_ms": reports.EPOCH_MS + 1, "status": "pending"},
+    {"hook_id": 6, "kind_glob": "s?gn*", "after_event_id": 50, "expires_ms": reports.EPOCH_MS + 90 * reports.DAY_MS, "status": "pending", "session_uuid": "s3"},
+    {"hook_id": 7, "kind_glob": "*", "after_event_id": 0, "expires_ms": reports.EPOCH_MS + 90 * reports.DAY_MS, "status": "pending", "cwd": "/w/none"},
+]
+
 QUERIES: dict[str, Query] = {
+    "corrected_flags": _corrected,
+    "hook_outcomes": _hooks,
+    "delta_resumed": _resumed,
     "discovered_files": _discovered,
     "replaced_sessions": _replaced,
 }

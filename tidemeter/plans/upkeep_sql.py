@@ -1,6 +1,6 @@
 """SQL for DuckDB that gives the rows of the queries over kept tables."""
 
-from . import reports_sql
+from . import reports_sql, sql
 from .reports_sql import turns
 
 TREE = """
@@ -18,7 +18,28 @@ many AS (
 
 _few = "CASE session_uuid WHEN 's1' THEN 20 WHEN 's4' THEN 20 WHEN 's7' THEN 20 WHEN 's17' THEN 20 WHEN 's2' THEN 0 ELSE 100000000 END"
 
+_E, _D = "1704067200000", "86400000::BIGINT"
+
+
+def _hook(k: int, kind: str, after: int, expires: str, status: str = "pending", about: str = "true") -> str:
+    first = f"(SELECT min(event_id) FROM turns WHERE {reports_sql.KIND} LIKE '{kind}' AND event_id > {after} AND ts_unix_ms <= {expires} AND {about})"
+    return f"SELECT {k}::BIGINT AS hook_id, '{status}' AS status, {expires} AS expires_ms, CASE WHEN '{status}' = 'pending' THEN {first} END AS event_id"
+
+
+HOOKS = "ho AS (" + " UNION ALL ".join((
+    _hook(1, "c%", 10, f"{_E} + {_D}"), _hook(2, "%i_w", 300, f"{_E} + 20 * {_D}"), _hook(3, "%", 0, f"{_E} + {_D}", "fired"), _hook(4, "none.%", 0, f"{_E} + 40 * {_D}"),
+    _hook(5, "c%", 0, f"{_E} + 1"), _hook(6, "s_gn%", 50, f"{_E} + 90 * {_D}", about="session_uuid = 's3'"), _hook(7, "%", 0, f"{_E} + 90 * {_D}", about="cwd = '/w/none'"),
+)) + ")"
+
+#: The newest directory among a session's answers in the delta; only answers have one.
+DELTA = f"""
+x AS (SELECT session_uuid AS file, ts_unix_ms, cwd, turn_idx, CAST(substr(session_uuid, 2) AS INTEGER) % 2 = 1 AND ts_unix_ms > 1704451320000 AS new,
+    1 + (model = 'm-mid' AND k % 4 = 1)::INT + (model = 'm-mid' AND k % 8 = 1)::INT + (model = 'm-small')::INT + (model = 'm-unpriced' AND k BETWEEN 86 AND 98)::INT + (k % 3 = 0)::INT AS lines FROM tk)"""
+
 QUERIES = {
+    "corrected_flags": sql.meter("SELECT id, account_id, bucket, ts_unix_ms, pct, reset_ms, saturated, reset_detected, valid FROM flags"),
+    "hook_outcomes": turns(f"SELECT hook_id, CASE WHEN status <> 'pending' THEN status WHEN event_id IS NOT NULL THEN 'fired' WHEN expires_ms <= {_E} + 30 * {_D} THEN 'expired' ELSE 'pending' END AS status, event_id FROM ho", HOOKS),
+    "delta_resumed": turns("SELECT file, CAST(sum(lines) AS BIGINT) AS records, max(ts_unix_ms) AS max_ms, arg_max(cwd, struct_pack(a := ts_unix_ms, b := turn_idx)) FILTER (WHERE cwd <> '') AS cwd FROM x WHERE new GROUP BY 1", DELTA),
     "discovered_files": turns(
         "SELECT path, shape, owner, outcome, CASE WHEN outcome = 'read' THEN lines ELSE 0 END AS lines FROM (SELECT *, CASE WHEN n % 3 = 0 THEN 'unchanged' WHEN shape <> 'top_level' AND n % 4 = 2 THEN 'unlinked' ELSE 'read' END AS outcome FROM tree) JOIN many USING (session_uuid) UNION ALL SELECT 'p0/tiny.jsonl', 'top_level', 'tiny', 'small', 0",
         TREE,
