@@ -313,7 +313,7 @@ def _gate(t: DataFrame) -> DataFrame:
 
 def _loops(t: DataFrame) -> DataFrame:
     k = F.col("k")
-    rows = t.where("model = 'm-base' and cwd <> ''").select("session_uuid", text.loop_key(F.col("cwd")).alias("loop_key"), F.col("cwd").alias("text"), F.when(k % 9 == 0, "done").otherwise("open").alias("status"), F.when(k % 31 == 0, "dismissed").otherwise("").alias("user_status"), "ts_unix_ms", "event_id")
+    rows = t.where("cwd <> ''").select("session_uuid", text.loop_key(F.col("cwd")).alias("loop_key"), F.col("cwd").alias("text"), F.when(k % 9 == 0, "done").otherwise("open").alias("status"), F.when((k % 31 == 0) & (F.substring("session_uuid", 2, 9).cast("int") % 3 == 0), "dismissed").otherwise("").alias("user_status"), "ts_unix_ms", "event_id")
     return policy.loops(rows, _now(t), 7 * DAY_MS)
 
 
@@ -325,7 +325,7 @@ def _trail(t: DataFrame) -> DataFrame:
 
 def _log(t: DataFrame) -> DataFrame:
     actions = F.array(F.lit("set"), F.lit("revoke"), F.lit("settle"))
-    return t.where("model = 'm-unpriced' and cwd <> ''").select("cwd", F.element_at(actions, (F.col("event_id") % 3 + 1).cast("int")).alias("action"), F.col("k").alias("allowance"), "ts_unix_ms", "event_id")
+    return t.where("cwd <> ''").select("cwd", F.element_at(actions, (F.col("event_id") % 3 + 1).cast("int")).alias("action"), F.col("k").alias("allowance"), "ts_unix_ms", "event_id")
 
 
 def _levels(t: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ def _pressure(t: DataFrame) -> DataFrame:
 def _wakeups(f: DataFrame, t: DataFrame) -> DataFrame:
     week = F.col("k") % 2 == 0
     span = F.when(week, WEEK_MS).otherwise(fixtures.SESSION_MS).cast("bigint")
-    p = t.where("k % 29 = 0").withColumn("span", span).select(F.col("event_id").alias("promise_id"), "session_uuid", "account_id", F.when(week, "week").otherwise("session").alias("bucket"), F.col("ts_unix_ms").alias("created_ms"), F.expr("(ts_unix_ms div span + 1) * span").alias("due_ms"))
+    p = t.withColumn("span", span).select(F.col("event_id").alias("promise_id"), "session_uuid", "account_id", F.when(week, "week").otherwise("session").alias("bucket"), F.col("ts_unix_ms").alias("created_ms"), F.expr("(ts_unix_ms div span + 1) * span").alias("due_ms"))
     return policy.wakeups(p, f.where("reset_detected"), _now(t))
 
 

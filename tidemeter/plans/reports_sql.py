@@ -90,7 +90,7 @@ an AS (SELECT event_id, ts_unix_ms, CASE WHEN k % 2 = 1 THEN '' ELSE session_uui
   ['tight', 'exceeded', 'projected', 'saturated', 'compact', 'expiring', 'clear'][CAST(event_id % 7 + 1 AS INT)] AS state, CASE WHEN k % 3 > 0 THEN k * 600000 END AS ahead FROM tk),
 said AS (SELECT * FROM an WHERE (kind, state) IN (('budget', 'tight'), ('budget', 'exceeded'), ('saturation', 'saturated'), ('recommendation', 'compact'), ('cache', 'expiring')) OR (kind = 'limit_projection' AND state = 'projected' AND coalesce(ahead <= 21600000, true)))"""
 LOOPS = f"""
-lr AS (SELECT session_uuid, concat('auto-', substring(sha256(cwd), 1, 8)) AS loop_key, cwd AS text, CASE WHEN k % 9 = 0 THEN 'done' ELSE 'open' END AS status, CASE WHEN k % 31 = 0 THEN 'dismissed' END AS us, ts_unix_ms AS t, event_id AS e FROM tk WHERE model = 'm-base' AND cwd <> ''),
+lr AS (SELECT session_uuid, concat('auto-', substring(sha256(cwd), 1, 8)) AS loop_key, cwd AS text, CASE WHEN k % 9 = 0 THEN 'done' ELSE 'open' END AS status, CASE WHEN k % 31 = 0 AND CAST(substr(session_uuid, 2) AS INTEGER) % 3 = 0 THEN 'dismissed' END AS us, ts_unix_ms AS t, event_id AS e FROM tk WHERE cwd <> ''),
 lo AS (
   SELECT session_uuid, loop_key, text, status, first_ms, last_ms FROM (
     SELECT session_uuid, loop_key, text, first_ms, last_ms, CASE WHEN u IS NOT NULL THEN u WHEN s = 'open' AND last_ms < {NOW} - 604800000 THEN 'stale' ELSE s END AS status
@@ -179,7 +179,7 @@ QUERIES = {
     ),
     "budget_lifecycle": turns(
         "SELECT cwd, arg_max(action, struct_pack(a := ts_unix_ms, b := event_id)) AS last_action, arg_max(k, struct_pack(a := ts_unix_ms, b := event_id)) FILTER (WHERE action = 'set') AS allowance, count(*) AS changes, arg_max(action, struct_pack(a := ts_unix_ms, b := event_id)) = 'set' AS live FROM g GROUP BY 1",
-        "g AS (SELECT *, ['set', 'revoke', 'settle'][CAST(event_id % 3 + 1 AS INT)] AS action FROM tk WHERE model = 'm-unpriced' AND cwd <> '')",
+        "g AS (SELECT *, ['set', 'revoke', 'settle'][CAST(event_id % 3 + 1 AS INT)] AS action FROM tk WHERE cwd <> '')",
     ),
     "budgets_with_level": turns("SELECT b.cwd, allowance, state FROM b LEFT JOIN lv ON b.cwd = lv.cwd", f"{BUDGETS}, {LEVELS}"),
     "orphan_levels": turns("SELECT cwd, state FROM lv WHERE cwd NOT IN (SELECT cwd FROM b)", f"{BUDGETS}, {LEVELS}"),
@@ -190,7 +190,7 @@ QUERIES = {
     "announce_cap": turns("SELECT event_id, session_uuid FROM said WHERE session_uuid <> '' UNION ALL (SELECT event_id, session_uuid FROM said WHERE session_uuid = '' ORDER BY event_id DESC LIMIT 3)", SAID),
     "wakeup_outcomes": flags(
         f"SELECT promise_id, session_uuid, bucket, CASE WHEN nx IS NOT NULL THEN 'superseded' WHEN e < due THEN 'early' WHEN due < {NOW} - 86400000 THEN 'expired' WHEN due <= {NOW} THEN 'due' ELSE 'pending' END AS outcome FROM (SELECT *, (SELECT min(f.ts_unix_ms) FROM flags f WHERE f.reset_detected AND f.account_id = pr.account_id AND f.bucket = pr.bucket AND f.ts_unix_ms >= pr.created) AS e, lead(promise_id) OVER (PARTITION BY session_uuid, bucket ORDER BY created, promise_id) AS nx FROM pr)",
-        "pr AS (SELECT event_id AS promise_id, session_uuid, account_id, CASE WHEN k % 2 = 0 THEN 'week' ELSE 'session' END AS bucket, ts_unix_ms AS created, CASE WHEN k % 2 = 0 THEN (ts_unix_ms // 604800000 + 1) * 604800000 ELSE (ts_unix_ms // 18000000 + 1) * 18000000 END AS due FROM tk WHERE k % 29 = 0)",
+        "pr AS (SELECT event_id AS promise_id, session_uuid, account_id, CASE WHEN k % 2 = 0 THEN 'week' ELSE 'session' END AS bucket, ts_unix_ms AS created, CASE WHEN k % 2 = 0 THEN (ts_unix_ms // 604800000 + 1) * 604800000 ELSE (ts_unix_ms // 18000000 + 1) * 18000000 END AS due FROM tk)",
         own_turns=True,
     ),
     "trail_open_loops": turns("SELECT * FROM lo", LOOPS),
