@@ -583,3 +583,15 @@ def test_html_of_a_megabyte_of_nested_and_unmatched_tags():
         began = time.time()
         assert html.lines(page + "end")[-1][0] == "end"
         assert time.time() - began < 8
+
+
+def test_ann_is_exact_where_no_number_of_probes_is_enough(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_PROBES", 2)
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in own.collect()]
+    got = defaultdict(list)
+    for r in vectors.nearest(own, own.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for i, x in rows:
+        if i % 20 == 0:
+            assert got[i] == [j for _, j in sorted((-float(x @ y), j) for j, y in rows if j != i)[:20]]

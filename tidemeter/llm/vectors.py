@@ -214,8 +214,8 @@ def matrix(batch, name: str = "vector") -> np.ndarray:
     return flat.reshape(len(sizes), -1)
 
 
-def fitted_probes(folded: DataFrame, asked: DataFrame, k: int, tables: int, counts: dict[int, int]) -> dict[int, int]:
-    """For each vector length the probes a table with which FIT_RECALL of the true neighbours of at most FIT_QUERIES queries are found."""
+def fitted_probes(folded: DataFrame, asked: DataFrame, k: int, tables: int, counts: dict[int, int]) -> dict[int, int | None]:
+    """For each vector length the probes a table with which FIT_RECALL of the true neighbours of at most FIT_QUERIES queries are found; None where MOST_PROBES are not enough."""
     some = asked.withColumn("_r", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("vector"), "q"))).where(F.col("_r") <= FIT_QUERIES)
     held = {d: np.array([r.vector for r in rows]) for d, rows in _by_length(some.select("d", "vector").collect()).items()}
 
@@ -241,7 +241,8 @@ def fitted_probes(folded: DataFrame, asked: DataFrame, k: int, tables: int, coun
             levels = levels_for(counts[d], d)
             hit = probed(held[d], t, levels, MOST_PROBES)[who] == codes(x, t, levels)[:, None]
             first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
-        out[d] = min(MOST_PROBES, int(np.sort(first)[ceil(FIT_RECALL * len(first)) - 1]) + 1)
+        enough = int(np.sort(first)[ceil(FIT_RECALL * len(first)) - 1])
+        out[d] = enough + 1 if enough < MOST_PROBES else None
     return out
 
 
@@ -262,7 +263,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     the others, from which only better rows return. How many buckets,
     fitted_probes() finds on a bounded sample of queries. Buckets that differ in the last
     axis only are one block; large blocks are split on both sides, so
-    nothing is capped. Queries that found too few look into every bucket of one table.
+    nothing is capped. Queries that found too few look into every bucket of one table, as do
+    all of a length for which no number of probes up to MOST_PROBES is enough: these are searched exactly.
     Hashing sees directions only: recall is for vectors of about equal length.
     Vectors null, zero or with null or non-finite components take no part, those of
     another length are no candidates, a row repeated whole counts once.
@@ -279,6 +281,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     counts = {r.d: r.n for r in folded.groupBy("d").agg(F.count("*").alias("n")).collect()}
     probes = fitted_probes(folded, asked, k, tables, counts)
     levels = {d: levels_for(n, d) for d, n in counts.items()}
+    exact = [d for d, n in probes.items() if n is None]
 
     def axes(d: int) -> int:
         return 2 << max(1, (d - 1).bit_length())
@@ -387,6 +390,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         return cut(each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r"))
 
     def asking(own: DataFrame, at_tables: range) -> DataFrame:
+        own = own.where(~F.col("d").isin(*exact)) if exact else own
         return in_batches(own.select("d", "q", "vector", "least")).mapInArrow(looks(at_tables), f"d int, t int, cell long, q long, least double, vector {kind}, subs array<int>")
 
     none, m = F.lit(None).cast("double").alias("least"), asked.count()
