@@ -77,3 +77,22 @@ def test_decisions_of_flags():
     assert meter.flags_of([0, 1, 2, 3], [50, 5, 5, 50], [None] * 4) == [(False, True, 0), (False, False, 3), (False, False, 3), (False, True, 3)]
     assert meter.flags_of([0, 1], [50, 5], [None] * 2)[1] == (True, True, None)
     assert meter.flags_of([7, 8], [5, 6], [None, None], resumed=True) == [(True, True, 7), (False, True, 8)]
+
+
+def test_buckets_by_doubling_equal_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(a, rng.randrange(400 * HOUR) if a < 3 else 0, 3, 100) for a in (1, 2, 2, 3) for _ in range(500)] + [(4, k * HOUR, 1, 100) for k in range(40)]
+    want = []
+    for a in (1, 2, 3, 4):
+        start = None
+        for t, raw, c in sorted((t, raw, c) for x, t, raw, c in rows if x == a):
+            if start is None or t >= start + 5 * HOUR:
+                start = t
+                want.append([a, start, start + 5 * HOUR, 0, 0.0])
+            want[-1][3] += raw
+            want[-1][4] += c / 100
+    got = meter.fixed_buckets(spark.createDataFrame(rows, "account_id long, ts_unix_ms long, raw_tokens long, cw100 long"), 5 * HOUR)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert meter.fixed_buckets(spark.createDataFrame([], "account_id long, ts_unix_ms long, raw_tokens long, cw100 long"), HOUR).collect() == []

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+from .asof import around
+
 HOUR_MS = 3_600_000
 FLAGS = "id long, account_id long, bucket string, ts_unix_ms long, pct long, reset_ms long, saturated boolean, reset_detected boolean, valid boolean"
 
@@ -161,26 +164,24 @@ def limit_projection(now: DataFrame) -> DataFrame:
 def fixed_buckets(turns: DataFrame, span_ms: int) -> DataFrame:
     """Greedy buckets of ``span_ms`` from each account's first turn: the next begins at the first turn that the last does not hold.
 
-    Times stream through in order, by account; a task holds the open bucket and one batch.
+    Each distinct time points to the first one at least a span later. From an account's first time the chain of pointers is marked
+    by doubling: pointers of twice the length reach twice as many starts in each round, so rounds grow with the logarithm of the
+    chain, and all joins are by time, which spreads an account of any size over all tasks.
     """
-
-    def run(batches):
-        held = None  # account, start, sums so far
-        for pdf in batches:
-            out = []
-            for who, t, raw, c in zip(pdf["account_id"].tolist(), pdf["ts_unix_ms"].tolist(), pdf["raw_tokens"].tolist(), pdf["cw100"].tolist(), strict=True):
-                if held and held[0] == who and t < held[1] + span_ms:
-                    held[2] += raw
-                    held[3] += c
-                else:
-                    if held:
-                        out.append(held)
-                    held = [who, t, raw, c]
-            yield pd.DataFrame(out, columns=["account_id", "start_ms", "raw_tokens", "c"])
-        if held:
-            yield pd.DataFrame([held], columns=["account_id", "start_ms", "raw_tokens", "c"])
-
-    # equal times fall in one bucket, so a row a time is enough: what reaches Python is summed first
-    each = turns.groupBy("account_id", "ts_unix_ms").agg(F.sum("raw_tokens").alias("raw_tokens"), F.sum("cw100").alias("cw100"))
-    got = each.repartition("account_id").sortWithinPartitions("account_id", "ts_unix_ms").mapInPandas(run, "account_id long, start_ms long, raw_tokens long, c long")
+    key = ["account_id", "ts_unix_ms"]
+    each = settled(turns.groupBy(*key).agg(F.sum("raw_tokens").alias("raw_tokens"), F.sum("cw100").alias("c")))
+    marks = each.select(*key, F.col("ts_unix_ms").alias("mark"))
+    asked = each.select("account_id", "ts_unix_ms", F.col("ts_unix_ms").alias("_from")).withColumn("ts_unix_ms", F.col("ts_unix_ms") + span_ms)
+    jump = settled(around(asked, marks, ["account_id"]).select("account_id", F.col("_from").alias("ts_unix_ms"), F.col("_ahead.mark").alias("next")).where("next is not null"))
+    starts = each.groupBy("account_id").agg(F.min("ts_unix_ms").alias("ts_unix_ms"))
+    while True:
+        reached = settled(starts.join(jump, key).select("account_id", F.col("next").alias("ts_unix_ms")))
+        if reached.isEmpty():
+            break
+        # what is reached in a round lies behind all starts before it
+        starts = settled(starts.unionByName(reached))
+        onward = jump.select("account_id", F.col("ts_unix_ms").alias("next"), F.col("next").alias("_then"))
+        jump = settled(jump.join(onward, ["account_id", "next"]).select("account_id", "ts_unix_ms", F.col("_then").alias("next")))
+    held = around(each, starts.withColumn("mark", F.col("ts_unix_ms")), ["account_id"])
+    got = held.groupBy("account_id", F.col("_back.mark").alias("start_ms")).agg(F.sum("raw_tokens").alias("raw_tokens"), F.sum("c").alias("c"))
     return got.select("account_id", "start_ms", (F.col("start_ms") + span_ms).alias("end_ms"), "raw_tokens", (F.col("c") / 100.0).alias("cw_tokens"))
