@@ -86,3 +86,53 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = near.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, root int, t int"))
     # the id's two texts are one set of shingles: the first row stays; a null text has no words, and so is a set of its own
     assert sorted(got.collect(), key=repr) == sorted([(1, a.upper(), 0, 3), (2, b, 5, 6), (2, None, 5, 6)], key=repr)
+
+
+def test_pairs_of_a_block_that_share_rare_shingles():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    for case in range(12):
+        sets, common = [], rng.integers(0, 1 << 32, 400, dtype=np.uint32)
+        for _ in range(12):
+            base = np.unique(np.concatenate([rng.choice(common, 20 + 5 * case), rng.integers(0, 1 << 32, 40, dtype=np.uint32)]))
+            for _ in range(4):
+                keep = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.2])]
+                sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 32, rng.integers(0, 6), dtype=np.uint32)])))
+        n = len(sets)
+        matrix = near.sharing(sets)
+        alike = [(x, y) for x in range(n) for y in range(x) if near.jaccard(sets[x], sets[y]) >= near.SIMILAR]
+        assert alike and all(matrix[x, y] for x, y in alike)
+        roots, blocks = [k // 3 for k in range(n)], [k % 2 for k in range(n)]
+        for i, j in ((0, 0), (0, 1)):
+            table = pa.table({"_set": pa.array(range(n), pa.int64()), "root": pa.array(roots, pa.int64()), "b": blocks, "i": [i] * n, "j": [j] * n, "grams": [s.astype("<u4").tobytes() for s in sets]})
+            links = {*zip(*(near.joined(table).column(c).to_pylist() for c in ("a", "b")), strict=True)}
+            may = [(x, y) for x, y in alike if roots[x] != roots[y] and (i == j or blocks[x] != blocks[y])]
+            assert links <= {*may}
+
+            def groups(pairs):
+                up = {r: r for r in roots}
+
+                def top(r):
+                    return r if up[r] == r else top(up[r])
+
+                for x, y in pairs:
+                    up[top(roots[x])] = top(roots[y])
+                return {frozenset(r for r in up if top(r) == t) for t in map(top, up)}
+
+            assert groups(links) == groups(may)
+
+
+def test_full_blocks_of_unlike_sets_are_fast():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 32, 150, dtype=np.uint32)
+    # half of each set's shingles are shared by all: alike, and below the similarity
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 32, 150, dtype=np.uint32)])) for _ in range(1024)]
+    table = pa.table({"_set": pa.array(range(1024), pa.int64()), "root": pa.array(range(1024), pa.int64()), "b": [0] * 1024, "i": [0] * 1024, "j": [0] * 1024, "grams": [s.astype("<u4").tobytes() for s in sets]})
+    began = time.time()
+    assert near.joined(table).num_rows == 0
+    assert time.time() - began < 2

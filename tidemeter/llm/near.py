@@ -136,8 +136,31 @@ def named(members: DataFrame, roots: DataFrame, col: str = "_set", root: str = "
     return members.join(roots.select(F.col("_set").alias(col), F.col("root").alias(root)), col, "left").withColumn(root, F.coalesce(root, col))
 
 
+def sharing(grams: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets may reach SIMILAR, as a matrix: those that share one of their rarest shingles.
+
+    Exact: in one order of all shingles, rare ones first, sets of that similarity share one of the first
+    n - ceil(SIMILAR n) + 1 of each, n being its size.
+    """
+    sizes = np.array([len(g) for g in grams])
+    owner = np.repeat(np.arange(len(grams)), sizes)
+    _, token, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, times[token], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < np.repeat(sizes - np.ceil(SIMILAR * sizes - 1e-9).astype(int) + 1, sizes)
+    owner, token = owner[order][first], token[order][first]
+    by = np.argsort(token, kind="stable")
+    owner, token = owner[by], token[by]
+    near = np.zeros((len(grams), len(grams)), bool)
+    cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, int)
+    for a, b in zip(cuts, np.append(cuts[1:], len(token)), strict=True):
+        if b - a > 1:
+            near[np.ix_(owner[a:b], owner[a:b])] = True
+    return near
+
+
 def joined(rows: pa.Table) -> pa.Table:
-    """Links between components in a block, or across two: what has been joined is not compared again."""
+    """Links between components in a block, or across two: what has been joined is not compared again. Only pairs that share a rare shingle are looked at."""
     ids, roots, blocks = (rows.column(c).to_pylist() for c in ("_set", "root", "b"))
     grams = [np.frombuffer(g, "<u4") for g in rows.column("grams").to_pylist()]
     one = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
@@ -148,14 +171,17 @@ def joined(rows: pa.Table) -> pa.Table:
             up[r] = r = up[up[r]]
         return r
 
+    near = np.tril(sharing(grams), -1)
+    own, block, size = np.array(roots), np.array(blocks), np.array([len(g) for g in grams])
+    near &= own[:, None] != own[None, :]
+    if not one:
+        near &= block[:, None] != block[None, :]
+    near &= np.minimum(size[:, None], size[None, :]) >= SIMILAR * np.maximum(size[:, None], size[None, :])
     out = []
-    for x in range(len(ids)):
-        for y in range(x):
-            if (one or blocks[x] != blocks[y]) and (a := top(roots[x])) != (b := top(roots[y])):
-                n, m = len(grams[x]), len(grams[y])
-                if min(n, m) >= SIMILAR * max(n, m) and jaccard(grams[x], grams[y]) >= SIMILAR:
-                    out.append((ids[x], ids[y]))
-                    up[a] = b
+    for x, y in np.argwhere(near).tolist():
+        if (a := top(roots[x])) != (b := top(roots[y])) and jaccard(grams[x], grams[y]) >= SIMILAR:
+            out.append((ids[x], ids[y]))
+            up[a] = b
     return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
 
 
