@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemeter.functions import weights
+from tidemeter.functions import text, weights
 from tidemeter.operators import asof, meter, quota, rollups, views
 
 HOUR = 3_600_000
@@ -96,3 +96,22 @@ def test_buckets_by_doubling_equal_a_plain_walk(spark):
     got = meter.fixed_buckets(spark.createDataFrame(rows, "account_id long, ts_unix_ms long, raw_tokens long, cw100 long"), 5 * HOUR)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
     assert meter.fixed_buckets(spark.createDataFrame([], "account_id long, ts_unix_ms long, raw_tokens long, cw100 long"), HOUR).collect() == []
+
+
+def test_json_in_prose(spark):
+    texts = ['{"a": 1}', 'so {"a": 2}\nbye', "none", "{broken", "x {broken} y", None, "", "[1]", '{"b": 3}']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string")
+    got = {r.id: r.q and r.q.a for r in df.select("id", text.salvaged(F.col("t"), "a int").alias("q")).collect()}
+    assert got == {0: 1, 1: 2, 2: None, 3: None, 4: None, 5: None, 6: None, 7: None, 8: None}
+
+
+def test_names_of_accounts(spark):
+    rows = [(1, "me", "a@b", "o"), (2, "", "a@b", "o"), (3, None, "a@b", ""), (4, "", "", "o"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, label string, email string, org string")
+    assert [r.n for r in df.orderBy("id").select(text.display_name(F.col("id"), F.col("label"), F.col("email"), F.col("org")).alias("n")).collect()] == ["me", "a@b (o)", "a@b", "o", "account 5"]
+
+
+def test_days_by_model_as_a_map(spark):
+    day = 86_400_000
+    turns = spark.createDataFrame([("m-mid", 5, 150), ("m-base", 6, 250), ("m-mid", 7, 50), ("m-unpriced", 8, 9999), ("m-base", day, 1)], "model string, ts_unix_ms long, cw100 long")
+    assert {r.day_ms: (r.models, r.total_cw) for r in rollups.model_days(turns).collect()} == {0: ({"m-base": 2.5, "m-mid": 2.0}, 4.5), day: ({"m-base": 0.01}, 0.01)}

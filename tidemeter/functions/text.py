@@ -102,3 +102,18 @@ def reset_ms(hint: F.Column, zone: F.Column, now_ms: F.Column) -> F.Column:
     later = F.when(dated, F.date_add(F.make_date(F.year(date) + 1, F.month(date), F.lit(1)), F.dayofmonth(date) - 1)).otherwise(F.date_add(date, 1))
     at = lambda d: F.unix_millis(F.convert_timezone(known, F.lit("UTC"), F.to_timestamp_ntz(F.concat(d.cast("string"), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0"), F.lit(":00")))).cast("timestamp"))
     return F.when(whole & fits, F.when(at(date) < now_ms, at(later)).otherwise(at(date)))
+
+
+def salvaged(text: Column, schema: str) -> Column:
+    """Fields of the JSON object that a text is or holds (from its first brace to its last) as a struct; null where there is none that can be read."""
+    whole = F.trim(text)
+    inner = F.nullif(F.regexp_extract(whole, r"(?s)\{.*\}", 0), F.lit(""))
+    valid = lambda t: F.get_json_object(t, "$").isNotNull() & t.startswith("{")
+    return F.when(valid(whole), F.from_json(whole, schema)).when(valid(inner), F.from_json(inner, schema))
+
+
+def display_name(account_id: Column, label: Column, email: Column, org: Column) -> Column:
+    """What an account is called: its label, else its email with its organisation, else the one of them it has, else its number. Never empty."""
+    has = lambda c: F.nullif(c, F.lit(""))
+    both = F.concat(has(email), F.lit(" ("), has(org), F.lit(")"))
+    return F.coalesce(has(label), both, has(email), has(org), F.concat(F.lit("account "), account_id))

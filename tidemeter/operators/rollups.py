@@ -100,3 +100,11 @@ def tail_within(rows: DataFrame, keys: list[str], order: list, size: F.Column, l
     w = Window.partitionBy(*keys).orderBy(*order)
     t = rows.withColumns({"_sum": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_r": F.row_number().over(w)})
     return t.where((F.col("_sum") <= limit) | (F.col("_r") == 1)).drop("_sum", "_r")
+
+
+def model_days(turns: DataFrame) -> DataFrame:
+    """(day_ms, models, total_cw): cost-weighted tokens of each day (UTC) by priced model, as a map, and their sum; unpriced models would make the parts miss the whole."""
+    day = (F.floor(F.col("ts_unix_ms") / 86_400_000) * 86_400_000).cast("bigint").alias("day_ms")
+    each = turns.where(F.col("model").isin(*weights.MULTIPLIERS)).groupBy(day, "model").agg(F.sum("cw100").alias("c"))
+    models = F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", F.round(F.col("c") / 100.0, 2).alias("cw")))))
+    return each.groupBy("day_ms").agg(models.alias("models"), F.round(F.sum("c") / 100.0, 2).alias("total_cw"))

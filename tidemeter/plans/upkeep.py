@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+from ..operators import rollups
 from ..sources import discovery, fixtures, versions
 from ..sources import transcripts as tr
 from ..sources.shared import new_folder, settled
@@ -73,6 +75,28 @@ def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[-1]
 
 
+def _day_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rollups.model_days(fixtures.turns(spark, sf_dir))
+    pairs = F.transform(F.map_entries("models"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 100).cast("bigint")))
+    return d.select("day_ms", F.array_join(pairs, ",").alias("models"), "total_cw")
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price quotes from answers that are JSON, JSON among prose, a refusal, or broken."""
+    k = F.col("k")
+    quote = F.concat(F.lit('{"input": '), k / 4, F.lit(', "output": '), k * 5, F.lit("}"))
+    answer = F.when(k % 4 == 0, quote).when(k % 4 == 1, F.concat(F.lit("Sure:\n"), quote, F.lit("\nbye"))).when(k % 4 == 2, ' {"error": "none"} ').otherwise("no {price")
+    q = fixtures.with_k(fixtures.turns(spark, sf_dir)).select("event_id", text.salvaged(answer, "input double, output double, error string").alias("q"))
+    return q.select("event_id", F.col("q").isNotNull().alias("found"), "q.input", "q.output", "q.error")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of accounts as logins tell them: what the newest turn of an account says."""
+    k = F.col("k")
+    t = fixtures.with_k(fixtures.turns(spark, sf_dir)).select("account_id", "event_id", F.when(k % 5 == 0, F.concat(F.lit("label "), k)).otherwise("").alias("label"), F.when(k % 3 > 0, F.concat(F.lit("u"), k, F.lit("@x.org"))).alias("email"), F.when(k % 2 == 0, "org").otherwise("").alias("org"))
+    return t.select("event_id", text.display_name(F.col("account_id"), F.col("label"), F.col("email"), F.col("org")).alias("name"))
+
+
 #: Hooks of all outcomes: fired late, fired, expired without a match, still waiting, settled before.
 HOOKS = [
     *reports.HOOKS,
@@ -82,6 +106,9 @@ HOOKS = [
 ]
 
 QUERIES: dict[str, Query] = {
+    "model_day_map": _day_map,
+    "price_quotes": _quotes,
+    "account_names": _names,
     "corrected_flags": _corrected,
     "hook_outcomes": _hooks,
     "delta_resumed": _resumed,

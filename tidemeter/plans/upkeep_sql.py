@@ -37,6 +37,9 @@ x AS (SELECT session_uuid AS file, ts_unix_ms, cwd, turn_idx, CAST(substr(sessio
     1 + (model = 'm-mid' AND k % 4 = 1)::INT + (model = 'm-mid' AND k % 8 = 1)::INT + (model = 'm-small')::INT + (model = 'm-unpriced' AND k BETWEEN 86 AND 98)::INT + (k % 3 = 0)::INT AS lines FROM tk)"""
 
 QUERIES = {
+    "model_day_map": turns("SELECT day_ms, string_agg(concat(model, '=', c), ',' ORDER BY model) AS models, round(CAST(sum(c) AS BIGINT) / 100.0::DOUBLE, 2) AS total_cw FROM (SELECT ts_unix_ms // 86400000 * 86400000 AS day_ms, model, CAST(sum(cw100) AS BIGINT) AS c FROM turns WHERE model <> 'm-unpriced' GROUP BY 1, 2) GROUP BY 1"),
+    "price_quotes": turns("SELECT event_id, k % 4 < 3 AS found, CASE WHEN k % 4 < 2 THEN k / 4.0::DOUBLE END AS input, CASE WHEN k % 4 < 2 THEN k * 5.0::DOUBLE END AS output, CASE WHEN k % 4 = 2 THEN 'none' END AS error FROM tk"),
+    "account_names": turns("SELECT event_id, CASE WHEN k % 5 = 0 THEN concat('label ', k) WHEN k % 3 > 0 AND k % 2 = 0 THEN concat('u', k, '@x.org (org)') WHEN k % 3 > 0 THEN concat('u', k, '@x.org') WHEN k % 2 = 0 THEN 'org' ELSE concat('account ', account_id) END AS name FROM tk"),
     "corrected_flags": sql.meter("SELECT id, account_id, bucket, ts_unix_ms, pct, reset_ms, saturated, reset_detected, valid FROM flags"),
     "hook_outcomes": turns(f"SELECT hook_id, CASE WHEN status <> 'pending' THEN status WHEN event_id IS NOT NULL THEN 'fired' WHEN expires_ms <= {_E} + 30 * {_D} THEN 'expired' ELSE 'pending' END AS status, event_id FROM ho", HOOKS),
     "delta_resumed": turns("SELECT file, CAST(sum(lines) AS BIGINT) AS records, max(ts_unix_ms) AS max_ms, arg_max(cwd, struct_pack(a := ts_unix_ms, b := turn_idx)) FILTER (WHERE cwd <> '') AS cwd FROM x WHERE new GROUP BY 1", DELTA),
