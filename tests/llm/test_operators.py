@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -160,8 +161,8 @@ def test_suffix(spark, docs, odd, none):
 
 
 def test_suffix_with_hot_anchors(spark, monkeypatch):
-    """A passage in most documents, each with surroundings of its own, over more groups than an anchor may have."""
-    monkeypatch.setattr(suffix, "HOT_GROUPS", 2)
+    """A passage in most documents, each with surroundings of its own, in more regions than an anchor may have."""
+    monkeypatch.setattr(suffix, "HOT_REGIONS", 2)
     rng = np.random.default_rng(2)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
     hot = word(180)
@@ -170,6 +171,43 @@ def test_suffix_with_hot_anchors(spark, monkeypatch):
     assert found_suffix(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=2000) == slow_suffix(rows)
 
 
+@pytest.fixture(scope="module")
+def one_anchor():
+    """17000 documents that share 16 bytes, the anchor of all strings that hold it, each with surroundings of its own; some repeat parts of others."""
+    rng = np.random.default_rng(3)
+    letters = rng.choice(list(b"abcdefgh"), 4_000_000).astype(np.uint8).tobytes()
+    key, first, count = suffix.anchors(letters[:2_000_000], np.array([2_000_000]))
+    at = int(first[k := int(key.argmin())] + count[k] - 1)
+    gram = letters[at : at + 16]
+    around = letters[2_000_000:]
+    rows = [(d, (around[80 * d : 80 * d + 40] + gram + around[80 * d + 40 : 80 * d + 80]).decode()) for d in range(17_000)]
+    return rows + [(20_000 + d, rows[31 * d][1][d % 40 :] + "z" * (d % 7)) for d in range(500)]
+
+
+@pytest.mark.parametrize("group_bytes", [4 << 20, 400_000])
+def test_suffix_with_one_anchor_of_many_regions(spark, one_anchor, group_bytes):
+    """At the shipped bound, in one group and over several."""
+    assert found_suffix(spark.createDataFrame(one_anchor, "doc_id long, text string"), group_bytes=group_bytes) == slow_suffix(one_anchor)
+
+
+def test_suffix_bounds_what_an_anchor_sends(one_anchor):
+    group = suffix.Group(pd.DataFrame(one_anchor, columns=["doc_id", "text"]), suffix.LENGTH, 65)
+    crowds = group.crowds()
+    assert max(crowds.values()) > suffix.HOT_REGIONS
+    told = {}
+    for b, key, _ in group.keys():
+        own, regions = suffix.unpack_keys(suffix.pack_keys(key, crowds))
+        assert {k: n for k, n in zip(key.tolist(), regions.tolist(), strict=True) if n > 1} == {k: n for k, n in crowds.items() if k >> 32 == b}
+        told[b] = np.packbits(np.concatenate([np.isin(own, k) for k in suffix.shared_and_hot([(own, regions)])])).tobytes()
+    for bits, hot in ((told, True), ({}, False)):
+        held, _ = group.regions(bits)
+        size = Counter()
+        for b, h in held.items():
+            for region, (_, _, anchor) in h.items():
+                size[b, anchor] += len(region)
+        assert (max(size.values()) <= suffix.HOT_REGIONS * (2 * suffix.LENGTH - suffix.GRAM)) is hot
+
+
 def test_suffix_classes_by_cover():
     s = suffix.shifts()
     assert all((i + s[i, j]) % 16 in suffix.COVER and (j + s[i, j]) % 16 in suffix.COVER for i in range(16) for j in range(16))

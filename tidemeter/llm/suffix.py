@@ -6,9 +6,11 @@ smallest 16-byte hash in their first ``length`` bytes (the leftmost of equal one
 which is a function of those bytes alone: equal strings meet in one bucket, and the
 text of neighbouring suffixes is sent once, as a region. First, buckets exchange only hashes, packed
 by bucket and group of documents, and tell each group which of its anchors
-others have too; only the regions of those are sent. An anchor of very many groups
+others have too; only the regions of those are sent. With the hashes goes how many
+distinct regions an anchor has in a group. An anchor with more than HOT_REGIONS of them in all groups
 is hot: its strings are dealt by a hash of the whole string instead, so that a passage
-with ever new surroundings fills no bucket.
+with ever new surroundings fills no bucket, be they in one group or in many. Any other
+anchor sends at most HOT_REGIONS regions of 2 length - 16 bytes, about 1.4 MB.
 
 A bucket is sorted by itself, a block of leading bytes at a time: by the first and
 last 16 bytes, and where both tie, by ranks of a difference cover. The cover
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 LENGTH, GRAM, SEED = 50, 16, 42
 #: Bytes of text in a group of documents, and in the slices that it is hashed in.
 GROUP_BYTES, SLICE_BYTES = 4 << 20, 1 << 16
-#: Groups that an anchor stands in beyond which its strings are dealt one by one.
-HOT_GROUPS = 1024
+#: Distinct regions of an anchor, counted group by group, beyond which its strings are dealt one by one.
+HOT_REGIONS = 16384
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
 _powers = [pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64) | 1 for i in range(5)]
 _bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -115,6 +117,19 @@ class Group:
         # the bucket, then 32 bits that tell its anchors apart
         return raw, ends, held, (h % np.uint64(self.buckets)) << np.uint64(32) | h >> np.uint64(32), first, count
 
+    def crowds(self) -> dict[int, int]:
+        """The number of distinct regions of each anchor that has several here."""
+        key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s[3] for s in self.slices]]), return_counts=True)
+        many = key[n > 1]
+        if not len(many):
+            return {}
+        seen: list[tuple[int, int]] = []
+        for raw, _, _, own, first, count in self.slices:
+            hit = np.flatnonzero(many[np.minimum(np.searchsorted(many, own), len(many) - 1)] == own)
+            ends = first[hit] + count[hit] + self.length - 1
+            seen.extend(zip(own[hit].tolist(), [xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in zip(first[hit].tolist(), ends.tolist(), strict=True)], strict=True))
+        return {k: t for k, t in Counter(k for k, _ in {*seen}).items() if t > 1}
+
     def keys(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(bucket, its distinct anchors in this group, whether more than one run here has them), for buckets that have any."""
         key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[s[3] for s in self.slices]]), return_counts=True)
@@ -247,6 +262,28 @@ def unpack_regions(raw: bytes) -> tuple[list[bytes], list[int], list[int]]:
     return found, np.frombuffer(raw, "<i8", n, 4 + 4 * n).tolist(), np.frombuffer(raw, "<u4", n, 4 + 12 * n).tolist()
 
 
+def pack_keys(key: np.ndarray, crowds: dict[int, int]) -> bytes:
+    """A bucket's anchors, and the places and numbers of those with several regions."""
+    many = [(i, crowds[k]) for i, k in enumerate(key.tolist()) if k in crowds]
+    return struct.pack("<I", len(key)) + (key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + np.array(many, "<u4").tobytes()
+
+
+def unpack_keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors, regions of each)."""
+    (n,) = struct.unpack_from("<I", raw)
+    many = np.frombuffer(raw, "<u4", offset=4 + 4 * n).reshape(-1, 2)
+    regions = np.ones(n, np.int64)
+    regions[many[:, 0]] = many[:, 1]
+    return np.frombuffer(raw, "<u4", n, 4), regions
+
+
+def shared_and_hot(each: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's anchors, given group by group with their regions, those of several groups, and the hot ones."""
+    key, at = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+    regions = np.bincount(at, np.concatenate([r for _, r in each]), len(key))
+    return key[np.bincount(at, minlength=len(key)) > 1], key[regions > HOT_REGIONS]
+
+
 def _bits(values: list[int]) -> bytes:
     return np.array(values, "<u8").tobytes()
 
@@ -273,14 +310,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group_bytes: int = GR
 
     def hashes(docs_: pd.DataFrame) -> pd.DataFrame:
         g = int(docs_["g"].iloc[0])
-        rows = [(b, g, (k & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()) for b, k, _ in Group(docs_, length, buckets).keys()]
+        group = Group(docs_, length, buckets)
+        crowds = group.crowds()
+        rows = [(b, g, pack_keys(k, crowds)) for b, k, _ in group.keys()]
         return pd.DataFrame(rows, columns=["b", "g", "data"])
 
     def overlap(packed: pd.DataFrame) -> pd.DataFrame:
-        each = [np.frombuffer(x, "<u4") for x in packed["data"]]
-        key, n = np.unique(np.concatenate(each), return_counts=True)
-        hot, key = key[n > HOT_GROUPS], key[n > 1]
-        bits = [np.packbits(np.concatenate([np.isin(x, k, assume_unique=True) for k in (key, hot)])).tobytes() if len(key) else b"" for x in each]
+        each = [unpack_keys(x) for x in packed["data"]]
+        ours = shared_and_hot(each)
+        bits = [np.packbits(np.concatenate([np.isin(x, k, assume_unique=True) for k in ours])).tobytes() if len(ours[0]) or len(ours[1]) else b"" for x, _ in each]
         return pd.DataFrame({"g": packed["g"], "b": packed["b"], "data": bits})
 
     def answers(packed: pd.DataFrame) -> dict[int, bytes]:
