@@ -208,6 +208,28 @@ def test_suffix_bounds_what_an_anchor_sends(one_anchor):
         assert (max(size.values()) <= suffix.HOT_REGIONS * (2 * suffix.LENGTH - suffix.GRAM)) is hot
 
 
+@pytest.mark.parametrize("length", [32, 50, 64, 79])
+def test_suffix_sorts_only_strings_that_recur(length):
+    """What equals nothing leaves before the sort, as most strings of a bucket do; what recurs stays, and is found as by comparing all."""
+    rng = np.random.default_rng(7)
+    text = rng.integers(97, 100, 60_000, dtype=np.uint8)
+    text[50_000:50_300] = text[10_000:10_300]
+    text[55_000:55_200] = text[10_100:10_300]
+    starts = np.arange(0, len(text) - length + 1)
+    left = suffix.recurring(text, starts, length)
+    raw = text.tobytes()
+    times = Counter(raw[a : a + length] for a in starts.tolist())
+    again = {a for a in starts.tolist() if times[raw[a : a + length]] > 1}
+    assert again <= {*left.tolist()} and len(left) < len(starts) // 4
+    own: dict = {}
+    for k, (at, group) in enumerate(suffix.suffix_classes(text, starts, length)):
+        begin = np.cumsum(np.append(True, group[1:] != group[:-1]))
+        for a, b in zip(at.tolist(), begin.tolist(), strict=True):
+            own.setdefault((k, b), []).append(a)
+    assert {a for x in own.values() for a in x} == again
+    assert all(len({raw[a : a + length] for a in x}) == 1 for x in own.values()) and len(own) == len({raw[a : a + length] for a in again})
+
+
 def test_suffix_classes_by_cover():
     s = suffix.shifts()
     assert all((i + s[i, j]) % 16 in suffix.COVER and (j + s[i, j]) % 16 in suffix.COVER for i in range(16) for j in range(16))

@@ -37,7 +37,7 @@ GROUP_BYTES, SLICE_BYTES = 4 << 20, 1 << 16
 #: Distinct regions of an anchor, counted group by group, beyond which its strings are dealt one by one.
 HOT_REGIONS = 16384
 PERIOD, COVER = 16, (0, 1, 2, 5, 8)
-_powers = [pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64) | 1 for i in range(5)]
+_powers = [pow(0x9E3779B97F4A7C15, 1 << i, 1 << 64) | 1 for i in range(7)]
 _bytes = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -177,30 +177,54 @@ class Group:
                     yield i, 1, h % self.buckets << 32 | h >> 32, w
 
 
+def recurring(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """starts without most of those whose strings of ``length`` bytes equal no other's: their hash meets no other in a table of counts. Equal strings all stay."""
+    if len(starts) < 2:
+        return starts[:0]
+    h, whole, done = _bytes[text], None, 0
+    for i in range(length.bit_length()):
+        if length >> i & 1:
+            # what is hashed already, then this power of two behind it
+            whole = h if whole is None else whole[: len(text) - (done + (1 << i)) + 1] * np.uint64(_powers[i]) + h[done : done + len(text) - (done + (1 << i)) + 1]
+            done += 1 << i
+        if length >> i > 1:
+            h = h[: -(1 << i)] * np.uint64(_powers[i]) + h[1 << i :]
+    own = whole[starts]
+    own ^= own >> np.uint64(31)
+    own *= np.uint64(0xD6E8FEB86659FD93)
+    # eight places a string, from the bits that mix best
+    place = (own >> np.uint64(64 - (8 * len(starts)).bit_length())).astype(np.int64)
+    return starts[np.bincount(place)[place] > 1]
+
+
 def suffix_classes(text: np.ndarray, starts: np.ndarray, length: int = LENGTH):
     """Yield, a block of leading bytes at a time, starts whose strings of ``length`` bytes equal another's, and for each the number of its class in the block; classes are together."""
+    starts = recurring(text, starts, length)
     if not len(starts):
         return
-    ends16 = np.lib.stride_tricks.sliding_window_view(text, 16)
-    view = lambda at: np.ascontiguousarray(ends16[at]).view("S16").ravel()
+    # 16 bytes from any place on as two numbers in the order of the bytes
+    eights = np.lib.stride_tricks.as_strided(text.astype(np.uint8), (len(text) - 7, 8), (1, 1))
+    eight = lambda at: np.ascontiguousarray(eights[at]).view(">u8").ravel().astype(np.uint64)
     rank = np.full(len(text), -1, np.int64)
     depth = length - PERIOD + 1
-    sample = np.flatnonzero(np.isin(np.arange(len(text)) % PERIOD, COVER))
-    sample = sample[sample + depth <= len(text)]
-    covered = np.zeros(len(text) + length, np.int32)
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, starts + length, -1)
-    sample = sample[np.cumsum(covered)[sample] > 0]
+    edges = np.bincount(starts, minlength=len(text) + length).astype(np.int32)
+    edges -= np.bincount(starts + length, minlength=len(text) + length).astype(np.int32)
+    covered = np.cumsum(edges)[: len(text)] > 0
+    for c in range(PERIOD):
+        if c not in COVER:
+            covered[c::PERIOD] = False
+    covered[max(0, len(text) - depth + 1) :] = False
+    sample = np.flatnonzero(covered)
     strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, depth)[sample]).view(f"S{depth}").ravel()
     rank[sample] = np.unique(strings, return_inverse=True)[1]
     shift = shifts()
     lead = text[starts]
-    for byte in np.unique(lead):
-        block = starts[lead == byte]
-        head, tail = (np.unique(view(at), return_inverse=True)[1] for at in (block, block + length - 16))
-        order = np.lexsort((block, tail, head))
+    by_lead = np.argsort(lead, kind="stable")
+    for block in np.split(starts[by_lead], np.flatnonzero(np.diff(lead[by_lead])) + 1):
+        keys = [eight(block + at) for at in (length - 8, length - 16, 8, 0)]
+        order = np.lexsort((block, *keys))
         ties = block[order]
-        new = np.append(True, (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1]))
+        new = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))
         while len(ties):
             # every tie against the first of its group, at the shift that takes both into the cover
             first = np.flatnonzero(new)
