@@ -189,3 +189,17 @@ def test_tail_keeps_the_newest(spark):
 
 def test_meter_has_two_rows_a_poll(spark, sf_dir):
     assert fixtures.meter(spark, sf_dir).count() == 2 * fixtures.observations(spark, sf_dir).count()
+
+
+def test_peak_sum_without_a_frame_by_range(spark):
+    """As by summing every span by hand, times and tokens that are null included; no frame looks at a span's rows again for each turn."""
+    rows = [("a", t * 7 % 400, t % 5) for t in range(120)] + [("b", None, 3), ("b", None, 4), ("b", 5, None), ("c", 9, None), (None, 1, 2), ("d", 10, 1), ("d", 30, 2), ("d", 31, 4), ("e", -15, 6), ("e", 4, 1)]
+    df = spark.createDataFrame(rows, "session_uuid string, ts_unix_ms long, raw_tokens long")
+    want = {}
+    for s, t, _ in rows:
+        near = [x for u, v, x in rows if u == s and x is not None and (v is None if t is None else v is not None and t - 20 <= v <= t)]
+        want[s] = max([want.get(s), sum(near) if near else None], key=lambda x: -1 if x is None else x)
+    for slot in (16, 3_600_000):
+        got = rollups.peak_sum(df, 20, slot)
+        assert {r.session_uuid: r.peak_raw_tokens for r in got.collect()} == want
+    assert "RangeFrame" not in got._jdf.queryExecution().executedPlan().toString()

@@ -38,10 +38,26 @@ def cwd_mode(turns: DataFrame) -> DataFrame:
     return n.withColumn("_r", best).where("_r = 1").select("session_uuid", "cwd", "n")
 
 
-def peak_sum(turns: DataFrame, span_ms: int) -> DataFrame:
-    """The largest sum of raw tokens in any ``span_ms``, both ends included."""
-    w = Window.partitionBy("session_uuid").orderBy("ts_unix_ms").rangeBetween(-span_ms, 0)
-    return turns.withColumn("_s", F.sum("raw_tokens").over(w)).groupBy("session_uuid").agg(F.max("_s").alias("peak_raw_tokens"))
+def peak_sum(turns: DataFrame, span_ms: int, slot_ms: int = 3_600_000) -> DataFrame:
+    """The largest sum of raw tokens in any ``span_ms``, both ends included.
+
+    Tokens enter a running sum at their time and leave it once the span is past, so a turn counts twice however
+    many turns a span holds. The sum runs within slots of time, which spreads a session of any size; a row a slot carries it across them.
+    Turns without a time are one span of their own, as in a frame by range.
+    """
+    key = ["session_uuid", "ts_unix_ms"]
+    at = turns.groupBy(*key).agg(F.sum("raw_tokens").alias("_d"), _long(F.count("raw_tokens")).alias("_n")).withColumn("_in", F.lit(True))
+    gone = at.where("ts_unix_ms is not null").select("session_uuid", (F.col("ts_unix_ms") + span_ms + 1).alias("ts_unix_ms"), (-F.col("_d")).alias("_d"), (-F.col("_n")).alias("_n"), F.lit(False).alias("_in"))
+    both = at.unionByName(gone).withColumn("_slot", _long(F.floor(F.col("ts_unix_ms") / slot_ms)))
+    slots = both.groupBy("session_uuid", "_slot").agg(F.sum("_d").alias("_d"), F.sum("_n").alias("_n"))
+    before = Window.partitionBy("session_uuid").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    # what is without a time is first in order, and no part of what follows
+    known = lambda c: F.coalesce(F.sum(F.when(F.col("_slot").isNotNull(), F.col(c))).over(before), F.lit(0).cast("bigint"))
+    slots = slots.select(F.col("session_uuid").alias("_s"), F.col("_slot").alias("_k"), known("_d").alias("_bd"), known("_n").alias("_bn"))
+    inside = Window.partitionBy("session_uuid", "_slot").orderBy("ts_unix_ms", "_in").rowsBetween(Window.unboundedPreceding, 0)
+    ran = both.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0).cast("bigint")) for c in ("_d", "_n")}).where("_in")
+    ran = ran.join(slots, F.col("session_uuid").eqNullSafe(F.col("_s")) & F.col("_slot").eqNullSafe(F.col("_k")))
+    return ran.groupBy("session_uuid").agg(F.max(F.when(F.col("_n") + F.col("_bn") > 0, F.col("_d") + F.col("_bd"))).alias("peak_raw_tokens"))
 
 
 def model_totals(turns: DataFrame) -> DataFrame:
