@@ -203,3 +203,35 @@ def test_peak_sum_without_a_frame_by_range(spark):
         got = rollups.peak_sum(df, 20, slot)
         assert {r.session_uuid: r.peak_raw_tokens for r in got.collect()} == want
     assert "RangeFrame" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_flags_stream_as_of_all_readings_at_once(spark):
+    """Batches of any size give the flags of the whole series, and what is held is the stretch that later readings decide, not the series."""
+    import random
+
+    import pyarrow as pa
+
+    rng, rows = random.Random(3), []
+    for account in (1, None, 2):
+        p = 0
+        for i in range(700):
+            p = 0 if p > 103 else p + rng.choice((0, 0, 0, 1, 2))
+            rows.append((len(rows), account, "week", i * 10 if i < 690 else None, rng.choice((p, p, p, p // 2, None)), i * 10 + 500 if i % 90 == 0 else None, False))
+    rows += [(len(rows) + i, 3, "week", i, 50 if i < 5 else 10, None, False) for i in range(3000)]
+    names = ["id", "account_id", "bucket", "ts_unix_ms", "pct", "reset_ms", "saturated"]
+    table = pa.table({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    want = {}
+    for account in (1, None, 2, 3):
+        own = [r for r in rows if r[1] == account]
+        want |= {r[0]: f[:2] for r, f in zip(own, meter.flags_of(*[[r[k] for r in own] for k in (3, 4, 5)]), strict=True)}
+    for size in (1, 7, 64, 10_000):
+        out = pa.Table.from_batches(meter._in_order(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+        assert [r["id"] for r in out] == [r[0] for r in rows]
+        assert {r["id"]: (r["reset_detected"], r["valid"]) for r in out} == want
+    read = []
+    stream = meter._in_order(read.append(k) or b for k, b in enumerate(table.to_batches(max_chunksize=7)))
+    next(stream)
+    assert len(read) <= 3, "rows leave before the series has been read"
+    df = spark.createDataFrame(rows, meter.FLAGS.split(", reset_detected")[0])
+    assert {r.id: (r.reset_detected, r.valid) for r in meter.usage_flags(df).collect()} == want
+    assert "FlatMapGroups" not in meter.usage_flags(df)._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +24,13 @@ def flags_of(ts: list, pct: list, reset: list, resumed: bool = False) -> list[tu
     that differs from it by more than one point: decided_ms is that reading's time, null while there is none, and the reading's own
     time where nothing later matters. resumed: the first reading is a reset that is decided, at which an earlier run left off.
     """
+    return _walk(ts, pct, reset, (None, None), True, resumed)[0]
+
+
+def _walk(ts: list, pct: list, reset: list, state: tuple, last: bool, resumed: bool = False) -> tuple[list[tuple[bool, bool, int | None]], tuple]:
+    """flags_of() from a state (peak, due) on, and the state behind it; unless these are the ``last`` readings, up to the first that later ones decide."""
     # for each reading the next one that differs by more than one, found from the end
-    out, peak, due = [], None, None
+    out, (peak, due) = [], state
     n = len(ts)
     values = [(i, p) for i, p in enumerate(pct) if p is not None]
     place = {i: k for k, (i, _) in enumerate(values)}
@@ -34,7 +42,7 @@ def flags_of(ts: list, pct: list, reset: list, resumed: bool = False) -> list[tu
             j = jump[j] if values[j][1] == values[k][1] else j + 1
         jump[k] = j
     for i in range(n):
-        p, boundary, here, decided = pct[i], due is not None and ts[i] >= due, resumed and i == 0, ts[i]
+        p, boundary, here, decided = pct[i], due is not None and ts[i] is not None and ts[i] >= due, resumed and i == 0, ts[i]
         valid = True
         if p is None:
             pass
@@ -46,6 +54,8 @@ def flags_of(ts: list, pct: list, reset: list, resumed: bool = False) -> list[tu
             peak = max(peak, p)
         else:
             j = jump[place[i]]
+            if j == len(values) and not last:
+                break
             decided = ts[values[j][0]] if j < len(values) else None
             if j < len(values) and values[j][1] >= peak - 1:
                 valid = False
@@ -56,7 +66,37 @@ def flags_of(ts: list, pct: list, reset: list, resumed: bool = False) -> list[tu
             due = reset[i]
         elif here:
             due = None
-    return out
+    return out, (peak, due)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Flags of readings that come by series, time and id. Only a stretch that later readings decide is held, and tried anew once it has doubled."""
+    names = ["account_id", "bucket"]
+    held: pa.Table | None = None
+    key, state, tried = None, (None, None), 0
+
+    def emit(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, state, tried
+        got, state = _walk(*[held[c].to_pylist() for c in ("ts_unix_ms", "pct", "reset_ms")], state, last)
+        done = held.slice(0, len(got)).append_column("reset_detected", pa.array([a for a, *_ in got], pa.bool_())).append_column("valid", pa.array([b for _, b, _ in got], pa.bool_()))
+        held = held.slice(len(got)).combine_chunks()
+        tried = len(held)
+        yield from done.to_batches()
+
+    for batch in batches:
+        own = [*zip(*[batch[c].to_pylist() for c in names], strict=True)]
+        begin = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1]]
+        for a, b in zip(begin, [*begin[1:], len(own)], strict=True):
+            if held is None or own[a] != key:
+                if held is not None:
+                    yield from emit(True)
+                held, key, state, tried = None, own[a], (None, None), 0
+            some = pa.Table.from_batches([batch.slice(a, b - a)])
+            held = some if held is None else pa.concat_tables([held, some])
+            if len(held) >= 2 * tried:
+                yield from emit(False)
+    if held is not None:
+        yield from emit(True)
 
 
 def _flagged(pdf: pd.DataFrame, resumed: bool = False) -> pd.DataFrame:
@@ -67,8 +107,10 @@ def _flagged(pdf: pd.DataFrame, resumed: bool = False) -> pd.DataFrame:
 
 
 def usage_flags(meter: DataFrame) -> DataFrame:
-    """meter() rows with reset_detected and valid. One account's readings of one meter, a few hundred a day, are one group."""
-    return meter.groupBy("account_id", "bucket").applyInPandas(lambda pdf: _flagged(pdf).drop(columns="decided_ms"), FLAGS)
+    """meter() rows with reset_detected and valid. One account's readings of one meter stream through one task in order, which Spark sorts; Python holds a batch, and what later readings decide."""
+    own = meter.select("id", "account_id", "bucket", "ts_unix_ms", "pct", "reset_ms", "saturated")
+    sorted_ = own.repartition("account_id", "bucket").sortWithinPartitions("account_id", "bucket", F.asc_nulls_last("ts_unix_ms"), F.asc_nulls_last("id"))
+    return sorted_.mapInArrow(_in_order, FLAGS)
 
 
 def resumed_flags(readings: DataFrame) -> DataFrame:
