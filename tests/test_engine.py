@@ -235,3 +235,32 @@ def test_flags_stream_as_of_all_readings_at_once(spark):
     df = spark.createDataFrame(rows, meter.FLAGS.split(", reset_detected")[0])
     assert {r.id: (r.reset_detected, r.valid) for r in meter.usage_flags(df).collect()} == want
     assert "FlatMapGroups" not in meter.usage_flags(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_transcripts_in_parts_are_read_as_one(spark, sf_dir, tmp_path, monkeypatch):
+    """A session in several parts gives the turns of one file; no sort or window holds a file's lines."""
+    from tidemeter.plans import reports
+    from tidemeter.sources import transcripts as tr
+
+    want = sorted(reports.QUERIES["transcript_files"](spark, sf_dir).toPandas().fillna(-1).values.tolist(), key=str)
+    monkeypatch.setattr(fixtures, "PART_LINES", 64)
+    folder = fixtures.transcript_files(spark, sf_dir)
+    lines = tr.read_lines(spark, [folder], fixtures.session_of)
+    assert "SortMergeJoin" not in lines._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tr.turns(tr.parsed(lines)).drop("line").toPandas().fillna(-1).values.tolist(), key=str)
+    assert got == want
+    told = [r.value for r in fixtures.transcript(spark, sf_dir).where("file = 's3'").orderBy("line").collect()]
+    parts = spark.read.text(folder).where(F.col("_metadata.file_path").contains("/file=s3/")).select("_metadata.file_path").distinct().count()
+    own = lines.where("file = 's3'").orderBy("line").collect()
+    assert parts > 1 and [r.line for r in own] == [*range(len(told))] and [r.value for r in own] == told
+    # splits of one file, blank lines counted but left out
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" if i % 5 else "\n" for i in range(2000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        read = tr.read_lines(spark, [str(tmp_path / "a.txt")])
+        assert sorted((r.line, r.value) for r in read.collect()) == [(i, f"line {i}") for i in range(2000) if i % 5]
+        # numbers come from the splits: lines themselves are never dealt by file
+        assert read._jdf.queryExecution().executedPlan().toString().count("value#") and "row_number" not in read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

@@ -188,8 +188,8 @@ def _session_compactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = tr.read_lines(spark, [fixtures.transcript_files(spark, sf_dir)])
-    return tr.turns(tr.parsed(lines.withColumn("file", F.regexp_extract("file", "/file=([^/]+)/", 1)))).drop("line")
+    lines = tr.read_lines(spark, [fixtures.transcript_files(spark, sf_dir)], fixtures.session_of)
+    return tr.turns(tr.parsed(lines)).drop("line")
 
 
 def _maxed(f: DataFrame, t: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import weights
@@ -117,14 +117,24 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("session_uuid").alias("file"), "turn_idx", F.posexplode(F.array(*slots)).alias("slot", "value")).where("value is not null").select("file", (F.col("turn_idx") * 8 + F.col("slot")).alias("line"), "value")
 
 
+#: Lines of a part of a transcript: what a task sorts at once.
+PART_LINES = 1 << 19
+
+
 def transcript_files(spark: SparkSession, sf_dir: str) -> str:
-    """A new folder of transcript() as JSON line files, one a session."""
+    """A new folder of transcript() as JSON line files, one a session, or several parts in order of their paths where it has many lines."""
     path = new_folder(spark, "transcripts")
-    lines = transcript(spark, sf_dir).repartition("file").sortWithinPartitions("file", "line")
-    lines.select("file", "value").write.partitionBy("file").text(path)
+    lines = transcript(spark, sf_dir).withColumn("part", F.format_string("%012d", F.expr(f"line div {PART_LINES}")))
+    lines = lines.repartition("file", "part").sortWithinPartitions("file", "part", "line")
+    lines.select("file", "part", "value").write.partitionBy("file", "part").text(path)
     return path
 
 
+def session_of(path: Column) -> Column:
+    """The session that a path below transcript_files() is part of."""
+    return F.regexp_extract(path, "/file=([^/]+)/", 1)
+
+
 def session_paths(turns_: DataFrame) -> DataFrame:
     """(file, path) of each session's transcript in the layouts: at the top of its project, as a subagent's under its parent's id (one under a garbled id), or as a workflow's agent."""
     h = F.md5("parent_session_uuid")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,19 @@ MIN_BYTES, SHRINK, PREVIEW = 5000, 0.5, 240
 TAGS = ("system-reminder", "local-command-stdout", "local-command-stderr", "command-name", "command-message", "command-args")
 
 
-def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, line, value) of text files, blank lines left out. Large files are read in splits; a line's number follows from its split's place in the file and its own in the split."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
-    number = F.row_number().over(Window.partitionBy("file").orderBy("_at", "_n")) - 1
-    return lines.withColumn("line", number.cast("bigint")).where("trim(value) <> ''").select("file", "line", "value")
+def read_lines(spark: SparkSession, paths: list[str], whole: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, line, value) of text files, blank lines left out. ``whole`` names the file that a path is a part of, in order of paths; else each path is a file.
+
+    Large files are read in splits; a line's number is its own in the split and the lines of the splits before. Only a row a split is ordered, so no file is sorted or held.
+    """
+    path = F.col("_metadata.file_path")
+    lines = spark.read.text(paths).select((whole(path) if whole else path).alias("file"), path.alias("_path"), "value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"))
+    before = Window.partitionBy("file").orderBy("_path", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "_path", "_at").agg(F.min("_n").alias("_first"), F.count("*").alias("_lines"))
+    splits = splits.select("_path", "_at", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    # a row a split
+    placed = lines.join(F.broadcast(splits), ["_path", "_at"])
+    return placed.where("trim(value) <> ''").select("file", (F.col("_n") - F.col("_first") + F.col("_before")).cast("bigint").alias("line"), "value")
 
 
 def path_shape(path: Column) -> Column:
