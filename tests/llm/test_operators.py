@@ -586,6 +586,23 @@ def test_html_differencing(spark):
     assert Counter((r.page_id, r.text) for r in got.collect()) == slow_main(rows)
 
 
+def test_html_differences_marked_pages_too(spark, monkeypatch):
+    """Every page goes through differencing; the article's mark is a check of what it found, and equal pages of a class are dealt over tasks."""
+    page = lambda own, tag: f"<html><body><p>Site A</p><{tag}><p>{own} one</p><p>Licence</p></{tag}><p>Bye</p></body></html>"
+    rows = [(i, f"http://h/a/{i}", page(f"page {i}", "article")) for i in range(3)] + [(i, f"http://g/a/{i}", page(f"page {i}", "div")) for i in (3, 4)]
+    rows += [(i, f"http://c/a/{i}", page("equal", "article")) for i in range(5, 25)] + [(25, "http://c/b", page("other", "article")), (26, None, page("alone", "article")), (27, "http://h/z", None)]
+    monkeypatch.setattr(html, "CLASS_PAGES", 4)
+    got = {r.page_id: r for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {*got} == {*range(28)}
+    for i in (0, 1, 2, *range(5, 26)):
+        own = "equal" if 5 <= i < 25 else "other" if i == 25 else f"page {i}"
+        # the pair shares the site's lines and the licence, which the mark brings back
+        assert (got[i].text, got[i].n_lines, got[i].n_shared, got[i].n_restored) == (f"{own} one\n\nLicence", 4, 3, 1), got[i]
+    for i in (3, 4):
+        assert (got[i].text, got[i].n_shared, got[i].n_restored) == (f"page {i} one", 3, 0)
+    assert (got[26].text, got[26].n_shared) == ("alone one\n\nLicence", 0) and (got[27].text, got[27].n_lines) == ("", 0)
+
+
 def test_html_reads_broken_pages_once():
     for part in ("<a ", "<script ", "<!--", "<a '", '<a "', "<![CDATA[", "</", "<p x='\">", "&amp", "<script>"):
         begun = time.time()

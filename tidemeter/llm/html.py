@@ -4,17 +4,17 @@ Pages of a host are put in order of their URL paths; each is paired with the
 neighbour that shares the longer path prefix. Both are read as lines of text,
 the longest common subsequence of their lines is found, and lines in it are
 template: they go. Markup says where lines stand. Those in menus, headers,
-footers, forms and the like go in any case, and where a page marks its article, what
-stands in it stays: mirrored pages share whole articles, which
-differencing alone would delete. Pages of a host with equal lines are one class,
-paired with the nearest page of other lines; only pages without a marked
-article travel to meet the lines of their pair.
+footers, forms and the like go in any case. A check follows where a page marks
+its article: mirrored pages share whole articles, which
+differencing alone would delete, so the article's lines come back and others go. Pages of a host with equal lines are one class,
+paired with the nearest page of other lines; every page meets the lines of its pair.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections import Counter
 from html import unescape
 from itertools import accumulate
@@ -205,15 +205,12 @@ def _common(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def marked(own: list[tuple[str, int]]) -> bool:
-    return any(z == MAIN for _, z in own)
+#: Pages of a class that meet their pair's lines in one task, about.
+CLASS_PAGES = 4096
 
 
-def differenced(own: list[tuple[str, int]], hashes: list[int], other: list[int] | None) -> str:
-    """Neutral lines that the paired page (its lines' hashes; null: no pair) does not share; all, if it shares every one."""
-    shared = {*common(hashes, other)} if other else set()
-    left = [t for k, (t, z) in enumerate(own) if z == NEUTRAL and k not in shared]
-    return "\n\n".join(left or [t for t, z in own if z == NEUTRAL])
+def marked(own: list[tuple[str, int]]) -> bool:
+    return any(z == MAIN for _, z in own)
 
 
 def class_of(hashes: list[int]) -> str:
@@ -261,37 +258,63 @@ def nearest_url(pages: DataFrame) -> DataFrame:
     return near.where("pa >= 0 or pb >= 0").select("host", "key", F.when(F.col("pa") >= F.col("pb"), F.col("a.key")).otherwise(F.col("b.key")).alias("other"))
 
 
+def found(own: list[tuple[str, int]], hashes: list[int], other: list[int] | None) -> tuple[str, int, int]:
+    """(text, shared, restored): the lines that differencing with the paired page leaves, after the check by markup; how many lines the pages share, and how many of these stay.
+
+    Differencing comes first, on every page. Then what a page marks as its article is held against the mark: its shared lines
+    come back, and what stands outside it goes. A page without a mark keeps what differencing leaves.
+    """
+    shared = {*common(hashes, other)} if other else set()
+    if marked(own):
+        stay = [k for k, (_, z) in enumerate(own) if z == MAIN]
+    else:
+        stay = [k for k, (_, z) in enumerate(own) if z == NEUTRAL and k not in shared] or [k for k, (_, z) in enumerate(own) if z == NEUTRAL]
+    return "\n\n".join(own[k][0] for k in stay), len(shared), sum(k in shared for k in stay)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) for every row of pages, from the whole html; an empty text if there is none.
+    """(page_id, url, text, n_lines, n_shared, n_restored) for every row of pages, from the whole html; an empty text if there is none.
 
+    Every page is differenced with the page of the nearest URL; the article's mark, where there is one, is a check that follows.
+    n_lines are a page's lines, n_shared those in the longest common subsequence with its pair, n_restored those of them that stay in the text.
     Null html counts as empty, a null url has no pair, repeated rows stay
     repeated, other columns are not read; deeply nested, unmatched and unfinished tags are
-    read once, in time in proportion to the page. Each page is read once: what is found, the article's text or else the lines
-    with their hashes, is a checkpoint. Pages without a marked article are joined by host and class with the hashes of the lines of their pair.
+    read in time in proportion to the page. Pages are read twice: once for the hashes of their lines, which make the pairs, and once for the lines themselves, which travel
+    compressed, without those that go in any case, to meet the hashes of the lines of their pair by host and class. That takes less disk than keeping the lines.
     """
 
+    def keyed(batches):
+        for urls, html in rows_of(batches, "url", "html"):
+            hashes = [[line_hash(t) for t, _ in lines(h)] for h in html]
+            columns = urls, [class_of(h) for h in hashes], hashes
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)], ["url", "key", "hashes"])
+
     def read(batches):
         for ids, urls, html in rows_of(batches, "page_id", "url", "html"):
             got = [lines(h) for h in html]
             hashes = [[line_hash(t) for t, _ in x] for x in got]
-            articles = ["\n\n".join(t for t, z in x if z == MAIN) if marked(x) else None for x in got]
-            rest = [x if a is None else [] for x, a in zip(got, articles, strict=True)]
-            columns = ids, urls, [class_of(h) for h in hashes], hashes, articles, [[t for t, _ in x] for x in rest], [[z for _, z in x] for x in rest]
-            kinds = pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "key", "hashes", "text", "lines", "zones"])
+            goes = [{DROPPED, NEUTRAL} if marked(x) else {DROPPED} for x in got]
+            texts = [zlib.compress("\n".join("" if z in g else t for t, z in x).encode("utf-8", "surrogatepass"), 6) for x, g in zip(got, goes, strict=True)]
+            columns = ids, urls, [class_of(h) for h in hashes], hashes, texts, [bytes(z for _, z in x) for x in got]
+            kinds = pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "key", "hashes", "lines", "zones"])
 
     def left(batches):
         for ids, urls, hashes, texts, zones, other in rows_of(batches, "page_id", "url", "hashes", "lines", "zones", "shared"):
-            got = [differenced([*zip(t, z, strict=True)], h, o) for t, z, h, o in zip(texts, zones, hashes, other, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(got, pa.string())], ["page_id", "url", "text"])
-
-    known = cut(in_batches(pages.select("page_id", "url", "html")).mapInArrow(read, "page_id long, url string, key string, hashes array<long>, text string, lines array<string>, zones array<int>"))
-    done = known.where("text is not null").select("page_id", "url", "text")
-    rest = known.where("text is null").drop("text").withColumn("host", host_of("url"))
-    if rest.isEmpty():
-        return done
-    # pairs of pages without a marked article, by host and class
-    pairs = nearest_url(known).join(rest.select("host", "key").distinct(), ["host", "key"], "left_semi")
+            got = [found([*zip(zlib.decompress(t).decode("utf-8", "surrogatepass").split("\n"), z, strict=True)] if z else [], h, o) for t, z, h, o in zip(texts, zones, hashes, other, strict=True)]
+            columns = ids, urls, [t for t, _, _ in got], [len(h) for h in hashes], [n for _, n, _ in got], [n for _, _, n in got]
+            kinds = pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "text", "n_lines", "n_shared", "n_restored"])
+
+    known = cut(in_batches(pages.select("url", "html")).mapInArrow(keyed, "url string, key string, hashes array<long>")).withColumn("host", host_of("url"))
+    pairs = nearest_url(known)
     texts = known.select(F.col("key").alias("other"), "hashes").join(pairs.select("other").distinct(), "other", "left_semi").groupBy("other").agg(F.min("hashes").alias("shared"))
     pairs = pairs.join(texts, "other").select("host", "key", "shared")
-    return done.unionByName(in_batches(rest.join(pairs, ["host", "key"], "left").select("page_id", "url", "hashes", "lines", "zones", "shared")).mapInArrow(left, "page_id long, url string, text string"))
+    # a class of very many equal pages is dealt over several tasks; there are fewer of them than pages by CLASS_PAGES
+    many = F.broadcast(known.groupBy("host", "key").agg(F.ceil(F.count("*") / CLASS_PAGES).cast("int").alias("parts")).where("parts > 1"))
+    parts, by = F.coalesce("parts", F.lit(1)), ["host", "key"]
+    texts = in_batches(pages.select("page_id", "url", "html")).mapInArrow(read, "page_id long, url string, key string, hashes array<long>, lines binary, zones binary")
+    dealt = texts.withColumn("host", host_of("url")).join(many, by, "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), parts).cast("int"))
+    pairs = pairs.join(many, by, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    both = dealt.join(pairs, [*by, "part"], "left").select("page_id", "url", "hashes", "lines", "zones", "shared")
+    return in_batches(both).mapInArrow(left, "page_id long, url string, text string, n_lines long, n_shared long, n_restored long")
