@@ -9,8 +9,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemeter.llm import bpe, html, packing, quality, queries, secrets, simhash, suffix, tokens, vectors
 from tidemeter.llm.common import connected_components
@@ -672,3 +674,47 @@ def test_ann_is_exact_where_no_number_of_probes_is_enough(spark, sf_dir, monkeyp
     for i, x in rows:
         if i % 20 == 0:
             assert got[i] == [j for _, j in sorted((-float(x @ y), j) for j, y in rows if j != i)[:20]]
+
+
+def test_ann_of_a_large_table_takes_the_rotations_for_which_probes_are_enough(spark, sf_dir):
+    # at this count three rotations were taken, for which 2048 probes are too few, and all queries were searched exactly
+    assert vectors.levels_for(615384, 64) == 3
+    own = vectors.classes(vectors.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "array<float>"), 21)
+    folded = own.select(F.element_at("ids", 1).alias("c"), F.size("vector").alias("d"), "vector")
+    fit, _ = vectors.fitted(folded, folded.where("c % 20 = 0").withColumnRenamed("c", "q"), 20, vectors.TABLES, {64: 615384})
+    levels, probes = fit[64]
+    assert levels == 2 and probes <= vectors.MOST_PROBES
+
+
+def test_ann_searches_again_where_the_first_score_to_beat_is_too_high(spark, sf_dir, monkeypatch):
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    real = vectors.fitted
+    monkeypatch.setattr(vectors, "fitted", lambda *a: (real(*a)[0], {64: 0.9}))
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in own.collect()]
+    got = defaultdict(list)
+    for r in vectors.nearest(own, own.where("vec_id % 20 = 0"), k=20, query_chunk=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for i, x in rows:
+        if i % 20 == 0:
+            assert got[i] == [j for _, j in sorted((-float(x @ y), j) for j, y in rows if j != i)[:20]]
+
+
+def test_ann_products_of_small_and_large_buckets(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(vectors, "PRODUCTS", 500)
+    for few, whole in ((1, False), (256, False), (10**9, False), (256, True)):
+        monkeypatch.setattr(vectors, "FEW_PRODUCTS", few)
+        x, ask = rng.integers(-2, 3, (300, 4)).astype(float), rng.normal(size=(40, 4))
+        ask[:20] = rng.integers(-2, 3, (20, 4))  # many equal products
+        code, least = rng.choice([1, 1, 1, 2, 3, 5], 300), [None if i % 3 else 1.0 for i in range(40)]
+        looks = [[] if whole and i % 2 else sorted(rng.choice(7, 3, replace=False).tolist()) for i in range(40)]
+        rows = pa.table({"code": code, "c": np.arange(300), "low": np.arange(300) * 7 % 300, "vector": pa.array(list(x), pa.list_(pa.float64()))})
+        asks = pa.table({"q": np.arange(40), "least": pa.array(least, pa.float64()), "vector": pa.array(list(ask), pa.list_(pa.float64())), "codes": pa.array(looks, pa.list_(pa.int64()))})
+        got = defaultdict(list)
+        for r in vectors.products(asks, rows, 5).to_pylist():
+            got[r["q"]].append((-r["score"], r["low"], r["c"]))
+        for i in range(40):
+            can = [(-float(np.einsum("j,j->", ask[i], x[j])), j * 7 % 300, j) for j in range(300) if not looks[i] or code[j] in looks[i]]
+            want = sorted(z for z in can if least[i] is None or -z[0] >= 1.0)[:6]
+            assert [z[2] for z in sorted(got[i])] == [z[2] for z in want]
+            assert np.allclose([z[0] for z in sorted(got[i])], [z[0] for z in want])

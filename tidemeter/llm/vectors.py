@@ -33,8 +33,10 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
 
     A query returns at most keep - 1 of them besides itself, so no other can be in a result.
     """
-    each = vectors.withColumn("_r", F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("_r") <= keep)
-    return each.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    # sorts compare a number first: vectors only where it is equal
+    each = vectors.withColumn("_h", F.xxhash64("vector"))
+    each = each.withColumn("_r", F.dense_rank().over(Window.partitionBy("_h", "vector").orderBy("vec_id"))).where(F.col("_r") <= keep)
+    return each.groupBy("_h", "vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).drop("_h")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -141,25 +143,36 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     return best(first.unionByName(rest), k)
 
 
-def hadamard(x: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of each row; the row length is a power of two."""
-    n, d = x.shape
+def hadamard(y: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform of each column, which may overwrite y; the column length is a power of two."""
+    d, n = y.shape
+    other = np.empty_like(y)
     h = 1
     while h < d:
-        x = x.reshape(n, d // (2 * h), 2, h)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2).reshape(n, d)
+        z, into = (w.reshape(d // (2 * h), 2, h, n) for w in (y, other))
+        np.add(z[:, 0], z[:, 1], out=into[:, 0])
+        np.subtract(z[:, 0], z[:, 1], out=into[:, 1])
+        y, other = other, y
         h *= 2
-    return x
+    return y
 
 
-def rotated(x: np.ndarray, table: int, level: int) -> np.ndarray:
+def rotated(x: np.ndarray, table: int, level: int, tile: int = 512) -> np.ndarray:
     """Products of each row with the signed axes of a table's pseudo-rotation: three rounds of random signs and Hadamard."""
     d = 1 << max(1, (x.shape[1] - 1).bit_length())
-    y = np.zeros((len(x), d))
-    y[:, : x.shape[1]] = x
-    for s in np.random.default_rng([table, level, d]).choice([-1.0, 1.0], (3, d)):
-        y = hadamard(y * s) / d**0.5
-    return np.concatenate([y, -y], axis=1)
+    signs = np.random.default_rng([table, level, d]).choice([-1.0, 1.0], (3, d))
+    out = np.empty((len(x), 2 * d))
+    for a in range(0, len(x), tile):
+        few = x[a : a + tile]
+        y = np.zeros((d, len(few)))  # vectors are columns, so that every step runs along memory
+        y[: x.shape[1]] = few.T
+        for s in signs:
+            y *= s[:, None]
+            y = hadamard(y)
+            y /= d**0.5
+        out[a : a + tile, :d] = y.T
+    np.negative(out[:, :d], out=out[:, d:])
+    return out
 
 
 def codes(x: np.ndarray, table: int, levels: int) -> np.ndarray:
@@ -189,17 +202,22 @@ def probed(x: np.ndarray, table: int, levels: int, probes: int) -> np.ndarray:
 
 
 #: Hash tables; the most buckets a query looks into in each; rows of a block, and queries, that meet in one task.
-TABLES, MOST_PROBES, CHUNK, QUERY_CHUNK = 16, 2048, 4096, 4096
+TABLES, MOST_PROBES, CHUNK, QUERY_CHUNK = 16, 2048, 65536, 32768
+#: Components of the rows of a block, and of its queries, at most; buckets that the queries of a block look into.
+CHUNK_SIZE, QUERY_SIZE, CHUNK_LOOKS = 1 << 22, 1 << 21, 1 << 22
 #: Tables that the first look goes to. Large blocks whose keys may be broadcast, at 40 bytes each; more are joined by a shuffle.
 FIRST_TABLES, BROADCAST_BLOCKS = 2, 100_000
 #: The number of probes is fitted on so many queries at most for this share of their true neighbours.
 FIT_QUERIES, FIT_RECALL = 64, 0.95
+#: What a look into a bucket costs, in products with a row of it.
+LOOK_COST = 60
+#: Products in one matrix; a bucket with fewer than the second is computed together with others.
+PRODUCTS, FEW_PRODUCTS = 1 << 20, 256
 
 
 def levels_for(n: int, d: int) -> int:
-    """Rotations whose axes together make a bucket: two at least, more as rows grow, so that a bucket holds a few rows at any size."""
-    axes = 2 << max(1, (d - 1).bit_length())
-    return max(2, min(ceil(log(max(n, 8) / 8, axes)), int(60 // log(axes, 2))))
+    """The most rotations whose axes may together make a bucket, so that it holds a few rows: two at least, more as rows grow. fitted() chooses."""
+    return max(2, min(ceil(log(max(n, 8) / 8, axes(d))), int(60 // log(axes(d), 2))))
 
 
 def listed(batch, name: str, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
@@ -214,8 +232,17 @@ def matrix(batch, name: str = "vector") -> np.ndarray:
     return flat.reshape(len(sizes), -1)
 
 
-def fitted_probes(folded: DataFrame, asked: DataFrame, k: int, tables: int, counts: dict[int, int]) -> dict[int, int | None]:
-    """For each vector length the probes a table with which FIT_RECALL of the true neighbours of at most FIT_QUERIES queries are found; None where MOST_PROBES are not enough."""
+def fitted(folded: DataFrame, asked: DataFrame, k: int, tables: int, counts: dict[int, int]) -> tuple[dict[int, tuple[int, int | None]], dict[int, float]]:
+    """For each vector length the rotations that make a bucket, and the probes a table with which FIT_RECALL of the true neighbours of at most FIT_QUERIES queries are found.
+
+    Of two rotations up to levels_for(), those that cost least: finer buckets
+    hold fewer rows, but need so many more probes that at some sizes MOST_PROBES are not
+    enough. The probes are None where they are enough with no number of rotations.
+
+    And a score, as a share of a query's norm, that twice as many rows as are asked for
+    reach for each of these queries, where so many rows are met. It is expected to be too high for one in
+    FIT_QUERIES others, whose search must be done again without it.
+    """
     some = asked.withColumn("_r", F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("vector"), "q"))).where(F.col("_r") <= FIT_QUERIES)
     held = {d: np.array([r.vector for r in rows]) for d, rows in _by_length(some.select("d", "vector").collect()).items()}
 
@@ -226,24 +253,39 @@ def fitted_probes(folded: DataFrame, asked: DataFrame, k: int, tables: int, coun
                 if d in held:
                     x = matrix(own)
                     scores = held[d] @ x.T
-                    top = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                    top = np.argsort(-scores, axis=1, kind="stable")[:, : 2 * (k + 1)]
                     at = top.ravel()
                     who = np.repeat(np.arange(len(top)), top.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(who, pa.int32()), pa.array(scores[who, at]), pa.array(list(x[at]), pa.list_(pa.float64()))], ["d", "who", "score", "vector"])
-
-    found = in_batches(folded.select("d", "vector")).mapInArrow(near, "d int, who int, score double, vector array<double>")
-    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("d", "who").orderBy(F.desc("score")))).where(F.col("_r") <= k + 1)
-    out = {}
-    for d, rows in _by_length(ranked.select("d", "who", "vector").collect()).items():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(who, pa.int32()), pa.array(scores[who, at]), own.column("c").take(pa.array(at))], ["d", "who", "score", "c"])
+
+    found = in_batches(folded.select("d", "vector", "c")).mapInArrow(near, "d int, who int, score double, c long")
+    order = Window.partitionBy("d", "who").orderBy(F.desc("score"), "c")
+    ranked = cut(found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= 2 * (k + 1)))
+    low: dict[int, float] = {}
+    for d, rows in _by_length(ranked.where(F.col("_r") == 2 * (k + 1)).collect()).items():
+        if len(rows) == len(held[d]):
+            low[d] = min(r.score / float(np.linalg.norm(held[d][r.who])) for r in rows)
+    out: dict[int, tuple[int, int | None]] = {}
+    nearby = folded.join(F.broadcast(ranked.where(F.col("_r") <= k + 1).select("c", "who")), "c")
+    for d, rows in _by_length(nearby.select("d", "who", "vector").collect()).items():
         who, x = np.array([r.who for r in rows]), np.array([r.vector for r in rows])
-        first = np.full(len(rows), MOST_PROBES)
-        for t in range(tables):
-            levels = levels_for(counts[d], d)
-            hit = probed(held[d], t, levels, MOST_PROBES)[who] == codes(x, t, levels)[:, None]
-            first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
-        enough = int(np.sort(first)[ceil(FIT_RECALL * len(first)) - 1])
-        out[d] = enough + 1 if enough < MOST_PROBES else None
-    return out
+        least = None
+        for levels in range(2, levels_for(counts[d], d) + 1):
+            first = np.full(len(rows), MOST_PROBES)
+            for t in range(tables):
+                hit = probed(held[d], t, levels, MOST_PROBES)[who] == codes(x, t, levels)[:, None]
+                first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
+            probes = int(np.sort(first)[ceil(FIT_RECALL * len(first)) - 1]) + 1
+            cost = probes * (counts[d] / axes(d) ** levels + LOOK_COST)
+            if probes <= MOST_PROBES and (least is None or cost < least):
+                least, out[d] = cost, (levels, probes)
+        out.setdefault(d, (2, None))
+    return out, low
+
+
+def axes(d: int) -> int:
+    """Signed axes of a rotation of vectors of length d."""
+    return 2 << max(1, (d - 1).bit_length())
 
 
 def _by_length(rows: list) -> dict[int, list]:
@@ -253,17 +295,95 @@ def _by_length(rows: list) -> dict[int, list]:
     return out
 
 
+def products(asks: pa.Table, rows: pa.Table, k: int) -> pa.Table:
+    """(q, c, low, score): of the rows in the buckets that each query of a block looks into, the k + 1 best, none below its ``least``; a query without buckets looks into all.
+
+    A bucket is one matrix of products with all queries that look into it. Which
+    rows it leaves is decided with room for rounding; their scores are then computed
+    pair by pair, so they do not depend on the block.
+    """
+    data, ask = matrix(rows), matrix(asks)
+    code = rows.column("code").to_numpy()
+    order = np.argsort(code, kind="stable")
+    data, code, c, low = data[order], code[order], rows.column("c").to_numpy()[order], rows.column("low").to_numpy()[order]
+    q, floor = asks.column("q").to_numpy(), np.array(asks.column("least").to_numpy(), float)
+    floor[np.isnan(floor)] = -np.inf
+    with np.errstate(over="ignore"):
+        room = 1e-15 * data.shape[1] * np.linalg.norm(ask, axis=1) * np.linalg.norm(data, axis=1).max()
+    kept: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    fresh = 0  # pairs since the last fold
+
+    def hold(w: np.ndarray, at: np.ndarray) -> None:
+        nonlocal fresh
+        s = np.einsum("ij,ij->i", ask[w], data[at])
+        keep = ~(s < floor[w])
+        kept.append((w[keep], at[keep], s[keep]))
+        fresh += len(kept[-1][0])
+        if fresh > PRODUCTS:
+            fold()
+
+    def fold() -> None:
+        nonlocal fresh
+        fresh = 0
+        w, at, s = (np.concatenate(x) for x in zip(*kept, strict=True))
+        by = np.lexsort((low[at], -s, w))
+        w, at, s = w[by], at[by], s[by]
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1])[: len(w)])
+        nth = np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w))))
+        last = nth == k
+        floor[w[last]] = np.fmax(floor[w[last]], s[last])
+        kept[:] = [(w[nth <= k], at[nth <= k], s[nth <= k])]
+
+    def meet(who: np.ndarray, begin: int, end: int) -> None:
+        step = max(PRODUCTS // (end - begin), 1)
+        for a in range(0, len(who), step):
+            few = who[a : a + step]
+            s = ask[few] @ data[begin:end].T
+            bar = floor[few]
+            if end - begin > 4 * (k + 1):
+                bar = np.fmax(bar, np.partition(s, end - begin - k - 1, axis=1)[:, end - begin - k - 1])
+            w, at = np.nonzero(~(s < (bar - room[few])[:, None]))
+            if len(w):
+                hold(few[w], at + begin)
+
+    flat, sizes = listed(asks, "codes", np.int64)
+    whole = np.flatnonzero(sizes == 0)
+    if len(whole):
+        meet(whole, 0, len(code))
+    who = np.repeat(np.arange(len(q)), sizes)
+    by = np.argsort(flat, kind="stable")
+    flat, who = flat[by], who[by]
+    start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])[: len(flat)])
+    asking = np.diff(np.append(start, len(flat)))
+    begin, end = (np.searchsorted(code, flat[start], side) for side in ("left", "right"))
+    large = asking * (end - begin) >= FEW_PRODUCTS
+    for i in np.flatnonzero(large):
+        meet(who[start[i] : start[i] + asking[i]], begin[i], end[i])
+    n = np.repeat(np.where(large, 0, end - begin), asking)  # rows that each look meets
+    begin = np.repeat(begin, asking)[n > 0]
+    who, n = who[n > 0], n[n > 0]
+    stop = np.append(np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), 1 << 16), "left"), len(n))
+    for a, b in zip(stop[:-1], stop[1:], strict=True):
+        if b > a:
+            m = n[a:b]
+            w = np.repeat(who[a:b], m)
+            hold(w, np.arange(len(w)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[a:b], m))
+    fold()
+    w, at, s = kept[0]
+    return pa.table({"q": q[w], "c": c[at], "low": low[at], "score": s})
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, chunk: int = CHUNK, query_chunk: int = QUERY_CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query by inner product, in double precision.
 
     Every vector is in one bucket of each table: its nearest signed axes after
-    two or more pseudo-rotations, the more the larger the table. A query looks
+    two or more pseudo-rotations. A query looks
     into the buckets whose axes are nearest to it and scores what is there
     exactly: first in two tables, which gives a score to beat, then in
-    the others, from which only better rows return. How many buckets,
-    fitted_probes() finds on a bounded sample of queries. Buckets that differ in the last
-    axis only are one block; large blocks are split on both sides, so
-    nothing is capped. Queries that found too few look into every bucket of one table, as do
+    the others, from which only better rows return. How many rotations and buckets, and which scores are
+    too low in the first look, fitted() finds on a bounded sample of queries. Buckets travel in blocks, dealt by all
+    axes but the last, so that a query goes once to each block it looks into; large blocks are split on both sides, so
+    nothing is capped. Queries that found too few look into every block of one table, as do
     all of a length for which no number of probes up to MOST_PROBES is enough: these are searched exactly.
     Hashing sees directions only: recall is for vectors of about equal length.
     Vectors null, zero or with null or non-finite components take no part, those of
@@ -279,88 +399,88 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     ids = cut(usable(queries, kind).where(some).select(F.col("vec_id").alias("query_id"), "vector").distinct())
     asked = cut(named(size(ids.select("vector").distinct()), "q"))
     counts = {r.d: r.n for r in folded.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    probes = fitted_probes(folded, asked, k, tables, counts)
-    levels = {d: levels_for(n, d) for d, n in counts.items()}
-    exact = [d for d, n in probes.items() if n is None]
-
-    def axes(d: int) -> int:
-        return 2 << max(1, (d - 1).bit_length())
+    fit, low = fitted(folded, asked, k, tables, counts)  # lengths that have both rows and queries
+    exact = [d for d, (_, n) in fit.items() if n is None]
+    room = {d: max(min(chunk, CHUNK_SIZE // d), 1) for d in fit}
+    query_room = {d: max(min(query_chunk, QUERY_SIZE // d, CHUNK_LOOKS // (n or 1)), 1) for d, (_, n) in fit.items()}
+    blocks = {d: min(axes(d) ** (levels - 1), -(-2 * counts[d] // room[d])) for d, (levels, _) in fit.items()}
+    keys, width_now = ["d", "t", "block"], width(vectors.sparkSession)
 
     def lengths(batch):
         for d in pa.compute.unique(batch.column("d")).to_pylist():
-            if d in probes or d in levels:
+            if d in fit:
                 own = batch.filter(pa.compute.equal(batch.column("d"), d))
                 yield d, own, matrix(own)
 
-    def placed(batches):
+    def coded(batches):
         for batch in batches:
             for d, own, x in lengths(batch):
-                for t in range(tables):
-                    code = codes(x, t, levels[d])
-                    yield pa.RecordBatch.from_arrays(
-                        [own.column("d"), pa.array(np.full(len(x), t), pa.int32()), pa.array(code // axes(d)), pa.array(code % axes(d), pa.int32()), own.column("c"), own.column("low"), own.column("vector").cast(arrow)],
-                        ["d", "t", "cell", "sub", "c", "low", "vector"],
-                    )
-
-    row = f"d int, t int, cell long, sub int, c long, low long, vector {kind}"
-    right = in_batches(folded.select("d", "c", F.element_at("ids", 1).alias("low"), "vector")).mapInArrow(placed, row)
-    right = cut(right)
-    keys = ["d", "t", "cell"]
-    large = cut(right.groupBy(*keys).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))
-
-    def looks(at_tables: range):
-        """Blocks of each query in these tables and the last axes it looks at in them."""
+                code = np.stack([codes(x, t, fit[d][0]) for t in range(tables)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("d"), own.column("c"), own.column("low"), own.column("vector").cast(arrow), pa.ListArray.from_arrays(pa.array(np.arange(0, code.size + 1, tables), pa.int32()), pa.array(code.ravel()))],
+                    ["d", "c", "low", "vector", "codes"],
+                )
+
+    hashed = in_batches(folded.select("d", "c", F.element_at("ids", 1).alias("low"), "vector")).mapInArrow(coded, f"d int, c long, low long, vector {kind}, codes array<long>")
+    hashed = cut(hashed)
+
+    def placed(at_tables: range) -> DataFrame:
+        """Every class with its bucket in these tables."""
+        at = F.explode(F.array([F.struct(F.lit(t).alias("t"), F.col("codes")[t].alias("code")) for t in at_tables])).alias("at")
+        of = lambda values: F.create_map(*[F.lit(x) for d in fit for x in (d, values(d))])[F.col("d")]
+        rows = hashed.select("d", "c", "low", "vector", at).select("d", "at.t", "at.code", "c", "low", "vector")
+        block = F.expr("code div axes % blocks").cast("int").alias("block")
+        return rows.withColumn("axes", of(axes)).withColumn("blocks", of(lambda d: blocks[d])).select("d", "t", block, "code", "c", "low", "vector")
+
+    def looks(own: DataFrame, at_tables: range) -> DataFrame:
+        """Blocks of each query in these tables and the buckets it looks at in them."""
 
         def run(batches):
             for batch in batches:
                 for d, own, x in lengths(batch):
+                    step = max((1 << 16) // fit[d][1], 16)
+                    least = np.array(own.column("least").to_numpy(zero_copy_only=False), float)
+                    if d in low:  # fmax() takes the number where the other is none
+                        least = np.fmax(least, low[d] * np.linalg.norm(x, axis=1))
                     for t in at_tables:
-                        for at in range(0, len(x), 64):
-                            few = slice(at, at + 64)
-                            code = probed(x[few], t, levels[d], probes.get(d, 1))
-                            who = np.repeat(np.arange(len(x[few])), code.shape[1])
-                            cell, sub = code.ravel() // axes(d), code.ravel() % axes(d)
-                            order = np.lexsort((sub, cell, who))
-                            who, cell, sub = who[order], cell[order], sub[order]
-                            begin = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (cell[1:] != cell[:-1]))[: len(who)])
+                        for at in range(0, len(x), step):
+                            code = probed(x[at : at + step], t, *fit[d])
+                            who, code = np.repeat(np.arange(len(code)), code.shape[1]), code.ravel()
+                            block = code // axes(d) % blocks[d]
+                            order = np.lexsort((block, who))
+                            who, block, code = who[order], block[order], code[order]
+                            begin = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (block[1:] != block[:-1]))[: len(who)])
                             mine = own.take(pa.array(who[begin] + at))
                             yield pa.RecordBatch.from_arrays(
-                                [mine.column("d"), pa.array(np.full(len(begin), t), pa.int32()), pa.array(cell[begin]), mine.column("q"), mine.column("least"), mine.column("vector").cast(arrow), pa.ListArray.from_arrays(pa.array(np.append(begin, len(sub)), pa.int32()), pa.array(sub, pa.int32()))],
-                                ["d", "t", "cell", "q", "least", "vector", "subs"],
+                                [mine.column("d"), pa.array(np.full(len(begin), t), pa.int32()), pa.array(block[begin], pa.int32()), mine.column("q"), pa.array(least[who[begin] + at]), mine.column("vector").cast(arrow), pa.ListArray.from_arrays(pa.array(np.append(begin, len(code)), pa.int32()), pa.array(code))],
+                                ["d", "t", "block", "q", "least", "vector", "codes"],
                             )
 
-        return run
+        own = own.where(~F.col("d").isin(*exact)) if exact else own
+        return in_batches(own.select("d", "q", "vector", "least")).mapInArrow(run, f"d int, t int, block int, q long, least double, vector {kind}, codes array<long>")
+
+    def crowded(sizes: DataFrame, most: dict[int, int], name: str) -> DataFrame:
+        """Blocks whose n is more than ``most`` of their length, and in how many parts."""
+        bound = F.create_map(*[F.lit(x) for pair in most.items() for x in pair])[F.col("d")]
+        return cut(sizes.withColumn(name, F.ceil(F.col("n") / bound).cast("int")).where(f"{name} > 1").drop("n"))
+
+    def asking_in(batches):
+        """How many of these queries look into each block."""
+        for batch in batches:
+            for d, _, x in lengths(batch):
+                step = max((1 << 16) // fit[d][1], 16)
+                for t in range(tables):
+                    n = np.zeros(blocks[d], np.int64)
+                    for at in range(0, len(x), step):
+                        own = np.sort(probed(x[at : at + step], t, *fit[d]) // axes(d) % blocks[d], axis=1)
+                        n += np.bincount(np.concatenate([own[:, 0], own[:, 1:][own[:, 1:] != own[:, :-1]]]), minlength=blocks[d])
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(np.full(len(at), t), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], [*keys, "n"])
 
     def search(asks: pa.Table, rows: pa.Table) -> pa.Table:
-        held: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
-        score: list[np.ndarray] = [np.zeros(0)]
         if len(asks) and len(rows):
-            data, ask = matrix(rows), matrix(asks)
-            sub = rows.column("sub").to_numpy()
-            c, low = rows.column("c").to_numpy(), rows.column("low").to_numpy()
-            order = np.argsort(sub, kind="stable")
-            q, least = asks.column("q").to_numpy(), asks.column("least").to_numpy()
-            flat, sizes = listed(asks, "subs", np.int64)
-            begin, end = (np.searchsorted(sub[order], flat, side) for side in ("left", "right"))
-            who, n = np.repeat(np.arange(len(q)), sizes), end - begin
-            stop = np.append(np.searchsorted(np.cumsum(n), np.arange(0, int(n.sum()), 1 << 16), "left"), len(n))
-            for a, b in zip(stop[:-1], stop[1:], strict=True):
-                if b <= a:
-                    continue
-                m = n[a:b]
-                w = np.repeat(who[a:b], m)
-                at = order[np.arange(len(w)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[a:b], m)]
-                s = np.einsum("ij,ij->i", ask[w], data[at])
-                keep = ~(s < least[w])
-                w, at, s = w[keep], at[keep], s[keep]
-                by = np.lexsort((low[at], -s, w))
-                w, at, s = w[by], at[by], s[by]
-                first = np.flatnonzero(np.append(True, w[1:] != w[:-1])[: len(w)])
-                keep = np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w)))) <= k
-                held.append(np.stack([q[w[keep]], c[at[keep]], low[at[keep]]], axis=1))
-                score.append(s[keep])
-        found = np.concatenate(held)
-        return pa.table({"q": found[:, 0], "c": found[:, 1], "low": found[:, 2], "score": np.concatenate(score)})
+            return products(asks, rows, k)
+        return pa.table({"q": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), "low": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     def parted(df: DataFrame, sizes: DataFrame, own: str, n: str, part: str, other: str, m: str) -> DataFrame:
         """df with its part of a large block, once for each part of the other side: both are 0 elsewhere."""
@@ -369,12 +489,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         out = known.withColumn(part, F.pmod(F.xxhash64(own), here).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), there - 1)))
         return out.select(*df.columns, part, other).toDF(*df.columns, part, other)  # columns of their own: both sides may come from one table
 
-    def visit(left: DataFrame, rows: DataFrame, asks: int, more: DataFrame | None = None) -> DataFrame:
-        """The k + 1 best classes of each query; asks: how many queries there are."""
-        sizes = large.withColumn("turns", F.lit(1))
-        if asks > query_chunk:
-            left = cut(left)
-            many = left.groupBy(*keys).agg(F.ceil(F.count("*") / query_chunk).cast("int").alias("turns")).where("turns > 1")
+    def visit(left: DataFrame, at_tables: range, many: DataFrame | None, more: DataFrame | None = None) -> DataFrame:
+        """The k + 1 best classes of each query; many: blocks with too many queries for one task, as crowded() counts them."""
+        rows, sizes = placed(at_tables), large.withColumn("turns", F.lit(1))
+        if many is not None:
             sizes = cut(large.join(many, keys, "full"))
         n = sizes.count()
         sizes = F.broadcast(sizes) if n <= BROADCAST_BLOCKS else sizes
@@ -385,25 +503,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         by = [*keys, "qc", "cc"]
         found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(search, "q long, c long, low long, score double")
         found = found.unionByName(more) if more is not None else found
-        each = found.repartition("q").groupBy("q", "c").agg(F.max("low").alias("low"), F.max("score").alias("score"))
+        each = found.repartition(width_now, "q").groupBy("q", "c").agg(F.max("low").alias("low"), F.max("score").alias("score"))
         order = Window.partitionBy("q").orderBy(F.desc("score"), "low")
         return cut(each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r"))
 
-    def asking(own: DataFrame, at_tables: range) -> DataFrame:
-        own = own.where(~F.col("d").isin(*exact)) if exact else own
-        return in_batches(own.select("d", "q", "vector", "least")).mapInArrow(looks(at_tables), f"d int, t int, cell long, q long, least double, vector {kind}, subs array<int>")
-
-    none, m = F.lit(None).cast("double").alias("least"), asked.count()
+    none = F.lit(None).cast("double").alias("least")
     start = min(FIRST_TABLES, tables)
-    first = visit(asking(asked.select("*", none), range(start)), right.where(F.col("t") < start), m)
-    enough = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") > k).drop("n")
-    found = visit(asking(asked.join(enough, "q", "left"), range(start, tables)), right.where(F.col("t") >= start), m, first)
-    short = cut(asked.join(found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k), "q", "left_anti"))
-    if not short.isEmpty():
-        every = right.where("t = 0").select(*keys).distinct()
-        subs = F.sequence(F.lit(0), (2 * F.pow(2, F.ceil(F.log2(F.greatest("d", F.lit(2)))))).cast("int") - 1).alias("subs")
-        all_of = short.join(every, "d").select("d", "t", "cell", "q", none, "vector", subs)
-        found = found.join(short, "q", "left_anti").unionByName(visit(all_of, right.where("t = 0"), m))
+    if fit:
+        large = crowded(placed(range(tables)).groupBy(*keys).agg(F.count("*").alias("n")), room, "chunks")
+        to_count = {r.d for r in asked.groupBy("d").agg(F.count("*").alias("n")).collect() if r.d in fit and r.n > query_room[r.d]}
+        many = None
+        if to_count - {*exact}:
+            own = in_batches(asked.where(F.col("d").isin(*to_count - {*exact})).select("d", "vector"))
+            sizes = own.mapInArrow(asking_in, "d int, t int, block int, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
+            many = crowded(sizes, query_room, "turns")
+        first = visit(looks(asked.select("*", none), range(start)), range(start), many)
+        enough = first.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") > k).drop("n")
+        found = visit(looks(asked.join(enough, "q", "left"), range(start, tables)), range(start, tables), many, first)
+    else:
+        found = asked.select("q", F.col("q").alias("c"), F.col("q").alias("low"), none.alias("score")).limit(0)
+    short = cut(asked.where(F.col("d").isin(*fit)).join(found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") > k), "q", "left_anti"))
+    asking = {r.d: r.n for r in short.groupBy("d").agg(F.count("*").alias("n")).collect()}
+    if asking:
+        every = vectors.sparkSession.createDataFrame([(d, 0, b, -(-n // query_room[d])) for d, n in asking.items() for b in range(blocks[d])], "d int, t int, block int, turns int")
+        nowhere = F.array().cast("array<long>").alias("codes")
+        all_of = short.join(F.broadcast(every), "d").select("d", "t", "block", "q", none, "vector", nowhere)
+        found = found.join(short, "q", "left_anti").unionByName(visit(all_of, range(1), every.where("turns > 1") if any(n > query_room[d] for d, n in asking.items()) else None))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     each = found.join(folded.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     top = each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).select("q", "score", "vec_id")
