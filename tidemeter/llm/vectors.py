@@ -397,14 +397,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     named = lambda x, name: x.select(F.monotonically_increasing_id().alias(name), "*")
     folded = cut(named(size(classes(usable(vectors, kind).where(some), k + 1)), "c"))
     ids = cut(usable(queries, kind).where(some).select(F.col("vec_id").alias("query_id"), "vector").distinct())
-    asked = cut(named(size(ids.select("vector").distinct()), "q"))
+    # adaptive execution would join what is few bytes and much work to a task or two
+    keys, parts = ["d", "t", "block"], width(vectors.sparkSession)
+    asked = cut(named(size(ids.select("vector").distinct().repartition(parts, F.xxhash64("vector"))), "q"))
     counts = {r.d: r.n for r in folded.groupBy("d").agg(F.count("*").alias("n")).collect()}
     fit, low = fitted(folded, asked, k, tables, counts)  # lengths that have both rows and queries
     exact = [d for d, (_, n) in fit.items() if n is None]
     room = {d: max(min(chunk, CHUNK_SIZE // d), 1) for d in fit}
     query_room = {d: max(min(query_chunk, QUERY_SIZE // d, CHUNK_LOOKS // (n or 1)), 1) for d, (_, n) in fit.items()}
     blocks = {d: min(axes(d) ** (levels - 1), -(-2 * counts[d] // room[d])) for d, (levels, _) in fit.items()}
-    keys, width_now = ["d", "t", "block"], width(vectors.sparkSession)
 
     def lengths(batch):
         for d in pa.compute.unique(batch.column("d")).to_pylist():
@@ -421,7 +422,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
                     ["d", "c", "low", "vector", "codes"],
                 )
 
-    hashed = in_batches(folded.select("d", "c", F.element_at("ids", 1).alias("low"), "vector")).mapInArrow(coded, f"d int, c long, low long, vector {kind}, codes array<long>")
+    hashed = in_batches(folded.select("d", "c", F.element_at("ids", 1).alias("low"), "vector").repartition(parts, "c")).mapInArrow(coded, f"d int, c long, low long, vector {kind}, codes array<long>")
     hashed = cut(hashed)
 
     def placed(at_tables: range) -> DataFrame:
@@ -503,7 +504,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
         by = [*keys, "qc", "cc"]
         found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(search, "q long, c long, low long, score double")
         found = found.unionByName(more) if more is not None else found
-        each = found.repartition(width_now, "q").groupBy("q", "c").agg(F.max("low").alias("low"), F.max("score").alias("score"))
+        each = found.repartition(parts, "q").groupBy("q", "c").agg(F.max("low").alias("low"), F.max("score").alias("score"))
         order = Window.partitionBy("q").orderBy(F.desc("score"), "low")
         return cut(each.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1).drop("_r"))
 
